@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quire.llm import decontaminate, mixing, pii, secrets, topk, toxicity, warc
+from quire.llm import decontaminate, htmltext, lmscore, mixing, pii, secrets, topk, toxicity, warc
 from quire.llm.shared import table
 from quire.llm.simhash import simhash_components
 
@@ -66,3 +66,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_warc", warc.WARC_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op3_html_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op6_lm_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(table(spark, sf_dir, "documents"))
