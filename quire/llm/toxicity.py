@@ -173,15 +173,21 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-def train(labelled: DataFrame, max_per_class: int = PER_CLASS) -> ToxicityModel:
-    """From (doc_id, text, toxic): at most max_per_class texts of each class, by the hash of their id.
-
-    Two thirds of them (by another hash) are counted and the rest fit the curve. Where a class
-    has no text, every score is that of an even curve at its prior.
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) -> ToxicityModel:
+    """From labelled documents whose crc32 modulo 3 isn't 1.
+
+    At most max_per_class ids of each class are chosen, by their hash, before any text is read, so
+    the texts are found by a broadcast of that many ids. Two thirds of them (by another hash) are
+    counted and the rest fit the curve. A document with labels that differ counts as toxic; ids
+    without a document or a text count for nothing. Where a class has no text, every score is that
+    of an even curve at its prior.
     """
-    rows = []
-    for label in (0, 1):
-        rows += labelled.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class).select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).alias("kept")).collect()
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").filter(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = [r for label in (0, 1) for r in known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class).select("doc_id", "toxic").collect()]
+    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
+    kept = (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).alias("kept")
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic", kept).collect()
+    rows.sort(key=lambda r: (r.toxic, r.doc_id, r.text))
     counts: list[Counter] = [Counter(), Counter()]
     for r in rows:
         if not r.kept:
@@ -223,14 +229,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     return source.mapInArrow(run, target)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents whose crc32 modulo 3 isn't 1. A document with
-    labels that differ counts as toxic; unlabelled ones and those without a text are left out."""
-    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1)).join(known, "doc_id").select("doc_id", "text", "toxic")
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of all documents."""
-    model = train(training_rows(docs, labels), max_per_class)
+    model = train(docs, labels, max_per_class)
     return toxicity_scores(docs, model, threshold).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
