@@ -114,7 +114,7 @@ def preview(width: Column, height: Column, left: Column, right: Column, top: Col
     return F.struct(even_width(width, left, right, centre, columns).alias("col_width"), ((height - top - bottom) / rows).alias("row_height"), (columns * rows).alias("page_chars"))
 
 
-def comment_fit(length: Column, base: Column, columns: Column, height: Column, gap: float = 1.15, least: int = 15) -> Column:
+def comment_fit(length: Column, base: Column, columns: Column, height: Column, gap: float = 1.3, least: int = 15) -> Column:
     """Largest font size from base down by one, at least ``least``, at which a comment of so many
     characters fits the columns that are left; null if none does. A column holds one row at least,
     even where the height is negative."""

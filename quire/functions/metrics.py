@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quire.functions import text as T
 
@@ -45,7 +46,7 @@ def wildcard_distance(gt: str, pred: str) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _wildcard(gt: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series([wildcard_distance(g, p) for g, p in zip(gt, pred, strict=True)], dtype="int32")
 

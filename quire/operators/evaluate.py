@@ -121,7 +121,7 @@ def kind_of(model: Column | str = "模型") -> Column:
 def score_pivot(summaries: DataFrame) -> DataFrame:
     """Scores by model and phase with two decimals, -- where there is none, in two sections."""
     wide = summaries.groupBy(kind_of().alias("类别"), "模型").pivot("期别", list(PERIODS)).agg(F.first("分数"))
-    return wide.select("类别", "模型", *(F.coalesce(F.format_string("%.2f", F.round(F.col(f"`{p}`"), 2)), F.lit("--")).alias(p) for p in PERIODS))
+    return wide.select("类别", "模型", *(F.when(F.col(f"`{p}`").isNull(), "--").otherwise(F.format_string("%.2f", F.round(F.col(f"`{p}`"), 2))).alias(p) for p in PERIODS))
 
 
 def report(summaries: DataFrame) -> DataFrame:

@@ -1,0 +1,3 @@
+"""Queries of the reference operators; importing this package registers them."""
+
+from quire.plans import evaluation, registry, rewards, typesetting  # noqa: F401
