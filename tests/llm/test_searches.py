@@ -1,0 +1,163 @@
+"""Exact search, decontamination, secrets and personal data against brute force."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from quire.llm import decontaminate, pii, secrets, topk
+
+
+def test_topk_against_brute_force(spark):
+    r = random.Random(3)
+    rows = [(i, [r.choice((-1.0, 0.5, 0.25, r.gauss(0, 1))) for _ in range(20)]) for i in range(400)]
+    rows += [(401, None), (402, [1.0, None] * 10), (403, [float("nan")] * 20), (404, [float("inf")] * 20), (None, [1.0] * 20), (450, [1.0, 2.0]), (451, [3.0, 4.0]), (500, []), (399, rows[399][1])]
+    table = spark.createDataFrame([(*x, "e") for x in rows], "vec_id long, embedding array<float>, score string")
+    whole = [(i, np.floor(np.array(v, np.float32).astype(float) * 256).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    expected = []
+    for q, v in {i: v for i, v in whole if i % 50 == 0}.items():
+        found = sorted((-int(v @ w), i) for i, w in whole if i != q and len(w) == len(v))[:5]
+        expected += [(q, k, i, -s) for k, (s, i) in enumerate(found, 1)]
+    got = [tuple(x) for x in topk.top_k(table).collect()]
+    assert sorted(got) == sorted(expected)
+    assert sorted(tuple(x) for x in topk.top_k(table, query_block=3).collect()) == sorted(expected)
+    assert topk.top_k(table.limit(0)).count() == 0
+
+
+def plain_coverage(doc, item, least):
+    """Greedy string tiling by comparing every pair of positions."""
+    a, b = decontaminate.words_of(doc), decontaminate.words_of(item)
+    used_a, used_b, covered = set(), set(), 0
+    while True:
+        best = (0, 0, 0)
+        for q in range(len(b)):
+            for p in range(len(a)):
+                k = 0
+                while p + k < len(a) and q + k < len(b) and a[p + k] == b[q + k] and p + k not in used_a and q + k not in used_b:
+                    k += 1
+                if k > best[2]:
+                    best = (p, q, k)
+        p, q, k = best
+        if k < least:
+            return covered, len(b)
+        used_a.update(range(p, p + k))
+        used_b.update(range(q, q + k))
+        covered += k
+
+
+def test_tiling_against_all_positions(spark):
+    r = random.Random(6)
+    items = [(i, " ".join(r.choice("abcdef") for _ in range(r.randrange(3, 25)))) for i in range(12)] + [(90, None), (91, ""), (92, "a b")]
+    docs = []
+    for i in range(40):
+        own = " ".join(r.choice("abcdef,") for _ in range(r.randrange(40)))
+        text = items[i % 12][1].split()
+        docs.append((i, f"{own} {' '.join(text[len(text) // 2 :])} {own[:10]} {' '.join(text[: len(text) // 2])}. Z".replace("a", "A")))
+    docs += [(100, None), (101, ""), (None, items[3][1]), (3, docs[3][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, coverage int")
+    got = sorted((x.doc_id, x.item_id, x.covered_words, x.item_words) for x in decontaminate.contaminated_pairs(table, bench, 3, 0.5).collect())
+    expected = []
+    for d, t in docs:
+        for i, b in items:
+            covered, n = plain_coverage(t, b, 3)
+            if d is not None and t is not None and n >= 3 and covered >= 0.5 * n:
+                expected.append((d, i, covered, n))
+    assert got == sorted(expected)
+    small = sorted((x.doc_id, x.item_id, x.covered_words, x.item_words) for x in decontaminate.contaminated_pairs(table, bench, 3, 0.5, block_bytes=40).collect())
+    assert small == got
+    kept = decontaminate.drop_contaminated(table, bench, least=3, threshold=0.5)
+    assert kept.columns == table.columns
+    assert {x.doc_id for x in kept.collect()} - {None} == {d for d, _ in docs if d is not None} - {d for d, *_ in expected}
+    assert decontaminate.contaminated_pairs(table.limit(0), bench).count() == 0
+    assert decontaminate.contaminated_pairs(table, bench.limit(0)).count() == 0
+
+
+def test_rearranged_passage_is_found(spark):
+    halves = "one two three four five six seven", "alpha beta gamma delta epsilon zeta eta"
+    bench = spark.createDataFrame([(1, " ".join(halves))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x y {halves[1]}. And then: {halves[0]}!"), (2, "alpha beta gamma delta x")], "doc_id long, text string")
+    assert [(x.doc_id, x.coverage, x.n_tiles) for x in decontaminate.contaminated_pairs(docs, bench).collect()] == [(1, 1.0, 2)]
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def plain_secrets(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+PIECES = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", ":", "=", '"', "'", " ", "  ", "\n", "abc", "abcdef12", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "é", "😀", ".", "deadbeefcafe", "aKIA"]
+
+
+def test_secrets_against_brute_force(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice(PIECES) for _ in range(r.randrange(14))) for _ in range(800)] + [None, "", "x" * 5000 + " token: 'abcdef'"]
+    rows = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, base string")
+    for x in secrets.scan(rows).collect():
+        base = plain_secrets(texts[x.doc_id] or "")
+        assert x.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), texts[x.doc_id]
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(s.startswith(k) for s in base.split(",")) for k in ("assign", "access", "hex"))
+        assert [s for s in x.spans.split(",") if s and not s.startswith("markov")] == [s for s in base.split(",") if s]
+    assert secrets.scan(rows.limit(0)).count() == 0
+
+
+def test_markov_models_tell_keys_from_names(spark):
+    keys = ["x9Kd83hfKq0Lz7VbN2mPw4", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "sk-live-4eC39HqLyjWDarjtT1zdp7dc", "Zm9vYmFyOTkyMzEyMzQ4NzY1"]
+    names = ["get_user_name_2020_file", "src/main/java/org_2019_table", "internationalization123", "MAX-CONNECTION-POOL-SIZE-10"]
+    rows = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + names)], "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.scan(rows).collect()}
+    assert [bool(got[i]) for i in range(8)] == [True] * 4 + [False] * 4
+    held = secrets.labelled_samples(spark, 400)
+    assert held.count() == 800
+
+
+def plain_personal(text):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) < 256 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[ -]", "", m[0])
+        doubled = [int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))]
+        if 14 <= len(d) <= 19 and sum(doubled) % 10 == 0:
+            found.append((m.start(), 2, m.end()))
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_personal_data_against_brute_force(spark):
+    r = random.Random(10)
+    texts = ["".join(r.choice(["a@b", ".c", "1", "255", "256", ".", "+1", " ", "-", "(555)", "4556737586899855", "é", "@", "x", "00", "\n", "tel: "]) for _ in range(r.randrange(25))) for _ in range(1500)]
+    texts += [None, "", "1" * 3000, "a" * 3000 + "@", "mail x@y.org or +1 (555) 010-9999, 10.0.0.1, 4556 7375 8689 9855", "٣٣٣.1.1.1 ٣@b.c"]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
+    for x in pii.detect(rows).collect():
+        base = plain_personal(texts[x.doc_id] or "")
+        assert x.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), texts[x.doc_id]
+        assert (x.n_email, x.n_ip, x.n_card, x.n_phone) == tuple(sum(s.startswith(k) for s in base.split(",")) for k in pii.KINDS)
+        assert set(base.split(",")) - {""} <= set(x.spans.split(","))
+    assert pii.detect(rows.limit(0)).count() == 0
+
+
+def test_votes_and_reliabilities():
+    patterns = np.array([[1, 1, -1], [1, -1, 1], [0, 0, -1], [0, 1, 0], [1, 1, 1]])
+    post, table = pii.expectation_maximisation(patterns, np.array([50.0, 40, 60, 10, 30]))
+    assert post[0] > 0.9 and post[4] > 0.9 and post[2] < 0.1 and post[3] < 0.5
+    assert table[1, 0, 1] > 0.8 and table[0, 0, 0] > 0.8
+
+
+def test_added_spans_and_redaction(spark):
+    rows = spark.createDataFrame([(1, "call tel: (555) 123-4567 now", "en", 28), (2, "clean words only", "en", 16), (3, None, "en", None), (4, "joe@x.org", None, 9)], "doc_id long, text string, lang string, n_chars long")
+    assert "phone_local:10:24" in {x.doc_id: x.spans for x in pii.detect(rows).collect()}[1]
+    out = {x.doc_id: x for x in pii.redact(rows).collect()}
+    assert out[1].text == "call tel: [PHONE_LOCAL] now" and out[1].n_chars == len(out[1].text)
+    assert out[2].text == "clean words only" and out[3].text is None and out[3].n_chars is None and out[4].text == "[EMAIL]"
+    assert pii.redact(rows).columns == rows.columns
+
+
+@pytest.mark.parametrize(("number", "valid"), [("4556737586899855", True), ("4556737586899854", False)])
+def test_luhn(number, valid):
+    assert pii.luhn(number) is valid
