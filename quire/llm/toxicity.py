@@ -1,11 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models over the characters of words.
 
-Two models, toxic and ordinary, are counted from labelled texts. Both interpolate their own
-character n-grams, absolutely discounted, down to a pooled Kneser-Ney model of the lowest
-orders, whose continuation counts both classes share: an expression that is rare in a class,
-such as an unseen inflection of a slur, is judged by its beginning and its pieces. A document's
-feature is its log-likelihood ratio divided by its number of words; a logistic curve, fitted on
-labelled texts that were kept out of the counts, turns features into a score from 0 to 1.
+Two models, toxic and ordinary, are counted from labelled texts. What absolute discounting takes
+from the n-grams of a class goes to a Kneser-Ney model of both classes' pooled counts, which
+they share as their backoff: an expression that is rare in a class, such as an unseen inflection
+of a slur, is judged by its beginning and its pieces, and one that neither has seen by nothing. A document's
+features are its log-likelihood ratio divided by its number of words, of all and of its telling
+ones; a logistic curve, fitted on labelled texts that were kept out of the counts, turns them into
+a score from 0 to 1.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quire.llm.shared import crc_mod
 
-#: Longest n-gram, and the longest whose counts the classes share.
-ORDER, SHARED = 6, 2
-DISCOUNT = 0.75
+#: Longest n-gram, and the shortest that is counted by class.
+ORDER, LOWEST = 6, 2
+#: Discounts of counts of one, two, and more.
+DISCOUNTS = (0.9, 1.2, 1.4)
 #: Bound of the labelled texts of each class, the parameter max_per_class.
 PER_CLASS = 2500
 #: Words whose ratios a worker keeps.
@@ -42,19 +44,15 @@ def bare(word: str) -> str:
     return word.strip(PUNCTUATION)
 
 
-def _grams(counts: dict[str, int], order: int) -> dict[str, dict[str, int]]:
-    """Counts of the next character by context, of n-grams with the full length only."""
-    out: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-    for word, n in counts.items():
-        s = START + word + END
-        for i in range(order - 1, len(s)):
-            out[s[i - order + 1 : i]][s[i]] += n
-    return out
+def _discount(count: int) -> float:
+    """Absolute discounts that grow with the count, as in modified Kneser-Ney smoothing."""
+    return DISCOUNTS[min(count, len(DISCOUNTS)) - 1]
 
 
 @dataclass
 class KneserNeyPair:
-    """ratios: toxic against ordinary log probability of seen n-grams; backoffs: of context weights."""
+    """ratios: toxic against ordinary log probability of seen n-grams; backoffs: that of any other
+    character after a seen context, where the pooled model cancels out."""
 
     ratios: dict[str, float]
     backoffs: dict[str, float]
@@ -65,79 +63,81 @@ class KneserNeyPair:
         if len(s) == 2:
             return 0.0
         ratios, backoffs = self.ratios, self.backoffs
-        for i in range(SHARED, len(s)):
-            for at in range(max(0, i - ORDER + 1), i - SHARED + 1):
-                if (r := ratios.get(s[at : i + 1])) is not None:
+        for i in range(LOWEST - 1, len(s)):
+            for at in range(max(0, i - ORDER + 1), i - LOWEST + 2):
+                if (r := ratios.get(s[at : i + 1])) is not None or (r := backoffs.get(s[at:i])) is not None:
                     total += r
                     break
-                total += backoffs.get(s[at:i], 0.0)
         return total
 
 
 def fit_pair(toxic: dict[str, int], ordinary: dict[str, int]) -> KneserNeyPair:
-    """Models from word counts of the two classes."""
+    """Models from the number of documents of either class that hold each word."""
     pooled: Counter = Counter(ordinary)
     pooled.update(toxic)
-    # the shared orders: Kneser-Ney continuation counts, the number of distinct left neighbours
-    left: dict[str, set[str]] = defaultdict(set)
+    own = [[Counter() for _ in range(ORDER + 1)] for _ in range(2)]
+    left: list[dict[str, set[str]]] = [defaultdict(set) for _ in range(ORDER + 1)]
     for word in pooled:
         s = START + word + END
-        for order in range(1, SHARED + 1):
-            for i in range(order, len(s)):
-                left[s[i - order + 1 : i + 1]].add(s[i - order])
-    tables = [Counter({g: len(v) for g, v in left.items() if len(g) == order}) for order in range(1, SHARED + 1)]
-    total = sum(tables[0].values()) or 1
-    kinds = len(tables[0]) + 1
-    lower = {g: (max(c - DISCOUNT, 0) + DISCOUNT * len(tables[0]) / kinds) / total for g, c in tables[0].items()}
-    floor = DISCOUNT * len(tables[0]) / kinds / total or 1e-6
-    for order in range(2, SHARED + 1):
-        sums, types = Counter(), Counter()
-        for g, c in tables[order - 1].items():
+        c = (toxic.get(word, 0), ordinary.get(word, 0))
+        for order in range(1, ORDER + 1):
+            for i in range(order, len(s) + 1):
+                gram = s[i - order : i]
+                if order >= LOWEST:
+                    own[0][order][gram] += c[0]
+                    own[1][order][gram] += c[1]
+                if order < ORDER and i > order:
+                    left[order][gram].add(s[i - order - 1])
+    # the pooled model: full counts of the longest n-grams and of those at a word's start, numbers
+    # of distinct left neighbours otherwise
+    shared: dict[str, float] = {"": 1.0}
+    kinds = len(left[1]) + 1
+    for order in range(1, ORDER + 1):
+        counts = {g: own[0][order][g] + own[1][order][g] for g in own[0][order] if order == ORDER or g[0] == START} if order >= LOWEST else {}
+        if order < ORDER:
+            for g, v in left[order].items():
+                counts.setdefault(g, len(v))
+        sums, held = Counter(), Counter()
+        for g, c in counts.items():
             sums[g[:-1]] += c
-            types[g[:-1]] += 1
-        lower = lower | {g: max(c - DISCOUNT, 0) / sums[g[:-1]] + DISCOUNT * types[g[:-1]] / sums[g[:-1]] * lower.get(g[1:], floor) for g, c in tables[order - 1].items()}
+            held[g[:-1]] += min(c, _discount(c))
+        for g, c in counts.items():
+            ctx = g[:-1]
+            lower = shared.get(g[1:], 1 / kinds) if order > 1 else 1 / kinds
+            shared[g] = (max(0.0, c - _discount(c)) + held[ctx] * lower) / sums[ctx]
     ratios: dict[str, float] = {}
     backoffs: dict[str, float] = {}
-    probs: list[dict[str, float]] = [{}, {}]
-    weights: list[dict[str, float]] = [{}, {}]
-
-    def prob(own: int, gram: str) -> float:
-        """Interpolated probability of the last character, whichever orders have seen it."""
-        weight = 1.0
-        while len(gram) > SHARED:
-            if (p := probs[own].get(gram)) is not None:
-                return weight * p
-            weight *= weights[own].get(gram[:-1], 1.0)
-            gram = gram[1:]
-        while gram:
-            if (p := lower.get(gram)) is not None:
-                return weight * p
-            gram = gram[1:]
-        return weight * floor
-
-    for order in range(SHARED + 1, ORDER + 1):
-        grams = [_grams(toxic, order), _grams(ordinary, order)]
-        for own in (0, 1):
-            fresh = {}
-            for ctx, nexts in grams[own].items():
-                n = sum(nexts.values())
-                w = DISCOUNT * len(nexts) / n
-                for ch, c in nexts.items():
-                    fresh[ctx + ch] = (c - DISCOUNT) / n + w * prob(own, (ctx + ch)[1:])
-                weights[own][ctx] = w
-            probs[own] |= fresh
-        for gram in {c + ch for g in grams for c, x in g.items() for ch in x}:
-            ratios[gram] = math.log(prob(0, gram) / prob(1, gram))
-        for ctx in {*grams[0], *grams[1]}:
-            backoffs[ctx] = math.log(weights[0].get(ctx, 1.0) / weights[1].get(ctx, 1.0))
+    for order in range(LOWEST, ORDER + 1):
+        sums, held = [Counter(), Counter()], [Counter(), Counter()]
+        for k in (0, 1):
+            for g, c in own[k][order].items():
+                if c:
+                    sums[k][g[:-1]] += c
+                    held[k][g[:-1]] += min(c, _discount(c))
+
+        def weight(k: int, ctx: str) -> float:
+            return held[k][ctx] / sums[k][ctx] if sums[k][ctx] else 1.0
+
+        for g in own[0][order]:
+            ctx, p = g[:-1], []
+            for k in (0, 1):
+                c = own[k][order][g]
+                p.append((max(0.0, c - _discount(c)) / sums[k][ctx] if c else 0.0) + weight(k, ctx) * shared[g])
+            ratios[g] = math.log(p[0] / p[1])
+            if ctx not in backoffs:
+                backoffs[ctx] = math.log(weight(0, ctx) / weight(1, ctx))
     return KneserNeyPair(ratios, backoffs)
 
 
-def features(ratios: list[float]) -> tuple[float, float, float]:
-    """Of a document, all divided by its number of words: the ratio of its words, and on a log
-    scale that of its rather and very telling words alone."""
+#: Ratios from which a word counts as telling, and what is added before the logarithm.
+TELLING = ((1.5, 0.02), (2.5, 0.01), (3.5, 0.01), (6.0, 0.01))
+
+
+def features(ratios: list[float]) -> tuple[float, ...]:
+    """Of a document: its log-likelihood ratio a word, on a log scale that of its telling words
+    alone, and the logarithm of its length, by which the others are more or less certain."""
     n = len(ratios) or 1
-    return (sum(ratios) / n, math.log(sum(r for r in ratios if r > 3) / n + 1e-3), math.log(sum(r for r in ratios if r > 7) / n + 1e-3))
+    return (sum(ratios) / n, *(math.log(sum(r for r in ratios if r > least) / n + floor) for least, floor in TELLING), math.log(n))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) ->
     counts: list[Counter] = [Counter(), Counter()]
     for r in rows:
         if not r.kept:
-            counts[r.toxic].update(b for b in map(bare, words_of(r.text)) if b)
+            counts[r.toxic].update({b for b in map(bare, words_of(r.text)) if b})
     pair = fit_pair(counts[1], counts[0])
     cache: dict[str, float] = {}
     x, y = [], []
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) ->
     if len(set(y)) < 2:
         n1 = sum(r.toxic for r in rows)
         prior = (n1 + 0.5) / (len(rows) + 1)
-        return ToxicityModel(pair, [math.log(prior / (1 - prior)), 1.0, 0.0, 0.0] if n1 and n1 < len(rows) else [math.log(prior / (1 - prior)), 0.0, 0.0, 0.0])
+        return ToxicityModel(pair, [math.log(prior / (1 - prior)), float(0 < n1 < len(rows)), *[0.0] * (len(TELLING) + 1)])
     return ToxicityModel(pair, fit_curve(np.array(x), np.array(y)).tolist())
 
 
