@@ -171,3 +171,20 @@ def derive_layout(shapes: Column, width: Column, height: Column, split_y: Column
 def layout_yaml(fields: dict[str, Column]) -> Column:
     """YAML text of a layout; null fields are left out and strings are quoted."""
     return F.concat_ws("\n", *(F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), c.cast("string"))) for k, c in fields.items()))
+
+
+def comment_area(width: Column, left: Column, right: Column, centre: Column, columns: Column, top: Column, outline: Column, outline_margin: Column, above: float = 30.0, below: float = 30.0) -> Column:
+    """struct(half_columns, half_width, height): the room for top-margin comments, which may be negative in height."""
+    half = columns * 2
+    return F.struct(half.alias("half_columns"), ((width - left - right - centre) / half).alias("half_width"), (top - above - outline / 2 - outline_margin - below).alias("height"))
+
+
+def tool_counts(shapes: Column) -> Column:
+    """map of the number of drawn shapes by tool."""
+    tools = F.transform(shapes, lambda s: s["tool"])
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(tools)), lambda t: F.struct(t, F.size(F.filter(tools, lambda x: x == t)))))
+
+
+def training_steps(rows: Column, batch: Column, epochs: Column) -> Column:
+    """Steps of a run over so many rows, not rounded."""
+    return rows / batch * epochs
