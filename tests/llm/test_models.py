@@ -261,3 +261,11 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert set(seen["source_mixing"]) <= set(seen["pii"])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "pii", "source_mixing"]
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["source_mixing"])
+
+
+def test_curve_of_separable_classes_stays_finite():
+    x = np.array([[-3.0, 1e-3], [-2.5, 1e-3], [-3.2, 2e-3], [4.0, 1.0], [5.0, 2.0]])
+    w = toxicity.fit_curve(x, np.array([0, 0, 0, 1, 1]))
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert np.isfinite(w).all() and (p[:3] < 0.3).all() and (p[3:] > 0.7).all()
+    assert np.isfinite(toxicity.fit_curve(np.ones((4, 2)), np.array([0, 1, 0, 0]))).all()
