@@ -34,10 +34,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, temperature:
     else:
         given = docs.sparkSession.createDataFrame(sorted(weights.items()), "mix_source string, w double")
         weighted = sizes.join(given, "mix_source", "left").fillna(0.0, ["w"])
-    sums = weighted.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    rated = weighted.crossJoin(F.broadcast(sums)).select(  # sums is one row
-        "mix_source", (F.col("w") / F.col("all_w") * (F.lit(float(total)) if total else F.col("all_n").cast("double")) / F.col("n")).alias("rate")
-    )
+    sums = weighted.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    wanted = float(total) if total else float(sums.n or 0)
+    rated = weighted.select("mix_source", (F.col("w") / F.lit(float(sums.w or 1.0)) * F.lit(wanted) / F.col("n")).alias("rate"))
     parted = rated.fillna(0.0, ["rate"]).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")).withColumn("part_rate", F.col("rate") / F.col("parts"))
     steps = F.sequence(F.lit(1), F.ceil(F.col("part_rate") + 12 * F.sqrt("part_rate") + 30).cast("int"))
     start = F.struct(F.exp(-F.col("part_rate")).alias("p"), F.array(F.exp(-F.col("part_rate"))).alias("cdf"))
