@@ -6,9 +6,12 @@ times, which no set of Golay keys reaches without pairing a fixed share of all d
 removal here therefore keys each distinct text by its Golay keys and also by bands of its least
 shingle hashes, and verifies every candidate pair by Jaccard similarity over the 1024 least
 shingle hashes of either text: exactly, where no text has more distinct shingles, and with a
-standard error of 0.0125 at 0.8 beyond. A key's group isn't paired up: each member is held against the group's two
-centres (the smallest id, and the smallest under a hash that depends on the key), so work is
-linear in the rows of a group, and sixteen bands give each text as many different groups.
+standard error of 0.0125 at 0.8 beyond. Each member of a key's group is first held against the
+group's two centres (the smallest id, and the smallest under a hash that depends on the key), then
+against the member with the most links so far, and at last against every member of the group that
+is still in another component. So no two texts that share a key stay apart unexamined; work is
+linear in the rows of a group that is one component, and grows with the pairs of components in
+any other.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from quire.llm.simhash import SEED, golay_keys, golay_lists
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, LEAST = 16, 4, 1024
+#: Members of a block, when a key group is compared pair by pair.
+BLOCK = 48
 
 
 def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
@@ -33,13 +38,13 @@ def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
     return np.fromiter((digest(join(s), SEED) for s in zip(*(tokens[i:] for i in range(words)), strict=False)), np.uint64)
 
 
-def signature(text: bytes | None, words: int, lists) -> tuple[bytes, bytes, list[int]]:
-    """Digest of the words, sketch, and keys of a text."""
+def signature(text: bytes | None, words: int, lists) -> tuple[bytes, bytes, int, list[int]]:
+    """Digest of the words, sketch, number of distinct shingles, and keys of a text."""
     tokens = (text or b"").lower().split()
     digest = xxhash.xxh3_128_digest(b" ".join(tokens))
     h = shingle_hashes(tokens, words)
     if not len(h):
-        return digest, b"", []
+        return digest, b"", 0, []
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at : at + 65536]
@@ -55,7 +60,7 @@ def signature(text: bytes | None, words: int, lists) -> tuple[bytes, bytes, list
     take = np.searchsorted(own[lead], np.arange(BANDS * ROWS)) % len(lead)
     least = u[lead[take]].reshape(BANDS, ROWS)
     bands = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)]
-    return digest, sketch.tobytes(), golay + [b - (1 << 64) if b >> 63 else b for b in bands]
+    return digest, sketch.tobytes(), len(u), golay + [b - (1 << 64) if b >> 63 else b for b in bands]
 
 
 def similar(a: bytes, b: bytes) -> float:
@@ -82,39 +87,86 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, similarity: float
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
 
     def rows(columns: list[list]) -> list[list]:
-        return [columns[0], *map(list, zip(*(signature(t, words, lists) for t in columns[1]), strict=True))] if columns[0] else [[], [], [], []]
+        return [columns[0], *map(list, zip(*(signature(t, words, lists) for t in columns[1]), strict=True))] if columns[0] else [[] for _ in range(5)]
 
     path = scratch_path(docs.sparkSession, "signatures")
     try:
-        signed = written(map_batches(source, rows, "doc_id long, digest binary, sketch binary, keys array<long>", binary=("text",)), "signatures", path)
+        signed = written(map_batches(source, rows, "doc_id long, digest binary, sketch binary, size long, keys array<long>", binary=("text",)), "signatures", path)
         return cut(_groups(signed, similarity))
     finally:
         discard(docs.sparkSession, path)
 
 
-def _groups(signed: DataFrame, similarity: float) -> DataFrame:
-    texts = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    own = signed.select(F.col("doc_id").alias("rep"), "keys").join(texts.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    keyed = own.select("rep", F.explode("keys").alias("key"))
-    mixed = F.xxhash64("rep", "key")
-    centres = keyed.groupBy("key").agg(F.min("rep").alias("c1"), F.min_by("rep", mixed).alias("c2"), F.count("*").alias("n")).filter("n > 1")
-    pairs = (
-        keyed.join(centres, "key")
-        .select("rep", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c"))
-        .filter("rep != c")
-        .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"))
-        .distinct()
-    )
-    pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sketches = cut(signed.select(F.col("doc_id").alias("rep"), "sketch").join(ends, "rep", "left_semi").dropDuplicates(["rep"]))
+def _linked(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar."""
     sided = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
     def verify(columns: list[list]) -> list[list]:
         kept = [(a, b) for a, b, sa, sb in zip(*columns, strict=True) if similar(sa, sb) >= similarity]
         return [[a for a, _ in kept], [b for _, b in kept]]
 
-    roots = connected_components(map_batches(sided, verify, "a long, b long"))
+    return cut(map_batches(sided, verify, "a long, b long"))
+
+
+def _ordered(met: DataFrame, similarity: float) -> DataFrame:
+    """(rep, size, c, c_size) to distinct (a, b), without those whose sizes alone rule them out."""
+    fits = F.least("size", "c_size") >= F.greatest("size", "c_size") * F.lit(similarity - 1e-9)
+    return met.filter((F.col("rep") != F.col("c")) & fits).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+
+
+def _apart(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """Members, with their component so far, of the key groups that hold more than one component."""
+    roots = connected_components(links).withColumnRenamed("node", "rep")
+    placed = crowd.join(roots, "rep", "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("comp"))
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    split = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > most")
+    return cut(placed.join(split, "key"))
+
+
+def _hub_pairs(apart: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Each member with the member of its group that has the most links so far, if that is of another component."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    hubs = apart.join(degrees, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "size", "comp"), F.struct("degree", "rep")).alias("hub"))
+    met = apart.join(hubs, "key").filter("comp != hub.comp")
+    return _ordered(met.select("rep", "size", F.col("hub.rep").alias("c"), F.col("hub.size").alias("c_size")), similarity)
+
+
+def _other_pairs(apart: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of a group's members that are of different components.
+
+    Those outside the group's main component are dealt into blocks, which all members meet in parts,
+    so a large group is spread over many tasks.
+    """
+    blocks, parts = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("long"), F.ceil(F.col("n") / (10 * BLOCK)).cast("long")
+    dealt = lambda many, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), many)
+    each = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
+    outer = apart.filter("comp != main").select("key", dealt(blocks, "block").alias("block"), each(parts).alias("part"), F.col("rep").alias("c"), F.col("size").alias("c_size"), F.col("comp").alias("c_comp"))
+    every = apart.select("key", each(blocks).alias("block"), dealt(parts, "part").alias("part"), "rep", "size", "comp")
+    return _ordered(every.join(outer, ["key", "block", "part"]).filter("comp != c_comp"), similarity)
+
+
+def _groups(signed: DataFrame, similarity: float) -> DataFrame:
+    texts = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    own = signed.select(F.col("doc_id").alias("rep"), "size", "keys").join(texts.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    keyed = own.select("rep", "size", F.explode(F.array_distinct("keys")).alias("key"))
+    one = lambda by: F.min_by(F.struct("rep", "size"), by)
+    centres = keyed.groupBy("key").agg(one(F.col("rep")).alias("c1"), one(F.xxhash64("rep", "key")).alias("c2"), F.count("*").alias("many")).filter("many > 1")
+    shared = cut(keyed.join(centres, "key"))
+    met = shared.select("rep", "size", F.explode(F.array("c1", "c2")).alias("c")).select("rep", "size", F.col("c.rep").alias("c"), F.col("c.size").alias("c_size"))
+    pairs = cut(_ordered(met, similarity))
+    ends = shared.select("rep").distinct()
+    sketches = cut(signed.select(F.col("doc_id").alias("rep"), "sketch").join(ends, "rep", "left_semi").dropDuplicates(["rep"]))
+    links = _linked(pairs, sketches, similarity)
+    # up to three members, the centres meet all others; larger groups go on until all components have met
+    crowd = shared.filter("many > 3").select("key", "rep", "size")
+    for find in (lambda apart: _hub_pairs(apart, links, similarity), lambda apart: _other_pairs(apart, similarity)):
+        apart = _apart(crowd, links)
+        if apart.isEmpty():
+            break
+        more = cut(find(apart).join(pairs, ["a", "b"], "left_anti"))
+        pairs = pairs.unionByName(more)
+        links = links.unionByName(_linked(more, sketches, similarity))
+    roots = connected_components(links)
     groups = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("group_id"))
     return signed.select("doc_id", "digest").join(groups, "digest").select("doc_id", "group_id")
 

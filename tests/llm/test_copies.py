@@ -133,3 +133,24 @@ def test_dedup_edges(spark):
     docs = spark.createDataFrame([(0, None), (1, ""), (2, "a"), (2, "a"), (3, "a"), (None, "a")], "doc_id long, text string")
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in neardup.keep_one_of_each(docs).collect()) == [(False, 0), (False, 2), (False, 2), (True, 0)]
     assert neardup.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("variants", [4, 120])
+def test_star_whose_hub_is_not_the_smallest_id(spark, variants):
+    """Variants of 0.81 to 0.83 to one original, and of less than 0.8 to each other, go with it."""
+    r = random.Random(variants)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(204)]
+    texts = []
+    for _ in range(variants):
+        own = list(base)
+        for at in (5 + r.randrange(45), 60 + r.randrange(40), 110 + r.randrange(40), 160 + r.randrange(30)):
+            own[at] = word()
+        texts.append(" ".join(own))
+    texts.insert(variants * 2 // 3, " ".join(base))
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    assert {x for p in pairs for x in p} == set(range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.group_id for x in neardup.near_duplicate_groups(docs).collect()} == dict(enumerate(roots(len(texts), pairs)))
