@@ -5,8 +5,9 @@ Jaccard similarity of 0.8 differ in nine of 64 bits in the middle and in more th
 times, which no set of Golay keys reaches without pairing a fixed share of all documents. The
 removal here therefore keys each distinct text by its Golay keys and also by bands of its least
 shingle hashes, and verifies every candidate pair by Jaccard similarity over the 1024 least
-shingle hashes of either text: exactly, where no text has more distinct shingles, and with a
-standard error of 0.0125 at 0.8 beyond. Each member of a key's group is first held against the
+shingle hashes of either text. Where a text has more, that is an estimate with a standard error of
+0.0125 at 0.8, and pairs within five of these of the bound are settled over all shingle hashes of
+the two texts. Each member of a key's group is first held against the
 group's two centres (the smallest id, and the smallest under a hash that depends on the key), then
 against the member with the most links so far, and at last against every member of the group that
 is still in another component. So no two texts that share a key stay apart unexamined; work is
@@ -27,6 +28,8 @@ from quire.llm.simhash import SEED, golay_keys, golay_lists
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, LEAST = 16, 4, 1024
+#: Five standard errors of a truncated sketch: estimates as near to the bound are settled exactly.
+DOUBT = 0.0625
 #: Members of a block, when a key group is compared pair by pair.
 BLOCK = 48
 
@@ -92,20 +95,58 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, similarity: float
     path = scratch_path(docs.sparkSession, "signatures")
     try:
         signed = written(map_batches(source, rows, "doc_id long, digest binary, sketch binary, size long, keys array<long>", binary=("text",)), "signatures", path)
-        return cut(_groups(signed, similarity))
+        return cut(_groups(source, signed, words, similarity))
     finally:
         discard(docs.sparkSession, path)
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar."""
-    sided = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+def _slices(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(rep, slice, hashes): all distinct shingle hashes of the wanted (digest, rep), cut by their first bits."""
+
+    def rows(columns: list[list]) -> list[list]:
+        out: list[list] = [[], []]
+        for text in columns[0]:
+            tokens = (text or b"").lower().split()
+            u = np.unique(shingle_hashes(tokens, words))
+            cuts = np.searchsorted(u >> np.uint64(59), np.arange(33))
+            out[0].append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+            out[1].append([u[i:j].astype("<u8").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)])
+        return out
+
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text")
+    hashed = map_batches(texts, rows, "digest binary, parts array<binary>", binary=("text",)).join(wanted, "digest")
+    return hashed.select("rep", F.posexplode("parts").alias("slice", "hashes")).filter("length(hashes) > 0").dropDuplicates(["rep", "slice"])
+
+
+def _exactly(pairs: DataFrame, slices: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b, size_a, size_b) that are similar by all their shingle hashes."""
+    sided = pairs.select("a", "b").join(slices.toDF("a", "slice", "ha"), "a").join(slices.toDF("b", "slice", "hb"), ["b", "slice"]).select("a", "b", "ha", "hb")
+
+    def both(columns: list[list]) -> list[list]:
+        n = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(*columns[2:], strict=True)]
+        return [*columns[:2], n]
+
+    shared = map_batches(sided, both, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return pairs.join(shared, ["a", "b"]).filter(F.col("n") >= F.lit(similarity) * (F.col("size_a") + F.col("size_b") - F.col("n")) - 1e-6).select("a", "b")
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, similarity: float, slices) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar; where truncated sketches leave it in doubt, by all hashes."""
+    known = ("rep", "sketch", "size")
+    sided = pairs.join(sketches.select(*known).toDF("a", "sa", "na"), "a").join(sketches.select(*known).toDF("b", "sb", "nb"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def verify(columns: list[list]) -> list[list]:
-        kept = [(a, b) for a, b, sa, sb in zip(*columns, strict=True) if similar(sa, sb) >= similarity]
-        return [[a for a, _ in kept], [b for _, b in kept]]
+        kept = []
+        for a, b, na, nb, sa, sb in zip(*columns, strict=True):
+            found = similar(sa, sb)
+            doubt = max(na, nb) > LEAST and abs(found - similarity) <= DOUBT
+            if doubt or found >= similarity:
+                kept.append((a, b, na, nb, doubt))
+        return [list(c) for c in zip(*kept, strict=True)] if kept else [[] for _ in range(5)]
 
-    return cut(map_batches(sided, verify, "a long, b long"))
+    judged = cut(map_batches(sided, verify, "a long, b long, size_a long, size_b long, doubt boolean"))
+    sure, doubtful = judged.filter("not doubt").select("a", "b"), judged.filter("doubt").drop("doubt")
+    return sure if doubtful.isEmpty() else cut(sure.unionByName(_exactly(doubtful, slices(doubtful), similarity)))
 
 
 def _ordered(met: DataFrame, similarity: float) -> DataFrame:
@@ -145,7 +186,7 @@ def _other_pairs(apart: DataFrame, similarity: float) -> DataFrame:
     return _ordered(every.join(outer, ["key", "block", "part"]).filter("comp != c_comp"), similarity)
 
 
-def _groups(signed: DataFrame, similarity: float) -> DataFrame:
+def _groups(docs: DataFrame, signed: DataFrame, words: int, similarity: float) -> DataFrame:
     texts = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     own = signed.select(F.col("doc_id").alias("rep"), "size", "keys").join(texts.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     keyed = own.select("rep", "size", F.explode(F.array_distinct("keys")).alias("key"))
@@ -155,8 +196,13 @@ def _groups(signed: DataFrame, similarity: float) -> DataFrame:
     met = shared.select("rep", "size", F.explode(F.array("c1", "c2")).alias("c")).select("rep", "size", F.col("c.rep").alias("c"), F.col("c.size").alias("c_size"))
     pairs = cut(_ordered(met, similarity))
     ends = shared.select("rep").distinct()
-    sketches = cut(signed.select(F.col("doc_id").alias("rep"), "sketch").join(ends, "rep", "left_semi").dropDuplicates(["rep"]))
-    links = _linked(pairs, sketches, similarity)
+    sketches = cut(signed.select(F.col("doc_id").alias("rep"), "digest", "sketch", "size").join(ends, "rep", "left_semi").dropDuplicates(["rep"]))
+
+    def slices(doubtful: DataFrame) -> DataFrame:
+        long = doubtful.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        return cut(_slices(docs, sketches.select("digest", "rep").join(long, "rep"), words))
+
+    links = _linked(pairs, sketches, similarity, slices)
     # up to three members, the centres meet all others; larger groups go on until all components have met
     crowd = shared.filter("many > 3").select("key", "rep", "size")
     for find in (lambda apart: _hub_pairs(apart, links, similarity), lambda apart: _other_pairs(apart, similarity)):
@@ -165,7 +211,7 @@ def _groups(signed: DataFrame, similarity: float) -> DataFrame:
             break
         more = cut(find(apart).join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.unionByName(more)
-        links = links.unionByName(_linked(more, sketches, similarity))
+        links = links.unionByName(_linked(more, sketches, similarity, slices))
     roots = connected_components(links)
     groups = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("group_id"))
     return signed.select("doc_id", "digest").join(groups, "digest").select("doc_id", "group_id")

@@ -154,3 +154,21 @@ def test_star_whose_hub_is_not_the_smallest_id(spark, variants):
     assert {x for p in pairs for x in p} == set(range(len(texts)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {x.doc_id: x.group_id for x in neardup.near_duplicate_groups(docs).collect()} == dict(enumerate(roots(len(texts), pairs)))
+
+
+def test_long_texts_at_the_bound(spark):
+    """Pairs of over 1024 shingles, just above and just below 0.8, are told apart exactly."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts, expected = [], []
+    for i in range(24):
+        base = [word() for _ in range(3004)]
+        near = list(base)
+        end = 332 if i % 2 else 335  # of 3000 shingles 332 or 335 differ: 2668 of 3332, or 2665 of 3335
+        near[:end] = [word() for _ in range(end)]
+        texts += [" ".join(base), " ".join(near)]
+        a, b = shingles(texts[-2]), shingles(texts[-1])
+        expected += [2 * i, 2 * i if len(a & b) / len(a | b) >= 0.8 else 2 * i + 1]
+    assert 0 < sum(i != e for i, e in enumerate(expected)) < 24
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.group_id for x in sorted(neardup.near_duplicate_groups(docs).collect())] == expected
