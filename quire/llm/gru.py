@@ -171,9 +171,10 @@ class Gru:
         return float(loss / count), h, grads
 
 
-def train(model: Gru, documents: list[np.ndarray], lanes: int = 96, window: int = 32, least_updates: int = 150, rate: float = 0.01) -> list[float]:
+def train(model: Gru, documents: list[np.ndarray], lanes: int = 96, window: int = 32, least_updates: int = 150, rate: float = 0.01, last: float = 0.1) -> list[float]:
     """Adam over windows; each lane runs through documents one after another, all of them once or,
-    if they are few, as often as least_updates takes. Returns the losses."""
+    if they are few, as often as least_updates takes. The rate falls to its share last; the words that
+    fill up the lanes are the first ones again. Returns the losses."""
     documents = [d for d in documents if len(d)]
     if not documents:
         return []
@@ -183,12 +184,13 @@ def train(model: Gru, documents: list[np.ndarray], lanes: int = 96, window: int
     before = np.concatenate([[model.start], flat[:-1]])
     before[fresh] = model.start
     lanes = max(1, min(lanes, len(flat) // (4 * window)))
-    length = len(flat) // lanes
+    length = -(-len(flat) // lanes)
+    flat, before, fresh = (np.concatenate([x, x[: lanes * length - len(x)]]) for x in (flat, before, fresh))
     window = min(window, length)
     grid = [x[: lanes * length].reshape(lanes, length).T for x in (flat, before, fresh)]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     losses: list[float] = []
-    once = range(0, length - window + 1, window)
+    once = range(0, length, window)
     plan = [a for _ in range(-(-least_updates // len(once))) for a in once]
     h = np.zeros((lanes, model.hidden), np.float32)
     for i, a in enumerate(plan, 1):
@@ -199,7 +201,7 @@ def train(model: Gru, documents: list[np.ndarray], lanes: int = 96, window: int
         losses.append(loss)
         norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
         scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-        now = rate * (1 - 0.9 * i / len(plan))
+        now = rate * (1 - (1 - last) * i / len(plan))
         for k, g in grads.items():
             m, v = moments[k]
             g = g * scale

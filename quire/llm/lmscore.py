@@ -3,8 +3,9 @@
 All documents outside the held-out fold are counted. The most frequent words are the output
 words of a class-factored GRU; every other word belongs to one of a few open classes (by its
 last letters), whose probability the GRU gives, times the word's add-one share of the class in
-the corpus counts. So the model has a probability for any text and uses every count, while the
-network itself is fitted on a bounded sample of training documents. A second, larger table of
+the corpus counts. The network starts from the counts as its biases and from a sample fitted on the
+driver; then each partition trains a copy over all of its training documents, and the copies are
+averaged by their words, in rounds that each take another share of the documents. A second, larger table of
 frequent words is sent along to keep common words out of the join that looks counts up: a word
 outside it has at most 1/HEAD of all tokens, so no key of that join is hot.
 """
@@ -16,6 +17,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ from quire.llm.shared import crc_mod, map_batches, written
 
 #: Output words and those of a class; open classes; hidden units.
 OUTPUT, MEMBERS, OPEN, HIDDEN = 4096, 64, 32, 32
-#: Words whose counts are broadcast, and documents that the network is fitted on (both are bounds).
+#: Words whose counts are broadcast, and documents that the network is started on (both are bounds).
 HEAD, SAMPLE = 65536, 1000
+#: Rounds of training over all documents, words that a copy learns from at once, and its rate.
+ROUNDS, CHUNK, RATE = 2, 400_000, 0.002
 #: The end token: no word holds white space.
 END = b"\n"
 ROW = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, head_counts double, partial double, words array<binary>, times array<long>"
@@ -130,8 +134,59 @@ def sample_texts(training: DataFrame, most: int) -> list[bytes]:
     return [r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text or b""))][:most]
 
 
+def start_biases(net: gru.Gru, c: np.ndarray, open_sums: np.ndarray) -> None:
+    """Class and word biases from the counts of all training documents."""
+    own = np.log(c[: net.words] + 1.0)
+    at = np.arange(net.words)
+    net.weights["word_bias"][at // net.members, at % net.members] = own
+    totals = np.log(np.concatenate([np.bincount(at // net.members, c[: net.words], net.classes)[: net.classes], open_sums]) + 1)
+    net.weights["class_bias"][:] = totals - totals.max()
+
+
+def train_on_all(net: gru.Gru, training: DataFrame, codes: Codes, numbers: np.ndarray, rounds: int = ROUNDS) -> int:
+    """Train copies of the network over every training document, by partition, and average them. Returns the words read."""
+    names, read = list(net.weights), 0
+    for r in range(rounds):
+        shared = training.sparkSession.sparkContext.broadcast((net, codes, numbers))
+
+        def learn(batches, shared=shared):
+            start, codes, numbers = shared.value
+            own = gru.Gru(start.words, start.members, start.open_classes, start.hidden, {k: v.copy() for k, v in start.weights.items()})
+            held, size, total = [], 0, 0
+            for batch in batches:
+                for text in batch.column(0):
+                    words = tokens(text.as_py())
+                    held.append(numbers[np.fromiter(map(codes.__getitem__, words), np.int64, len(words))])
+                    size += len(words)
+                    if size >= CHUNK:
+                        gru.train(own, held, least_updates=1, rate=RATE, last=1.0)
+                        held, size, total = [], 0, total + size
+            if held:
+                gru.train(own, held, least_updates=1, rate=RATE, last=1.0)
+                total += size
+            if total:
+                values = np.concatenate([(own.weights[k] - start.weights[k]).ravel() for k in names]).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([values.tobytes()], pa.binary())], ["n", "change"])
+
+        def add(x, y):
+            return y if x is None else x if y is None else (x[0] + y[0], x[1] + y[1])
+
+        share = training.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r).select(F.col("text").cast("binary").alias("text"))
+        changes = share.mapInArrow(learn, "n long, change binary").rdd.map(lambda x: (x.n, np.frombuffer(bytes(x.change), "<f4").astype(np.float64) * x.n))
+        found = changes.treeAggregate(None, add, add)
+        if found:
+            at = 0
+            for k in names:
+                w = net.weights[k]
+                w += (found[1][at : at + w.size] / found[0]).reshape(w.shape).astype(np.float32)
+                at += w.size
+            read += found[0]
+        shared.unpersist()
+    return read
+
+
 def fit(training: DataFrame, counts: DataFrame, output: int = OUTPUT, members: int = MEMBERS, hidden: int = HIDDEN, sample: int = SAMPLE, head: int = HEAD) -> LanguageModel:
-    """The model from counts of all training documents and a sample of them, chosen by id hash."""
+    """The model from counts of all training documents, a start on a sample of them, and training on all."""
     top = most_frequent(counts, head)
     words, c = [w for w, _ in top], np.array([n for _, n in top], np.int64)
     if END not in words:  # as rare as can be, but it must have a number
@@ -157,7 +212,9 @@ def fit(training: DataFrame, counts: DataFrame, output: int = OUTPUT, members: i
         sums[open_class(w)] -= own + (own > 0)
     codes = Codes(words)
     model = LanguageModel(codes, np.log10(c + 1.0), c > 0, numbers, np.log10(sums + 1), net)
+    start_biases(net, c, np.maximum(sums, 0))
     gru.train(net, [numbers[np.fromiter(map(codes.__getitem__, t), np.int64, len(t))] for t in map(tokens, sample_texts(training, sample))])
+    train_on_all(net, training, codes, numbers)
     return model
 
 

@@ -155,6 +155,19 @@ def test_open_classes_share_one_probability(spark):
         assert shares[k] + 1 / 10 ** model.open_log[k] == pytest.approx(1)
 
 
+def test_network_learns_from_documents_outside_the_sample(spark):
+    """With a sample of one document, what follows a word is learned from all the others."""
+    docs = spark.createDataFrame([(i, "a b " * 40 if i else "b a a b") for i in range(1200)], "doc_id long, text string").repartition(2).cache()
+    counts = lmscore.count_words(docs)
+    words = int(counts.agg(F.sum("c")).first()[0])
+    model = lmscore.fit(docs, counts, output=3, members=3, hidden=8, sample=1, head=8)
+    assert lmscore.train_on_all(model.net, docs, model.codes, model.numbers) == words
+    start = gru.Gru.fresh(3, 3, lmscore.OPEN, 8)
+    lmscore.start_biases(start, 10 ** model.log_counts - 1, np.zeros(lmscore.OPEN))
+    ids = [model.numbers[[model.codes[w] for w in lmscore.tokens(b"a b " * 20)]]]
+    assert model.net.score(ids)[0] > start.score(ids)[0] + 10
+
+
 def test_mixing_against_plain_inversion(spark):
     sizes = {"a": 300, "b": 60, "c": 5, None: 20, "hot": 700}
     rows = [(i, "t" * (i % 3), s, None) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))] + [(None, None, "b", None), (3, "t", "a", None)]
