@@ -7,31 +7,50 @@ removal here therefore keys each distinct text by its Golay keys and also by ban
 shingle hashes, and verifies every candidate pair by Jaccard similarity over the 1024 least
 shingle hashes of either text. Where a text has more, that is an estimate with a standard error of
 0.0125 at 0.8, and pairs within five of these of the bound are settled over all shingle hashes of
-the two texts. Each member of a key's group is first held against the
-group's two centres (the smallest id, and the smallest under a hash that depends on the key), then
-against the member with the most links so far, and at last against every member of the group that
-is still in another component. So no two texts that share a key stay apart unexamined; work is
-linear in the rows of a group that is one component, and grows with the pairs of components in
-any other.
+the two texts.
+
+Each member of a key's group is first held against the group's two centres (the smallest node, and
+the smallest under a hash that depends on the key), then against the member with the most links so
+far. Members that are still in different components meet pair by pair where the group is small. Those
+of larger groups are keyed anew by their rarest shingles: two sets of similarity 0.8 can't do without
+a common one among the fifth of each that is rarest, so no pair is lost, and texts that share
+only a common passage don't meet.
+
+The unit is a distinct text, whatever ids its rows have.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.components import connected_components
-from quire.llm.shared import cut, discard, map_batches, scratch_path, written
+from quire.llm.components import connected_components, merge
+from quire.llm.shared import cut, discard, map_batches, scratch_path, unused, written
 from quire.llm.simhash import SEED, golay_keys, golay_lists
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, LEAST = 16, 4, 1024
 #: Five standard errors of a truncated sketch: estimates as near to the bound are settled exactly.
 DOUBT = 0.0625
-#: Members of a block, when a key group is compared pair by pair.
-BLOCK = 48
+#: Members of a key group up to which all pairs of its components are compared; of a block beyond it.
+SMALL, BLOCK = 48, 48
+#: Digests that a task remembers, so that the copies it meets are keyed once.
+SEEN = 200_000
+SIGNED = "doc_id long, digest binary, sketch binary, size long, keys array<long>"
+
+
+def digest_of(tokens: list[bytes]) -> bytes:
+    return hashlib.md5(b" ".join(tokens), usedforsecurity=False).digest()
+
+
+def digest_column(text: Column) -> Column:
+    """What digest_of gives for the words of a text, in Spark."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.unhex(F.md5(F.trim(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " ")).cast("binary")))
 
 
 def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
@@ -41,13 +60,11 @@ def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
     return np.fromiter((digest(join(s), SEED) for s in zip(*(tokens[i:] for i in range(words)), strict=False)), np.uint64)
 
 
-def signature(text: bytes | None, words: int, lists) -> tuple[bytes, bytes, int, list[int]]:
-    """Digest of the words, sketch, number of distinct shingles, and keys of a text."""
-    tokens = (text or b"").lower().split()
-    digest = xxhash.xxh3_128_digest(b" ".join(tokens))
+def signature(tokens: list[bytes], words: int, lists) -> tuple[bytes, int, list[int]]:
+    """Sketch, number of distinct shingles, and keys of a text."""
     h = shingle_hashes(tokens, words)
     if not len(h):
-        return digest, b"", 0, []
+        return b"", 0, []
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at : at + 65536]
@@ -63,7 +80,7 @@ def signature(text: bytes | None, words: int, lists) -> tuple[bytes, bytes, int,
     take = np.searchsorted(own[lead], np.arange(BANDS * ROWS)) % len(lead)
     least = u[lead[take]].reshape(BANDS, ROWS)
     bands = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)]
-    return digest, sketch.tobytes(), len(u), golay + [b - (1 << 64) if b >> 63 else b for b in bands]
+    return sketch.tobytes(), len(u), golay + [b - (1 << 64) if b >> 63 else b for b in bands]
 
 
 def similar(a: bytes, b: bytes) -> float:
@@ -79,29 +96,32 @@ def similar(a: bytes, b: bytes) -> float:
     return len(twice) / union if union else 1.0
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, group_id): group_id is the smallest id of the near-duplicate component.
-
-    Texts with the same words (A-Z lower-cased, white space aside) are one; blank and null texts
-    are all the same. Null ids are left out, repeated ids share a group, other columns don't
-    matter and an empty table gives an empty result.
-    """
-    lists = golay_lists()
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+def _signed(docs: DataFrame, words: int, path: str) -> DataFrame:
+    """A row for each row of docs; the sketch and the keys of a text come once in a task, and are null beside its other copies."""
+    lists, seen = golay_lists(), set()
 
     def rows(columns: list[list]) -> list[list]:
-        return [columns[0], *map(list, zip(*(signature(t, words, lists) for t in columns[1]), strict=True))] if columns[0] else [[] for _ in range(5)]
-
-    path = scratch_path(docs.sparkSession, "signatures")
-    try:
-        signed = written(map_batches(source, rows, "doc_id long, digest binary, sketch binary, size long, keys array<long>", binary=("text",)), "signatures", path)
-        return cut(_groups(source, signed, words, similarity))
-    finally:
-        discard(docs.sparkSession, path)
+        out: list[list] = [[], [], [], []]
+        for text in columns[1]:
+            tokens = (text or b"").lower().split()
+            digest = digest_of(tokens)
+            if digest in seen:
+                own = (None, None, None)
+            else:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(digest)
+                own = signature(tokens, words, lists)
+            for column, value in zip(out, (digest, *own), strict=True):
+                column.append(value)
+        return [columns[0], *out]
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(map_batches(source, rows, SIGNED, binary=("text",)), "signatures", path)
 
 
 def _slices(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, slice, hashes): all distinct shingle hashes of the wanted (digest, rep), cut by their first bits."""
+    """(node, slice, hashes): all distinct shingle hashes of the wanted (digest, node, first), cut by their first bits."""
 
     def rows(columns: list[list]) -> list[list]:
         out: list[list] = [[], []]
@@ -109,13 +129,14 @@ def _slices(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             tokens = (text or b"").lower().split()
             u = np.unique(shingle_hashes(tokens, words))
             cuts = np.searchsorted(u >> np.uint64(59), np.arange(33))
-            out[0].append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+            out[0].append(digest_of(tokens))
             out[1].append([u[i:j].astype("<u8").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)])
         return out
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text")
-    hashed = map_batches(texts, rows, "digest binary, parts array<binary>", binary=("text",)).join(wanted, "digest")
-    return hashed.select("rep", F.posexplode("parts").alias("slice", "hashes")).filter("length(hashes) > 0").dropDuplicates(["rep", "slice"])
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = source.join(wanted.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").unionByName(source.filter("doc_id is null")).select("text")
+    hashed = map_batches(texts, rows, "digest binary, parts array<binary>", binary=("text",)).join(wanted.select("digest", "node"), "digest")
+    return hashed.select("node", F.posexplode("parts").alias("slice", "hashes")).filter("length(hashes) > 0").dropDuplicates(["node", "slice"])
 
 
 def _exactly(pairs: DataFrame, slices: DataFrame, similarity: float) -> DataFrame:
@@ -132,7 +153,7 @@ def _exactly(pairs: DataFrame, slices: DataFrame, similarity: float) -> DataFram
 
 def _linked(pairs: DataFrame, sketches: DataFrame, similarity: float, slices) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar; where truncated sketches leave it in doubt, by all hashes."""
-    known = ("rep", "sketch", "size")
+    known = ("node", "sketch", "size")
     sided = pairs.join(sketches.select(*known).toDF("a", "sa", "na"), "a").join(sketches.select(*known).toDF("b", "sb", "nb"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def verify(columns: list[list]) -> list[list]:
@@ -150,15 +171,14 @@ def _linked(pairs: DataFrame, sketches: DataFrame, similarity: float, slices) ->
 
 
 def _ordered(met: DataFrame, similarity: float) -> DataFrame:
-    """(rep, size, c, c_size) to distinct (a, b), without those whose sizes alone rule them out."""
+    """(node, size, c, c_size) to distinct (a, b), without those whose sizes alone rule them out."""
     fits = F.least("size", "c_size") >= F.greatest("size", "c_size") * F.lit(similarity - 1e-9)
-    return met.filter((F.col("rep") != F.col("c")) & fits).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    return met.filter((F.col("node") != F.col("c")) & fits).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
-def _apart(crowd: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(crowd: DataFrame, components: DataFrame) -> DataFrame:
     """Members, with their component so far, of the key groups that hold more than one component."""
-    roots = connected_components(links).withColumnRenamed("node", "rep")
-    placed = crowd.join(roots, "rep", "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("comp"))
+    placed = crowd.join(components, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("comp"))
     counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     split = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > most")
     return cut(placed.join(split, "key"))
@@ -166,10 +186,31 @@ def _apart(crowd: DataFrame, links: DataFrame) -> DataFrame:
 
 def _hub_pairs(apart: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """Each member with the member of its group that has the most links so far, if that is of another component."""
-    degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-    hubs = apart.join(degrees, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "size", "comp"), F.struct("degree", "rep")).alias("hub"))
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = apart.join(degrees, "node").groupBy("key").agg(F.max_by(F.struct("node", "size", "comp"), F.struct("degree", "node")).alias("hub"))
     met = apart.join(hubs, "key").filter("comp != hub.comp")
-    return _ordered(met.select("rep", "size", F.col("hub.rep").alias("c"), F.col("hub.size").alias("c_size")), similarity)
+    return _ordered(met.select("node", "size", F.col("hub.node").alias("c"), F.col("hub.size").alias("c_size")), similarity)
+
+
+def _rarest(members: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, size): members (node, size) keyed by those of their shingles that are rarest among them.
+
+    Of two sets whose similarity is s, each shares at least the share s of its own members with the
+    other. So in any common order their first parts, one longer than what may differ, meet; of truncated
+    sketches the part is longer by what the estimate may err.
+    """
+
+    def rows(columns: list[list]) -> list[list]:
+        return [*columns[:2], [np.frombuffer(x, "<u4").tolist() for x in columns[2]]]
+
+    held = members.select("node", "size").distinct().join(sketches.select("node", "sketch"), "node")
+    each = map_batches(held.select("node", "size", "sketch"), rows, "node long, size long, hashes array<long>").select("node", "size", F.explode("hashes").alias("key"))
+    counts = each.groupBy("key").agg(F.count("*").alias("n"))
+    ordered = each.join(counts, "key").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))  # at most LEAST of them
+    share = F.when(F.col("size") <= int(similarity * LEAST), F.lit(similarity)).otherwise(F.lit(similarity - DOUBT))
+    many = F.size("own")
+    first = F.slice("own", F.lit(1), (many - F.ceil(share * many - 1e-9) + 1).cast("int"))
+    return ordered.select("node", "size", F.explode(first).alias("k")).select("k.key", "node", "size")
 
 
 def _other_pairs(apart: DataFrame, similarity: float) -> DataFrame:
@@ -179,46 +220,103 @@ def _other_pairs(apart: DataFrame, similarity: float) -> DataFrame:
     so a large group is spread over many tasks.
     """
     blocks, parts = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("long"), F.ceil(F.col("n") / (10 * BLOCK)).cast("long")
-    dealt = lambda many, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), many)
+    dealt = lambda many, salt: F.pmod(F.xxhash64("node", F.lit(salt)), many)
     each = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
-    outer = apart.filter("comp != main").select("key", dealt(blocks, "block").alias("block"), each(parts).alias("part"), F.col("rep").alias("c"), F.col("size").alias("c_size"), F.col("comp").alias("c_comp"))
-    every = apart.select("key", each(blocks).alias("block"), dealt(parts, "part").alias("part"), "rep", "size", "comp")
+    outer = apart.filter("comp != main").select("key", dealt(blocks, "block").alias("block"), each(parts).alias("part"), F.col("node").alias("c"), F.col("size").alias("c_size"), F.col("comp").alias("c_comp"))
+    every = apart.select("key", each(blocks).alias("block"), dealt(parts, "part").alias("part"), "node", "size", "comp")
     return _ordered(every.join(outer, ["key", "block", "part"]).filter("comp != c_comp"), similarity)
 
 
-def _groups(docs: DataFrame, signed: DataFrame, words: int, similarity: float) -> DataFrame:
-    texts = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    own = signed.select(F.col("doc_id").alias("rep"), "size", "keys").join(texts.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    keyed = own.select("rep", "size", F.explode(F.array_distinct("keys")).alias("key"))
-    one = lambda by: F.min_by(F.struct("rep", "size"), by)
-    centres = keyed.groupBy("key").agg(one(F.col("rep")).alias("c1"), one(F.xxhash64("rep", "key")).alias("c2"), F.count("*").alias("many")).filter("many > 1")
+def _components(docs: DataFrame, signed: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root) of the texts that have a near duplicate."""
+    keyed = texts.select("node", "size", F.explode(F.array_distinct("keys")).alias("key"))
+    one = lambda by: F.min_by(F.struct("node", "size"), by)
+    centres = keyed.groupBy("key").agg(one(F.col("node")).alias("c1"), one(F.xxhash64("node", "key")).alias("c2"), F.count("*").alias("many")).filter("many > 1")
     shared = cut(keyed.join(centres, "key"))
-    met = shared.select("rep", "size", F.explode(F.array("c1", "c2")).alias("c")).select("rep", "size", F.col("c.rep").alias("c"), F.col("c.size").alias("c_size"))
+    met = shared.select("node", "size", F.explode(F.array("c1", "c2")).alias("c")).select("node", "size", F.col("c.node").alias("c"), F.col("c.size").alias("c_size"))
     pairs = cut(_ordered(met, similarity))
-    ends = shared.select("rep").distinct()
-    sketches = cut(signed.select(F.col("doc_id").alias("rep"), "digest", "sketch", "size").join(ends, "rep", "left_semi").dropDuplicates(["rep"]))
+    ends = texts.select("digest", "node", "size", "first").join(shared.select("node").distinct(), "node", "left_semi")
+    sketches = cut(signed.filter("sketch is not null").select("digest", "sketch").join(ends, "digest").dropDuplicates(["node"]))
 
     def slices(doubtful: DataFrame) -> DataFrame:
-        long = doubtful.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        return cut(_slices(docs, sketches.select("digest", "rep").join(long, "rep"), words))
+        long = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return cut(_slices(docs, sketches.select("digest", "node", "first").join(long, "node", "left_semi"), words))
 
     links = _linked(pairs, sketches, similarity, slices)
+    components = cut(connected_components(links))
+
+    def settle(found: DataFrame) -> None:
+        nonlocal pairs, links, components
+        more = cut(found.join(pairs, ["a", "b"], "left_anti"))
+        new = _linked(more, sketches, similarity, slices)
+        pairs, links, components = pairs.unionByName(more), links.unionByName(new), merge(components, new)
+
     # up to three members, the centres meet all others; larger groups go on until all components have met
-    crowd = shared.filter("many > 3").select("key", "rep", "size")
-    for find in (lambda apart: _hub_pairs(apart, links, similarity), lambda apart: _other_pairs(apart, similarity)):
-        apart = _apart(crowd, links)
-        if apart.isEmpty():
-            break
-        more = cut(find(apart).join(pairs, ["a", "b"], "left_anti"))
-        pairs = pairs.unionByName(more)
-        links = links.unionByName(_linked(more, sketches, similarity, slices))
-    roots = connected_components(links)
-    groups = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("group_id"))
-    return signed.select("doc_id", "digest").join(groups, "digest").select("doc_id", "group_id")
+    apart = _apart(shared.filter("many > 3").select("key", "node", "size"), components)
+    if apart.isEmpty():
+        return components
+    settle(_hub_pairs(apart, links, similarity))
+    apart = _apart(apart.select("key", "node", "size"), components)
+    if apart.isEmpty():
+        return components
+    found = _other_pairs(apart.filter(F.col("n") <= SMALL), similarity)
+    large = apart.filter(F.col("n") > SMALL)
+    if not large.isEmpty():
+        found = found.unionByName(_other_pairs(_apart(_rarest(large, sketches, similarity), components), similarity)).distinct()
+    settle(found)
+    return components
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float, path: str) -> tuple[DataFrame, DataFrame]:
+    """signed rows, and (digest, root, first) of each distinct text, first being its smallest doc_id."""
+    signed = _signed(docs, words, path)
+    gathered = signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), F.first("keys", ignorenulls=True).alias("keys"))
+    texts = cut(gathered.withColumn("node", F.monotonically_increasing_id()))
+    components = _components(docs, signed, texts, words, similarity)
+    placed = texts.select("digest", "first", "node").join(components, "node", "left")
+    return signed, cut(placed.select("digest", F.coalesce("root", "node").alias("root"), "first"))
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, group_id) for every row: group_id is the smallest doc_id of the row's near duplicates.
+
+    Texts with the same words (A-Z lower-cased, white space aside) are one; blank and null texts
+    are all the same. Rows are grouped by their texts alone, so one id may be in several groups. A
+    null id has its text's group and is no group's smallest unless there is no other, which gives a null
+    group_id. Other columns don't matter and an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "signatures")
+    try:
+        signed, texts = _grouped(docs, words, similarity, path)
+        ids = texts.groupBy("root").agg(F.min("first").alias("group_id"))
+        return cut(signed.select("doc_id", "digest").join(texts.join(ids, "root").select("digest", "group_id"), "digest").select("doc_id", "group_id"))
+    finally:
+        discard(spark, path)
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose id is the smallest of their group; rows with a null id stay."""
-    groups = near_duplicate_groups(docs, words, similarity)
-    gone = groups.filter("doc_id != group_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates: the one with the smallest id.
+
+    Of several rows with that id and text any one stays, and a row without an id only where its group
+    has no other. An id that stands on several texts is judged by each of them. Columns pass
+    through whatever their names; very long texts are compared whole.
+    """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "signatures")
+    try:
+        signed, texts = _grouped(docs, words, similarity, path)
+        keepers = texts.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("k")).select("k.digest", "k.first")
+        flagged = signed.select("doc_id", "digest").join(keepers, "digest", "left").select("doc_id", F.coalesce(F.col("first") == F.col("doc_id"), F.lit(False)).alias("kept"))
+        ids = cut(flagged.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("not kept or n > 1 or doc_id is null"))
+    finally:
+        discard(spark, path)
+    clean = docs.filter("doc_id is not null").join(ids.filter("doc_id is not null").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    tangled = ids.filter("doc_id is null or (n > 1 and kept)")
+    if tangled.isEmpty():
+        return clean
+    # rows without an id, and those that share one: told apart by their texts
+    digest, first = unused(docs.columns, "digest"), unused(docs.columns, "first")
+    rows = docs.filter("doc_id is null").unionByName(docs.join(tangled.select("doc_id"), "doc_id", "left_semi").select(docs.columns)).withColumn(digest, digest_column(F.col("text")))
+    mine = rows.join(keepers.select(F.col("digest").alias(digest), F.col("first").alias(first)), digest).filter(F.col(first).eqNullSafe(F.col("doc_id").cast("long")))
+    return clean.unionByName(mine.dropDuplicates([digest]).select(docs.columns))

@@ -75,6 +75,14 @@ def map_batches(df: DataFrame, rows: Callable[[list[list]], list[list]], schema:
     return df.mapInArrow(run, schema)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of a column's text, modulo a number: the fold of a row."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -1,6 +1,7 @@
 """SimHash components, near-duplicate removal and connected components against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -131,7 +132,7 @@ def test_a_large_group_of_copies(spark):
 
 def test_dedup_edges(spark):
     docs = spark.createDataFrame([(0, None), (1, ""), (2, "a"), (2, "a"), (3, "a"), (None, "a")], "doc_id long, text string")
-    assert sorted((x.doc_id is None, x.doc_id or 0) for x in neardup.keep_one_of_each(docs).collect()) == [(False, 0), (False, 2), (False, 2), (True, 0)]
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in neardup.keep_one_of_each(docs).collect()) == [(False, 0), (False, 2)]
     assert neardup.keep_one_of_each(docs.limit(0)).count() == 0
 
 
@@ -172,3 +173,59 @@ def test_long_texts_at_the_bound(spark):
     assert 0 < sum(i != e for i, e in enumerate(expected)) < 24
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [x.group_id for x in sorted(neardup.near_duplicate_groups(docs).collect())] == expected
+
+
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    rows = [(1, "v", "a"), (2, "v", "b"), (2, "u", "c"), (2, "u", "d"), (None, "v", "e"), (None, "w", "f"), (None, "w", "g"), (3, "U", "h"), (4, None, "i"), (5, " ", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("first", F.lit(1))
+    kept = neardup.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in kept.collect()) == [(0, "w"), (1, "v"), (2, "u"), (4, "")]
+    groups = Counter((x.doc_id, x.group_id) for x in neardup.near_duplicate_groups(docs).collect())
+    assert groups == Counter({(1, 1): 1, (2, 1): 1, (2, 2): 2, (None, 1): 1, (None, None): 2, (3, 2): 1, (4, 4): 1, (5, 4): 1})
+
+
+@pytest.mark.parametrize("text", [None, "", " A  b\tC ", "x", "É Z\x1f q", "Ab\x0bcD\n"])
+def test_digest_in_spark(spark, text):
+    row = spark.createDataFrame([(text,)], "text string").select(neardup.digest_column(F.col("text")).alias("d")).first()
+    assert bytes(row.d) == neardup.digest_of((text or "").encode().lower().split())
+
+
+def test_members_of_large_key_groups_meet_by_their_rarest_shingles(spark, monkeypatch):
+    """Texts that share a long passage and also have near copies, in groups too large for all pairs."""
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage, texts = [word() for _ in range(120)], []
+    for _ in range(70):
+        own = [word() for _ in range(r.randrange(30, 90))]
+        for _ in range(r.randrange(1, 4)):
+            near = own + passage
+            for _ in range(r.randrange(0, 4)):
+                near[r.randrange(len(near))] = word()
+            texts.append(" ".join(near))
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met = []
+    rarest = neardup._rarest
+    monkeypatch.setattr(neardup, "_rarest", lambda *a: met.append(1) or rarest(*a))
+    assert {x.doc_id: x.group_id for x in neardup.near_duplicate_groups(docs).collect()} == dict(enumerate(roots(len(texts), pairs)))
+    assert met
+
+
+def test_merged_components(spark):
+    r = random.Random(9)
+    first, more = ([(r.randrange(200), r.randrange(200)) for _ in range(60)] for _ in range(2))
+    pairs = lambda x: spark.createDataFrame(x, "a long, b long")
+    got = components.merge(components.connected_components(pairs(first)), pairs(more))
+    expected = roots(200, first + more)
+    assert {x.node: x.root for x in got.collect()} == {i: expected[i] for e in first + more if e[0] != e[1] for i in e} | {i: expected[i] for e in more for i in e}
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUBS", 6)
+    r = random.Random(3)
+    edges = [(0, i) for i in range(1, 90)] + [(200, i) for i in range(80, 150)] + [(r.randrange(300, 360), r.randrange(300, 360)) for _ in range(30)]
+    expected = roots(360, edges)
+    assert {x.node: x.root for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == {i: expected[i] for e in edges if e[0] != e[1] for i in e}
