@@ -1,7 +1,8 @@
 """A gated recurrent language model in numpy, with class-factored output softmax.
 
 Word numbers below ``words`` are output words, class number // members; numbers from there on
-are open classes, which end with the class. Input weights are one row of gate inputs a number.
+are open classes, which end with the class. States, gates and logits are kept with one column a
+word or document, so that every elementwise step runs over long rows.
 """
 
 from __future__ import annotations
@@ -10,9 +11,30 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Logits whose largest is within this are exponentiated as they are; others are shifted first.
+SAFE = 60.0
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+
+def _gates(x: np.ndarray) -> np.ndarray:
+    """Logistic function, in place."""
+    half = x.dtype.type(0.5)
+    x *= half
+    np.tanh(x, out=x)
+    x *= half
+    x += half
+    return x
+
+
+def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns columns of logits into probabilities times their sums, in place: (sums, log probabilities of own)."""
+    picked = logits[own, np.arange(len(own))]
+    top = logits.max(0)
+    if top.max(initial=0) > SAFE or top.min(initial=0) < -SAFE:
+        logits -= top
+        picked -= top
+    np.exp(logits, out=logits)
+    sums = np.ones(len(logits), logits.dtype) @ logits
+    return sums, picked - np.log(sums)
 
 
 @dataclass
@@ -35,7 +57,7 @@ class Gru:
         classes = -(-words // members)
         init = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
         weights = {
-            "input": init(words + open_classes + 1, 3 * hidden), "state": init(hidden, 3 * hidden),
+            "embed": init(words + open_classes + 1, hidden) * np.float32(5), "input": init(hidden, 3 * hidden), "gate_bias": np.zeros(3 * hidden, np.float32), "state": init(hidden, 3 * hidden),
             "class": init(hidden, classes + open_classes), "class_bias": np.zeros(classes + open_classes, np.float32),
             "word": init(max(classes, 1), hidden, members), "word_bias": np.zeros((max(classes, 1), members), np.float32),
         }
@@ -44,39 +66,67 @@ class Gru:
             weights["word_bias"][classes - 1, members - short :] = -1e9  # places without a word
         return cls(words, members, open_classes, hidden, weights)
 
+    def copy(self) -> Gru:
+        return Gru(self.words, self.members, self.open_classes, self.hidden, {k: v.copy() for k, v in self.weights.items()})
+
     @property
     def start(self) -> int:
         """Number that stands before the first word of a document."""
         return self.words + self.open_classes
 
+    def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Class of each word, the order that sorts them by class, and where each class of output words ends."""
+        own = np.where(ids < self.words, ids // self.members, self.classes + ids - self.words)
+        narrow = own.astype(np.int16 if self.classes + self.open_classes < 1 << 15 else np.int64)
+        order = np.argsort(narrow, kind="stable")
+        return own, order, np.searchsorted(narrow[order], np.arange(self.classes + 1)).tolist()
+
+    def _advance(self, h: np.ndarray, g: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One step from states h with gate inputs g: the next states, and what backpropagation needs."""
+        n = self.hidden
+        u = turned @ h
+        gates = _gates(g[: 2 * n] + u[: 2 * n])
+        new = gates[n:] * u[2 * n :]
+        new += g[2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gates[:n]
+        out += new
+        return out, u[2 * n :], gates, new
+
+    def _inputs(self, ids: np.ndarray) -> np.ndarray:
+        """Gate inputs of words; ids may have leading dimensions."""
+        w = self.weights
+        g = w["input"].T @ w["embed"].take(ids, 0).swapaxes(-1, -2)
+        g += w["gate_bias"][:, None]
+        return g
+
     def step(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        w, n = self.weights, self.hidden
-        g, u = w["input"][ids], h @ w["state"]
-        gates = _sigmoid(g[:, : 2 * n] + u[:, : 2 * n])
-        new = np.tanh(g[:, 2 * n :] + gates[:, n:] * u[:, 2 * n :])
-        return new + gates[:, :n] * (h - new)
+        """States (hidden, document) after each document's next word."""
+        return self._advance(h, self._inputs(ids), self.weights["state"].T)[0]
 
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Natural logarithms for the words that follow states: of word, or of open class."""
+        """Natural logarithms for the words that follow states (hidden, word): of word, or of open class."""
         w = self.weights
-        own = np.where(ids < self.words, ids // self.members, self.classes + ids - self.words)
-        logits = h @ w["class"] + w["class_bias"]
-        top = logits.max(1)
-        out = logits[np.arange(len(ids)), own] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(self.classes + 1))
+        own, order, cuts = self._by_class(ids)
+        logits = w["class"].T @ h
+        logits += w["class_bias"][:, None]
+        out = _softmax(logits, own)[1]
+        sorted_h, k = h.take(order, 1), (ids - own * self.members)[order]
+        inside = np.zeros(len(ids), h.dtype)
         for c in range(self.classes):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                logits = h[rows] @ w["word"][c] + w["word_bias"][c]
-                top = logits.max(1)
-                out[rows] += logits[np.arange(len(rows)), ids[rows] - c * self.members] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+            a, b = cuts[c], cuts[c + 1]
+            if b > a:
+                logits = w["word"][c].T @ sorted_h[:, a:b]
+                logits += w["word_bias"][c][:, None]
+                inside[a:b] = _softmax(logits, k[a:b])[1]
+        out[order] += inside
         return out
 
     def score(self, documents: list[np.ndarray], window: int = 64, width: int = 32768) -> np.ndarray:
         """Natural log-likelihood of each whole document: state is carried from window to window.
 
-        Documents run side by side, the longest first; those that have ended leave the front. A
+        Documents run side by side, the longest first; those that have ended leave the end. A
         window holds at most about ``width`` words, so memory doesn't depend on the lengths.
         """
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
@@ -84,7 +134,7 @@ class Gru:
         flat = np.concatenate([documents[i] for i in order]) if order else np.zeros(0, np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if order else np.zeros(0, np.int64)
         total = np.zeros(len(order))
-        h = np.zeros((len(order), self.hidden), np.float32)
+        h = np.zeros((self.hidden, len(order)), self.weights["state"].dtype)
         last = np.full(len(order), self.start)
         at, states, targets, owners, held = 0, [], [], [], 0
         longest = int(sizes[0]) if len(sizes) else 0
@@ -92,7 +142,7 @@ class Gru:
         while at < longest:
             while alive and sizes[alive - 1] <= at:
                 alive -= 1
-            h = self.step(h[:alive], last[:alive])
+            h = self.step(np.ascontiguousarray(h[:, :alive]), last[:alive])
             ids = flat[starts[:alive] + at]
             states.append(h)
             targets.append(ids)
@@ -101,7 +151,7 @@ class Gru:
             last = ids
             at += 1
             if held >= width or len(states) >= 16 * window or at == longest:
-                got = self.log_probabilities(np.concatenate(states), np.concatenate(targets))
+                got = self.log_probabilities(np.concatenate(states, 1), np.concatenate(targets))
                 who = np.concatenate([np.arange(n) for n in owners])
                 total[: len(order)] += np.bincount(who, got, len(order))
                 states, targets, owners, held = [], [], [], 0
@@ -113,99 +163,143 @@ class Gru:
         """Mean loss of one window, its last state, and gradients by truncated backpropagation.
 
         All of (time, lane): the words, those before them, and where a document begins, at which
-        the state is reset.
+        the state (hidden, lane) is reset.
         """
         w, n = self.weights, self.hidden
+        kind = w["state"].dtype
         steps, lanes = ids.shape
-        saved, states = [], []
+        flat, count = ids.reshape(-1), ids.size
+        g = self._inputs(before)
+        keep, resets = (~fresh).astype(kind), fresh.any(1).tolist()
+        olds, every = np.empty((steps, n, lanes), kind), np.empty((n, steps, lanes), kind)
+        saved, turned = [], np.ascontiguousarray(w["state"].T)
         for t in range(steps):
-            h0 = np.where(fresh[t][:, None], np.float32(0), h)
-            g, u = w["input"][before[t]], h0 @ w["state"]
-            gates = _sigmoid(g[:, : 2 * n] + u[:, : 2 * n])
-            new = np.tanh(g[:, 2 * n :] + gates[:, n:] * u[:, 2 * n :])
-            h = new + gates[:, :n] * (h0 - new)
-            saved.append((h0, u, gates, new))
-            states.append(h)
-        every, flat = np.concatenate(states), ids.reshape(-1)
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
-        count = np.float32(len(flat))
-        own = np.where(flat < self.words, flat // self.members, self.classes + flat - self.words)
-        logits = every @ w["class"] + w["class_bias"]
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        rows = np.arange(len(flat))
-        loss = -np.log(p[rows, own] + 1e-30).sum()
-        p[rows, own] -= 1
-        p /= count
-        grads["class"], grads["class_bias"] = every.T @ p, p.sum(0)
-        dh = p @ w["class"].T
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(self.classes + 1))
+            olds[t] = h * keep[t] if resets[t] else h
+            h, *rest = self._advance(olds[t], g[t], turned)
+            every[:, t] = h
+            saved.append(rest)
+        every = every.reshape(n, -1)
+        grads = {k: np.zeros_like(v) for k, v in w.items() if k in ("word", "word_bias", "embed")}
+        own, order, cuts = self._by_class(flat)
+        p = w["class"].T @ every
+        p += w["class_bias"][:, None]
+        sums, got = _softmax(p, own)
+        loss = -float(got.sum())
+        sums *= count
+        p *= np.reciprocal(sums)
+        p[own, np.arange(count)] -= 1 / count
+        grads["class"], grads["class_bias"] = every @ p.T, p @ np.ones(count, kind)
+        dh = w["class"] @ p
+        sorted_h, k = every.take(order, 1), (flat - own * self.members)[order]
+        dsorted = np.zeros_like(sorted_h)
         for c in range(self.classes):
-            part = order[cuts[c] : cuts[c + 1]]
-            if len(part):
-                logits = every[part] @ w["word"][c] + w["word_bias"][c]
-                p = np.exp(logits - logits.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                k = flat[part] - c * self.members
-                loss -= np.log(p[np.arange(len(part)), k] + 1e-30).sum()
-                p[np.arange(len(part)), k] -= 1
-                p /= count
-                grads["word"][c], grads["word_bias"][c] = every[part].T @ p, p.sum(0)
-                dh[part] += p @ w["word"][c].T
-        dh = dh.reshape(steps, lanes, n)
-        back = np.zeros((lanes, n), np.float32)
-        dinput = np.zeros((steps, lanes, 3 * n), np.float32)
+            a, b = cuts[c], cuts[c + 1]
+            if b > a:
+                p = w["word"][c].T @ sorted_h[:, a:b]
+                p += w["word_bias"][c][:, None]
+                sums, got = _softmax(p, k[a:b])
+                loss -= float(got.sum())
+                sums *= count
+                p *= np.reciprocal(sums)
+                p[k[a:b], np.arange(b - a)] -= 1 / count
+                grads["word"][c], grads["word_bias"][c] = sorted_h[:, a:b] @ p.T, p @ np.ones(b - a, kind)
+                dsorted[:, a:b] = w["word"][c] @ p
+        places = np.empty(count, order.dtype)
+        places[order] = np.arange(count)
+        dh += dsorted.take(places, 1)
+        dh = dh.reshape(n, steps, lanes)
+        back = np.zeros((n, lanes), kind)
+        dg, du = np.empty((steps, 3 * n, lanes), kind), np.empty((steps, 3 * n, lanes), kind)
         for t in range(steps - 1, -1, -1):
-            h0, u, gates, new = saved[t]
-            z, r = gates[:, :n], gates[:, n:]
-            d = dh[t] + back
-            dnew = d * (1 - z) * (1 - new * new)
-            dz = d * (h0 - new) * z * (1 - z)
-            dr = dnew * u[:, 2 * n :] * r * (1 - r)
-            du = np.concatenate([dz, dr, dnew * r], axis=1)
-            dinput[t] = np.concatenate([dz, dr, dnew], axis=1)
-            grads["state"] += h0.T @ du
-            back = np.where(fresh[t][:, None], np.float32(0), d * z + du @ w["state"].T)
-        np.add.at(grads["input"], before.reshape(-1), dinput.reshape(-1, 3 * n))
-        return float(loss / count), h, grads
+            u, gates, new = saved[t]
+            z, r = gates[:n], gates[n:]
+            d = dh[:, t] + back
+            dnew = dg[t, 2 * n :]
+            np.multiply(d, 1 - z, out=dnew)
+            dnew *= 1 - new * new
+            slope = 1 - gates
+            slope *= gates
+            np.multiply(d * (olds[t] - new), slope[:n], out=dg[t, :n])
+            np.multiply(dnew * u, slope[n:], out=dg[t, n : 2 * n])
+            du[t] = dg[t]
+            du[t, 2 * n :] *= r
+            back = w["state"] @ du[t]
+            back += d * z
+            if resets[t]:
+                back *= keep[t]
+        columns = lambda x: np.ascontiguousarray(x.transpose(1, 0, 2)).reshape(x.shape[1], -1)
+        dx = columns(dg)
+        grads["state"] = columns(olds) @ columns(du).T
+        previous = before.reshape(-1)
+        grads["input"], grads["gate_bias"] = w["embed"].take(previous, 0).T @ dx.T, dx @ np.ones(count, kind)
+        de = dx.T @ w["input"].T
+        narrow = previous.astype(np.int16 if len(w["embed"]) < 1 << 15 else np.int64)
+        order = np.argsort(narrow, kind="stable")
+        lead = np.flatnonzero(np.diff(narrow[order], prepend=-1))
+        grads["embed"][narrow[order[lead]]] = np.add.reduceat(de.take(order, 0), lead, axis=0)
+        return loss / count, h, grads
 
 
-def train(model: Gru, documents: list[np.ndarray], lanes: int = 96, window: int = 32, least_updates: int = 150, rate: float = 0.01, last: float = 0.1) -> list[float]:
-    """Adam over windows; each lane runs through documents one after another, all of them once or,
-    if they are few, as often as least_updates takes. The rate falls to its share last; the words that
-    fill up the lanes are the first ones again. Returns the losses."""
-    documents = [d for d in documents if len(d)]
-    if not documents:
-        return []
-    flat = np.concatenate(documents)
-    fresh = np.zeros(len(flat), bool)
-    fresh[np.cumsum([0, *map(len, documents)])[:-1]] = True
-    before = np.concatenate([[model.start], flat[:-1]])
-    before[fresh] = model.start
-    lanes = max(1, min(lanes, len(flat) // (4 * window)))
-    length = -(-len(flat) // lanes)
-    flat, before, fresh = (np.concatenate([x, x[: lanes * length - len(x)]]) for x in (flat, before, fresh))
-    window = min(window, length)
-    grid = [x[: lanes * length].reshape(lanes, length).T for x in (flat, before, fresh)]
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
-    losses: list[float] = []
-    once = range(0, length, window)
-    plan = [a for _ in range(-(-least_updates // len(once))) for a in once]
-    h = np.zeros((lanes, model.hidden), np.float32)
-    for i, a in enumerate(plan, 1):
-        if a == 0:
-            h = np.zeros_like(h)
-        ids, prev, first = (x[a : a + window] for x in grid)
-        loss, h, grads = model.loss(ids, prev, h, first)
-        losses.append(loss)
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
-        scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-        now = rate * (1 - (1 - last) * i / len(plan))
+class Trainer:
+    """Adam on a network, whose moments last from one lot of documents to the next."""
+
+    def __init__(self, model: Gru, lanes: int = 256, window: int = 32):
+        self.model, self.lanes, self.window, self.updates = model, lanes, window, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
+
+    def update(self, grads: dict[str, np.ndarray], rate: float) -> None:
+        self.updates += 1
+        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())))
+        scale = min(1.0, 1.0 / (norm + 1e-9))
+        first, second = 1 - 0.9**self.updates, 1 - 0.99**self.updates
         for k, g in grads.items():
-            m, v = moments[k]
-            g = g * scale
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.01) * (g * g - v)
-            model.weights[k] -= np.float32(now / (1 - 0.9**i)) * m / (np.sqrt(v / np.float32(1 - 0.99**i)) + np.float32(1e-6))
-    return losses
+            m, v = self.moments[k]
+            m *= 0.9
+            v *= 0.99
+            g *= scale
+            m += 0.1 * g
+            g *= g
+            g *= 0.01
+            v += g
+            np.multiply(v, 1 / second, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-6
+            np.divide(m, g, out=g)
+            g *= rate / first
+            self.model.weights[k] -= g
+
+    def learn(self, documents: list[np.ndarray], least_updates: int = 1, rate: float = 0.01, last: float = 1.0) -> list[float]:
+        """Windows of all documents, each lane running through documents one after another: all of
+        them once or, if they are few, as often as least_updates takes. The rate falls to its share last;
+        the words that fill up the lanes are the first ones again. Returns the losses."""
+        documents = [d for d in documents if len(d)]
+        if not documents:
+            return []
+        model = self.model
+        flat = np.concatenate(documents)
+        fresh = np.zeros(len(flat), bool)
+        fresh[np.cumsum([0, *map(len, documents)])[:-1]] = True
+        before = np.concatenate([[model.start], flat[:-1]])
+        before[fresh] = model.start
+        lanes = max(1, min(self.lanes, len(flat) // (4 * self.window)))
+        length = -(-len(flat) // lanes)
+        flat, before, fresh = (np.concatenate([x, x[: lanes * length - len(x)]]) for x in (flat, before, fresh))
+        window = min(self.window, length)
+        grid = [np.ascontiguousarray(x.reshape(lanes, length).T) for x in (flat, before, fresh)]
+        losses: list[float] = []
+        once = range(0, length, window)
+        plan = [a for _ in range(-(-least_updates // len(once))) for a in once]
+        h = np.zeros((model.hidden, lanes), model.weights["state"].dtype)
+        for i, a in enumerate(plan, 1):
+            if a == 0:
+                h = np.zeros_like(h)
+            ids, prev, first = (x[a : a + window] for x in grid)
+            loss, h, grads = model.loss(ids, prev, h, first)
+            losses.append(loss)
+            self.update(grads, rate * (1 - (1 - last) * i / len(plan)))
+        return losses
+
+
+def train(model: Gru, documents: list[np.ndarray], lanes: int = 96, window: int = 32, least_updates: int = 150, rate: float = 0.01, last: float = 0.1) -> list[float]:
+    """Fit a model to a few documents, as Trainer does."""
+    return Trainer(model, lanes, window).learn(documents, least_updates, rate, last)

@@ -31,6 +31,8 @@ OUTPUT, MEMBERS, OPEN, HIDDEN = 4096, 64, 32, 32
 HEAD, SAMPLE = 65536, 1000
 #: Rounds of training over all documents, words that a copy learns from at once, and its rate.
 ROUNDS, CHUNK, RATE = 2, 400_000, 0.002
+#: Documents that are scored side by side: the more, the less the longest ones cost.
+SIDE_BY_SIDE = 8192
 #: The end token: no word holds white space.
 END = b"\n"
 ROW = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, head_counts double, partial double, words array<binary>, times array<long>"
@@ -151,7 +153,8 @@ def train_on_all(net: gru.Gru, training: DataFrame, codes: Codes, numbers: np.nd
 
         def learn(batches, shared=shared):
             start, codes, numbers = shared.value
-            own = gru.Gru(start.words, start.members, start.open_classes, start.hidden, {k: v.copy() for k, v in start.weights.items()})
+            own = start.copy()
+            trainer = gru.Trainer(own)
             held, size, total = [], 0, 0
             for batch in batches:
                 for text in batch.column(0):
@@ -159,10 +162,10 @@ def train_on_all(net: gru.Gru, training: DataFrame, codes: Codes, numbers: np.nd
                     held.append(numbers[np.fromiter(map(codes.__getitem__, words), np.int64, len(words))])
                     size += len(words)
                     if size >= CHUNK:
-                        gru.train(own, held, least_updates=1, rate=RATE, last=1.0)
+                        trainer.learn(held, rate=RATE)
                         held, size, total = [], 0, total + size
             if held:
-                gru.train(own, held, least_updates=1, rate=RATE, last=1.0)
+                trainer.learn(held, rate=RATE)
                 total += size
             if total:
                 values = np.concatenate([(own.weights[k] - start.weights[k]).ravel() for k in names]).astype("<f4")
@@ -173,7 +176,7 @@ def train_on_all(net: gru.Gru, training: DataFrame, codes: Codes, numbers: np.nd
 
         share = training.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r).select(F.col("text").cast("binary").alias("text"))
         changes = share.mapInArrow(learn, "n long, change binary").rdd.map(lambda x: (x.n, np.frombuffer(bytes(x.change), "<f4").astype(np.float64) * x.n))
-        found = changes.treeAggregate(None, add, add)
+        found = changes.treeAggregate(None, add, add, depth=3)
         if found:
             at = 0
             for k in names:
@@ -196,7 +199,7 @@ def fit(training: DataFrame, counts: DataFrame, output: int = OUTPUT, members: i
     if last >= net.words:
         words[last], words[net.words - 1] = words[net.words - 1], words[last]
         c[[last, net.words - 1]] = c[[net.words - 1, last]]
-    numbers = np.array([i if i < net.words else net.words + open_class(w) for i, w in enumerate(words)] + [net.words + i for i in range(OPEN)], np.int64)
+    numbers = np.array([i if i < net.words else net.words + open_class(w) for i, w in enumerate(words)] + [net.words + i for i in range(OPEN)], np.int32)
     # totals of the open classes: those of all counts, less the output words'
     def classed(columns: list[list]) -> list[list]:
         n, kinds = np.zeros(OPEN, np.int64), np.zeros(OPEN, np.int64)
@@ -236,7 +239,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, **options)
         return [*columns[:3], *shared.value.rows(columns[3])] if columns[0] else [[] for _ in range(9)]
 
     numbered = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    scored = written(map_batches(numbered, rows, ROW, binary=("text",)), "scores")  # written, so that rid stays
+    scored = written(map_batches(numbered, rows, ROW, binary=("text",), most=SIDE_BY_SIDE), "scores")  # written, so that rid stays
     rare = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("rid", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     looked = rare.join(counts, "word").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_counts"), F.sum("times").alias("rare_known"))
     floor = math.log10(totals.n + totals.v + 1)

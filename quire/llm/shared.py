@@ -51,10 +51,11 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(conf).delete(folder, True)
 
 
-def map_batches(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: str, binary: tuple[str, ...] = ()) -> DataFrame:
+def map_batches(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: str, binary: tuple[str, ...] = (), most: int = 2048) -> DataFrame:
     """mapInArrow over lists: rows gets the columns of a batch and returns those of the result.
 
-    Columns named in binary come as bytes (UTF-8 of strings), which saves decoding them.
+    Columns named in binary come as bytes (UTF-8 of strings), which saves decoding them. rows gets
+    at most ``most`` rows at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -63,8 +64,8 @@ def map_batches(df: DataFrame, rows: Callable[[list[list]], list[list]], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
                 columns = [
                     (c.cast(pa.large_binary() if pa.types.is_large_string(c.type) else pa.binary()) if n in binary and not pa.types.is_binary(c.type) else c).to_pylist()
                     for n, c in zip(part.schema.names, part.columns, strict=True)

@@ -88,7 +88,7 @@ def test_gru_gradients():
     net = gru.Gru.fresh(7, 3, 2, 4)
     net.weights = {k: v.astype(float) for k, v in net.weights.items()}
     r = np.random.default_rng(1)
-    ids, before, fresh, h = r.integers(0, 9, (5, 3)), r.integers(0, 10, (5, 3)), r.random((5, 3)) < 0.2, r.standard_normal((3, 4))
+    ids, before, fresh, h = r.integers(0, 9, (5, 3)), r.integers(0, 10, (5, 3)), r.random((5, 3)) < 0.2, r.standard_normal((4, 3))
     _, _, grads = net.loss(ids, before, h, fresh)
     for k, w in net.weights.items():
         for _ in range(6):
@@ -109,10 +109,10 @@ def test_gru_scores_carry_state_and_sum_to_one():
     whole = net.score(docs)
     assert net.score(docs, window=1, width=2) == pytest.approx(whole, abs=1e-5)
     for d, s in zip(docs, whole, strict=True):
-        h, last, total = np.zeros((1, 4), np.float32), np.array([net.start]), 0.0
+        h, last, total = np.zeros((4, 1), np.float32), np.array([net.start]), 0.0
         for w in d:
             h = net.step(h, last)
-            every = net.log_probabilities(np.repeat(h, 9, 0), np.arange(9))
+            every = net.log_probabilities(np.repeat(h, 9, 1), np.arange(9))
             assert np.exp(every).sum() == pytest.approx(1, abs=1e-5)
             total, last = total + every[w], np.array([w])
         assert s == pytest.approx(total, abs=1e-4)
