@@ -56,8 +56,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     source's target is its number of documents to the power ``temperature``. total is the expected
     size of the mixture, by default that of docs. A null source counts as the empty one, a null
     doc_id hashes as the empty text, repeated rows are replicated alike, empty and very long texts
-    are like any others, and an empty table gives an empty result. Columns of docs named as those
-    added are not allowed.
+    are like any others, and an empty table gives an empty result. Columns pass through whatever
+    their names, but for those that are added: copy and shuffle_key are not allowed.
     """
     clash = {"copy", "shuffle_key"} & set(docs.columns)
     if clash:
@@ -65,20 +65,25 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     rates = cut(source_rates(docs, weights, temperature, total))
     names = docs.columns
     source = F.coalesce("source", F.lit(""))
-    identity = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # the input goes along as one column, so that no name of it can clash. Rows of one id, and those of none,
+    # share a key, which may be hot; so copies are dealt out by the row's place as well
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(SALT))
+    packed = docs.select(F.struct(*names).alias("row"), source.alias("mix_source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("identity"), spread.alias("spread"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.withColumn("mix_source", source).join(F.broadcast(rates), "mix_source")
+        joined = packed.join(F.broadcast(rates), "mix_source")
     else:
         salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        joined = docs.withColumn("mix_source", source).withColumn("mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["mix_source", "mix_salt"])
+        joined = packed.withColumn("mix_salt", F.pmod(F.xxhash64("identity"), F.lit(SALT)).cast("int")).join(salted, ["mix_source", "mix_salt"])
+    identity = F.col("identity")
     drawn = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda part: F.size(F.filter(F.col("cdf"), lambda c: c <= _uniform(F.lit(str(seed)), identity, part.cast("string")) / F.lit(float(1 << 52)))),
     )
     copies = F.aggregate(drawn, F.lit(0), lambda a, b: a + b)
-    replicated = joined.withColumn("mix_copies", copies).filter("mix_copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("copy"))
-    keyed = replicated.withColumn("shuffle_key", _uniform(F.lit(str(seed)), F.lit("order"), identity, F.col("copy").cast("string")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    replicated = joined.select("row", "identity", "spread", copies.alias("copies")).filter("copies > 0").select("row", "identity", "spread", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    keyed = replicated.select("row", "copy", "spread", _uniform(F.lit(str(seed)), F.lit("order"), identity, F.col("copy").cast("string")).alias("shuffle_key"))
+    dealt = keyed.repartition("shuffle_key", "spread")
+    return dealt.sortWithinPartitions("shuffle_key", "copy").select(*(F.col(f"row.`{n}`").alias(n) for n in names), "copy", "shuffle_key")
 
 
 MIX_SQL = """

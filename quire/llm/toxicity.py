@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from quire.llm.shared import crc_mod
+from quire.llm.shared import crc_mod, map_batches
 
 #: Longest n-gram, and the shortest that is counted by class.
 ORDER, LOWEST = 6, 2
@@ -30,7 +30,7 @@ DISCOUNTS = (0.9, 1.2, 1.4)
 #: Bound of the labelled texts of each class, the parameter max_per_class.
 PER_CLASS = 2500
 #: Words whose ratios a worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 START, END = "\x02", "\x03"
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’…|*_~<>/\\-—–#%&$"
 
@@ -190,58 +190,81 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
+def _chosen(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(text, toxic, kept) of the labelled documents that train: kept ones fit the curve."""
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").filter(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = [r for label in (0, 1) for r in known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic").collect()]
+    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
+    kept = (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).alias("kept")
+    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").select("text", "toxic", kept)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) -> ToxicityModel:
     """From labelled documents whose crc32 modulo 3 isn't 1.
 
     At most max_per_class ids of each class are chosen, by their hash, before any text is read, so
     the texts are found by a broadcast of that many ids. Two thirds of them (by another hash) are
-    counted and the rest fit the curve. A document with labels that differ counts as toxic; ids
+    counted and the rest fit the curve; texts stay on the executors, and the driver gets counts of
+    their words and a few features of each. A document with labels that differ counts as toxic; ids
     without a document or a text count for nothing. Where a class has no text, every score is that
     of an even curve at its prior.
     """
-    known = labels.filter("toxic in (0, 1) and doc_id is not null").filter(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = [r for label in (0, 1) for r in known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class).select("doc_id", "toxic").collect()]
-    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
-    kept = (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).alias("kept")
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic", kept).collect()
-    rows.sort(key=lambda r: (r.toxic, r.doc_id, r.text))
-    counts: list[Counter] = [Counter(), Counter()]
-    for r in rows:
-        if not r.kept:
-            counts[r.toxic].update({b for b in map(bare, words_of(r.text)) if b})
+    chosen = _chosen(docs, labels, max_per_class)
+
+    def words(columns: list[list]) -> list[list]:
+        found: Counter = Counter()
+        for text, toxic in zip(*columns, strict=True):
+            found.update((toxic, b) for b in set(map(bare, words_of(text))) if b)
+        return [[t for t, _ in found], [w for _, w in found], list(found.values())]
+
+    counts: list[dict[str, int]] = [{}, {}]
+    for r in map_batches(chosen.filter("not kept").select("text", "toxic"), words, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n")).collect():
+        counts[r.toxic][r.word] = r.n
     pair = fit_pair(counts[1], counts[0])
-    cache: dict[str, float] = {}
-    x, y = [], []
-    for r in rows:
-        if r.kept:
-            x.append(features([cache[w] if w in cache else cache.setdefault(w, pair.word(w)) for w in words_of(r.text)]))
-            y.append(r.toxic)
+    shared = docs.sparkSession.sparkContext.broadcast(pair)
+
+    def described(columns: list[list]) -> list[list]:
+        cache: dict[str, float] = {}
+        x = [list(features([cache[w] if w in cache else cache.setdefault(w, shared.value.word(w)) for w in words_of(text)])) for text in columns[0]]
+        return [x, columns[1]]
+
+    rows = map_batches(chosen.filter("kept").select("text", "toxic"), described, "x array<double>, toxic int", most=64).collect()
+    rows.sort(key=lambda r: (r.toxic, r.x))
+    y = [r.toxic for r in rows]
     if len(set(y)) < 2:
-        n1 = sum(r.toxic for r in rows)
-        prior = (n1 + 0.5) / (len(rows) + 1)
-        return ToxicityModel(pair, [math.log(prior / (1 - prior)), float(0 < n1 < len(rows)), *[0.0] * (len(TELLING) + 1)])
-    return ToxicityModel(pair, fit_curve(np.array(x), np.array(y)).tolist())
+        prior = (sum(y) + 0.5) / (len(y) + 1)
+        return ToxicityModel(pair, [math.log(prior / (1 - prior)), float(0 < sum(y) < len(y)), *[0.0] * (len(TELLING) + 1)])
+    return ToxicityModel(pair, fit_curve(np.array([r.x for r in rows]), np.array(y)).tolist())
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score below the threshold, all columns kept, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_per_class texts
+    at = docs.columns.index("text")
+    cache: dict[str, float] = {}
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t.as_py(), cache) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, keep: tuple[str, ...] = (), text: bool = False) -> DataFrame:
-    """docs' doc_id, the columns named in keep and, if asked for, the text, with score and predicted.
+def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """(doc_id, score, predicted) of every row of docs.
 
-    Every whole text is scored. Null, empty and blank texts have the features of no words and so
-    the curve's score at those; repeated rows give a row each; nulls in other columns don't matter.
+    Every whole text is scored, however long. Null, empty and blank texts have the features of no
+    words and so the curve's score at those; repeated rows give a row each; other columns are ignored.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_per_class texts
-    source = docs.select("doc_id", *keep, "text")
-    target = StructType([f for f in source.schema if f.name != "text" or text] + [StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    source = docs.select("doc_id", "text")
+    target = StructType([source.schema["doc_id"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     cache: dict[str, float] = {}
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            scores = [model.score(t, cache) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = batch.columns if text else batch.columns[:-1]
-            names = batch.schema.names[: len(columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [*names, "score", "predicted"])
+            scores = [shared.value.score(t.as_py(), cache) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
 
     return source.mapInArrow(run, target)
 

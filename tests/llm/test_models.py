@@ -56,6 +56,74 @@ def test_kneser_ney_pair_backs_off():
     assert pair.word("") == 0 and pair.word("...") == 0
 
 
+def plain_pair(toxic, ordinary):
+    """Log-likelihood ratio of a word by Kneser-Ney models written out as recursions over counts."""
+    grams = lambda w: [(s[max(0, i - n + 1) : i], s[i], w) for s in [f"\x02{w}\x03"] for n in range(1, toxicity.ORDER + 1) for i in range(n - 1, len(s))]
+    every = {w for w in (*toxic, *ordinary)}
+    follow = [{}, {}]
+    left = {}
+    for w in every:
+        for ctx, c, _ in grams(w):
+            for k, own in enumerate((toxic, ordinary)):
+                follow[k].setdefault(ctx, Counter())[c] += own.get(w, 0)
+        s = f"\x02{w}\x03"
+        for n in range(1, toxicity.ORDER):
+            for i in range(n, len(s)):
+                left.setdefault(s[i - n + 1 : i + 1], set()).add(s[i - n])
+
+    def discounted(counts, c):
+        total = sum(counts.values())
+        held = sum(min(x, toxicity.DISCOUNTS[min(x, 3) - 1]) for x in counts.values() if x)
+        return (max(0, counts[c] - toxicity.DISCOUNTS[min(counts[c], 3) - 1]) / total if counts[c] else 0.0), held / total
+
+    def pooled(ctx, c):
+        if len(ctx) == toxicity.ORDER - 1 or ctx[:1] == "\x02":
+            counts = follow[0].get(ctx, Counter()) + follow[1].get(ctx, Counter())
+        else:
+            counts = Counter({g[-1]: len(v) for g, v in left.items() if g[:-1] == ctx and len(g) == len(ctx) + 1})
+        lower = pooled(ctx[1:], c) if ctx else 1 / (len({g for g in left if len(g) == 1}) + 1)
+        if not sum(counts.values()):
+            return lower
+        share, weight = discounted(counts, c)
+        return share + weight * lower
+
+    def own(k, ctx, c):
+        counts = follow[k].get(ctx, Counter())
+        if not sum(counts.values()):
+            return pooled(ctx, c)
+        share, weight = discounted(counts, c)
+        return share + weight * pooled(ctx, c)
+
+    def ratio(word):
+        s, total = f"\x02{word}\x03", 0.0
+        for i in range(1, len(s)):
+            for at in range(max(0, i - toxicity.ORDER + 1), i):
+                if s[at:i] in follow[0] or s[at:i] in follow[1]:
+                    total += math.log(own(0, s[at:i], s[i]) / own(1, s[at:i], s[i]))
+                    break
+        return total
+
+    return ratio
+
+
+def test_kneser_ney_pair_against_plain_recursions():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 9)))
+    toxic, ordinary = ({word(): r.randrange(1, 5) for _ in range(25)} for _ in range(2))
+    pair, plain = toxicity.fit_pair(toxic, ordinary), plain_pair(toxic, ordinary)
+    for w in [*toxic, *ordinary, *(word() for _ in range(40)), "abcdabcdabcd", "x", "axb"]:
+        assert pair.word(w) == pytest.approx(plain(w), abs=1e-9), w
+
+
+def test_toxic_rows_go_whatever_the_columns(spark):
+    rows = corpus(random.Random(1), 400)
+    docs = spark.createDataFrame([(t, i, "s", 1, None) for i, t, _ in rows], "text string, doc_id long, score string, predicted int, toxic string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns
+    assert {x.doc_id for x in kept.collect()} == {x.doc_id for x in toxicity.toxicity_scores(docs, model).collect() if not x.predicted}
+
+
 def test_page_text_of_generated_pages():
     extractor, right = htmltext.train(), 0
     for seed in range(9000, 9100):
@@ -201,6 +269,10 @@ def test_mixing_against_plain_inversion(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
     with pytest.raises(ValueError, match="copy"):
         mixing.mix_sources(docs.withColumn("copy", F.lit(1)))
+    extra = docs.withColumns({n: F.lit("keep") for n in ("rate", "parts", "cdf", "mix_source", "mix_copies", "mix_salt", "row", "identity", "spread", "copies")})
+    kept = mixing.mix_sources(extra, temperature=0.5)
+    assert kept.columns == [*extra.columns, "copy", "shuffle_key"]
+    assert Counter((x.doc_id, x.source, x.copy) for x in kept.collect()) == expected and kept.filter("rate != 'keep' or mix_source != 'keep' or mix_copies != 'keep' or row != 'keep'").isEmpty()
 
 
 def test_warc_round_trip(spark, tmp_path):
