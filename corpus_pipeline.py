@@ -10,9 +10,7 @@ from quire.llm.shared import table, written
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more as toxic go."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.toxicity_scores(docs, model, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")), text=True)
-    return scored.filter("predicted = 0").select(docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
