@@ -15,18 +15,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import scratch_path
+from quire.llm.shared import cut, scratch_path
 
 CRLF = "\r\n"
 LEAST_BYTES = 1000
-#: Records of a file; three make up a page.
-PAGES_PER_FILE = 4000
+#: Pages of up to LONG bytes share a file, FILE_BYTES / LONG of them; of longer ones as many as keep a file below FILE_BYTES.
+FILE_BYTES, LONG = 64 << 20, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, payload_digest string, payload_bytes long, fields string"
 
 
-def _record_id(kind: str, page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.lit(kind), page_id.cast("string"), digest))
+def _record_id(*parts: Column) -> Column:
+    h = F.md5(F.concat_ws(":", *parts))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -40,44 +40,87 @@ def _record(kind: Column, record_id: Column, headers: list[tuple[str, Column]],
     )
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, pages_per_file: int = PAGES_PER_FILE) -> None:
-    """Write request, response or revisit, and metadata records of pages(page_id, url, html).
+def _captures(pages: DataFrame, least_bytes: int, wanted: Column, shared: DataFrame, part: str) -> DataFrame:
+    """(page_id, url, html, digest, octets, capture, target): the rows of pages that are wanted, each with a capture identifier.
 
-    Of pages with equal payloads of least_bytes or more, the one with the largest page_id is the
-    response and the others revisit it. A null html counts as empty and a null url as an empty
-    one; pages with a null page_id can't be referred to and are left out.
+    target is null for a response, and else the identifier of the response that is revisited.
+    shared has the payloads that occur more than once: (digest, top, url_top, ties), see _shared. part
+    is another one for each call.
     """
-    source = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"),
-        F.coalesce("html", F.lit("")).alias("html"),
-    ).filter("page_id is not null")
-    hashed = source.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("octets", F.octet_length("html").cast("long"))
-    shared = hashed.filter(F.col("octets") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    known = hashed.join(shared, "digest", "left").withColumn("revisit", F.coalesce((F.col("octets") >= least_bytes) & (F.col("page_id") < F.col("first")), F.lit(False)))
-    page, digest, revisit = F.col("page_id"), F.col("digest"), F.col("revisit")
-    own = _record_id("response", page, digest)
-    url = F.col("url")
+    source = _hashed(pages).filter(wanted)
+    number = F.monotonically_increasing_id().cast("string")
+    columns = ("page_id", "url", "html", "digest", "octets")
+    none = F.lit(None).cast("string")
+    first = _record_id(F.lit("shared"), F.col("digest"))
+    small = source.filter(F.col("octets") < least_bytes).select(*columns, _record_id(F.lit("small"), F.lit(part), number).alias("capture"), none.alias("target"))
+    known = source.filter(F.col("octets") >= least_bytes).join(shared, "digest", "left")
+    is_top = F.col("page_id").eqNullSafe(F.col("top")) & (F.col("url") == F.col("url_top"))
+    alone = F.col("ties").isNull()
+    plain = known.filter(alone | ~is_top | (F.col("ties") == 1)).select(
+        *columns,
+        F.when(~alone & is_top, first).otherwise(_record_id(F.lit("large"), F.lit(part), number)).alias("capture"),
+        F.when(~alone & ~is_top, first).alias("target"),
+    )
+    # equal rows that all stand first: one of them is the response
+    tied = known.filter(is_top & (F.col("ties") > 1)).groupBy("page_id", "url", "digest", "octets").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+    each = tied.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    again = each.select(*columns, F.when(F.col("k") == 1, first).otherwise(_record_id(F.lit("tied"), F.col("digest"), F.col("k").cast("string"))).alias("capture"), F.when(F.col("k") > 1, first).alias("target"))
+    return small.unionByName(plain).unionByName(again)
+
+
+def _hashed(pages: DataFrame) -> DataFrame:
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    return source.withColumn("octets", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+
+
+def _shared(pages: DataFrame, least_bytes: int) -> DataFrame:
+    """(digest, top, url_top, ties) of payloads that occur more than once: the page that stands first, and in how many equal rows.
+
+    That is the largest page_id, and of several the smallest url; a null page_id comes last.
+    """
+    counted = _hashed(pages).filter(F.col("octets") >= least_bytes).groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("page_id").isNull().alias("none"), (-F.col("page_id")).alias("falling"), "url")
+    return counted.groupBy("digest").agg(F.min_by(F.struct("page_id", "url", "n"), rank).alias("t"), F.sum("n").alias("n")).filter("n > 1").select("digest", F.col("t.page_id").alias("top"), F.col("t.url").alias("url_top"), F.col("t.n").alias("ties"))
+
+
+def _lines(known: DataFrame) -> DataFrame:
+    """The text of a capture's request, response or revisit, and metadata records."""
+    page, digest, own, url, revisit = (F.col(c) for c in ("page_id", "digest", "capture", "url", "target"))
+    again = revisit.isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("octets").cast("string"), F.lit(CRLF * 2))
     response = _record(
-        F.when(revisit, "revisit").otherwise("response"),
+        F.when(again, "revisit").otherwise("response"),
         own,
         [
             ("WARC-Target-URI", url),
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-            ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            ("WARC-Refers-To", F.when(revisit, _record_id("response", F.col("first"), digest))),
+            ("WARC-Profile", F.when(again, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+            ("WARC-Refers-To", revisit),
         ],
         "application/http;msgtype=response",
-        F.when(revisit, http).otherwise(F.concat(http, "html")),
+        F.when(again, http).otherwise(F.concat(http, "html")),
     )
-    request = _record(F.lit("request"), _record_id("request", page, digest), [("WARC-Target-URI", url), ("WARC-Concurrent-To", own)], "application/http;msgtype=request", F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{CRLF}{CRLF}")))
-    metadata = _record(
-        F.lit("metadata"), _record_id("metadata", page, digest), [("WARC-Target-URI", url), ("WARC-Concurrent-To", own)], "application/warc-fields",
-        F.concat(F.lit("pageId: "), page.cast("string"), F.lit(f"{CRLF}payloadBytes: "), F.col("octets").cast("string"), F.lit(CRLF)),
-    )
-    lines = known.select(F.concat_ws(CRLF * 2, request, response, metadata).alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", pages_per_file).text(path)
+    request = _record(F.lit("request"), _record_id(F.lit("request"), own), [("WARC-Target-URI", url), ("WARC-Concurrent-To", own)], "application/http;msgtype=request", F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{CRLF}{CRLF}")))
+    fields = F.concat(F.coalesce(F.concat(F.lit("pageId: "), page.cast("string"), F.lit(CRLF)), F.lit("")), F.lit("payloadBytes: "), F.col("octets").cast("string"), F.lit(CRLF))
+    metadata = _record(F.lit("metadata"), _record_id(F.lit("metadata"), own), [("WARC-Target-URI", url), ("WARC-Concurrent-To", own)], "application/warc-fields", fields)
+    return known.select(F.concat_ws(CRLF * 2, request, response, metadata).alias("value"))
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, long: int = LONG) -> None:
+    """Write request, response or revisit, and metadata records for each row of pages(page_id, url, html).
+
+    Of rows with equal payloads of least_bytes or more, the one with the largest page_id is the
+    response and the others revisit it; of several with that page_id the one with the smallest url
+    is, and of equal rows any one. A null page_id comes after all others, a null html counts as empty
+    and a null url as an empty one. A file holds about file_bytes, or one page if that is longer.
+    """
+    shared = cut(_shared(pages, least_bytes))
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    octets = F.octet_length("html")
+    for mode, wanted, most in (("errorifexists", octets <= long, file_bytes // long), ("append", octets > long, max(1, file_bytes // max(1, longest)))):
+        if mode == "errorifexists" or longest > long:
+            lines = _lines(_captures(pages, least_bytes, wanted, shared, mode))
+            lines.write.mode(mode).option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse_records(data: bytes):
@@ -133,49 +176,47 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit with the request and metadata records
     that are concurrent to it, null where there is none.
 
-    Records of one identifier that repeat are taken once, and of several requests (or metadata
-    records) of a capture the one with the smallest identifier.
+    All records meet by the capture's identifier in one pass. Records of one identifier that repeat
+    are taken once, and of several requests (or metadata records) of a capture the smallest.
     """
-    columns = [c for c in records.columns if c not in ("type", "concurrent_to")]
-    whole = F.struct(*columns)
-
-    def one(kind: str, name: str) -> DataFrame:
-        return records.filter((F.col("type") == kind) & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("capture_id")).agg(F.min(whole).alias(name))
-
-    captures = records.filter("type in ('response', 'revisit')").groupBy(F.col("record_id").alias("capture_id")).agg(F.min("type").alias("record_type"), F.min(whole).alias("response"))
-    return captures.join(one("request", "request"), "capture_id", "left").join(one("metadata", "metadata"), "capture_id", "left")
+    whole = F.struct(*(c for c in records.columns if c not in ("type", "concurrent_to")))
+    own = F.col("type").isin("response", "revisit")
+    keyed = records.withColumn("capture_id", F.when(own, F.col("record_id")).when(F.col("type").isin("request", "metadata"), F.col("concurrent_to"))).filter("capture_id is not null")
+    one = lambda which, name: F.min(F.when(which, whole)).alias(name)
+    met = keyed.groupBy("capture_id").agg(F.min(F.when(own, F.col("type"))).alias("record_type"), one(own, "response"), one(F.col("type") == "request", "request"), one(F.col("type") == "metadata", "metadata"))
+    return met.filter("record_type is not null")
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write pages to archives in the shared folder, read them back, and describe each capture.
 
-    Repeated rows of one page_id and payload are one capture; an empty table gives an empty result.
+    A row for each row of pages, repeated ones and those without a page_id included; other columns are
+    ignored, and an empty table gives an empty result.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path)
-    captures = assemble(read_archives(spark, path))
-    field = lambda name: F.regexp_extract("metadata.fields", rf"(?m)^{name}: (-?\d+)\r?$", 1).cast("long")
-    described = captures.select(
-        "capture_id",
-        field("pageId").alias("page_id"),
-        F.coalesce("response.payload_bytes", field("payloadBytes")).alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        "record_type",
-        F.col("response.refers_to").alias("target"),
-        F.col("response.target_uri").alias("url"),
+    field = lambda name: F.regexp_extract("metadata.fields", rf"(?m)^{name}: (-?\d+)\r?$", 1).try_cast("long")
+    described = cut(
+        assemble(read_archives(spark, path)).select(
+            "capture_id",
+            field("pageId").alias("page_id"),
+            F.coalesce("response.payload_bytes", field("payloadBytes")).alias("payload_bytes"),
+            F.col("response.payload_digest").alias("payload_digest"),
+            "record_type",
+            F.col("response.refers_to").alias("target"),
+            F.col("response.target_uri").alias("url"),
+        )
     )
-    named = described.filter("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
-    revisits = described.filter("record_type = 'revisit'").join(named, "target", "left")
+    wanted = described.filter("record_type = 'revisit'")
+    named = described.filter("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to")).join(wanted.select("target").distinct(), "target", "left_semi")
     last = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
-    return revisits.select(last).unionByName(described.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(last))
+    return wanted.join(named, "target", "left").select(last).unionByName(described.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(last))
 
 
 WARC_SQL = """
-with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest
-           from pages where page_id is not null),
-m as (select payload_digest, max(page_id) as first from p where payload_bytes >= 1000 group by 1)
-select distinct p.page_id, p.payload_bytes, p.payload_digest, case when p.page_id < m.first then 'revisit' else 'response' end as record_type,
-       case when p.page_id < m.first then m.first end as refers_to, p.url
-from p left join m on m.payload_digest = p.payload_digest and p.payload_bytes >= 1000
+with p as (select page_id, regexp_replace(coalesce(url, ''), '[\r\n]+', ' ', 'g') as url, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+r as (select *, payload_bytes >= 1000 and row_number() over (partition by payload_digest order by page_id desc nulls last, url) > 1 as again,
+             first_value(page_id) over (partition by payload_digest order by page_id desc nulls last, url) as first from p)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to, url from r
 """
