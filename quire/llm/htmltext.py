@@ -35,6 +35,10 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes, up to one of the elements after the bar.
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
+#: What may stand in a head, fixed values; anything else ends it, with or without its end tag.
+HEADED = frozenset("base basefont bgsound command head html link meta noscript script style template title".split())
+#: Skipped elements that a block element ends, as no block can stand in them.
+INLINE = frozenset("svg math select".split())
 RAW_END = {t: re.compile(rf"</{t}(?![A-Za-z0-9])[^>]*>?", re.I) for t in RAW}
 
 
@@ -77,20 +81,38 @@ def parse(page: str) -> list[Node]:
                 link_chars += len(piece.strip())
 
     at, skipped = 0, ""
+    inner: Counter = Counter()  # elements that are open inside the skipped one
+
+    def ends_skip(tag: str, closing: bool) -> bool:
+        """Whether a tag ends the skipped element though it isn't its end tag."""
+        if skipped == "head":
+            return tag not in HEADED
+        if not closing:
+            return skipped in INLINE and tag in BLOCKS
+        if inner[tag]:
+            inner[tag] -= 1
+            return False
+        return tag == "body" or any(nodes[i].tag == tag for i in stack[1:])  # an ancestor closes
+
     while (m := TOKEN.search(page, at)) is not None:
-        said(page[at : m.start()])
+        piece = page[at : m.start()]
+        if skip and skipped == "head" and piece.strip():
+            skip = 0
+        said(piece)
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if skip:
             if tag == skipped:
-                skip += -1 if m[1] else 1
+                skip += -1 if m[1] else int(skipped not in ("button", "select", "head"))
                 continue
-            if not (skipped == "head" and tag == "body" and not m[1]):
+            if not ends_skip(tag, bool(m[1])):
                 if not m[1] and tag in RAW:
                     end = RAW_END[tag].search(page, at)
                     at = end.end() if end else len(page)
+                elif not m[1] and tag not in VOID and not m[3].endswith("/"):
+                    inner[tag] += 1
                 continue
             skip = 0
         if not m[1]:
@@ -101,6 +123,7 @@ def parse(page: str) -> list[Node]:
                     at = end.end() if end else len(page)
                 elif not m[3].endswith("/"):
                     skip, skipped = 1, tag
+                    inner.clear()
             elif tag == "br":
                 run.append(" ")
             elif tag == "hr":
@@ -133,6 +156,8 @@ def parse(page: str) -> list[Node]:
                     break
         elif tag == "a":
             links = max(0, links - 1)
+    if skip and skipped == "head" and page[at:].strip():
+        skip = 0
     said(page[at:])
     flush()
     return nodes
@@ -308,6 +333,15 @@ def generated_page(seed: int) -> tuple[str, set[str]]:
             inner = r.choice(("<p>{}</p>", "{}", "<h4>{}</h4>", "<div>{}</div>")).format(text(False))
         return f"{opened}{inner}</{tag}>"
 
+    if r.random() < 0.15:  # an article that nothing stands around, and has no element of its own
+        parts = [r.choice(("<p>{}</p>", "<p>{}</p>", "{}<br>", "<div>{}</div>")).format(text(True)) for _ in range(r.choice((1, 1, 2, 3, 6)))]
+        if r.random() < 0.4:
+            parts.insert(0, f"<h1>{text(True, r.randint(1, 9))}</h1>")
+        if r.random() < 0.4:
+            parts.append(other(r.choice(("footer", "menu", "comments", "advert"))))
+        if r.random() < 0.2:
+            parts.insert(0, other(r.choice(("header", "menu", "notice"))))
+        return r.choice(("<html><body>{}</body></html>", "{}", "<html><head><title>t</title></head><body>{}")).format("".join(parts)), mine
     before = [other(k) for k in ("header", "menu", "advert", "notice", "form") if r.random() < 0.5]
     after = [other(k) for k in ("sidebar", "comments", "share", "advert", "form", "footer") if r.random() < 0.45]
     r.shuffle(before)
@@ -346,8 +380,9 @@ def train(pages: int = 700) -> Extractor:
 def main_text(pages: DataFrame, extractor: Extractor | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html).
 
-    A null html counts as empty and gives an empty text; null ids and urls pass through; repeated
-    rows give a row each, other columns are ignored and an empty table gives an empty result.
+    A null html counts as empty and gives an empty text; null ids and urls pass through; very long
+    pages are read whole, 64 at a time; repeated rows give a row each, other columns are ignored and
+    an empty table gives an empty result.
     """
     extractor = extractor or train()
 

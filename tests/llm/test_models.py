@@ -1,7 +1,9 @@
 """Toxicity, page text, language model, mixing, WARC and the pipeline."""
 
 import hashlib
+import html
 import math
+import os
 import random
 import re
 import zlib
@@ -152,6 +154,74 @@ def test_broken_pages_parse(page):
     assert htmltext.parse(page)[0].tag == "#root"
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>t</title><div>hello</div></html>", ["hello"]),
+        ("<head><meta x><title>t</title>bare<p>more", ["bare", "more"]),
+        ("<html><head><style>x</style></head>text", ["text"]),
+        ("<article><p>a</p><button>b<p>c</article><p>d</p>", ["a", "d"]),
+        ("<div><p>a<svg><path><g><p>b</p></div>c", ["a", "b", "c"]),
+        ("<div><object><p>x</p></div><p>b</p>", ["b"]),
+        ("<ul><li>a<canvas>x</li><li>b</li></ul>", ["a", "b"]),
+        ("<p>a<select><option>x<option>y<p>b</p>", ["a", "b"]),
+        ("<form><button>x<button>y</button>z</form>w", ["z", "w"]),
+        ("<p>a<button><p>x</p></button>b", ["ab"]),
+        ("one", ["one"]),
+    ],
+)
+def test_unclosed_elements(page, texts):
+    assert [n.text for n in htmltext.parse(page) if n.tag == "#text"] == texts
+
+
+@pytest.mark.parametrize("page", ["<p>First words here, and more.</p><p>Second words here.</p>", "<html><body><p>Only one sentence stands here.</p><p>And a second one, too.</p></body></html>", "Just bare words, without an element."])
+def test_pages_of_nothing_but_text(page):
+    expected = "\n".join(re.sub("<[^>]*>", "", x) for x in page.split("</p>") if re.sub("<[^>]*>", "", x))
+    assert htmltext.train().texts([page]) == [expected]
+
+
+def test_decoding_against_all_closed_sets():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(r.integers(2, 11))
+        nodes = [htmltext.Node("#root", -1, 0, ())]
+        for i in range(1, n):
+            parents = [j for j in range(i) if nodes[j].tag != "#text"]
+            leaf = r.random() < 0.5
+            nodes.append(htmltext.Node("#text" if leaf else "div", int(r.choice(parents)), 1, (), "x" * int(r.integers(1, 30)) if leaf else ""))
+        logits = r.standard_normal(n) * 2
+        size = [sum(len(nodes[j].text) for j in range(n) if j == i or any(a == i for a in above(nodes, j))) for i in range(n)]
+        best, kept = -1e9, None
+        for mask in range(1 << (n - 1)):
+            chosen = {0} | {i for i in range(1, n) if mask >> (i - 1) & 1}
+            if all(nodes[i].parent in chosen for i in chosen if i):
+                total = sum(math.log1p(size[i]) * logits[i] for i in chosen if i)
+                if total > best + 1e-12:
+                    best, kept = total, chosen
+        assert htmltext.decode(nodes, logits) == sorted(i for i in kept if nodes[i].tag == "#text")
+
+
+def above(nodes, i):
+    while (i := nodes[i].parent) >= 0:
+        yield i
+
+
+def test_pages_of_the_test_tables():
+    """The tables' pages hold their main text in one article element."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    pages = [x for x in pq.read_table(path)["html"].to_pylist() if x and x.count("<article>") == 1]
+    right = 0
+    for page, text in zip(pages, htmltext.train().texts(pages), strict=True):
+        blocks = re.split(r"</?(?:p|h1|h2|h3|ul|li|ol|blockquote|table|tr|td|div|article)\b[^>]*>", re.search(r"<article>(.*)</article>", page, re.S)[1])
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in blocks]
+        right += text == "\n".join(x for x in plain if x)
+    assert right >= 0.97 * len(pages), (right, len(pages))
+
+
 def test_gru_gradients():
     net = gru.Gru.fresh(7, 3, 2, 4)
     net.weights = {k: v.astype(float) for k, v in net.weights.items()}
