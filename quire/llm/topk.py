@@ -1,28 +1,35 @@
 """Exact top-k inner products: candidates by descending length, SVD-rotated partial sums.
 
-Vectors become integers, floor(256 x). An orthogonal rotation, fitted by SVD on a bounded sample
-(any rotation gives exact results; this one only makes partial sums telling), turns them so that
-the first coordinates carry most of the product. A candidate block, sorted by length, is given up
-for a query when the product of lengths is below the query's k-th best score; otherwise partial
-sums plus the Cauchy-Schwarz bound of the residuals prune single candidates, and what remains is
-scored exactly in integers. Queries go in blocks, each held against all rows.
+Vectors become integers, floor(256 x), and are written once, dealt out by falling length. The
+longest of them, a bounded number, give each query a first k-th best score, below which nothing is
+ever sent on. An orthogonal rotation, fitted by SVD on those longest (any rotation gives exact
+results; this one only makes partial sums telling), turns vectors so that the first coordinates
+carry most of the product. A candidate block, sorted by length, is given up for a query when the
+product of lengths is below the query's k-th best score so far; otherwise partial sums plus the
+Cauchy-Schwarz bound of the residuals prune single candidates, and what remains is scored
+exactly in integers. Queries go in blocks of bounded bytes, one block after another, each against
+all rows; a task keeps its k best of each query from its first row to its last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut
+from quire.llm.shared import cut, discard, map_batches, scratch_path, written
 
-#: Queries of a block, rows of the rotation's sample, candidates of a block, leading coordinates.
-QUERY_BLOCK, SAMPLE, CANDIDATES, LEAD = 4096, 4096, 2048, 16
-SCHEMA = "query_id long, vec_id long, score long"
+#: Queries of a block and their bytes, at most; queries that are searched for at once; longest vectors that start the search.
+QUERY_BLOCK, QUERY_BYTES, AT_ONCE, SEEDS = 65536, 64 << 20, 2048, 4096
+#: Candidates of a block, and leading coordinates.
+CANDIDATES, LEAD = 2048, 16
+SCHEMA = "rid long, query_id long, vec_id long, score long"
+#: Below any score, and safe to negate.
+NONE = -(2**62)
 
 
 def usable(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -38,15 +45,21 @@ def rotation(vectors: np.ndarray) -> np.ndarray:
     return np.linalg.svd(vectors.astype(float), full_matrices=True)[2].T
 
 
+@dataclass
 class Block:
-    """Queries of one dimension, ready to be searched for."""
+    """Queries of one dimension: row numbers, ids, vectors, and the least score that counts for each."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, turn: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
-        self.turn = turn
-        r = q @ turn
+    rids: np.ndarray
+    ids: np.ndarray
+    q: np.ndarray
+    floor: np.ndarray
+    turn: np.ndarray
+    k: int
+
+    def __post_init__(self) -> None:
+        r = self.q @ self.turn
         self.lead, self.rest = r[:, :LEAD], np.linalg.norm(r[:, LEAD:], axis=1)
-        self.norm = np.linalg.norm(q, axis=1)
+        self.norm = np.linalg.norm(self.q.astype(float), axis=1)
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -58,107 +71,150 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     raise OverflowError("a score would not fit a long")
 
 
-def search(block: Block, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """ids and scores, k columns, of the best candidates of one task; id -1 where there is none."""
-    n, k = len(block.ids), block.k
-    none = -(2**62)  # below any score, and safe to negate
-    ids, scores = np.full((n, k), -1, np.int64), np.full((n, k), none, np.int64)
-    for own_ids, own in batches:
-        norms = np.linalg.norm(own.astype(float), axis=1)
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row by falling score, ties by id."""
+    if scores.shape[1] > 4 * k:  # keep all that tie with the k-th best, for the tie rule
+        edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        width = max(k, int((scores >= edge[:, None]).sum(1).max()))
+        keep = np.argpartition(-scores, width - 1, axis=1)[:, :width]
+        scores, ids = np.take_along_axis(scores, keep, 1), np.take_along_axis(ids, keep, 1)
+    best = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
+
+
+class Search:
+    """The k best candidates of each query of a block, over all that were seen so far."""
+
+    def __init__(self, block: Block):
+        self.block = block
+        self.ids, self.scores = np.full((len(block.ids), block.k), -1, np.int64), np.full((len(block.ids), block.k), NONE, np.int64)
+
+    def see(self, rids: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        norms = np.linalg.norm(vectors.astype(float), axis=1)
         order = np.argsort(-norms, kind="stable")
         for at in range(0, len(order), CANDIDATES):
             part = order[at : at + CANDIDATES]
-            x, xid, xn = own[part], own_ids[part], norms[part]
-            worst = scores[:, -1].astype(float)
-            slack = 1e-9 * block.norm * xn[0] + 1e-6
-            alive = np.flatnonzero(block.norm * xn[0] + slack >= worst)
-            if not len(alive):
+            x = vectors[part]
+            turned = x @ self.block.turn
+            lead, rest = turned[:, :LEAD].T.copy(), np.linalg.norm(turned[:, LEAD:], axis=1)
+            met = [self._meet(slice(q, q + AT_ONCE), rids[part], ids[part], x, norms[part], lead, rest) for q in range(0, len(self.ids), AT_ONCE)]
+            if not any(met):
                 break  # every later candidate is shorter
-            r = x @ block.turn
-            bound = block.lead[alive] @ r[:, :LEAD].T
-            bound += np.outer(block.rest[alive], np.linalg.norm(r[:, LEAD:], axis=1))
-            open_ = bound + slack[alive, None] >= worst[alive, None]
-            columns = np.flatnonzero(open_.any(0))
-            rows = np.flatnonzero(open_.any(1))
-            if not len(rows):
-                continue
-            x, xid = x[columns], xid[columns]
-            for first in range(0, len(rows), 512):
-                own_rows = alive[rows[first : first + 512]]
-                got = np.where(block.ids[own_rows][:, None] == xid[None], none, _products(block.q[own_rows], x))
-                every = np.concatenate([scores[own_rows], got], axis=1)
-                names = np.concatenate([ids[own_rows], np.broadcast_to(xid, got.shape)], axis=1)
-                if every.shape[1] > 4 * k:  # keep all that tie with the k-th best, for the tie rule
-                    edge = -np.partition(-every, k - 1, axis=1)[:, k - 1]
-                    width = max(k, int((every >= edge[:, None]).sum(1).max()))
-                    keep = np.argpartition(-every, width - 1, axis=1)[:, :width]
-                    every, names = np.take_along_axis(every, keep, 1), np.take_along_axis(names, keep, 1)
-                best = np.lexsort((names, -every), axis=1)[:, :k]
-                scores[own_rows], ids[own_rows] = np.take_along_axis(every, best, 1), np.take_along_axis(names, best, 1)
-    return np.where(scores == none, -1, ids), scores
-
-
-def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """ids and vectors of a batch, one group for each dimension."""
-    ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+
+    def _meet(self, at: slice, rids: np.ndarray, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, lead: np.ndarray, rest: np.ndarray) -> bool:
+        """Hold candidates, sorted by length, against some of the queries; False if all are too short for each."""
+        b = self.block
+        worst = np.maximum(self.scores[at, -1], b.floor[at]).astype(float)
+        slack = 1e-9 * b.norm[at] * norms[0] + 1e-6
+        alive = np.flatnonzero(b.norm[at] * norms[0] + slack >= worst)
+        if not len(alive):
+            return False
+        own = alive + at.start
+        bound = b.lead[own] @ lead
+        bound += np.outer(b.rest[own], rest)
+        open_ = bound + slack[alive, None] >= worst[alive, None]
+        columns, rows = np.flatnonzero(open_.any(0)), np.flatnonzero(open_.any(1))
+        x, rids, ids = x[columns], rids[columns], ids[columns]
+        for first in range(0, len(rows), 512):
+            r = own[rows[first : first + 512]]
+            got = np.where(b.rids[r][:, None] == rids[None], NONE, _products(b.q[r], x))
+            every = np.concatenate([self.scores[r], got], axis=1)
+            names = np.concatenate([self.ids[r], np.broadcast_to(ids, got.shape)], axis=1)
+            self.scores[r], self.ids[r] = _best(every, names, b.k)
+        return True
+
+    def found(self) -> pa.RecordBatch:
+        """What is not below its query's floor."""
+        b, keep = self.block, (self.scores > NONE) & (self.scores >= self.block.floor[:, None])
+        spread = lambda x: np.broadcast_to(x[:, None], keep.shape)[keep]
+        return pa.RecordBatch.from_arrays([pa.array(spread(b.rids)), pa.array(spread(b.ids)), pa.array(self.ids[keep]), pa.array(self.scores[keep])], ["rid", "query_id", "vec_id", "score"])
+
+
+def _by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers, ids and vectors of a batch, one group for each dimension."""
+    rids, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    lists = batch.column(2)
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int) if len(sizes) else np.zeros(0, int)
     for d in np.unique(sizes):
         rows = np.flatnonzero(sizes == d)
-        yield ids[rows], flat[starts[rows][:, None] + np.arange(d)]
+        yield rids[rows], ids[rows], flat[starts[rows][:, None] + np.arange(d)]
+
+
+def _seeds(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and vectors of the longest, by dimension."""
+    by: dict[int, list] = {}
+    for r in vectors.orderBy(F.desc("length"), "rid").select("rid", "v").limit(SEEDS).collect():
+        by.setdefault(len(r.v), []).append((r.rid, r.v))
+    return {d: (np.array([i for i, _ in x]), np.array([v for _, v in x], np.int64).reshape(len(x), d)) for d, x in by.items()}
+
+
+def _with_floors(queries: DataFrame, seeds: dict, k: int) -> DataFrame:
+    """queries (rid, vec_id, v) with floor, the k-th best score among the seeds; NONE if they are fewer."""
+    shared = queries.sparkSession.sparkContext.broadcast(seeds)
+
+    def rows(columns: list[list]) -> list[list]:
+        floors = []
+        for rid, v in zip(columns[0], columns[2], strict=True):
+            names, x = shared.value.get(len(v), (np.zeros(0, np.int64), np.zeros((0, len(v)), np.int64)))
+            got = _products(np.array([v], np.int64), x)[0][names != rid]
+            floors.append(int(np.partition(got, len(got) - k)[len(got) - k]) if len(got) >= k else NONE)
+        return [*columns, floors]
+
+    return map_batches(queries, rows, "rid long, vec_id long, v array<long>, floor long")
 
 
 def top_k(embeddings: DataFrame, query_divisor: int = 50, k: int = 5, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all other rows for each id divisible by query_divisor.
+    """(query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by query_divisor.
 
-    Equal scores go to the smaller id. Vectors of different dimensions have no product and don't
-    meet. Of query rows with one id the lexicographically smallest vector asks; repeated
-    candidate rows are candidates each. Fewer candidates give fewer rows, none an empty result.
+    Equal scores go to the smaller id. Rows are told apart by where they stand: each of several
+    rows with one id asks, and is a candidate of the others. Vectors of different dimensions have no
+    product and don't meet. Rows that take no part are those of usable(). Fewer candidates give fewer rows,
+    none an empty result.
     """
-    rows = usable(embeddings)
-    queries = cut(rows.filter(F.col("vec_id") % query_divisor == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
-    total = queries.count()
-    blocks = max(1, -(-total // query_block))
-    sample = {}
-    for r in rows.select("v").limit(SAMPLE).collect():
-        sample.setdefault(len(r.v), []).append(r.v)
-    turns = {d: rotation(np.array(v)) for d, v in sample.items() if d}
-    found = []
-    for b in range(blocks):
-        own: dict[int, list] = {}
-        for r in queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():  # about query_block rows
-            own.setdefault(len(r.v), []).append((r.vec_id, r.v))
-        ready = {d: Block(np.array([i for i, _ in x]), np.array([v for _, v in x], np.int64).reshape(len(x), d), turns.get(d, np.eye(d)), k) for d, x in own.items()}
-        shared = embeddings.sparkSession.sparkContext.broadcast(ready)
-
-        def run(batches, shared=shared):
+    spark = embeddings.sparkSession
+    paths = [scratch_path(spark, name) for name in ("vectors", "queries", "found")]
+    try:
+        length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+        numbered = usable(embeddings).select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v", length.alias("length"))
+        vectors = written(numbered.repartitionByRange(F.desc("length"), F.xxhash64("rid")).sortWithinPartitions(F.desc("length")), "vectors", paths[0])
+        seeds = _seeds(vectors)
+        turns = {d: rotation(x) for d, (_, x) in seeds.items() if d}
+        queries = written(_with_floors(vectors.filter(F.col("vec_id") % query_divisor == 0).select("rid", "vec_id", "v"), seeds, k), "queries", paths[1])
+        size = queries.agg(F.count("*").alias("n"), F.sum(F.size("v") * 24.0 + 64).alias("bytes")).first()
+        blocks = max(1, -(-size.n // query_block), int((size.bytes or 0) // QUERY_BYTES) + 1)
+        found = spark.createDataFrame([], SCHEMA)
+        for b in range(blocks):
             by: dict[int, list] = {}
-            for batch in batches:
-                for ids, v in _pairs(batch):
-                    if v.shape[1] in shared.value:
-                        by.setdefault(v.shape[1], []).append((ids, v))
-                        if sum(len(x[0]) for x in by[v.shape[1]]) >= 1 << 18:
-                            yield from emit(shared.value[v.shape[1]], by.pop(v.shape[1]))
-            for d, parts in by.items():
-                yield from emit(shared.value[d], parts)
-
-        def emit(block, parts):
-            ids, scores = search(block, [(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))])
-            keep = ids >= 0
-            names = np.broadcast_to(block.ids[:, None], ids.shape)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids[keep]), pa.array(scores[keep])], ["query_id", "vec_id", "score"])
-
-        found.append(rows.mapInArrow(run, SCHEMA))
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for r in queries.filter(F.pmod(F.xxhash64("rid"), F.lit(blocks)) == b).collect():  # about a block's bytes
+                by.setdefault(len(r.v), []).append(r)
+            ready = {d: Block(np.array([r.rid for r in x]), np.array([r.vec_id for r in x]), np.array([r.v for r in x], np.int64).reshape(len(x), d), np.array([r.floor for r in x]), turns.get(d, np.eye(d)), k) for d, x in by.items()}
+            shared = spark.sparkContext.broadcast(ready)
+
+            def run(batches, shared=shared):
+                searches = {d: Search(block) for d, block in shared.value.items()}
+                for batch in batches:
+                    for rids, ids, v in _by_dimension(batch):
+                        if v.shape[1] in searches:
+                            searches[v.shape[1]].see(rids, ids, v)
+                yield from (s.found() for s in searches.values())
+
+            vectors.select("rid", "vec_id", "v").mapInArrow(run, SCHEMA).write.mode("append").parquet(paths[2])
+            found = spark.read.schema(SCHEMA).parquet(paths[2])
+            shared.destroy()
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")))
+        return cut(ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    finally:
+        for path in paths:
+            discard(spark, path)
 
 
 TOPK_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
-s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
-      from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+s as (select q.rid, q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+      from v q join v c on q.vec_id % 50 = 0 and c.rid <> q.rid),
+r as (select *, row_number() over (partition by rid order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """

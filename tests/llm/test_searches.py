@@ -12,18 +12,23 @@ import pytest
 from quire.llm import decontaminate, pii, secrets, topk
 
 
-def test_topk_against_brute_force(spark):
+def test_topk_against_brute_force(spark, monkeypatch):
     r = random.Random(3)
     rows = [(i, [r.choice((-1.0, 0.5, 0.25, r.gauss(0, 1))) for _ in range(20)]) for i in range(400)]
     rows += [(401, None), (402, [1.0, None] * 10), (403, [float("nan")] * 20), (404, [float("inf")] * 20), (None, [1.0] * 20), (450, [1.0, 2.0]), (451, [3.0, 4.0]), (500, []), (399, rows[399][1])]
-    table = spark.createDataFrame([(*x, "e") for x in rows], "vec_id long, embedding array<float>, score string")
+    rows += [(50, rows[50][1]), (50, rows[51][1]), (550, [0.0] * 20)]
+    table = spark.createDataFrame([(*x, "e", 1) for x in rows], "vec_id long, embedding array<float>, score string, rid int")
     whole = [(i, np.floor(np.array(v, np.float32).astype(float) * 256).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     expected = []
-    for q, v in {i: v for i, v in whole if i % 50 == 0}.items():
-        found = sorted((-int(v @ w), i) for i, w in whole if i != q and len(w) == len(v))[:5]
-        expected += [(q, k, i, -s) for k, (s, i) in enumerate(found, 1)]
-    got = [tuple(x) for x in topk.top_k(table).collect()]
-    assert sorted(got) == sorted(expected)
+    for at, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            found = sorted((-int(v @ w), i) for own, (i, w) in enumerate(whole) if own != at and len(w) == len(v))[:5]
+            expected += [(q, k, i, -s) for k, (s, i) in enumerate(found, 1)]
+    for small in (topk.SEEDS, 3, 20):
+        monkeypatch.setattr(topk, "SEEDS", small)
+        monkeypatch.setattr(topk, "AT_ONCE", small)
+        monkeypatch.setattr(topk, "CANDIDATES", 2 * small)
+        assert sorted(tuple(x) for x in topk.top_k(table).collect()) == sorted(expected)
     assert sorted(tuple(x) for x in topk.top_k(table, query_block=3).collect()) == sorted(expected)
     assert topk.top_k(table.limit(0)).count() == 0
 
