@@ -89,6 +89,44 @@ def test_rearranged_passage_is_found(spark):
     assert [(x.doc_id, x.coverage, x.n_tiles) for x in decontaminate.contaminated_pairs(docs, bench).collect()] == [(1, 1.0, 2)]
 
 
+def plain_tiles(a, b, least):
+    used_a, used_b, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for q in range(len(b)):
+            for p in range(len(a)):
+                k = 0
+                while p + k < len(a) and q + k < len(b) and a[p + k] == b[q + k] and p + k not in used_a and q + k not in used_b:
+                    k += 1
+                if k > best[2]:
+                    best = (p, q, k)
+        if best[2] < least:
+            return out
+        out.append(best)
+        used_a.update(range(best[0], best[0] + best[2]))
+        used_b.update(range(best[1], best[1] + best[2]))
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 8])
+def test_tiles_in_order(letters, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 7)
+    r = np.random.default_rng(letters)
+    for _ in range(60):
+        least = int(r.integers(1, 5))
+        item, doc = r.integers(0, letters, int(r.integers(least, 40))), r.integers(0, letters, int(r.integers(least, 60)))
+        windows = {tuple(item[q : q + least].tolist()) for q in range(len(item) - least + 1)}
+        seeds = np.array([p for p in range(len(doc) - least + 1) if tuple(doc[p : p + least].tolist()) in windows], np.int64)
+        got = decontaminate.tile(doc, item, seeds, least) if len(seeds) else []
+        assert got == plain_tiles(doc.tolist(), item.tolist(), least)
+
+
+def test_repeated_words_tile_quickly():
+    item = decontaminate.ItemIndex([(1, "to be " * 60), (2, "a " * 2000), (3, " ".join(f"w{i}" for i in range(500)))], 5)
+    started = time.time()
+    found = {i: (c, n) for i, c, n, _ in item.matches("to be " * 10_000 + "a " * 20_000 + " ".join(f"w{i}" for i in range(500)))}
+    assert found == {1: (120, 120), 2: (2000, 2000), 3: (500, 500)} and time.time() - started < 10
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
