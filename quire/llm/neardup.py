@@ -11,10 +11,10 @@ the two texts.
 
 Each member of a key's group is first held against the group's two centres (the smallest node, and
 the smallest under a hash that depends on the key), then against the member with the most links so
-far. Members that are still in different components meet pair by pair where the group is small. Those
-of larger groups are keyed anew by their rarest shingles: two sets of similarity 0.8 can't do without
-a common one among the fifth of each that is rarest, so no pair is lost, and texts that share
-only a common passage don't meet.
+far. Members that are still in different components are then held against each other block by block,
+and one link is kept of each two components. Those of very large groups are keyed anew first, by their rarest
+shingles: two sets of similarity 0.8 can't do without a common one among the fifth of each that is
+rarest, so no pair is lost, and texts that share only a common passage don't meet.
 
 The unit is a distinct text, whatever ids its rows have.
 """
@@ -22,8 +22,10 @@ The unit is a distinct text, whatever ids its rows have.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +38,11 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, LEAST = 16, 4, 1024
 #: Five standard errors of a truncated sketch: estimates as near to the bound are settled exactly.
 DOUBT = 0.0625
-#: Members of a key group up to which all pairs of its components are compared; of a block beyond it.
-SMALL, BLOCK = 48, 48
+#: Members of a key group beyond which they are keyed anew; of a block, and of a part that it is held against.
+LARGE, BLOCK, PART = 4096, 512, 2048
+#: Common hashes that are counted at once.
+COUNTED = 1 << 21
+LINK = "a long, b long, size_a long, size_b long, doubt boolean"
 #: Digests that a task remembers, so that the copies it meets are keyed once.
 SEEN = 200_000
 SIGNED = "doc_id long, digest binary, sketch binary, size long, keys array<long>"
@@ -151,23 +156,96 @@ def _exactly(pairs: DataFrame, slices: DataFrame, similarity: float) -> DataFram
     return pairs.join(shared, ["a", "b"]).filter(F.col("n") >= F.lit(similarity) * (F.col("size_a") + F.col("size_b") - F.col("n")) - 1e-6).select("a", "b")
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, similarity: float, slices) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar; where truncated sketches leave it in doubt, by all hashes."""
+def _judge(sa: bytes, sb: bytes, na: int, nb: int, similarity: float) -> tuple[bool, bool]:
+    """Whether two texts are similar by their sketches, and whether that is in doubt."""
+    found = similar(sa, sb)
+    return found >= similarity, max(na, nb) > LEAST and abs(found - similarity) <= DOUBT
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, similarity: float, settle) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar."""
     known = ("node", "sketch", "size")
     sided = pairs.join(sketches.select(*known).toDF("a", "sa", "na"), "a").join(sketches.select(*known).toDF("b", "sb", "nb"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def verify(columns: list[list]) -> list[list]:
         kept = []
         for a, b, na, nb, sa, sb in zip(*columns, strict=True):
-            found = similar(sa, sb)
-            doubt = max(na, nb) > LEAST and abs(found - similarity) <= DOUBT
-            if doubt or found >= similarity:
+            alike, doubt = _judge(sa, sb, na, nb, similarity)
+            if doubt or alike:
                 kept.append((a, b, na, nb, doubt))
         return [list(c) for c in zip(*kept, strict=True)] if kept else [[] for _ in range(5)]
 
-    judged = cut(map_batches(sided, verify, "a long, b long, size_a long, size_b long, doubt boolean"))
-    sure, doubtful = judged.filter("not doubt").select("a", "b"), judged.filter("doubt").drop("doubt")
-    return sure if doubtful.isEmpty() else cut(sure.unionByName(_exactly(doubtful, slices(doubtful), similarity)))
+    return settle(map_batches(sided, verify, LINK))
+
+
+def _common(outer: list[np.ndarray], other: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """How many hashes each sketch of other shares with each of outer: rows of counts from a place on."""
+    values = np.concatenate(outer)
+    owners = np.repeat(np.arange(len(outer)), list(map(len, outer)))
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    at = 0
+    while at < len(other):
+        to, size, spans = at, 0, []
+        while to < len(other) and (size < COUNTED or to == at):
+            low, high = np.searchsorted(values, other[to], "left"), np.searchsorted(values, other[to], "right")
+            spans.append((low, high - low))
+            size += int((high - low).sum())
+            to += 1
+        low, many = (np.concatenate(x) for x in zip(*spans, strict=True))
+        rows = np.repeat(np.arange(to - at), list(map(len, other[at:to])))
+        place = np.repeat(low - np.cumsum(many) + many, many) + np.arange(size)
+        yield at, np.bincount(np.repeat(rows, many) * len(outer) + owners[place], minlength=(to - at) * len(outer)).reshape(to - at, len(outer))
+        at = to
+
+
+def _block_links(apart: DataFrame, sketches: DataFrame, similarity: float, settle) -> DataFrame:
+    """Links between members of a group that are of different components: one of each two components in a block.
+
+    Those outside the group's main component are dealt into blocks, which all members meet in parts, so
+    a large group is spread over many tasks and none holds more than a block and a part.
+    """
+    blocks, parts = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("long"), F.ceil(F.col("n") / PART).cast("long")
+    dealt = lambda many, salt: F.pmod(F.xxhash64("node", F.lit(salt)), many)
+    each = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
+    held = apart.join(sketches.select("node", "sketch"), "node")
+    columns = ("node", "size", "comp", "sketch")
+    outer = held.filter("comp != main").select("key", dealt(blocks, "block").alias("block"), each(parts).alias("part"), *columns)
+    every = held.select("key", each(blocks).alias("block"), dealt(parts, "part").alias("part"), *columns)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], tuple] = {}
+        unsure = []
+        x, y = ([t.column(c).to_pylist() for c in columns] for t in (left, right))
+        if x[0] and y[0]:
+            sizes, comps = np.array(x[1]), np.array(x[2])
+            outer, other = ([np.frombuffer(b, "<u4") for b in t[3]] for t in (x, y))
+            lengths = np.array(list(map(len, outer)))
+            for at, counts in _common(outer, other):
+                for j, row in enumerate(counts, at):
+                    n = len(other[j])
+                    whole = (sizes <= LEAST) & (y[1][j] <= LEAST)
+                    near = np.where(whole, row / (lengths + n - row) >= similarity, row >= (similarity - 2 * DOUBT) * np.minimum(lengths, n))
+                    for i in np.flatnonzero(near & (comps != y[2][j])).tolist():
+                        two = (min(x[2][i], y[2][j]), max(x[2][i], y[2][j]))
+                        if two in found:
+                            continue
+                        link = (x[0][i], y[0][j], x[1][i], y[1][j])
+                        if whole[i]:
+                            found[two] = (*link, False)
+                            continue
+                        alike, doubt = _judge(x[3][i], y[3][j], x[1][i], y[1][j], similarity)
+                        if doubt:
+                            unsure.append((two, (*link, True)))
+                        elif alike:
+                            found[two] = (*link, False)
+        rows = [*found.values(), *(link for two, link in unsure if two not in found)]
+        kinds = [pa.int64()] * 4 + [pa.bool_()]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["a", "b", "size_a", "size_b", "doubt"])
+
+    outer = outer.toDF("own_key", "own_block", "own_part", *columns)
+    met = outer.groupBy("own_key", "own_block", "own_part").cogroup(every.groupBy("key", "block", "part")).applyInArrow(meet, LINK)
+    return settle(met)
 
 
 def _ordered(met: DataFrame, similarity: float) -> DataFrame:
@@ -181,7 +259,7 @@ def _apart(crowd: DataFrame, components: DataFrame) -> DataFrame:
     placed = crowd.join(components, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("comp"))
     counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     split = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > most")
-    return cut(placed.join(split, "key"))
+    return cut(placed.join(cut(split), "key"))  # written first, so that a large group's rows can be split up
 
 
 def _hub_pairs(apart: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
@@ -213,58 +291,42 @@ def _rarest(members: DataFrame, sketches: DataFrame, similarity: float) -> DataF
     return ordered.select("node", "size", F.explode(first).alias("k")).select("k.key", "node", "size")
 
 
-def _other_pairs(apart: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of a group's members that are of different components.
-
-    Those outside the group's main component are dealt into blocks, which all members meet in parts,
-    so a large group is spread over many tasks.
-    """
-    blocks, parts = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("long"), F.ceil(F.col("n") / (10 * BLOCK)).cast("long")
-    dealt = lambda many, salt: F.pmod(F.xxhash64("node", F.lit(salt)), many)
-    each = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
-    outer = apart.filter("comp != main").select("key", dealt(blocks, "block").alias("block"), each(parts).alias("part"), F.col("node").alias("c"), F.col("size").alias("c_size"), F.col("comp").alias("c_comp"))
-    every = apart.select("key", each(blocks).alias("block"), dealt(parts, "part").alias("part"), "node", "size", "comp")
-    return _ordered(every.join(outer, ["key", "block", "part"]).filter("comp != c_comp"), similarity)
-
-
 def _components(docs: DataFrame, signed: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root) of the texts that have a near duplicate."""
     keyed = texts.select("node", "size", F.explode(F.array_distinct("keys")).alias("key"))
     one = lambda by: F.min_by(F.struct("node", "size"), by)
     centres = keyed.groupBy("key").agg(one(F.col("node")).alias("c1"), one(F.xxhash64("node", "key")).alias("c2"), F.count("*").alias("many")).filter("many > 1")
-    shared = cut(keyed.join(centres, "key"))
+    shared = cut(keyed.join(cut(centres), "key"))  # centres are written first, so that a large group's rows can be split up
     met = shared.select("node", "size", F.explode(F.array("c1", "c2")).alias("c")).select("node", "size", F.col("c.node").alias("c"), F.col("c.size").alias("c_size"))
     pairs = cut(_ordered(met, similarity))
     ends = texts.select("digest", "node", "size", "first").join(shared.select("node").distinct(), "node", "left_semi")
     sketches = cut(signed.filter("sketch is not null").select("digest", "sketch").join(ends, "digest").dropDuplicates(["node"]))
 
-    def slices(doubtful: DataFrame) -> DataFrame:
+    def settled(judged: DataFrame) -> DataFrame:
+        """(a, b) of links, those in doubt settled over all hashes of the two texts."""
+        judged = cut(judged)
+        sure, doubtful = judged.filter("not doubt").select("a", "b"), judged.filter("doubt").drop("doubt").distinct()
+        if doubtful.isEmpty():
+            return sure
         long = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return cut(_slices(docs, sketches.select("digest", "node", "first").join(long, "node", "left_semi"), words))
+        slices = cut(_slices(docs, sketches.select("digest", "node", "first").join(long, "node", "left_semi"), words))
+        return cut(sure.unionByName(_exactly(doubtful, slices, similarity)))
 
-    links = _linked(pairs, sketches, similarity, slices)
+    links = _linked(pairs, sketches, similarity, settled)
     components = cut(connected_components(links))
-
-    def settle(found: DataFrame) -> None:
-        nonlocal pairs, links, components
-        more = cut(found.join(pairs, ["a", "b"], "left_anti"))
-        new = _linked(more, sketches, similarity, slices)
-        pairs, links, components = pairs.unionByName(more), links.unionByName(new), merge(components, new)
-
     # up to three members, the centres meet all others; larger groups go on until all components have met
     apart = _apart(shared.filter("many > 3").select("key", "node", "size"), components)
     if apart.isEmpty():
         return components
-    settle(_hub_pairs(apart, links, similarity))
+    components = merge(components, _linked(_hub_pairs(apart, links, similarity), sketches, similarity, settled))
     apart = _apart(apart.select("key", "node", "size"), components)
     if apart.isEmpty():
         return components
-    found = _other_pairs(apart.filter(F.col("n") <= SMALL), similarity)
-    large = apart.filter(F.col("n") > SMALL)
-    if not large.isEmpty():
-        found = found.unionByName(_other_pairs(_apart(_rarest(large, sketches, similarity), components), similarity)).distinct()
-    settle(found)
-    return components
+    components = merge(components, _block_links(apart.filter(F.col("n") <= LARGE), sketches, similarity, settled))
+    large = apart.filter(F.col("n") > LARGE)
+    if large.isEmpty():
+        return components
+    return merge(components, _block_links(_apart(_rarest(large, sketches, similarity), components), sketches, similarity, settled))
 
 
 def _grouped(docs: DataFrame, words: int, similarity: float, path: str) -> tuple[DataFrame, DataFrame]:

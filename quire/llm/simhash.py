@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
-from quire.llm.shared import cut, map_batches
+from quire.llm.shared import cut, discard, map_batches, scratch_path, written
 
 SEED = 42
 #: Largest key group whose members are compared one by one.
@@ -109,9 +109,11 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
         at, keys = golay_keys(fp, lists)
         return [keys, fp[at], rep[at]]
 
-    keyed = map_batches(prints.select("fp", "rep"), rows, "key long, fp long, rep long")
+    path = scratch_path(prints.sparkSession, "golay")
+    keyed = written(map_batches(prints.select("fp", "rep"), rows, "key long, fp long, rep long"), "golay", path)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = cut(keyed.join(sizes, "key"))
+    discard(prints.sparkSession, path)
     near = F.expr(f"filter(g, y -> y.fp > x.fp and bit_count(y.fp ^ x.fp) <= {max_bits})")
     paired = (
         shared.filter(F.col("size") <= BUCKET)
@@ -141,7 +143,8 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, id_co
     component_id is the smallest doc_id reachable over links, the row's own included. Equal
     fingerprints are merged before any key is made, so copies cost one row. Null, empty and
     blank texts share fingerprint zero and link like any other; a repeated doc_id gives a row
-    each time; an empty table gives an empty result; other columns are ignored.
+    each time; very long texts are hashed whole, 65536 shingles at once; an empty table gives an
+    empty result; other columns are ignored.
     """
     prints = cut(fingerprints(docs, words, id_col, text_col))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))

@@ -193,7 +193,7 @@ def test_digest_in_spark(spark, text):
 
 def test_members_of_large_key_groups_meet_by_their_rarest_shingles(spark, monkeypatch):
     """Texts that share a long passage and also have near copies, in groups too large for all pairs."""
-    monkeypatch.setattr(neardup, "SMALL", 3)
+    monkeypatch.setattr(neardup, "LARGE", 3)
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     passage, texts = [word() for _ in range(120)], []
@@ -214,6 +214,37 @@ def test_members_of_large_key_groups_meet_by_their_rarest_shingles(spark, monkey
     assert met
 
 
+def test_common_hashes(monkeypatch):
+    monkeypatch.setattr(neardup, "COUNTED", 9)
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 30, n)).astype("<u4") for n in (5, 0, 12, 20, 1, 8, 0, 16)]
+    outer, other = sets[:3], sets[2:]
+    for pick in (outer, outer[::-1]):
+        rows = np.concatenate([counts for _, counts in neardup._common(pick, other)])
+        assert rows.tolist() == [[len(np.intersect1d(a, b)) for a in pick] for b in other]
+
+
+@pytest.mark.parametrize(("words", "swaps"), [(110, 9), (2200, 130)])
+def test_a_large_group_of_texts_around_the_bound(spark, monkeypatch, words, swaps):
+    """Members of one group between 0.5 and 0.95 to each other, in several blocks and parts; those of long texts are in doubt."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "PART", 11)
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(words)], []
+    for _ in range(90):
+        own = list(base)
+        for _ in range(r.randrange(0, swaps)):
+            own[r.randrange(words)] = word()
+        texts.append(" ".join(own))
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(90) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    expected = roots(90, pairs)
+    assert 5 < len(set(expected)) < 70
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.group_id for x in neardup.near_duplicate_groups(docs).collect()} == dict(enumerate(expected))
+
+
 def test_merged_components(spark):
     r = random.Random(9)
     first, more = ([(r.randrange(200), r.randrange(200)) for _ in range(60)] for _ in range(2))
