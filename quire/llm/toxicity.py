@@ -218,8 +218,10 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) ->
         return [[t for t, _ in found], [w for _, w in found], list(found.values())]
 
     counts: list[dict[str, int]] = [{}, {}]
-    for r in map_batches(chosen.filter("not kept").select("text", "toxic"), words, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n")).collect():
-        counts[r.toxic][r.word] = r.n
+    found = map_batches(chosen.filter("not kept").select("text", "toxic"), words, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
+    for batch in found.toArrow().to_batches(10_000):
+        for toxic, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[toxic][word] = n
     pair = fit_pair(counts[1], counts[0])
     shared = docs.sparkSession.sparkContext.broadcast(pair)
 
