@@ -61,8 +61,11 @@ def _captures(pages: DataFrame, least_bytes: int, wanted: Column, shared: DataFr
         F.when(~alone & is_top, first).otherwise(_record_id(F.lit("large"), F.lit(part), number)).alias("capture"),
         F.when(~alone & ~is_top, first).alias("target"),
     )
+    tied = shared.filter("ties > 1")
+    if tied.isEmpty():
+        return small.unionByName(plain)
     # equal rows that all stand first: one of them is the response
-    tied = known.filter(is_top & (F.col("ties") > 1)).groupBy("page_id", "url", "digest", "octets").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+    tied = source.filter(F.col("octets") >= least_bytes).join(tied, "digest").filter(is_top).groupBy("page_id", "url", "digest", "octets").agg(F.first("html").alias("html"), F.count("*").alias("n"))
     each = tied.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     again = each.select(*columns, F.when(F.col("k") == 1, first).otherwise(_record_id(F.lit("tied"), F.col("digest"), F.col("k").cast("string"))).alias("capture"), F.when(F.col("k") > 1, first).alias("target"))
     return small.unionByName(plain).unionByName(again)
