@@ -105,6 +105,23 @@ def cover_scale(zone_w: Column, zone_h: Column, image_w: Column, image_h: Column
     return F.greatest(zone_w / image_w, zone_h / image_h, F.lit(1.0))
 
 
+def crop_box(zone_w: Column, zone_h: Column, image_w: Column, image_h: Column, *key: Column, seed: int = 42) -> Column:
+    """struct(scale, width, height, left, top): an image scaled to cover a zone, and the zone's place in it.
+
+    The place is uniform over all that fit, drawn from a hash of the seed and the key, so it is the
+    same on any cluster.
+    """
+    scale = cover_scale(zone_w, zone_h, image_w, image_h)
+    grown = lambda size, zone: F.when(scale > 1, F.greatest((size * scale + 0.5).cast("int"), zone.cast("int"))).otherwise(size.cast("int"))
+    width, height = grown(image_w, zone_w), grown(image_h, zone_h)
+
+    def offset(axis: str, size: Column, zone: Column) -> Column:
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{axis}"), *(k.cast("string") for k in key))), 1, 13), 16, 10).cast("long")
+        return F.pmod(draw, F.greatest(size - zone.cast("int"), F.lit(0)) + 1).cast("int")
+
+    return F.struct(scale.alias("scale"), width.alias("width"), height.alias("height"), offset("x", width, zone_w).alias("left"), offset("y", height, zone_h).alias("top"))
+
+
 def fit_scale(most_w: Column, most_h: Column, w: Column, h: Column) -> Column:
     return F.least(most_w / w, most_h / h, F.lit(1.0))
 

@@ -83,17 +83,17 @@ def same_mark(c: Column) -> Column:
 def circle_pairs(c: Column | str) -> Column:
     """(ch, mark) for each circle mark: ch is the last Han character before it, whatever lies
     between. A character value gets two marks in a text at most."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast(PAIRS).alias("pairs"))
+    # only Han characters and marks matter, and of the former only those that marks follow
+    kept = F.regexp_replace(_text(c), f"[^{HAN}{CIRCLE_MARKS}]", "")
+    marked = F.regexp_extract_all(kept, F.lit(f"[{HAN}][{CIRCLE_MARKS}]+"), 0)
 
-    def step(acc: Column, ch: Column) -> Column:
-        room = F.size(F.filter(acc["pairs"], lambda p: p["ch"] == acc["last"])) < 2
-        takes = F.lit(CIRCLE_MARKS).contains(ch) & acc["last"].isNotNull() & room
-        pair = F.struct(acc["last"].alias("ch"), same_mark(ch).alias("mark"))
-        return F.struct(F.when(is_han(ch), ch).otherwise(acc["last"]).alias("last"), F.when(takes, F.concat(acc["pairs"], F.array(pair))).otherwise(acc["pairs"]).alias("pairs"))
+    def step(pairs: Column, m: Column) -> Column:
+        ch = F.substring(m, 1, 1)
+        own = F.transform(F.split(F.substring(m, F.lit(2), F.least(F.length(m) - 1, F.lit(2))), ""), lambda mark: F.struct(ch.alias("ch"), same_mark(mark).alias("mark")))
+        room = 2 - F.size(F.filter(pairs, lambda p: p["ch"] == ch))
+        return F.when(room > 0, F.concat(pairs, F.slice(own, F.lit(1), F.greatest(room, F.lit(0))))).otherwise(pairs)
 
-    # only Han characters and marks matter, so the fold walks those alone
-    kept = F.regexp_replace(_text(c), f"[^{HAN}{CIRCLE_MARKS}]", "")
-    return F.aggregate(chars(kept), start, step, lambda acc: acc["pairs"])
+    return F.aggregate(marked, F.array().cast(PAIRS), step)
 
 
 def circled_characters(pairs: Column) -> Column:
@@ -242,6 +242,12 @@ def flatten_brackets(c: Column | str) -> Column:
     return F.aggregate(pieces, start, step, end)
 
 
+def mark_set(config: Column | str, fixed: str = "●◎") -> Column:
+    """Characters of a |-joined setting, each once, with those that always belong to the set."""
+    own = F.array_distinct(chars(F.translate(_text(config), "|", "")))
+    return F.array_union(own, F.array(*map(F.lit, fixed))) if fixed else own
+
+
 def measure_line(c: Column | str, zero_width: str = "●◎", vertical_lines: bool = False) -> Column:
     """Main-text cells of a flattened line: comments count nothing, notes half a cell a character."""
     bare = F.regexp_replace(_text(c), r"(?s)＜[^＞]*(＞|\z)", "")

@@ -6,6 +6,7 @@ is rounded before ``report``.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,6 @@ from quire.functions import text as T
 #: Phases, and the columns of the final one.
 FIRST, THIRD = ("一期", "二期"), "三期"
 PERIODS = ("一期", "二期", "三期-严格", "三期-宽松")
-#: Ground truth up to this many rows is broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def last_of_each(gt: DataFrame, key: str, order: str) -> DataFrame:
@@ -38,15 +37,13 @@ def succeeded(ok: Column | str = "ok", finish: Column | str = "finish_reason") -
     return F.coalesce(ok, F.lit(False)) | F.coalesce(finish == "stop", F.lit(False))
 
 
-def joined(predictions: DataFrame, gt: DataFrame, gt_rows: int | None = None) -> DataFrame:
+def joined(predictions: DataFrame, gt: DataFrame) -> DataFrame:
     """Predictions with a phase and a known sequence number, beside their answer.
 
-    The truth is a benchmark of a few hundred pages; pass its size to have it broadcast, which is
-    done up to BROADCAST_ROWS. Otherwise Spark decides by its own statistics.
+    Spark broadcasts the truth, a benchmark of a few hundred pages, if its bytes are few enough.
     """
     known = predictions.withColumn("period", T.detect_period("image")).withColumn("seq", T.extract_sequence("image")).filter("period is not null and seq is not null")
     right = gt.select(F.col("index").alias("seq"), F.col("answer"))
-    right = F.broadcast(right) if gt_rows is not None and gt_rows <= BROADCAST_ROWS else right
     return known.join(right, "seq").withColumn("pred", F.coalesce("ocr", F.lit(""))).withColumn("success", succeeded())
 
 
@@ -129,8 +126,17 @@ def report(summaries: DataFrame) -> DataFrame:
     return summaries.select(*(F.round(c, 2).alias(c) if c == "分数" else F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in summaries.dtypes))
 
 
-def select_models(predictions: DataFrame, models: list[str] | None = None, skip_realphoto: bool = False) -> DataFrame:
-    """Only the models asked for; unknown names match nothing."""
+def unknown_models(models: list[str], catalog: DataFrame) -> list[str]:
+    """Those of the names asked for that the catalog (model, ..) doesn't have."""
+    known = {r.model for r in catalog.filter(F.col("model").isin(models)).select("model").distinct().collect()}  # no more than were asked for
+    return [m for m in models if m not in known]
+
+
+def select_models(predictions: DataFrame, models: list[str] | None = None, skip_realphoto: bool = False, catalog: DataFrame | None = None) -> DataFrame:
+    """Only the models asked for. Unknown names match nothing; given a catalog, they are warned of."""
+    if models is not None and catalog is not None:
+        for name in unknown_models(models, catalog):
+            warnings.warn(f"unknown model {name!r} is skipped", stacklevel=2)
     out = predictions.filter(F.col("model").isin(models)) if models is not None else predictions
     return out.filter(~F.col("model").startswith("realphoto_")) if skip_realphoto else out
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 PROMPT = "<image>\nOCR:【】＜＞。、"
 
 
@@ -26,12 +28,20 @@ def bind_images(records: DataFrame, images: DataFrame) -> DataFrame:
 def training_samples(records: DataFrame, paths: DataFrame, limit: int | None = None, seed: int = 42) -> DataFrame:
     """(prompt, image_path) of a shuffled sample whose image exists: the order is that of a seeded
     hash of the record, so it is the same on any cluster, and the limit comes before the check."""
-    shuffled = records.withColumn("_order", F.xxhash64(F.to_json("messages"), F.to_json("images"), F.lit(seed)))
-    cut = shuffled.orderBy("_order", F.to_json("messages")).limit(limit) if limit is not None else shuffled
+    told = F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"]))
+    shuffled = records.withColumn("_order", F.md5(F.concat_ws("|", F.lit(str(seed)), F.array_join(told, "|"), F.array_join("images", "|"))))
+    cut = shuffled.orderBy("_order").limit(limit) if limit is not None else shuffled
     first = cut.select(F.transform(F.slice("messages", 1, 1), lambda m: F.struct(F.lit("user").alias("role"), m["content"].alias("content"))).alias("prompt"), F.try_element_at("images", F.lit(1)).alias("image_path"), "_order")
     return first.join(paths.select(F.col("path").alias("image_path")).distinct(), "image_path", "left_semi").select("prompt", "image_path", "_order")
 
 
+def debug_samples(scored: DataFrame, order: str, every: int = 10, most: int = 3, characters: int = 80) -> DataFrame:
+    """What a training log prints: of every ``every``-th call, the first samples (call, order, completion, ..) with a snippet on one line."""
+    first = scored.filter(F.col("call") % every == 0).withColumn("_n", F.row_number().over(Window.partitionBy("call").orderBy(order))).filter(F.col("_n") <= most)
+    snippet = F.replace(F.replace(F.substring(T.strip_space("completion"), 1, characters), F.lit("\n"), F.lit("\\n")), F.lit("\f"), F.lit("\\f"))
+    return first.select("call", order, F.length(T.strip_space("completion")).alias("length"), F.length(T.strip_to_han("completion")).alias("han"), snippet.alias("snippet"))
+
+
 def flatten_words(pages: DataFrame) -> DataFrame:
     """A row for each word of OCR pages(fileName, classifiedLines)."""
     lines = pages.select("fileName", F.posexplode("classifiedLines").alias("line", "_line"))

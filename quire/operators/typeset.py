@@ -52,6 +52,14 @@ class Grid:
     vertical_lines: bool = False
     missing: str = ""
 
+    @classmethod
+    def of_settings(cls, settings: dict[str, str], cells_key: str = "col_num") -> Grid:
+        """From a layout's settings, whose sets of marks are |-joined; ● and ◎ never take a cell."""
+        marks = lambda key: "".join(dict.fromkeys(settings.get(key, "").replace("|", "")))
+        zero = lambda key: marks(key) + "".join(c for c in "●◎" if c not in marks(key))
+        rows = int(settings["row_num"])
+        return cls(rows, rows * int(settings[cells_key]), zero("text_comma_nop"), zero("comment_comma_nop"), marks("text_comma_90"), settings.get("if_book_vline", "0") not in ("", "0"))
+
 
 @dataclass
 class _Page:
@@ -167,7 +175,7 @@ def paginate(text: str, grid: Grid) -> Iterator[tuple[int, str, list[tuple[int,
     yield page.row()
 
 
-@udtf(returnType=PAGE)
+@udtf(returnType=PAGE, useArrow=True)
 class Paginate:
     """paginate(text, rows, cells[, zero_width[, missing]]): the pages of one book."""
 
@@ -191,13 +199,18 @@ def paginate_books(books: DataFrame, rows: int, columns: int, zero_width: str =
 def paginate_plain(books: DataFrame, rows: int, columns: int) -> DataFrame:
     """(book, page_idx, pagetxt) of books whose text has no brackets, controls, dashes and marks."""
     cells = rows * columns
+    pieces = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s).{{1,{n}}}"), 0)
     ready = books.select("book", load_text("text", F.lit(rows)).alias("_text"))
-    pages = ready.select("book", "_text", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("_text") / cells).cast("int") - 1, F.lit(0)))).alias("page_idx"))
-    own = F.substring("_text", F.col("page_idx") * cells + 1, F.lit(cells))
+    # a text is cut once, so each page carries its own cells alone
+    pages = ready.select("book", F.posexplode(F.when(F.length("_text") > 0, pieces(F.col("_text"), cells)).otherwise(F.array(F.lit("")))).alias("page_idx", "_own"))
     # a break stands after each full column; half a page's is another one
-    column = lambda k: own.substr(k * rows + 1, F.lit(rows))
-    ended = lambda k: F.when(F.length(column(k)) < rows, "").when((k + 1) * rows == cells // 2, "$").otherwise("\\h")
-    return pages.select("book", "page_idx", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda k: F.concat(column(k), ended(k))), "").alias("pagetxt"))
+    ended = lambda c, k: F.when(F.length(c) < rows, "").when((k + 1) * rows == cells // 2, "$").otherwise("\\h")
+    return pages.select("book", "page_idx", F.array_join(F.transform(pieces(F.col("_own"), rows), lambda c, k: F.concat(c, ended(c, k))), "").alias("pagetxt"))
+
+
+def first_pages(pages: DataFrame, n: int) -> DataFrame:
+    """Of each book, the pages before number n: a trial run or a preview."""
+    return pages.filter(F.col("page_idx") < n)
 
 
 def place_comments(comments: DataFrame, rows: int, half_columns: int, height: float, base: int, zero_width: str = "●◎。") -> DataFrame:
@@ -224,7 +237,13 @@ def place_comments(comments: DataFrame, rows: int, half_columns: int, height: fl
 
 
 def remove_rejected(pages: DataFrame, placed: DataFrame) -> DataFrame:
-    """Pages (book, .., content) without the comments of their book that were rejected."""
-    rejected = placed.filter("not kept").groupBy("book").agg(F.collect_set(F.concat(F.lit("＜"), "text", F.lit("＞"))).alias("_gone"))
+    """Pages (book, page_idx, .., content) without the comments of their book that were rejected on any page.
+
+    Each page's own comments are looked up among its book's, so work grows with the comments and no
+    book's are gathered.
+    """
+    own = pages.select("book", "page_idx", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("＜([^＞]*)＞"), 1))).alias("text"))
+    gone = own.join(placed.filter("not kept").select("book", "text").distinct(), ["book", "text"], "left_semi")
+    each = gone.groupBy("book", "page_idx").agg(F.collect_set(F.concat(F.lit("＜"), "text", F.lit("＞"))).alias("_gone"))
     content = F.aggregate(F.coalesce("_gone", F.array().cast("array<string>")), F.col("content"), lambda a, g: F.replace(a, g))
-    return pages.join(rejected, "book", "left").withColumn("content", content).drop("_gone")
+    return pages.join(each, ["book", "page_idx"], "left").withColumn("content", content).select(pages.columns)

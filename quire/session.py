@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,3 +27,15 @@ def ship(spark: SparkSession) -> None:
             archive.write(file, Path(root.name) / file.relative_to(root))
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder that all executors share: spark.checkpoint.dir, which a cluster must name."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+        named = sc.getCheckpointDir()
+    return f"{named.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"

@@ -19,9 +19,39 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("row_order", F.monotonically_increasing_id())
 
 
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of a path, so that any store will do."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that exist."""
+    return [p for p in paths if (x := _folder(spark, p))[0].exists(x[1])]
+
+
+def catalog(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(model, files): the prediction files below a folder, by the folder that they stand in."""
+    files = list_files(spark, folder, pattern).select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("model"), "path")
+    return files.groupBy("model").agg(F.array_sort(F.collect_set("path")).alias("files"))
+
+
+def write_file(spark: SparkSession, path: str, content: str | bytes) -> None:
+    """One small file, such as a layout or an image, written by the driver."""
+    system, place = _folder(spark, path)
+    out = system.create(place, True)
+    try:
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
+    finally:
+        out.close()
+
+
 def read_predictions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Prediction JSONL with missing keys as defaults; the model is the file's folder."""
-    rows = spark.read.schema(PREDICTION).json(paths)
+    """Prediction JSONL with missing keys as defaults; the model is the file's folder. Files that don't exist are skipped."""
+    found = existing(spark, paths)
+    if not found:
+        return spark.createDataFrame([], f"{PREDICTION}, model string")
+    rows = spark.read.schema(PREDICTION).json(found)
     model = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
     return rows.withColumn("model", model).fillna({"image": "", "ocr": "", "finish_reason": "", "ok": False})
 
@@ -42,7 +72,7 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """(book, text): one row for each file."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("book"), F.col("value").alias("text"))
 
 
@@ -93,5 +123,23 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:
     """Pages of a script that assigns one JSON object: a row for each page."""
     json = F.regexp_replace("value", r"(?s)^[^{]*=\s*|\s*;\s*$", "")
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json(json, ANNOTATION).alias("d"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json(json, ANNOTATION).alias("d"))
     return whole.select(F.explode("d.pages").alias("page")).select("page.*")
+
+
+def read_images(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
+    """(path, width, height, rgb): PNG images, decoded a file at a time on the executors.
+
+    An image that can't be decoded (interlaced, with a palette, of another depth, or broken) has nulls.
+    """
+    import pandas as pd
+
+    from quire.sources.png import decode
+
+    def run(batches):
+        for batch in batches:
+            found = [decode(bytes(c)) or (None, None, None) for c in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], "width": pd.array([x[0] for x in found], "Int32"), "height": pd.array([x[1] for x in found], "Int32"), "rgb": [x[2] for x in found]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "content")
+    return files.mapInPandas(run, "path string, width int, height int, rgb binary")

@@ -1,0 +1,70 @@
+"""Eight-bit PNG images, without interlacing: to and from RGB bytes."""
+
+from __future__ import annotations
+
+import struct
+import zlib
+
+import numpy as np
+
+SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Colour types to channels: grey, RGB, grey with alpha, RGB with alpha.
+CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+def _chunks(data: bytes):
+    at = len(SIGNATURE)
+    while at + 8 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        yield kind, data[at + 8 : at + 8 + size]
+        at += size + 12
+
+
+def _unfilter(rows: np.ndarray, bpp: int) -> np.ndarray:
+    """Lines of (filter, bytes) to plain bytes."""
+    out = np.zeros((len(rows), rows.shape[1] - 1), np.uint8)
+    above = np.zeros(out.shape[1], np.int64)
+    for i, row in enumerate(rows):
+        kind, line = row[0], row[1:].astype(np.int64)
+        if kind == 1:
+            line = line.reshape(-1, bpp).cumsum(0).reshape(-1)
+        elif kind == 2:
+            line = line + above
+        elif kind in (3, 4):
+            for x in range(len(line)):
+                left = line[x - bpp] if x >= bpp else 0
+                corner = above[x - bpp] if x >= bpp else 0
+                if kind == 3:
+                    guess = (left + above[x]) // 2
+                else:
+                    total = left + above[x] - corner
+                    guess = min((abs(total - left), 0, left), (abs(total - above[x]), 1, above[x]), (abs(total - corner), 2, corner))[2]
+                line[x] = (line[x] + guess) % 256
+        elif kind:
+            raise ValueError("unknown filter")
+        above = line % 256
+        out[i] = above
+    return out
+
+
+def decode(data: bytes) -> tuple[int, int, bytes] | None:
+    """(width, height, RGB bytes), or None for what isn't such an image."""
+    try:
+        if not data.startswith(SIGNATURE):
+            return None
+        parts = list(_chunks(data))
+        width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", parts[0][1])
+        if depth != 8 or interlaced or colour not in CHANNELS:
+            return None
+        n = CHANNELS[colour]
+        raw = zlib.decompress(b"".join(body for kind, body in parts if kind == b"IDAT"))
+        pixels = _unfilter(np.frombuffer(raw, np.uint8).reshape(height, 1 + width * n), n).reshape(height, width, n)
+        return width, height, (np.repeat(pixels[:, :, :1], 3, axis=2) if n < 3 else pixels[:, :, :3]).tobytes()
+    except (ValueError, struct.error, zlib.error, IndexError):
+        return None
+
+
+def encode(width: int, height: int, rgb: bytes) -> bytes:
+    rows = b"".join(b"\0" + rgb[i * width * 3 : (i + 1) * width * 3] for i in range(height))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")

@@ -16,7 +16,7 @@ def test_summary_ranking_and_pivot(spark):
     rows = [("m1", "【一期】/1.png", "甲乙", "stop", None), ("m1", "【一期】/2.png", "x", None, False), ("m1", "【三期】/1.png", "甲。", "stop", True), ("realphoto_a", "【一期】/1.png", "甲丁", None, True), ("m2", "【一期】/9.png", "甲", "stop", True), ("m3", "【二期】/1.png", "甲", "length", False)]
     predictions = spark.createDataFrame(rows, "model string, image string, ocr string, finish_reason string, ok boolean")
     truth = spark.createDataFrame([(1, "旧", "f", 0), (1, "甲乙", "f", 1), (2, None, "f", 2)], "index int, answer string, `from` string, at int")
-    samples = E.joined(predictions, E.ground_truth(truth, "at"), 2)
+    samples = E.joined(predictions, E.ground_truth(truth, "at"))
     assert samples.count() == 5
     total = E.summary(samples)
     got = {(r["模型"], r["期别"]): r for r in total.collect()}
