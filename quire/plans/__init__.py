@@ -1,3 +1,3 @@
 """Queries of the reference operators; importing this package registers them."""
 
-from quire.plans import checks, evaluation, files, registry, rewards, typesetting  # noqa: F401
+from quire.plans import checks, evaluation, files, layouts, registry, rewards, typesetting  # noqa: F401

@@ -60,10 +60,41 @@ def char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", R.repetition_parts("text")["char"].alias("repeated"))
 
 
-@query("repetition_parts")
+#: Text with brackets, and with repeated tags and words now and then.
+ECHOED = "concat({0}, case doc_id % 6 when 0 then repeat('【甲】', 3) when 1 then repeat('<ab>', 2) when 2 then repeat('xyz', 4) when 3 then '。。、；：' when 4 then repeat('<1234567>', 3) else '' end)".format(BRACKETS)
+_SPACES = "(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160), chr(12288))"
+_LAGS = ", ".join(f"ch = lag(ch, {n}) over w and ch not in {_SPACES} as s{n}" for n in range(2, 13))
+_SUMS = " or ".join(f"coalesce(sum(s{n}::int) over (partition by rid order by pos rows between {3 * n - 1} preceding and current row) = {3 * n}, false)" for n in range(2, 13))
+
+
+def repetition_sql(keys: str, text: str, source: str) -> str:
+    """keys, each kind of repetition, and the severity. A phrase of n characters four times over is a
+    run of 3 n characters each equal to the one n before."""
+    lines = "list_filter(list_transform(string_split(replace(replace(t, '\\n', chr(10)), '\\f', chr(10)), chr(10)), lambda z: regexp_replace(z, '^\\s+|\\s+$', '', 'g')), lambda z: z <> '')"
+    return f"""
+with t as (select {keys}, row_number() over () as rid, regexp_replace({text}, '^\\s+|\\s+$', '', 'g') as t from {source}),
+chs as (select rid, unnest(string_split(t, '')) as ch, generate_subscripts(string_split(t, ''), 1) as pos from t),
+same as (select *, ch = lag(ch) over (partition by rid order by pos) as s from chs),
+runs as (select rid, bool_or(coalesce(r = 4, false) and ch <> chr(10)) as found from (select rid, ch, sum(s::int) over (partition by rid order by pos rows between 3 preceding and current row) as r from same) group by rid),
+tails as (select c.rid, substr(t.t, c.pos::bigint) as s from chs c join t using (rid) where c.ch in ('【', '<')),
+tags as (select rid, bool_or(l between 3 and 10 and starts_with(s, repeat(left(s, l), 3))) as found from (select rid, s, instr(s, case when left(s, 1) = '【' then '】' else '>' end)::bigint as l from tails) group by rid),
+bare as (select rid, unnest(string_split(translate(t, '【】<>', ''), '')) as ch, generate_subscripts(string_split(translate(t, '【】<>', ''), ''), 1) as pos from t),
+lags as (select rid, pos, {_LAGS} from bare window w as (partition by rid order by pos)),
+phrases as (select rid, bool_or(f) as found from (select rid, {_SUMS} as f from lags) group by rid),
+ls as (select rid, unnest({lines}) as line, generate_subscripts({lines}, 1) as pos from t),
+lr as (select rid, line, pos - row_number() over (partition by rid, line order by pos) as island from ls),
+lc as (select rid, line, sum(n) as times, max(n) as run from (select rid, line, island, count(*) as n from lr group by all) group by all),
+lm as (select rid, max(run) >= 3 as line_run, sum(times) >= 6 and max(times) >= 5 and max(times)::double / sum(times) >= 0.35 as line_share from lc group by rid),
+parts as (select t.*, coalesce(tags.found, false) as tag, coalesce(runs.found, false) as char, regexp_matches(t, '[○●□■△▲◎〇。、，；：！？…—～]{{5,}}') as flood, coalesce(phrases.found, false) as phrase, coalesce(line_run, false) as line_run, coalesce(line_share, false) as line_share
+  from t left join tags using (rid) left join runs using (rid) left join phrases using (rid) left join lm using (rid)),
+scored as (select * exclude (rid, t), least(tag::int * 0.6::double + char::int * 0.25::double + flood::int * 0.2::double + phrase::int * 0.6::double + line_run::int * 0.8::double + line_share::int * 0.8::double, 1.0::double) as severity from parts)"""
+
+
+@query("repetition_parts", repetition_sql("doc_id", ECHOED, "documents") + " select * replace (round(severity, 6) as severity) from scored")
 def repetition_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All kinds at once; back-references have no SQL here, so tests use brute force."""
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in R.repetition_parts("text").items()), R.repetition("text").alias("severity"))
+    """All kinds at once, and their severity."""
+    text = F.expr(ECHOED)
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in R.repetition_parts(text).items()), F.round(R.repetition(text), 6).alias("severity"))
 
 
 PROBS = "transform(embedding, x -> least(abs(cast(x as double)) / 4, 1d))"
@@ -71,9 +102,13 @@ PROBS_SQL = "list_transform(embedding, lambda x: least(abs(x::double) / 4, 1))"
 MODEL = f"greatest(0.05::double, 1 - 4.0::double * (len(list_filter({PROBS_SQL}, lambda p: p >= 0.6))::double / len(embedding)) - 1.5::double * list_reduce({PROBS_SQL}, lambda a, p: a + p, 0.0::double) / len(embedding))"
 
 
-@query("model_reward", f"select vec_id, round({MODEL}, 6) as reward from embeddings")
+#: Completions of up to eight Han characters behind a prompt.
+SAID = "concat('  OCR: ', repeat('字', cast(vec_id % 9 as int)), ' abc。')"
+
+
+@query("model_reward", f"select vec_id, round(case when vec_id % 9 < 5 then 0.2::double else {MODEL} end, 6) as reward from embeddings")
 def model_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").withColumn("completion", F.lit("一二三四五六"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("completion", F.expr(SAID))
     return rows.select("vec_id", F.round(R.model_reward("completion", F.expr(PROBS), 0.6), 6).alias("reward"))
 
 
@@ -87,19 +122,26 @@ def length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(*KEY, "han", F.round(R.length_gate(F.col("han")), 6).alias("gate"))
 
 
-COMBINED = f"""with v as (select vec_id, {MODEL} as model from embeddings),
-c as (select conv_id, turn, model, {FORMAT} as form, case when len(regexp_extract_all(text, chr(10))) > 3 then 0.8::double else 0.0::double end as rep, {GATE.format(HAN_COUNT)} as gate
-      from conversations join v on vec_id = conv_id)
+COMBINED = repetition_sql("conv_id, turn, text", "text", "conversations") + f""",
+v as (select vec_id, {MODEL} as model from embeddings),
+c as (select conv_id, turn, case when {HAN_COUNT} < 5 then 0.2::double else model end as model, {FORMAT} as form, severity as rep, {GATE.format(HAN_COUNT)} as gate from scored join v on vec_id = conv_id)
 select conv_id, turn, round(greatest(0, least(1, (0.7::double * (model * (1 - 0.3::double * rep)) + 0.3::double * form - 0.35::double * rep) * gate)), 6)::double as reward from c"""
 
 
 @query("combined_reward", COMBINED)
 def combined_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classifier probabilities come from the embedding with the conversation's number."""
-    model = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), R.model_reward(F.lit("一二三四五六"), F.expr(PROBS), 0.6).alias("model"))
-    rows = table(spark, sf_dir, "conversations").join(model, "conv_id").withColumn("rep", F.when(F.length(F.regexp_replace("text", "[^\n]", "")) > 3, 0.8).otherwise(0.0))
-    gate = R.length_gate(F.length(T.strip_to_han(F.expr(D.han("text")))))
-    return rows.select(*KEY, F.round(R.combined_reward(F.col("model"), R.format_reward(F.expr(FEW)), F.col("rep"), gate), 6).alias("reward"))
+    """All parts from the completion itself; classifier probabilities come from the embedding with the conversation's number."""
+    probabilities = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), F.expr(PROBS).alias("probs"))
+    rows = table(spark, sf_dir, "conversations").join(probabilities, "conv_id")
+    han = F.expr(D.han("text"))
+    model = R.model_reward(han, F.col("probs"), 0.6)
+    return rows.select(*KEY, F.round(R.combined_reward(model, R.format_reward(F.expr(FEW)), R.repetition("text"), R.length_gate(F.length(T.strip_to_han(han)))), 6).alias("reward"))
+
+
+@query("completion_han", f"select conv_id, turn, md5(regexp_replace({D.han('text')}, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) as han from conversations")
+def completion_han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Han characters of completions that begin with a prompt."""
+    return table(spark, sf_dir, "conversations").select(*KEY, F.md5(T.han_of_completion(F.concat(F.lit(" OCR:\n "), F.expr(D.han("text"))))).alias("han"))
 
 
 RAW = "case when turn % 3 = 0 then to_json(named_struct('content', text)) when turn % 3 = 1 then to_json(array(named_struct('content', array(named_struct('type', 'text', 'text', text))))) else to_json(array(text)) end"

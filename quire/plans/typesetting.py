@@ -71,7 +71,8 @@ CELLS = ROWS * COLUMNS
 PAGES = f"""{LOADED}, p as (select doc_id, x, unnest(range(0, greatest(ceil(length(x) / {CELLS}.0), 1)::bigint)) as page from t),
 k as (select doc_id, page, unnest(range(0, {COLUMNS})) as k, substr(x, page * {CELLS} + 1, {CELLS}) as own from p),
 c as (select doc_id, page, k, substr(own, k * {ROWS} + 1, {ROWS}) as col from k)
-select doc_id as book, page::int as page_idx, md5(string_agg(col || case when length(col) < {ROWS} then '' when (k + 1) * {ROWS} = {CELLS // 2} then '$' else '\\h' end, '' order by k)) as pagetxt from c group by all"""
+select doc_id as book, page::int as page_idx, string_agg(col || case when length(col) < {ROWS} then '' when (k + 1) * {ROWS} = {CELLS // 2} then '$' else '\\h' end, '' order by k) as raw from c group by all"""
+RAW_PAGES, PAGES = PAGES, f"select book, page_idx, md5(raw) as pagetxt from ({PAGES})"
 
 
 def plain_books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +96,10 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_records")
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Books with notes and comments to chat records, even pages with an image."""
+    """Books with notes and comments to chat records; even ones of a book's first eight pages have an image."""
     records = Q.page_records(S.paginate_books(books(spark, sf_dir), ROWS, COLUMNS))
-    images = records.filter("page_idx % 2 = 0").select("book", "page_idx", F.format_string("%s_%03d.jpg", F.col("book").cast("string"), "page_idx").alias("path"))
-    return Q.bind_images(records, images)
+    numbered = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.explode(F.sequence(F.lit(0), F.lit(6), F.lit(2))).alias("page_idx"))
+    return Q.bind_images(records, numbered.withColumn("path", F.format_string("%s_%03d.jpg", F.col("book").cast("string"), "page_idx")))
 
 
 @query("top_comments_placed")
@@ -264,10 +265,14 @@ def font_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.choose_fonts(chars, glyphs)
 
 
-@query("sample_dataset")
+@query(
+    "sample_dataset",
+    """with s as (select text, role, conv_id || '-' || turn as image_path, md5('42|user:OCR|assistant:' || text || '|' || conv_id || '-' || turn) as o from conversations),
+    c as (select * from s order by o limit 100) select 'OCR' as prompt, image_path from c where image_path in (select image_path from s where role = 'user')""",
+)
 def sample_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shuffled sample of records whose image exists; the order is a hash of its own."""
+    """A shuffled sample of records whose image exists; the order is a hash of the record."""
     turns = table(spark, sf_dir, "conversations")
     records = turns.select(Q.chat_messages(F.col("text"), "OCR").alias("messages"), F.array(F.concat_ws("-", "conv_id", "turn")).alias("images"))
     paths = turns.filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("path"))
-    return Q.training_samples(records, paths, limit=100).drop("_order")
+    return Q.training_samples(records, paths, limit=100).select(F.col("prompt")[0]["content"].alias("prompt"), "image_path")
