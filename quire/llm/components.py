@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut
+from quire.llm.shared import cut, release
 
 #: A node with this share of all edge ends is a hub; there are at most so many of them.
 HUBS = 1000
@@ -53,6 +53,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
         current = cut(small)
         before, mark = mark, _mark(current)
+        del both, least, large, small
+        release(edges.sparkSession)
         if mark == before:
             break
     else:

@@ -266,7 +266,7 @@ def _hub_pairs(apart: DataFrame, links: DataFrame, similarity: float) -> DataFra
     """Each member with the member of its group that has the most links so far, if that is of another component."""
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     hubs = apart.join(degrees, "node").groupBy("key").agg(F.max_by(F.struct("node", "size", "comp"), F.struct("degree", "node")).alias("hub"))
-    met = apart.join(hubs, "key").filter("comp != hub.comp")
+    met = apart.join(cut(hubs), "key").filter("comp != hub.comp")
     return _ordered(met.select("node", "size", F.col("hub.node").alias("c"), F.col("hub.size").alias("c_size")), similarity)
 
 

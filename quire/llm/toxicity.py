@@ -12,7 +12,7 @@ a score from 0 to 1.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ DISCOUNTS = (0.9, 1.2, 1.4)
 #: Bound of the labelled texts of each class, the parameter max_per_class.
 PER_CLASS = 2500
 #: Words whose ratios a worker keeps.
-CACHE = 200_000
+CACHE = 400_000
 START, END = "\x02", "\x03"
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’…|*_~<>/\\-—–#%&$"
 
@@ -76,27 +76,27 @@ def fit_pair(toxic: dict[str, int], ordinary: dict[str, int]) -> KneserNeyPair:
     pooled: Counter = Counter(ordinary)
     pooled.update(toxic)
     own = [[Counter() for _ in range(ORDER + 1)] for _ in range(2)]
-    left: list[dict[str, set[str]]] = [defaultdict(set) for _ in range(ORDER + 1)]
+    single: set[str] = set()
     for word in pooled:
         s = START + word + END
         c = (toxic.get(word, 0), ordinary.get(word, 0))
-        for order in range(1, ORDER + 1):
+        single.update(s[1:])
+        for order in range(LOWEST, ORDER + 1):
             for i in range(order, len(s) + 1):
                 gram = s[i - order : i]
-                if order >= LOWEST:
-                    own[0][order][gram] += c[0]
-                    own[1][order][gram] += c[1]
-                if order < ORDER and i > order:
-                    left[order][gram].add(s[i - order - 1])
+                own[0][order][gram] += c[0]
+                own[1][order][gram] += c[1]
+    # of each n-gram, its distinct left neighbours are the longer ones that end with it
+    left = {order: Counter(g[1:] for g in own[0][order + 1]) for order in range(1, ORDER)}
     # the pooled model: full counts of the longest n-grams and of those at a word's start, numbers
     # of distinct left neighbours otherwise
     shared: dict[str, float] = {"": 1.0}
-    kinds = len(left[1]) + 1
+    kinds = len(single) + 1
     for order in range(1, ORDER + 1):
         counts = {g: own[0][order][g] + own[1][order][g] for g in own[0][order] if order == ORDER or g[0] == START} if order >= LOWEST else {}
         if order < ORDER:
-            for g, v in left[order].items():
-                counts.setdefault(g, len(v))
+            for g, v in left.pop(order).items():
+                counts.setdefault(g, v)
         sums, held = Counter(), Counter()
         for g, c in counts.items():
             sums[g[:-1]] += c
