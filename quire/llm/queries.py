@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import decontaminate, htmltext, lmscore, mixing, pii, secrets, topk, toxicity, warc
+from quire.llm import baselines, decontaminate, htmltext, lmscore, mixing, pii, secrets, topk, toxicity, warc
 from quire.llm.shared import table
 from quire.llm.simhash import simhash_components
 
@@ -76,3 +77,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lm_score")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_documents(table(spark, sf_dir, "documents"))
+
+
+# What the contract fixes of three of them, which SQL can express.
+
+
+@query("base_secrets", baselines.SECRETS_SQL)
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5(spark, sf_dir).drop("spans")
+
+
+@query("base_personal_data", baselines.PII_SQL)
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+@query("base_word_scores", baselines.WORDS_SQL)
+def base_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
