@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -120,15 +121,37 @@ def features(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     )
 
 
+class Taken:
+    """Places of a text that spans hold, as separate intervals in order."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def take(self, start: int, end: int) -> bool:
+        """Whether nothing of start to end was taken; if so, it is now."""
+        at = bisect_left(self.starts, end)
+        if at and self.ends[at - 1] > start:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
 def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and candidates of other kinds that overlap none of them."""
     base = base_spans(text)
     loose: list[tuple[int, int, str]] = []
     if re.search("[0-9]", text) or "at" in text and re.search(r"[\[(]at[\])]", text, re.I):
+        taken = Taken(base)
         for kind, pattern in LOOSE.items():
-            for m in pattern.finditer(text):
-                if not any(a < m.end() and m.start() < b for a, b, _ in base) and not any(a < m.end() and m.start() < b for a, b, _ in loose):
-                    loose.append((m.start(), m.end(), kind))
+            loose += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if taken.take(m.start(), m.end())]
     return base, loose
 
 
@@ -184,23 +207,24 @@ def fit(tallies: list[tuple[tuple[int, ...], tuple[int, ...], int]], rounds: int
     for _, x, _ in sorted(tallies):
         for c in enumerate(x):
             columns.setdefault(c, len(columns))
-    a = np.zeros((len(tallies), len(columns)))
-    for row, (_, x, _) in enumerate(tallies):
-        for c in enumerate(x):
-            a[row, columns[c]] = 1
+    # one column of numbers for each feature in place of a matrix of ones and zeros
+    a = np.array([[columns[c] for c in enumerate(x)] for _, x, _ in tallies])
     y = np.array([posterior[v] for v, _, _ in tallies])
     n = np.log1p(np.array([c for *_, c in tallies], float))
     w, b = np.zeros(len(columns)), 0.0
     for _ in range(rounds):
-        g = n * (y - 1 / (1 + np.exp(-(a @ w + b))))
-        w += 0.5 * (a.T @ g / n.sum() - 1e-3 * w)
+        g = n * (y - 1 / (1 + np.exp(-(w[a].sum(1) + b))))
+        w += 0.5 * (np.bincount(a.ravel(), np.repeat(g, a.shape[1]), len(columns)) / n.sum() - 1e-3 * w)
         b += 0.5 * g.sum() / n.sum()
     return SpanModel({c: float(w[i]) for c, i in columns.items()}, float(b), [(float(table[1, j, 1]), float(table[0, j, 0])) for j in range(patterns.shape[1])])
 
 
 def train(docs: DataFrame) -> SpanModel:
-    """Count votes and features over all documents and fit. A tally's key has a few thousand values
-    at most, however many documents there are, so the counts fit the driver."""
+    """Count votes and features over all documents and fit.
+
+    However many documents there are, a tally's key has at most 54 patterns of votes times 16,128 of
+    features, and in practice a few hundred, so the counts fit the driver.
+    """
 
     def rows(columns: list[list]) -> list[list]:
         found: dict[tuple, int] = {}
@@ -232,8 +256,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def detect(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """A row per document with counts of base spans, their digest, and all spans.
 
-    Null texts count as empty; offsets are code points of the whole text; repeated rows give a row
-    each; without any candidate in the table the classifier says nothing and only base spans count.
+    Null texts count as empty; offsets are code points of the whole text, however long; repeated rows give a row
+    each; other columns are ignored; without any candidate in the table the classifier says nothing and only base spans count.
     """
     model = model or train(docs)
 
