@@ -9,6 +9,8 @@ from quire.llm.shared import cut, release
 
 #: A node with this share of all edge ends is a hub; there are at most so many of them.
 HUBS = 1000
+#: Edges of a partition, where fewer partitions will do.
+EDGES = 50_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,6 +37,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     are never gathered. Self loops, repeated edges and null ends are ignored; an empty edge table
     gives an empty result. The number of rounds is logarithmic in the longest chain.
     """
+    spark = edges.sparkSession
     current = cut(
         edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -44,17 +47,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        ends = 2 * mark[0]
+        # edges never grow in number, so from here on a few partitions hold what is few
+        ends, few = 2 * mark[0], -(-mark[0] // EDGES)
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = _with_least(both, least, ends).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_least(both, least, ends).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = _with_least(large, least, ends)
         small = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
-        current = cut(small)
+        current = cut(small.coalesce(few))
         before, mark = mark, _mark(current)
         del both, least, large, small
-        release(edges.sparkSession)
+        release(spark)
         if mark == before:
             break
     else:

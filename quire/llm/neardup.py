@@ -41,7 +41,7 @@ DOUBT = 0.0625
 #: Members of a key group beyond which they are keyed anew; of a block, and of a part that it is held against.
 LARGE, BLOCK, PART = 4096, 512, 2048
 #: Common hashes that are counted at once.
-COUNTED = 1 << 21
+COUNTED = 1 << 19
 LINK = "a long, b long, size_a long, size_b long, doubt boolean"
 #: Digests that a task remembers, so that the copies it meets are keyed once.
 SEEN = 200_000
