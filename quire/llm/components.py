@@ -24,7 +24,7 @@ def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     Nodes with 1/HUBS of the ends or more, at most HUBS of them, are sent to all tasks, so their
     edges stay where they are; no other node has enough to make a partition large.
     """
-    hubs = F.broadcast(least.filter(F.col("n") >= max(HUBS, -(-ends // HUBS))).select("a", F.col("m").alias("hub")))
+    hubs = F.broadcast(least.filter(F.col("n") >= max(2, -(-ends // HUBS))).select("a", F.col("m").alias("hub")))
     known = edges.join(hubs, "a", "left")
     rest = known.filter("hub is null").drop("hub").join(least.select("a", "m"), "a")
     return rest.unionByName(known.filter("hub is not null").withColumnRenamed("hub", "m"))
