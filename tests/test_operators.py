@@ -68,6 +68,44 @@ def test_breaks_inside_notes_and_comments():
     assert pages("一＜眉＞二")[0][1:] == ("一＜眉＞二", [(1, "眉")])
 
 
+def plain_pages(tokens, cells):
+    """Pages by arithmetic on one running count of cells: a character takes one, a note half of one for each of its own, rounded up."""
+    out, comments, at = {}, {}, 0
+
+    def put(page, text):
+        out.setdefault(page, []).append(text)
+
+    for kind, text in tokens:
+        if kind == "main":
+            for c in text:
+                put(at // cells, c)
+                at += 1
+        elif kind == "comment":
+            put(at // cells, f"＜{text}＞")
+            comments.setdefault(at // cells, []).append((at % cells, text))
+        else:
+            page, room, k = at // cells, 2 * (cells - at % cells), 0
+            while True:
+                put(page, f"【{text[k : k + room]}】")
+                k += room
+                if k >= len(text):
+                    break
+                page, room = page + 1, 2 * cells
+            at += -(-len(text) // 2)
+    return [("".join(out.get(i, [])), comments.get(i, [])) for i in range(max(out, default=0) + 1)]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 5])
+def test_pages_with_notes_and_comments_against_arithmetic(rows):
+    r = random.Random(rows)
+    word = lambda most: "".join(r.choice("甲乙丙丁戊") for _ in range(r.randrange(most)))
+    for _ in range(300):
+        tokens = [(r.choice(("main", "main", "note", "comment")), word(30)) for _ in range(r.randrange(8))]
+        text = "".join({"main": t, "note": f"【{t}】", "comment": f"＜{t}＞"}[k] for k, t in tokens)
+        got = [(raw.replace("\\h", "").replace("$", ""), comments) for _, raw, comments in pages(text, rows, 4 * rows)]
+        assert got == plain_pages(tokens, 4 * rows), text
+
+
 def test_missing_glyphs_take_no_cell():
     assert pages("一二三四", missing="二")[0][1] == "一三四\\h"
 
