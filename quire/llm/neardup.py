@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components, merge
-from quire.llm.shared import cut, discard, map_batches, scratch_path, unused, written
+from quire.llm.shared import cut, discard, map_batches, release, scratch_path, unused, written
 from quire.llm.simhash import SEED, golay_keys, golay_lists
 
 WORDS, SIMILARITY = 5, 0.8
@@ -301,6 +301,8 @@ def _components(docs: DataFrame, signed: DataFrame, texts: DataFrame, words: int
     pairs = cut(_ordered(met, similarity))
     ends = texts.select("digest", "node", "size", "first").join(shared.select("node").distinct(), "node", "left_semi")
     sketches = cut(signed.filter("sketch is not null").select("digest", "sketch").join(ends, "digest").dropDuplicates(["node"]))
+    del keyed, centres, met, ends
+    release(docs.sparkSession)
 
     def settled(judged: DataFrame) -> DataFrame:
         """(a, b) of links, those in doubt settled over all hashes of the two texts."""
@@ -334,6 +336,8 @@ def _grouped(docs: DataFrame, words: int, similarity: float, path: str) -> tuple
     signed = _signed(docs, words, path)
     gathered = signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), F.first("keys", ignorenulls=True).alias("keys"))
     texts = cut(gathered.withColumn("node", F.monotonically_increasing_id()))
+    del gathered
+    release(docs.sparkSession)
     components = _components(docs, signed, texts, words, similarity)
     placed = texts.select("digest", "first", "node").join(components, "node", "left")
     return signed, cut(placed.select("digest", F.coalesce("root", "node").alias("root"), "first"))
