@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import gru
-from quire.llm.shared import crc_mod, map_batches, written
+from quire.llm.shared import crc_mod, cut, discard, map_batches, scratch_path, written
 
 #: Output words and those of a class; open classes; hidden units.
 OUTPUT, MEMBERS, OPEN, HIDDEN = 4096, 64, 32, 32
@@ -225,21 +225,31 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, **options)
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     A null or empty text is its end token alone; a null doc_id hashes to no fold and counts as
-    held out; repeated rows are counted and scored each; other columns are ignored. Without any
-    training document every count is 0.
+    held out; repeated rows are counted and scored each; very long texts are scored whole, their state
+    carried along; other columns are ignored. Without any training document every count is 0.
     """
     fold = F.coalesce(crc_mod("doc_id", modulus) == held, F.lit(True)).alias("held_out")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", fold)
     training = source.filter(~F.col("held_out"))
-    counts = written(count_words(training), "counts")
+    spark = docs.sparkSession
+    paths = [scratch_path(spark, name) for name in ("counts", "scores")]
+    try:
+        return cut(_scored(source, training, paths, options))
+    finally:
+        for path in paths:
+            discard(spark, path)
+
+
+def _scored(source: DataFrame, training: DataFrame, paths: list[str], options: dict) -> DataFrame:
+    counts = written(count_words(training), "counts", paths[0])
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    shared = docs.sparkSession.sparkContext.broadcast(fit(training, counts, **options))
+    shared = source.sparkSession.sparkContext.broadcast(fit(training, counts, **options))
 
     def rows(columns: list[list]) -> list[list]:
         return [*columns[:3], *shared.value.rows(columns[3])] if columns[0] else [[] for _ in range(9)]
 
     numbered = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    scored = written(map_batches(numbered, rows, ROW, binary=("text",), most=SIDE_BY_SIDE), "scores")  # written, so that rid stays
+    scored = written(map_batches(numbered, rows, ROW, binary=("text",), most=SIDE_BY_SIDE), "scores", paths[1])  # written, so that rid stays
     rare = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("rid", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     looked = rare.join(counts, "word").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_counts"), F.sum("times").alias("rare_known"))
     floor = math.log10(totals.n + totals.v + 1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut, scratch_path
+from quire.llm.shared import cut, discard, scratch_path
 
 CRLF = "\r\n"
 LEAST_BYTES = 1000
@@ -193,11 +193,11 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write pages to archives in the shared folder, read them back, and describe each capture.
 
-    A row for each row of pages, repeated ones and those without a page_id included; other columns are
+    The archives stay if a path is given. A row for each row of pages, repeated ones and those without a page_id included; other columns are
     ignored, and an empty table gives an empty result.
     """
     spark = pages.sparkSession
-    path = path or scratch_path(spark, "warc")
+    own, path = path is None, path or scratch_path(spark, "warc")
     write_archives(pages, path)
     field = lambda name: F.regexp_extract("metadata.fields", rf"(?m)^{name}: (-?\d+)\r?$", 1).try_cast("long")
     described = cut(
@@ -211,6 +211,8 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
             F.col("response.target_uri").alias("url"),
         )
     )
+    if own:  # archives that nobody named a place for go once they are described
+        discard(spark, path)
     wanted = described.filter("record_type = 'revisit'")
     named = described.filter("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to")).join(wanted.select("target").distinct(), "target", "left_semi")
     last = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
