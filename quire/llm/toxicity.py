@@ -12,6 +12,7 @@ a score from 0 to 1.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from dataclasses import dataclass
 
@@ -172,9 +173,20 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.
 
 @dataclass
 class ToxicityModel:
-    pair: KneserNeyPair
+    """packed is a pickled KneserNeyPair, which only those that score with it unpack."""
+
+    packed: bytes
     curve: list[float]
 
+    @property
+    def pair(self) -> KneserNeyPair:
+        if "_pair" not in self.__dict__:
+            self._pair = pickle.loads(self.packed)
+        return self._pair
+
+    def __getstate__(self) -> dict:
+        return {"packed": self.packed, "curve": self.curve}
+
     def score(self, text: str | None, cache: dict[str, float]) -> float:
         words = words_of(text)
         values = list(map(cache.get, words))
@@ -204,8 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) ->
 
     At most max_per_class ids of each class are chosen, by their hash, before any text is read, so
     the texts are found by a broadcast of that many ids. Two thirds of them (by another hash) are
-    counted and the rest fit the curve; texts stay on the executors, and the driver gets counts of
-    their words and a few features of each. A document with labels that differ counts as toxic; ids
+    counted and the rest fit the curve; texts and counts stay on the executors, and the driver gets
+    the models and a few features of each. A document with labels that differ counts as toxic; ids
     without a document or a text count for nothing. Where a class has no text, every score is that
     of an even curve at its prior.
     """
@@ -217,17 +229,24 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) ->
             found.update((toxic, b) for b in set(map(bare, words_of(text))) if b)
         return [[t for t, _ in found], [w for _, w in found], list(found.values())]
 
-    counts: list[dict[str, int]] = [{}, {}]
     found = map_batches(chosen.filter("not kept").select("text", "toxic"), words, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
-    for batch in found.toArrow().to_batches(10_000):
-        for toxic, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts[toxic][word] = n
-    pair = fit_pair(counts[1], counts[0])
-    shared = docs.sparkSession.sparkContext.broadcast(pair)
+
+    def build(batches):
+        counts: list[dict[str, int]] = [{}, {}]
+        for batch in batches:
+            for toxic, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts[toxic][word] = n
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_pair(counts[1], counts[0]))], pa.binary())], ["pair"])
+
+    # the words of a bounded sample, counted in one task and not in the driver's memory
+    built = found.coalesce(1).mapInArrow(build, "pair binary").first()
+    model = ToxicityModel(bytes(built.pair) if built else pickle.dumps(fit_pair({}, {})), [])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def described(columns: list[list]) -> list[list]:
         cache: dict[str, float] = {}
-        x = [list(features([cache[w] if w in cache else cache.setdefault(w, shared.value.word(w)) for w in words_of(text)])) for text in columns[0]]
+        word = shared.value.pair.word
+        x = [list(features([cache[w] if w in cache else cache.setdefault(w, word(w)) for w in words_of(text)])) for text in columns[0]]
         return [x, columns[1]]
 
     rows = map_batches(chosen.filter("kept").select("text", "toxic"), described, "x array<double>, toxic int", most=64).collect()
@@ -235,8 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) ->
     y = [r.toxic for r in rows]
     if len(set(y)) < 2:
         prior = (sum(y) + 0.5) / (len(y) + 1)
-        return ToxicityModel(pair, [math.log(prior / (1 - prior)), float(0 < sum(y) < len(y)), *[0.0] * (len(TELLING) + 1)])
-    return ToxicityModel(pair, fit_curve(np.array([r.x for r in rows]), np.array(y)).tolist())
+        return ToxicityModel(model.packed, [math.log(prior / (1 - prior)), float(0 < sum(y) < len(y)), *[0.0] * (len(TELLING) + 1)])
+    return ToxicityModel(model.packed, fit_curve(np.array([r.x for r in rows]), np.array(y)).tolist())
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
