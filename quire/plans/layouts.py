@@ -10,7 +10,7 @@ from quire.functions import text as T
 from quire.operators import records as Q
 from quire.operators import typeset as S
 from quire.plans.registry import query, table
-from quire.plans.typesetting import COLUMNS, PAGES, RAW_PAGES, ROWS, plain_books
+from quire.plans.typesetting import BOOK, CELLS, COLUMNS, FLATTEN, PAGES, RAW_PAGES, ROWS, plain_books
 
 CLOSE = "concat(p_size * 13 % 60 + 100, ',', p_size * 7 % 60 + 100, ',', p_size * 11 % 60 + 110, ',400')"
 
@@ -130,20 +130,27 @@ def bound_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound.select("book", "page_idx", F.col("messages")[0]["role"].alias("role"), F.md5(F.col("messages")[1]["content"]).alias("content"), F.try_element_at("images", F.lit(1)).alias("image"))
 
 
+def placed_sql(source: str, rows: int, half: int) -> str:
+    """CTEs after a table source (book, page_idx, seq, cell, text): placed has its comments from right to left, by a fold over a page's."""
+    column = f"greatest(z.cell // {rows} * 2, a.free)"
+    deep = "greatest(1, trunc(150 / ({0} * 1.3::double)))"
+    size = f"list_max(list_filter(range(15, 21), lambda fs: ceil(z.n / {deep.format('fs')}) <= {half} - {column}))"
+    free = f"case when {size} is null then a.free else ({column} + ceil(z.n / {deep.format(size)})) end::bigint"
+    none = "[]::struct(seq bigint, cell bigint, col bigint, size bigint, text varchar)[]"
+    return f"""
+each as (select book, page_idx, list({{'free': 0::bigint, 'cell': cell::bigint, 'seq': seq::bigint, 'text': text, 'n': length(translate(text, '●◎。', ''))::bigint, 'rows': {none}}} order by cell, seq, text) as es from {source} group by all),
+folded as (select book, page_idx, list_reduce(es, lambda a, z: {{'free': {free}, 'cell': z.cell, 'seq': z.seq, 'text': z.text, 'n': z.n, 'rows': list_append(a.rows, {{'seq': z.seq, 'cell': z.cell, 'col': {column}, 'size': {size}, 'text': z.text}})}},
+  {{'free': 0::bigint, 'cell': 0::bigint, 'seq': 0::bigint, 'text': '', 'n': 0::bigint, 'rows': {none}}}) as s from each),
+laid as (select book, page_idx, unnest(s.rows) as r from folded),
+placed as (select book, page_idx, r.seq::int as seq, r.cell::int as cell, r.text as text, r.col::int as "column", r.size::int as size, r.size is not null as kept from laid)"""
+
+
 COMMENT = "left(text, conv_id * 3 % 50 + 1)"
-_COL = "greatest(z.cell // 5 * 2, a.free)"
-_SIZE = f"list_max(list_filter(range(15, 21), lambda fs: ceil(z.n / greatest(1, trunc(150 / (fs * 1.3::double)))) <= 16 - {_COL}))"
-_FREE = f"case when {_SIZE} is null then a.free else ({_COL} + ceil(z.n / greatest(1, trunc(150 / ({_SIZE} * 1.3::double))))) end::bigint"
 
 
 @query(
     "comments_placed",
-    f"""with c as (select conv_id as book, turn % 2 as page_idx, turn as seq, (conv_id * 7 + turn * 13) % 40 as cell, {COMMENT} as text from conversations),
-    e as (select book, page_idx, list({{'free': 0::bigint, 'cell': cell::bigint, 'seq': seq::bigint, 'n': length(translate(text, '●◎。', ''))::bigint, 'rows': []::struct(seq bigint, cell bigint, col bigint, size bigint)[]}} order by cell, seq, text) as es from c group by all),
-    f as (select book, page_idx, list_reduce(es, lambda a, z: {{'free': {_FREE}, 'cell': z.cell, 'seq': z.seq, 'n': z.n, 'rows': list_append(a.rows, {{'seq': z.seq, 'cell': z.cell, 'col': {_COL}, 'size': {_SIZE}}})}},
-      {{'free': 0::bigint, 'cell': 0::bigint, 'seq': 0::bigint, 'n': 0::bigint, 'rows': []::struct(seq bigint, cell bigint, col bigint, size bigint)[]}}) as s from e),
-    r as (select book, page_idx, unnest(s.rows) as r from f)
-    select book, page_idx, r.seq::int as seq, r.cell::int as cell, r.col::int as "column", r.size::int as size, r.size is not null as kept from r""",
+    f"with c as (select conv_id as book, turn % 2 as page_idx, turn as seq, (conv_id * 7 + turn * 13) % 40 as cell, {COMMENT} as text from conversations), {placed_sql('c', 5, 16)} select * exclude (text) from placed",
 )
 def comments_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as comments of two pages a conversation, placed from right to left or rejected."""
@@ -152,6 +159,31 @@ def comments_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.place_comments(comments, 5, 16, 150, 20).drop("text")
 
 
+#: Books with notes and comments, without control characters and marks: there a page's cells are one running count.
+NOTED = f"translate({BOOK}, '%$&@●◎-', '')"
+NOTED_PAGES = (
+    FLATTEN.replace(BOOK, NOTED)
+    + f""", ls as (select doc_id, unnest(string_split(x, chr(10))) as line, generate_subscripts(string_split(x, chr(10)), 1) as pos from flat),
+kept as (select doc_id, pos, regexp_replace(line, '\\s', '', 'g') as line from ls),
+bare as (select *, regexp_replace(line, '＜[^＞]*(＞|$)', '', 'g') as b from kept where line <> ''),
+sized as (select *, (coalesce(list_sum(list_transform(regexp_extract_all(b, '【([^】]*)(?:】|$)', 1), lambda z: ceil(length(z) / 2.0)::int)), 0) + length(replace(regexp_replace(b, '【[^】]*(】|$)', '', 'g'), '】', '')))::bigint as cells from bare),
+book as (select doc_id, string_agg(line || repeat(' ', ({ROWS} - cells % {ROWS}) % {ROWS}), '' order by pos) as x from sized group by doc_id),
+toks as (select doc_id, unnest(regexp_extract_all(x, '＜[^＞]*＞?|【[^】]*】?|[^＜【]+')) as tok, generate_subscripts(regexp_extract_all(x, '＜[^＞]*＞?|【[^】]*】?|[^＜【]+'), 1) as pos from book),
+widths as (select *, case left(tok, 1) when '＜' then 0 when '【' then ceil(length(translate(tok, '【】', '')) / 2.0) else length(replace(tok, '】', '')) end::bigint as w from toks),
+ats as (select *, (sum(w) over (partition by doc_id order by pos) - w)::bigint as place from widths),
+c as (select doc_id as book, (place // {CELLS})::int as page_idx, row_number() over (partition by doc_id, place // {CELLS} order by pos) - 1 as seq, (place % {CELLS})::int as cell, translate(tok, '＜＞', '') as text from ats where left(tok, 1) = '＜')"""
+)
+
+
+@query("top_comments_placed", f"{NOTED_PAGES}, {placed_sql('c', ROWS, 2 * COLUMNS)} select * from placed")
+def top_comments_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of all pages of books with notes, placed or rejected."""
+    books = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.expr(NOTED).alias("text"))
+    pages = S.paginate_books(books, ROWS, COLUMNS)
+    comments = pages.select("book", "page_idx", F.posexplode("comments").alias("seq", "c")).select("book", "page_idx", "seq", "c.cell", "c.text")
+    return S.place_comments(comments, ROWS, 2 * COLUMNS, 150, 20)
+
+
 WORD = "split_part(text, ' ', 1)"
 BODY = f"concat('＜', {WORD}, '＞', text, '＜＞＜', {WORD}, 'x＞')"
 

@@ -102,14 +102,6 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.bind_images(records, numbered.withColumn("path", F.format_string("%s_%03d.jpg", F.col("book").cast("string"), "page_idx")))
 
 
-@query("top_comments_placed")
-def top_comments_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments of all pages, placed or rejected; tests use brute force."""
-    pages = S.paginate_books(books(spark, sf_dir), ROWS, COLUMNS)
-    comments = pages.select("book", "page_idx", F.posexplode("comments").alias("seq", "c")).select("book", "page_idx", "seq", "c.cell", "c.text")
-    return S.place_comments(comments, ROWS, 2 * COLUMNS, 150, 20)
-
-
 @query("cell_positions", f"with w as (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) as pos from documents) select doc_id, pos::int - 1 as pos, (coalesce(sum(length(word)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0))::bigint as cell from w")
 def cell_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).withColumn("width", F.length("word"))
