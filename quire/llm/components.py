@@ -9,8 +9,8 @@ from quire.llm.shared import cut, release
 
 #: A node with this share of all edge ends is a hub; there are at most so many of them.
 HUBS = 1000
-#: Edges of a partition, where fewer partitions will do.
-EDGES = 50_000
+#: Edges of a partition, where fewer partitions will do; edge ends from which hubs are sent along.
+EDGES, SPREAD = 50_000, 1_000_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -22,8 +22,11 @@ def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     """edges (a, b) beside the m of least (a, m, n), where n is how many of the ends a has.
 
     Nodes with 1/HUBS of the ends or more, at most HUBS of them, are sent to all tasks, so their
-    edges stay where they are; no other node has enough to make a partition large.
+    edges stay where they are; no other node has enough to make a partition large. Few edges are
+    simply joined.
     """
+    if ends < SPREAD:
+        return edges.join(least.select("a", "m"), "a")
     hubs = F.broadcast(least.filter(F.col("n") >= max(2, -(-ends // HUBS))).select("a", F.col("m").alias("hub")))
     known = edges.join(hubs, "a", "left")
     rest = known.filter("hub is null").drop("hub").join(least.select("a", "m"), "a")
@@ -49,15 +52,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         # edges never grow in number, so from here on a few partitions hold what is few
         ends, few = 2 * mark[0], -(-mark[0] // EDGES)
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # each step is a job of its own, and names its input once, which keeps plans small
+        both = current.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = _with_least(both, least, ends).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(_with_least(both, least, ends).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(few))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least, ends)
-        small = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
+        met = _with_least(large, least, ends)
+        ends_of = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = met.select(F.explode(ends_of).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
         current = cut(small.coalesce(few))
         before, mark = mark, _mark(current)
-        del both, least, large, small
+        del both, least, large, met, small
         release(spark)
         if mark == before:
             break

@@ -256,6 +256,7 @@ def test_merged_components(spark):
 
 def test_components_with_hubs(spark, monkeypatch):
     monkeypatch.setattr(components, "HUBS", 6)
+    monkeypatch.setattr(components, "SPREAD", 10)
     r = random.Random(3)
     edges = [(0, i) for i in range(1, 90)] + [(200, i) for i in range(80, 150)] + [(r.randrange(300, 360), r.randrange(300, 360)) for _ in range(30)]
     expected = roots(360, edges)
