@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import baselines, decontaminate, htmltext, lmscore, mixing, pii, secrets, topk, toxicity, warc
+from quire.llm import baselines, decontaminate, htmltext, lmscore, mixing, pii, runs, secrets, topk, toxicity, warc
 from quire.llm.shared import table
 from quire.llm.simhash import simhash_components
 
@@ -79,6 +79,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op13_periodic_runs", runs.RUNS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.describe(table(spark, sf_dir, "documents"))
+
+
 # What the contract fixes of three of them, which SQL can express.
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,16 +63,15 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(conf).delete(folder, True)
 
 
-def map_batches(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: str, binary: tuple[str, ...] = (), most: int = 2048) -> DataFrame:
+def map_batches(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: str | StructType, binary: tuple[str, ...] = (), most: int = 2048) -> DataFrame:
     """mapInArrow over lists: rows gets the columns of a batch and returns those of the result.
 
     Columns named in binary come as bytes (UTF-8 of strings), which saves decoding them. rows gets
     at most ``most`` rows at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
