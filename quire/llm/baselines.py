@@ -7,10 +7,16 @@ from __future__ import annotations
 
 from quire.llm import pii, secrets
 
-_BYTES = "list_transform(string_split(doc_id::varchar, ''), lambda z: ascii(z)::bigint)"
 _EIGHT = "list_reduce([{0}, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
-#: CRC32 of a number's text, bit by bit.
-CRC32 = f"xor(list_reduce(list_concat([4294967295]::bigint[], {_BYTES}), lambda crc, b: {_EIGHT.format('xor(crc, b)')}), 4294967295)"
+
+
+def crc32_sql(text: str) -> str:
+    """CRC32 of an ASCII text, bit by bit."""
+    octets = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295]::bigint[], {octets}), lambda crc, b: {_EIGHT.format('xor(crc, b)')}), 4294967295)"
+
+
+CRC32 = crc32_sql("doc_id::varchar")
 
 
 def spans_sql(kinds: list[tuple[str, str, int, str]]) -> str:
