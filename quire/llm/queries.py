@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import baselines, conversations, decontaminate, htmltext, lmscore, mixing, pii, runs, secrets, topk, toxicity, warc
+from quire.llm import baselines, conversations, decontaminate, htmltext, lmscore, mixing, pii, runs, secrets, tokenids, topk, toxicity, warc
 from quire.llm.shared import table
 from quire.llm.simhash import simhash_components
 
@@ -79,6 +79,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op11_token_ids")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.round_trip(table(spark, sf_dir, "documents"))
+
+
 @query("op12_conversation_repair", conversations.CONVERSATION_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.describe(table(spark, sf_dir, "conversations"))
