@@ -29,20 +29,25 @@ QUERY_BLOCK, QUERY_BYTES, AT_ONCE, SEEDS = 65536, 64 << 20, 2048, 4096
 CANDIDATES, LEAD = 2048, 16
 SCHEMA = "rid long, query_id long, vec_id long, score long"
 #: Below any score, and safe to negate.
-NONE = -(2**62)
+NONE = -(2**63 - 1)
+#: Scores beyond a long count as the last that fit; components beyond LARGEST as that.
+MOST, LARGEST = 2**63 - 1, 1e140
 
 
 def usable(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v) with floor(256 x); rows with a null id or vector, or a component that is null or not finite, go."""
+    """(vec_id, v) with floor(256 x) as whole doubles; rows with a null id or vector, or a component that is null or not finite, go."""
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    scaled = lambda x: F.greatest(F.least(x.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST)) * 256
+    # from 2^53 on doubles are whole, and a long may not hold them
+    whole_part = lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x))
     whole = embeddings.filter(F.col(id_col).isNotNull() & v.isNotNull()).filter(~bad)
-    return whole.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("v"))
+    return whole.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, whole_part).alias("v"))
 
 
 def rotation(vectors: np.ndarray) -> np.ndarray:
     """Right singular vectors of a sample, the most telling first."""
-    return np.linalg.svd(vectors.astype(float), full_matrices=True)[2].T
+    return np.linalg.svd(vectors, full_matrices=True)[2].T
 
 
 @dataclass
@@ -59,16 +64,27 @@ class Block:
     def __post_init__(self) -> None:
         r = self.q @ self.turn
         self.lead, self.rest = r[:, :LEAD], np.linalg.norm(r[:, LEAD:], axis=1)
-        self.norm = np.linalg.norm(self.q.astype(float), axis=1)
+        self.norm = np.linalg.norm(self.q, axis=1)
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products: by floating point while every sum stays below 2^53."""
-    if np.abs(q).sum(1).max(initial=0) * np.abs(x).max(initial=0) < 2**53:
-        return (q.astype(float) @ x.astype(float).T).astype(np.int64)
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**62:
-        return q @ x.T
-    raise OverflowError("a score would not fit a long")
+    """Exact integer products of whole doubles; beyond a long, the last that fits.
+
+    Sums below 2^53 are exact in floating point. Sums of longs are exact, however far they go
+    astray between, if the last fits a long; where that or a component is in doubt, Python's integers tell.
+    """
+    size = np.abs(q).sum(1).max(initial=0) * np.abs(x).max(initial=0)
+    if size < 2**53:
+        return (q @ x.T).astype(np.int64)
+    near = q @ x.T
+    doubt = np.abs(near) + 1e-12 * (np.abs(q) @ np.abs(x).T) >= 2.0**62
+    short_q, short_x = ((np.abs(a) < 2.0**62).all(1) for a in (q, x))
+    doubt |= ~short_q[:, None] | ~short_x[None]
+    out = np.where(short_q[:, None], q, 0).astype(np.int64) @ np.where(short_x[:, None], x, 0).astype(np.int64).T
+    whole_q, whole_x = ({i: [int(v) for v in a[i].tolist()] for i in np.unique(at).tolist()} for a, at in zip((q, x), np.nonzero(doubt), strict=True))
+    for i, j in np.argwhere(doubt).tolist():
+        out[i, j] = max(NONE + 1, min(MOST, sum(a * b for a, b in zip(whole_q[i], whole_x[j], strict=True))))
+    return out
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +106,7 @@ class Search:
         self.ids, self.scores = np.full((len(block.ids), block.k), -1, np.int64), np.full((len(block.ids), block.k), NONE, np.int64)
 
     def see(self, rids: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        norms = np.linalg.norm(vectors.astype(float), axis=1)
+        norms = np.linalg.norm(vectors, axis=1)
         order = np.argsort(-norms, kind="stable")
         for at in range(0, len(order), CANDIDATES):
             part = order[at : at + CANDIDATES]
@@ -105,6 +121,7 @@ class Search:
         """Hold candidates, sorted by length, against some of the queries; False if all are too short for each."""
         b = self.block
         worst = np.maximum(self.scores[at, -1], b.floor[at]).astype(float)
+        worst[worst <= float(NONE + 1)] = -np.inf  # a score below any long ties with all such
         slack = 1e-9 * b.norm[at] * norms[0] + 1e-6
         alive = np.flatnonzero(b.norm[at] * norms[0] + slack >= worst)
         if not len(alive):
@@ -147,7 +164,7 @@ def _seeds(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     by: dict[int, list] = {}
     for r in vectors.orderBy(F.desc("length"), "rid").select("rid", "v").limit(SEEDS).collect():
         by.setdefault(len(r.v), []).append((r.rid, r.v))
-    return {d: (np.array([i for i, _ in x]), np.array([v for _, v in x], np.int64).reshape(len(x), d)) for d, x in by.items()}
+    return {d: (np.array([i for i, _ in x]), np.array([v for _, v in x], float).reshape(len(x), d)) for d, x in by.items()}
 
 
 def _with_floors(queries: DataFrame, seeds: dict, k: int) -> DataFrame:
@@ -157,12 +174,12 @@ def _with_floors(queries: DataFrame, seeds: dict, k: int) -> DataFrame:
     def rows(columns: list[list]) -> list[list]:
         floors = []
         for rid, v in zip(columns[0], columns[2], strict=True):
-            names, x = shared.value.get(len(v), (np.zeros(0, np.int64), np.zeros((0, len(v)), np.int64)))
-            got = _products(np.array([v], np.int64), x)[0][names != rid]
+            names, x = shared.value.get(len(v), (np.zeros(0, np.int64), np.zeros((0, len(v)))))
+            got = _products(np.array([v], float), x)[0][names != rid]
             floors.append(int(np.partition(got, len(got) - k)[len(got) - k]) if len(got) >= k else NONE)
         return [*columns, floors]
 
-    return map_batches(queries, rows, "rid long, vec_id long, v array<long>, floor long")
+    return map_batches(queries, rows, "rid long, vec_id long, v array<double>, floor long")
 
 
 def top_k(embeddings: DataFrame, query_divisor: int = 50, k: int = 5, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -170,13 +187,13 @@ def top_k(embeddings: DataFrame, query_divisor: int = 50, k: int = 5, query_bloc
 
     Equal scores go to the smaller id. Rows are told apart by where they stand: each of several
     rows with one id asks, and is a candidate of the others. Vectors of different dimensions have no
-    product and don't meet. Rows that take no part are those of usable(). Fewer candidates give fewer rows,
+    product and don't meet. A score beyond a long is the last that fits, which then ties. Rows that take no part are those of usable(). Fewer candidates give fewer rows,
     none an empty result.
     """
     spark = embeddings.sparkSession
     paths = [scratch_path(spark, name) for name in ("vectors", "queries", "found")]
     try:
-        length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+        length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
         numbered = usable(embeddings).select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v", length.alias("length"))
         vectors = written(numbered.repartitionByRange(F.desc("length"), F.xxhash64("rid")).sortWithinPartitions(F.desc("length")), "vectors", paths[0])
         seeds = _seeds(vectors)
@@ -189,7 +206,7 @@ def top_k(embeddings: DataFrame, query_divisor: int = 50, k: int = 5, query_bloc
             by: dict[int, list] = {}
             for r in queries.filter(F.pmod(F.xxhash64("rid"), F.lit(blocks)) == b).collect():  # about a block's bytes
                 by.setdefault(len(r.v), []).append(r)
-            ready = {d: Block(np.array([r.rid for r in x]), np.array([r.vec_id for r in x]), np.array([r.v for r in x], np.int64).reshape(len(x), d), np.array([r.floor for r in x]), turns.get(d, np.eye(d)), k) for d, x in by.items()}
+            ready = {d: Block(np.array([r.rid for r in x]), np.array([r.vec_id for r in x]), np.array([r.v for r in x], float).reshape(len(x), d), np.array([r.floor for r in x]), turns.get(d, np.eye(d)), k) for d, x in by.items()}
             shared = spark.sparkContext.broadcast(ready)
 
             def run(batches, shared=shared):

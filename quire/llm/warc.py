@@ -126,20 +126,38 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
             lines.write.mode(mode).option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
+def unzipped(data: bytes) -> bytes:
+    """An archive's bytes; of gzip, all members, of which many archives have one a record."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data) + member.flush())
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+        data = member.unused_data.lstrip(b"\x00")
+    if out and data:
+        raise ValueError("bytes after the last gzip member")
+    return b"".join(out) if out else data
+
+
 def parse_records(data: bytes):
-    """Records of one archive, cut by their lengths: (headers by lower-cased name, block)."""
+    """Records of one archive, cut by their lengths: (headers by lower-cased name, block). One that is cut short is an error."""
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            break
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)
+        lines = data[at : end if end >= 0 else at + 64].decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
+        if end < 0:
+            raise ValueError(f"the header at byte {at} is cut short")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         n = int(headers["content-length"])
+        if end + 4 + n > len(data):
+            raise ValueError(f"the block of the record at byte {at} is cut short")
         yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        at = end + 4 + n
+        while data[at : at + 2] == b"\r\n":
+            at += 2
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -153,8 +171,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
+                data = unzipped(content.as_py())
                 out: list[list] = [[] for _ in range(9 + payloads)]
                 for h, block in parse_records(data):
                     kind, payload, fields = h["warc-type"], None, None

@@ -1,5 +1,6 @@
 """Toxicity, page text, language model, mixing, WARC and the pipeline."""
 
+import gzip
 import hashlib
 import html
 import math
@@ -380,6 +381,26 @@ def test_archives_are_cut_by_bytes(spark, tmp_path):
     assert sorted(len(h) for h in held if h) == [1, 1, 1, 4, 4]
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(i, block):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    records = [record(i, b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * i) for i in range(3)]
+    (tmp_path / "part-a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in records))
+    (tmp_path / "part-b.warc").write_bytes(b"".join(records))
+    (tmp_path / "part-c.warc.gz").write_bytes(gzip.compress(b"".join(records[:2])) + gzip.compress(records[2]))
+    (tmp_path / "part-d.warc").write_bytes(b"")
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert Counter((x.record_id, x.payload_bytes) for x in got) == Counter({(f"<urn:{i}>", i): 3 for i in range(3)})
+    whole = b"".join(records)
+    for broken in (whole[:-10], whole[:30], b"x" + whole, records[0][:-4] + b"y" + records[1]):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(broken))
+    for broken in (gzip.compress(whole)[:-9], gzip.compress(whole) + b"rest"):
+        with pytest.raises(ValueError):
+            warc.unzipped(broken)
+
+
 def test_captures_without_companions(spark):
     columns = "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, payload_digest string, payload_bytes long, fields string"
     rows = [("r1", "response", "u", None, None, None, "d", 1, None), ("r1", "response", "u", None, None, None, "d", 1, None), ("q2", "request", "u", None, "r1", None, None, None, None), ("q1", "request", "u", None, "r1", None, None, None, None), ("m", "metadata", "u", None, "other", None, None, None, None)]

@@ -33,6 +33,25 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.top_k(table.limit(0)).count() == 0
 
 
+def test_topk_is_exact_in_large_integers(spark):
+    rows = [[k + i / 256 for i in range(4)] for k in (1e8, 4e9, 3.9e10, 1e12, 0.0)] + [[257 / 256, 1.0, 259 / 256, 1.0], [1e30, 1e30, 1.0, 0.0], [1e30, -1e30, 1.0, 0.0], [-1e30, 2.0, 0.0, 1.0], [-1e-20, 1e-20, 0.0, 5e-324], [1e300, 0.0, 0.0, 0.0]]
+    table = spark.createDataFrame([(50 * i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(max(-1e140, min(1e140, x)) * 256)) for x in v] for v in rows]
+    expected = []
+    for i, v in enumerate(whole):
+        scores = [(max(-(2**63) + 2, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), 50 * j) for j, w in enumerate(whole) if j != i]
+        expected += [(50 * i, k, j, s) for k, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:5], 1)]
+    assert sorted(tuple(x) for x in topk.top_k(table).collect()) == sorted(expected)
+
+
+def test_products_in_doubt_are_exact():
+    r = random.Random(8)
+    for scale in (1e3, 1e8, 1e9, 2e9, 1e12, 1e18, 1e25):
+        q, x = ([[float(int(r.uniform(-scale, scale))) for _ in range(4)] for _ in range(20)] for _ in range(2))
+        want = [[max(-(2**63) + 2, min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(v, w, strict=True)))) for w in x] for v in q]
+        assert topk._products(np.array(q), np.array(x)).tolist() == want
+
+
 def plain_coverage(doc, item, least):
     """Greedy string tiling by comparing every pair of positions."""
     a, b = decontaminate.words_of(doc), decontaminate.words_of(item)
