@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRUTH = "index int, answer string, `from` string"
@@ -13,13 +13,36 @@ LINE = f"struct<box:array<array<int>>,position:array<array<int>>,text:string,wor
 ANNOTATION = f"pages array<struct<globalIndex:int,fileName:string,relPath:string,category:string,width:int,height:int,text:string,source:string,ocrText:string,classifiedLines:array<{LINE}>>>"
 
 
+def file_name(path: Column | str) -> Column:
+    """The name of a file without its extension; of one that write_named wrote, its row's name."""
+    path = F.col(path) if isinstance(path, str) else path
+    own = F.regexp_extract(path, "/name=([^/]+)/[^/]+$", 1)
+    return F.when(own != "", own).otherwise(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
+
+
+def folder_name(path: Column | str) -> Column:
+    """The name of the folder that a file stands in; of a partition's folder, its value."""
+    return F.regexp_extract(path, "([^/=]+)/[^/]+$", 1)
+
+
+def write_named(files: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A text file for each row of files(name, content), below a folder name=<name>, written by the executors."""
+    files.select("name", F.col("content").cast("string").alias("value")).write.partitionBy("name").mode(mode).text(path)
+
+
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(value, path): a row for each file below a path."""
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+
+
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Ground-truth CSV; answers may span lines. row_order lets the last of equal indices win."""
+    """Ground-truth CSV; answers may span lines. By row_order, file and then record, the last of equal indices wins."""
     rows = spark.read.schema(TRUTH).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.withColumn("row_order", F.monotonically_increasing_id())
+    # a file with records of several lines is read by one task from its start to its end, whatever files it shares that task with
+    return rows.withColumn("row_order", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record")))
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
     """Hadoop's file system and path object of a path, so that any store will do."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
@@ -27,33 +50,22 @@ def _folder(spark: SparkSession, path: str):
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those of the paths that exist."""
-    return [p for p in paths if (x := _folder(spark, p))[0].exists(x[1])]
+    return [p for p in paths if (x := folder_of(spark, p))[0].exists(x[1])]
 
 
 def catalog(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
     """(model, files): the prediction files below a folder, by the folder that they stand in."""
-    files = list_files(spark, folder, pattern).select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("model"), "path")
+    files = list_files(spark, folder, pattern).select(folder_name("path").alias("model"), "path")
     return files.groupBy("model").agg(F.array_sort(F.collect_set("path")).alias("files"))
 
 
-def write_file(spark: SparkSession, path: str, content: str | bytes) -> None:
-    """One small file, such as a layout or an image, written by the driver."""
-    system, place = _folder(spark, path)
-    out = system.create(place, True)
-    try:
-        out.write(bytearray(content.encode() if isinstance(content, str) else content))
-    finally:
-        out.close()
-
-
 def read_predictions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Prediction JSONL with missing keys as defaults; the model is the file's folder. Files that don't exist are skipped."""
     found = existing(spark, paths)
     if not found:
         return spark.createDataFrame([], f"{PREDICTION}, model string")
     rows = spark.read.schema(PREDICTION).json(found)
-    model = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
-    return rows.withColumn("model", model).fillna({"image": "", "ocr": "", "finish_reason": "", "ok": False})
+    return rows.withColumn("model", folder_name(F.col("_metadata.file_path"))).fillna({"image": "", "ocr": "", "finish_reason": "", "ok": False})
 
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
@@ -72,8 +84,7 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """(book, text): one row for each file."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("book"), F.col("value").alias("text"))
+    return _whole_files(spark, path).select(file_name("path").alias("book"), F.col("value").alias("text"))
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +109,8 @@ def read_settings(spark: SparkSession, path: str, separator: str = ":") -> DataF
     space or starts a line, quotes removed."""
     value = F.regexp_replace("value", r"(^|\s)#.*$", "")
     parts = F.split(value, F.lit(separator), 2)
-    rows = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("file"), parts.alias("p")).filter(F.size("p") == 2)
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    rows = lines.select(file_name(F.col("_metadata.file_path")).alias("file"), parts.alias("p")).filter(F.size("p") == 2)
     unquoted = F.regexp_replace(F.trim(F.col("p")[1]), r"""^(["'])(.*)\1$""", "$2")
     return rows.select("file", F.trim(F.col("p")[0]).alias("key"), unquoted.alias("value")).filter("key <> ''")
 
@@ -121,25 +133,19 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a script that assigns one JSON object: a row for each page."""
+    """Pages of scripts that assign one JSON object each: a row for each page."""
     json = F.regexp_replace("value", r"(?s)^[^{]*=\s*|\s*;\s*$", "")
-    whole = spark.read.text(path, wholetext=True).select(F.from_json(json, ANNOTATION).alias("d"))
+    whole = _whole_files(spark, path).select(F.from_json(json, ANNOTATION).alias("d"))
     return whole.select(F.explode("d.pages").alias("page")).select("page.*")
 
 
-def read_images(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
-    """(path, width, height, rgb): PNG images, decoded a file at a time on the executors.
+def read_images(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, width, height, rgb): images of any kind that Spark's image source decodes, in reading order.
 
-    An image that can't be decoded (interlaced, with a palette, of another depth, or broken) has nulls.
+    One that can't be decoded has nulls; an empty file gives no row.
     """
-    import pandas as pd
-
-    from quire.sources.png import decode
-
-    def run(batches):
-        for batch in batches:
-            found = [decode(bytes(c)) or (None, None, None) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "width": pd.array([x[0] for x in found], "Int32"), "height": pd.array([x[1] for x in found], "Int32"), "rgb": [x[2] for x in found]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "content")
-    return files.mapInPandas(run, "path string, width int, height int, rgb binary")
+    read = spark.read.format("image").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("dropInvalid", False).load(folder).select("image.*")
+    # the source gives blue, green and red, a fourth byte for how opaque a pixel is, or one byte of grey
+    pixels, known = F.hex("data"), F.col("nChannels") > 0
+    rgb = F.when(F.col("nChannels") == 1, F.regexp_replace(pixels, "(..)", "$1$1$1")).when(F.col("nChannels") == 4, F.regexp_replace(pixels, "(..)(..)(..)..", "$3$2$1")).otherwise(F.regexp_replace(pixels, "(..)(..)(..)", "$3$2$1"))
+    return read.select(F.col("origin").alias("path"), *(F.when(known, F.col(c)).alias(c) for c in ("width", "height")), F.when(known, F.unhex(rgb)).alias("rgb"))
