@@ -1,8 +1,11 @@
 """Books to pages: padded text, pagination into a grid of columns and rows, page content, and
 placement of top-margin comments.
 
-Pagination is sequential in a book, so it is a Python table function that gets one book at a
-time; books without notes, comments, controls and zero-width marks can go through
+Where a page ends depends on all before it, but only by a position: characters and notes add to it,
+and controls move it within its page. So a long book is cut into stretches of pieces (runs of plain
+text, notes, comments, controls) whose first positions come from a fold of widths in the JVM, and a
+Python table function lays out the stretches apart from each other: each makes the pages that it
+opens, and reads on to the end of the last. Books without notes, comments, controls and zero-width marks can go through
 ``paginate_plain``, which is arithmetic on positions and stays in the JVM.
 
 Where a note ends with a mark, is empty, or crosses a page, it is closed, and opened again on the
@@ -11,6 +14,7 @@ next page, so that every page's brackets are balanced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from quire.functions import layout as L
 from quire.functions import text as T
 
+#: Characters of a book that is laid out in one go; pieces of a stretch; characters of a plain piece.
+LONG, STRETCH, PLAIN = 32768, 64, 512
 PAGE = StructType(
     [
         StructField("page_idx", IntegerType()),
@@ -85,14 +91,18 @@ def _delimited(text: str, at: int, closer: str) -> tuple[str, int]:
     return (text[at:], len(text)) if end < 0 else (text[at:end], end + 1)
 
 
-def paginate(text: str, grid: Grid) -> Iterator[tuple[int, str, list[tuple[int, str]]]]:
-    """Pages (index, raw text, comments) of a flattened, padded book.
+def paginate(text: str, grid: Grid, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, str, list[tuple[int, str]]]]:
+    """Pages (index, raw text, comments) of a flattened, padded book, or of what stands in it from cell ``start`` on.
+
+    No page from number ``stop`` on is made.
 
     Raw text keeps control marks: a literal \\h ends a column, $ a half page. A character takes a
     cell and a note's character half a cell, first all of a column's right halves, then the left.
     Zero-width marks, dashes and, with vertical lines, 《》 take none; characters without a glyph go.
     """
-    page, i, n = _Page(0), 0, len(text)
+    page, i, n = _Page(start // grid.cells, at=start % grid.cells), 0, len(text)
+    if stop is not None and page.index >= stop:
+        return
     skip = set(grid.missing)
 
     def note(content: str) -> Iterator[tuple[int, str, list[tuple[int, str]]]]:
@@ -112,6 +122,8 @@ def paginate(text: str, grid: Grid) -> Iterator[tuple[int, str, list[tuple[int,
                         page.out.append("】")
                         yield page.row()
                         page = _Page(page.index + 1, ["【"])
+                        if page.index == stop:
+                            return
                     first = int(page.at)
                     room = 2 * (min(first + -(-left // 2), (first // grid.rows + 1) * grid.rows) - first)
                     drawn = False
@@ -136,6 +148,8 @@ def paginate(text: str, grid: Grid) -> Iterator[tuple[int, str, list[tuple[int,
         if page.at == grid.cells:
             yield page.row()
             page = _Page(page.index + 1)
+            if page.index == stop:
+                return
         c = text[i]
         i += 1
         if c == "＜":
@@ -145,6 +159,8 @@ def paginate(text: str, grid: Grid) -> Iterator[tuple[int, str, list[tuple[int,
         elif c == "【":
             said, i = _delimited(text, i, "】")
             yield from note(said)
+            if page.index == stop:
+                return
         elif c == "】":
             continue
         elif c in "%$&":
@@ -177,11 +193,15 @@ def paginate(text: str, grid: Grid) -> Iterator[tuple[int, str, list[tuple[int,
 
 @udtf(returnType=PAGE)
 class Paginate:
-    """paginate(text, rows, cells[, zero_width[, missing]]): the pages of one book."""
+    """paginate(text, rows, cells[, zero_width[, missing[, start[, first[, stop]]]]]): the pages of one book.
+
+    Of a stretch that begins at cell start, the pages from number first to before stop.
+    """
 
-    def eval(self, text: str, rows: int, cells: int, zero_width: str = "●◎", missing: str = ""):
+    def eval(self, text: str, rows: int, cells: int, zero_width: str = "●◎", missing: str = "", start: int = 0, first: int = 0, stop: int = None):
         if text is not None and rows and cells:
-            yield from paginate(text, Grid(rows, cells, zero_width, zero_width, missing=missing or ""))
+            pages = paginate(text, Grid(rows, cells, zero_width, zero_width, missing=missing or ""), start or 0, stop)
+            yield from (p for p in pages if p[0] >= (first or 0))
 
 
 def register(spark: SparkSession) -> None:
@@ -189,13 +209,87 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("paginate", Paginate)
 
 
-def paginate_books(books: DataFrame, rows: int, columns: int, zero_width: str = "●◎", **normalize: str) -> DataFrame:
-    """(book, page_idx, pagetxt, comments, content) of books(book, text). A null text has one empty page."""
+def _moved(grid: Grid, acc: Column, piece: Column) -> Column:
+    """(cell, opened) after a piece (control, width): the cell counts from the book's first, and opened tells that its page, which it is the first of, has something on it."""
+    at, cell = F.pmod(acc["cell"], F.lit(grid.cells)), acc["cell"]
+    half = grid.cells // 2
+    moved = (
+        F.when(piece["control"] == "%", cell - at + grid.cells)
+        .when(piece["control"] == "$", F.when(at.isin(0, half), cell).when(at < half, cell - at + half).otherwise(cell - at + grid.cells))
+        .when(piece["control"] == "&", F.when(at <= grid.cells - grid.rows + 1, cell - at + grid.cells - grid.rows).otherwise(cell))
+        .otherwise(cell + piece["width"])
+    )
+    return F.struct(moved.alias("cell"), ((F.pmod(moved, F.lit(grid.cells)) == 0) & (moved <= cell)).alias("opened"))
+
+
+def stretches(text: Column, grid: Grid, size: int = STRETCH, long: int = LONG, stop: int | None = None) -> Column:
+    """array of (text, start, first, stop): parts of a padded book for ``paginate``, each with the pages that it makes.
+
+    Texts of up to ``long`` characters stay whole. A part has ``size`` pieces, and goes on until its last
+    page is full. Pages from number ``stop`` on are left out.
+    """
+    lines = "《》" if grid.vertical_lines else ""
+    # characters that take no cell, and open a page that stands full before them, but for two marks after one that does
+    free, turned = (re.escape(c) for c in (f"-{grid.missing}{lines}{grid.zero_text}", grid.rotated))
+    marks = f"[{re.escape(grid.zero_text)}]" if grid.zero_text else "(?!)."
+    plain = f"[^＜【】%$&{free}{turned}]{{1,{PLAIN}}}(?:{marks}){{0,2}}" + (f"|[{turned}](?:{marks})?" if turned else "")
+    pattern = f"(?s)＜[^＞]*＞?|【[^】]*】?|[%$&].{{0,{grid.rows - 1}}}|】|{plain}|[{free}]+"
+
+    def piece(x: Column) -> Column:
+        first = F.substring(x, 1, 1)
+        noted = F.length(F.translate(F.regexp_replace(x, r"^【|】\z", ""), f"-{grid.zero_note}{grid.missing}{lines}", ""))
+        plain = F.length(F.translate(x, f"-{grid.zero_text}{grid.missing}{lines}", ""))
+        width = F.when(first.isin("＜", "】"), 0).when(first == "【", F.ceil(noted / 2)).otherwise(plain)
+        return F.struct(F.when(first.isin("%", "$", "&"), first).alias("control"), width.cast("long").alias("width"))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    begin = F.struct(F.lit(0).cast("long").alias("cell"), F.lit(False).alias("opened"))
+
+    def parts(pieces: Column) -> Column:
+        count = F.ceil(F.size(pieces) / size).cast("int")
+        groups = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.transform(F.slice(pieces, k * size + 1, F.lit(size)), piece))
+        step = lambda acc, g: F.struct(F.aggregate(g, acc["now"], lambda a, x: _moved(grid, a, x)).alias("now"), F.concat(acc["all"], F.array(acc["now"])).alias("all"))
+        entries = F.aggregate(groups, F.struct(begin.alias("now"), F.array_repeat(begin, 0).alias("all")), step, lambda acc: F.concat(acc["all"], F.array(acc["now"])))
+        return F.transform(F.array(entries), lambda e: F.transform(F.sequence(F.lit(0), count - 1), lambda k: part(pieces, count, e, k)))[0]
+
+    def page(entry: Column) -> Column:
+        return F.when(entry["opened"], F.floor(entry["cell"] / grid.cells) + 1).otherwise(F.ceil(entry["cell"] / grid.cells)).cast("int")
+
+    def part(pieces: Column, count: Column, entries: Column, k: Column) -> Column:
+        ends = page(entries[k + 1])
+        # the first group that begins where the part's last page is full
+        beyond = F.array_position(F.transform(F.slice(entries, k + 2, count), lambda e: e["cell"] >= ends.cast("long") * grid.cells), True)
+        groups = F.when((beyond > 0) & (k + 1 < count), beyond).otherwise(count - k)
+        own = F.array_join(F.slice(pieces, k * size + 1, (groups * size).cast("int")), "")
+        return F.struct(own.alias("text"), entries[k]["cell"].alias("start"), page(entries[k]).alias("first"), F.when(k + 1 < count, ends).alias("stop"))
+
+    none = F.lit(None).cast("int")
+    whole = F.array(F.struct(text.alias("text"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("first"), none.alias("stop")))
+    cut = F.when(F.length(text) <= long, whole).otherwise(F.transform(F.array(found), parts)[0])
+    kept = F.filter(cut, lambda x: (x["stop"].isNull() | (x["first"] < x["stop"])) & (F.lit(True) if stop is None else x["first"] < stop))
+    return kept if stop is None else F.transform(kept, lambda x: F.struct(x["text"], x["start"], x["first"], F.least(x["stop"], F.lit(stop)).alias("stop")))
+
+
+def paginate_books(books: DataFrame, rows: int, columns: int, zero_width: str = "●◎", stop: int | None = None, size: int = STRETCH, long: int = LONG, **normalize: str) -> DataFrame:
+    """(book, page_idx, pagetxt, comments, content) of books(book, text), the pages before number ``stop``.
+
+    A null text has one empty page. Books of more than ``long`` characters are laid out in stretches, by several tasks.
+    """
+    grid = Grid(rows, rows * columns, zero_width, zero_width)
     ready = books.select("book", load_text("text", F.lit(rows), zero_width, **normalize).alias("_text"))
-    pages = ready.lateralJoin(Paginate(F.col("_text").outer(), F.lit(rows), F.lit(rows * columns), F.lit(zero_width)))
+    # so many partitions that few bytes, which take long to lay out, don't end up in one
+    tasks = int(books.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = ready.select("book", F.explode(stretches(F.col("_text"), grid, size, long, stop)).alias("_part")).select("book", "_part.*").repartition(tasks, "book", "first")
+    function = Paginate(F.col("text").outer(), F.lit(rows), F.lit(grid.cells), F.lit(zero_width), F.lit(""), F.col("start").outer(), F.col("first").outer(), F.col("stop").outer())
+    pages = parts.select("book", *(F.col(c).alias(c) for c in ("text", "start", "first", "stop"))).lateralJoin(function)
     return pages.select("book", "page_idx", "pagetxt", "comments", T.page_content("pagetxt").alias("content"))
 
 
+def first_pages(books: DataFrame, n: int, rows: int, columns: int, **more) -> DataFrame:
+    """Of each book, the pages before number n: a trial run or a preview, for which no other page is made."""
+    return paginate_books(books, rows, columns, stop=n, **more)
+
+
 def paginate_plain(books: DataFrame, rows: int, columns: int) -> DataFrame:
     """(book, page_idx, pagetxt) of books whose text has no brackets, controls, dashes and marks."""
     cells = rows * columns
@@ -208,11 +302,6 @@ def paginate_plain(books: DataFrame, rows: int, columns: int) -> DataFrame:
     return pages.select("book", "page_idx", F.array_join(F.transform(pieces(F.col("_own"), rows), lambda c, k: F.concat(c, ended(c, k))), "").alias("pagetxt"))
 
 
-def first_pages(pages: DataFrame, n: int) -> DataFrame:
-    """Of each book, the pages before number n: a trial run or a preview."""
-    return pages.filter(F.col("page_idx") < n)
-
-
 def place_comments(comments: DataFrame, rows: int, half_columns: int, height: float, base: int, zero_width: str = "●◎。") -> DataFrame:
     """(book, page_idx, seq, cell, text, column, size, kept) of comments(book, page_idx, seq, cell, text).
 

@@ -114,7 +114,8 @@ def mark_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_preview", f"select book, page_idx, pagetxt from ({PAGES}) where page_idx < 2")
 def page_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.first_pages(S.paginate_plain(plain_books(spark, sf_dir), ROWS, COLUMNS), 2).withColumn("pagetxt", F.md5("pagetxt"))
+    """No other page is made."""
+    return S.first_pages(plain_books(spark, sf_dir), 2, ROWS, COLUMNS).select("book", "page_idx", F.md5("pagetxt").alias("pagetxt"))
 
 
 @query(
