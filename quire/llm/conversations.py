@@ -170,6 +170,7 @@ def _repaired(turns: Column, audit: Column) -> Column:
 def _collected(turns: DataFrame) -> DataFrame:
     """Conversations that are collected whole: (conv_id, COUNTS, cost, carried audit, turns)."""
     order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")]
+    turns = turns.repartition("conv_id")  # serves the windows and the grouping
     place = F.row_number().over(Window.partitionBy("conv_id", "alive").orderBy(*order))
     seen = F.row_number().over(Window.partitionBy("conv_id", "alive", "role", "text").orderBy("place")) > 1
     flagged = _flagged(turns.withColumn("place", place).withColumn("seen", seen), ["conv_id", "alive"], F.col("seen"), [F.asc("place")])
