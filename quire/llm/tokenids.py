@@ -32,12 +32,24 @@ from quire.llm.shared import cut, discard, scratch_path
 MAGIC = b"QTIDS\x00\x00\x01"
 HEAD = struct.Struct("<7Q")
 #: Ids of a file, about, and of a block; pieces that a task remembers; bytes of text that are tokenised at once.
-SEGMENT, BLOCK, REMEMBERED, AT_ONCE = 16 << 20, 4096, 1 << 20, 8 << 20
+SEGMENT, BLOCK, REMEMBERED, AT_ONCE = 16 << 20, 4096, 3 << 19, 8 << 20
 END = 0
 #: What some rule counts as white space, or joins to what stands beside it. A single space between other characters starts a byte-level word, whatever surrounds it.
 SPACE = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2060\ufeff"
 CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
-INSIDE, LINES = re.compile(f"[^{SPACE}]+"), 20000
+INSIDE = re.compile(f"[^{SPACE}]+")
+#: Letters, digits, signs and line ends that byte-level words never mix.
+RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏЀ-ҁぁ-ゖァ-ヺ一-鿿가-힣]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter of each byte in a byte-level vocabulary: the printable ones stand for themselves, the others follow from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = itertools.count(256)
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+LETTERS = _byte_letters()
 
 
 def vocabulary_path() -> str:
@@ -51,8 +63,9 @@ class Encoder:
     """Ids of texts by a tokenizer, which sees each distinct piece once.
 
     Texts are cut before single spaces inside them, where byte-level words start anew whatever
-    surrounds them; the pieces' ids are remembered, up to REMEMBERED pieces. New pieces go to the
-    tokenizer as lines of one text, parted at the line end's id. Texts for a tokenizer of another kind are not cut.
+    surrounds them; the pieces' ids are remembered, up to REMEMBERED pieces. Of a new piece, runs of
+    letters, digits or signs are words, which go to the tokenizer's model; a piece with anything else goes to the tokenizer
+    whole. Texts for a tokenizer of another kind are not cut.
     """
 
     def __init__(self, definition: str):
@@ -62,78 +75,71 @@ class Encoder:
         words = kind.get("pre_tokenizer") or {}
         self.cuts = kind.get("normalizer") is None and words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
         self.tokenizer = Tokenizer.from_str(definition)
-        line = self._ids(["\n"])[0]
-        self.line = line[0] if self.cuts and len(line) == 1 else None
+        self.model = self.tokenizer.model
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in kind.get("added_tokens", [])) or "(?!)")
         self._forget()
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        #: Number of a field that follows a space, -1 if it can't be cut off there; number of any other piece.
-        self.fields: dict[str, int] = {}
-        self.pieces: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _remember(self, known: dict[str, int], keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        known.update(zip(keys, range(len(self.starts) - 1, len(self.starts) - 1 + len(keys)), strict=True))
-        self.flat = np.concatenate([self.flat, flat])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-
-    def _learn(self, known: dict[str, int], keys: list[str], texts: list[str]) -> None:
-        found = self._ids(texts)
-        self._remember(known, keys, np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-
-    def _learn_fields(self, fields: list[str]) -> None:
-        plain, others = [], []
+        #: Packed ids of a field that follows a space, of any other piece, and of a word.
+        self.fields: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _encoded(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(LETTERS))], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if (known := self.words.get(word)) is None:
+            known = self.words[word] = self._encoded(word)
+        return known
+
+    def _first(self, word: str) -> bytes:
+        """A word after a space, which is a field by itself as well."""
+        if (known := self.fields.get(word)) is None:
+            known = self.fields[word] = self._encoded(f" {word}")
+        return known
+
+    def _learn(self, fields: set[str]) -> None:
+        """Remember fields that can be cut off at their spaces; the others stay unknown."""
+        whole = []
         for field in fields:
-            if INSIDE.fullmatch(field):
-                (plain if self.line is not None else others).append(field)
-            elif field and INSIDE.match(field[0]) and INSIDE.match(field[-1]):
-                others.append(field)
+            if not field or not INSIDE.match(field[0]) or not INSIDE.match(field[-1]):
+                continue
+            runs = RUN.findall(field)
+            if sum(map(len, runs)) == len(field) and "\n\n" not in field and not self.added.search(field):
+                self.fields[field] = b"".join([self._first(runs[0]), *map(self._word, runs[1:])])
             else:
-                self.fields[field] = -1
-        for at in range(0, len(plain), LINES):
-            some = plain[at : at + LINES]
-            (ids,) = self._ids(["".join(f" {p}\n" for p in some)])
-            flat = np.array(ids, np.uint32)
-            ends = np.flatnonzero(flat == self.line)
-            if len(ends) != len(some):
-                raise ValueError("pieces of a text are not parted by line ends")
-            self._remember(self.fields, some, np.delete(flat, ends), np.diff(ends, prepend=-1) - 1)
-        self._learn(self.fields, others, [f" {f}" for f in others])
+                whole.append(field)
+        for field, ids in zip(whole, self._ids([f" {f}" for f in whole]), strict=True):
+            self.fields[field] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
-            return [np.array(x, np.uint32) for x in self._ids(texts)]
-        if len(self.fields) + len(self.pieces) > REMEMBERED:
+            return self._ids(texts)
+        if len(self.fields) + len(self.pieces) + len(self.words) > REMEMBERED:
             self._forget()
         split = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for first, *fields in split:
-            new.update(fields)
-        self._learn_fields(list(new.difference(self.fields)))
-        numbers, firsts = [], []
-        for text, (first, *fields) in zip(texts, split, strict=True):
-            known, loose = list(map(self.fields.__getitem__, fields)), []
-            if fields and not (first and INSIDE.match(first[-1])) or -1 in known:
-                first, *parts = CUT.split(text)
-                known = [self.fields.get(p, -1) for p in parts]
-                loose = [(i, f" {p}") for i, p in enumerate(parts) if known[i] < 0]
-            numbers.append((known, loose))
-            firsts.append(first)
-        unseen = list({p for first, (_, loose) in zip(firsts, numbers, strict=True) for p in (first, *(p for _, p in loose))}.difference(self.pieces))
-        self._learn(self.pieces, unseen, unseen)
-        out = []
-        for first, (known, loose) in zip(firsts, numbers, strict=True):
-            for i, p in loose:
-                known[i] = self.pieces[p]
-            places = np.array([self.pieces[first], *known], np.int64)
-            starts = self.starts[places]
-            sizes = self.starts[places + 1] - starts
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)])
-        return out
+        out: list = [list(map(self.fields.get, fields)) for fields in split]
+        gaps = [[i for i, known in enumerate(found) if i and known is None] if None in found else [] for found in out]
+        self._learn({fields[i] for fields, at in zip(split, gaps, strict=True) for i in at})
+        loose: dict[str, None] = {}
+        for k, (text, fields, at) in enumerate(zip(texts, split, gaps, strict=True)):
+            found, first = out[k], fields[0]
+            for i in at:
+                found[i] = self.fields.get(fields[i])
+            if len(fields) > 1 and (not (first and INSIDE.match(first[-1])) or any(found[i] is None for i in at)):
+                first, *others = CUT.split(text)
+                found = out[k] = [None, *(x if (x := self.fields.get(p)) is not None else f" {p}" for p in others)]
+                loose.update((x, None) for x in found if isinstance(x, str))
+            found[0] = first
+            loose[first] = None
+        unseen = [p for p in loose if p not in self.pieces]
+        for piece, ids in zip(unseen, self._ids(unseen), strict=True):
+            self.pieces[piece] = ids.tobytes()
+        return [np.frombuffer(b"".join([x if type(x) is bytes else self.pieces[x] for x in found]), "<u4") for found in out]
 
 
 @functools.cache
