@@ -94,12 +94,56 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.expr(BOOK).alias("text"))
 
 
-@query("page_records")
+def breaks(cell: str) -> str:
+    """What ends a column or half a page after a cell."""
+    return f"case when {cell} = {CELLS // 2} then '$' when {cell} > 0 and {cell} % {ROWS} = 0 then '\\h' else '' end"
+
+
+#: Pages of books with notes, comments and controls: running counts of half cells between controls, whose effects are followed one after another.
+NOTED_RAW = (
+    FLATTEN.replace("with t as", "with recursive t as")
+    + f""", ls as (select doc_id, unnest(string_split(x, chr(10))) as line, generate_subscripts(string_split(x, chr(10)), 1) as pos from flat),
+kept as (select doc_id, pos, replace(regexp_replace(line, '\\s', '', 'g'), '@', ' ') as line from ls),
+bare as (select *, regexp_replace(line, '＜[^＞]*(＞|$)', '', 'g') as b from kept where line <> ''),
+sized as (select *, (coalesce(list_sum(list_transform(regexp_extract_all(b, '【([^】]*)(?:】|$)', 1), lambda z: ceil(length(z) / 2.0)::int)), 0) + length(replace(regexp_replace(b, '【[^】]*(】|$)', '', 'g'), '】', '')))::bigint as cells from bare),
+book as (select doc_id, string_agg(line || repeat(' ', ({ROWS} - cells % {ROWS}) % {ROWS}), '' order by pos) as x from sized group by doc_id),
+found as (select doc_id, regexp_extract_all(x, '(?s)＜[^＞]*＞?|【[^】]*】?|[%$&].{{0,{ROWS - 1}}}|.') as toks from book),
+toks as (select doc_id, unnest(toks) as tok, generate_subscripts(toks, 1) as pos from found),
+sorts as (select *, left(tok, 1) as k, case when left(tok, 1) in ('%', '$', '&') then left(tok, 1) end as control, case left(tok, 1) when '＜' then 0 when '】' then 0 when '-' then 0 when '%' then 0 when '$' then 0 when '&' then 0
+  when '【' then ceil(length(translate(tok, '【】-', '')) / 2.0) else 1 end::bigint as w from toks),
+parts as (select *, coalesce(count(control) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as part from sorts),
+sums as materialized (select *, (sum(w) over (partition by doc_id, part order by pos) - w)::bigint as before from parts),
+ends as materialized (select doc_id, part, sum(w)::bigint as w, max(control) as control from sums group by doc_id, part),
+bases as (select distinct doc_id, 0::bigint as part, 0::bigint as base from ends union all
+  select doc_id, part + 1, case control when '%' then p - p % {CELLS} + {CELLS} when '$' then case when p % {CELLS} in (0, {CELLS // 2}) then p when p % {CELLS} < {CELLS // 2} then p - p % {CELLS} + {CELLS // 2} else p - p % {CELLS} + {CELLS} end
+    else case when p % {CELLS} <= {CELLS - ROWS + 1} then p - p % {CELLS} + {CELLS - ROWS} else p end end
+  from (select b.doc_id, b.part, e.control, b.base + e.w as p from bases b join ends e on e.doc_id = b.doc_id and e.part = b.part and e.control is not null)),
+spots as materialized (select s.doc_id, s.pos, s.tok, s.k, b.base + s.before as p from sums s join bases b on b.doc_id = s.doc_id and b.part = s.part),
+notes as (select doc_id, pos, p, regexp_replace(tok, '^【|】$', '', 'g') as said from spots where k = '【'),
+signs as (select doc_id, pos, p, unnest(string_split(said, '')) as c, generate_subscripts(string_split(said, ''), 1) as j, length(said) as n from notes where said <> ''),
+drawn as (select *, (count(*) filter (c <> '-') over (partition by doc_id, pos order by j))::bigint as m from signs),
+turned as (select *, (2 * p + greatest(m, 1) - 1) // {2 * CELLS} as page, max((2 * p + greatest(m, 1) - 1) // {2 * CELLS}) over (partition by doc_id, pos) as final from drawn),
+spelt as (select *, case when c = '-' then c else c || case when j = n then '】' else '' end || {breaks(f"((2 * p + m - {2 * CELLS} * page) // 2)")} end as unit from turned),
+noted as (select doc_id, pos, page, '【' || string_agg(unit, '' order by j) || case when page < any_value(final) or arg_max(c, j) = '-' then '】' else '' end as unit from spelt group by doc_id, pos, page),
+units as (select * from noted union all select doc_id, pos, p // {CELLS}, '【】' from notes where said = '' union all
+  select doc_id, pos, p // {CELLS}, case k when '】' then '' when '＜' then '＜' || replace(replace(tok, '＜', ''), '＞', '') || '＞' when '%' then k when '$' then k when '&' then k when '-' then k || {breaks(f"(p % {CELLS})")} else tok || {breaks(f"(p % {CELLS} + 1)")} end from spots where k <> '【'),
+raw_pages as (select doc_id as book, page::int as page_idx, string_agg(unit, '' order by pos) as raw from units group by all union all select doc_id, 0, '' from documents where doc_id not in (select doc_id from found where x is not null and len(toks) > 0))"""
+).replace("found as (select doc_id, regexp", "found as (select doc_id, x, regexp")
+
+
+@query(
+    "page_records",
+    NOTED_RAW
+    + """ select book, page_idx, '<image>' || chr(10) || 'OCR:【】＜＞。、' as prompt, md5(regexp_replace(regexp_replace(regexp_replace(translate(replace(raw, '\\h', chr(10)), '$%&', chr(12)), '[ \\t\\f\\r]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) as content,
+    case when page_idx in (0, 2, 4, 6) then printf('%d_%03d.jpg', book, page_idx) end as image from raw_pages""",
+)
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Books with notes and comments to chat records; even ones of a book's first eight pages have an image."""
+    """Books with notes, comments and controls to chat records; even ones of a book's first eight pages have an image."""
     records = Q.page_records(S.paginate_books(books(spark, sf_dir), ROWS, COLUMNS))
     numbered = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.explode(F.sequence(F.lit(0), F.lit(6), F.lit(2))).alias("page_idx"))
-    return Q.bind_images(records, numbered.withColumn("path", F.format_string("%s_%03d.jpg", F.col("book").cast("string"), "page_idx")))
+    bound = Q.bind_images(records, numbered.withColumn("path", F.format_string("%s_%03d.jpg", F.col("book").cast("string"), "page_idx")))
+    said = F.col("messages")
+    return bound.select("book", "page_idx", said[0]["content"].alias("prompt"), F.md5(said[1]["content"]).alias("content"), F.try_element_at("images", F.lit(1)).alias("image"))
 
 
 @query("cell_positions", f"with w as (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) as pos from documents) select doc_id, pos::int - 1 as pos, (coalesce(sum(length(word)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0))::bigint as cell from w")
