@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from quire.functions import text as T
 
@@ -27,39 +24,97 @@ def ned(gt: Column | str, pred: Column | str) -> Column:
     return similarity(F.levenshtein(g, p), F.greatest(F.length(g), F.length(p)), 0.0)
 
 
-def wildcard_distance(gt: str, pred: str) -> int:
+#: Bits of a word of the distance table's column, so that sums of two words fit a long.
+WORD = 60
+FULL = (1 << WORD) - 1
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _shifted(bits: Column | int, by: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(bits).cast("long"), by.cast("int"))
+
+
+def _index(entries: Column) -> Column:
+    """map from key to the numbers beside it, in order, of array<struct(key, at)>, by one sort."""
+
+    def grouped(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda k: (k == 0) | (x[k]["key"] != F.get(x, k - 1)["key"]))
+        lists = lambda s: F.transform(s, lambda k, t: F.transform(F.slice(x, k + 1, F.coalesce(F.get(s, t + 1), F.size(x)) - k), lambda e: e["at"]))
+        return _let(starts, lambda s: F.map_from_arrays(F.transform(s, lambda k: x[k]["key"]), lists(s)))
+
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<int>>"))
+    return _let(F.array_sort(entries), lambda x: F.when(F.size(x) == 0, none).otherwise(grouped(x)))
+
+
+def _places(index: Column, words: Column, c: Column) -> Column:
+    """Bit words of the places of a character, and of the wildcards."""
+    own = lambda key: F.coalesce(F.try_element_at(index, key), F.array().cast("array<int>"))
+    bits = lambda found, k: F.aggregate(found, F.lit(0).cast("long"), lambda a, at: F.when(F.floor(at / WORD) == k, a.bitwiseOR(_shifted(1, F.pmod(at, F.lit(WORD))))).otherwise(a))
+    return _let(F.concat(own(c), F.when(c == "#", F.array().cast("array<int>")).otherwise(own(F.lit("#")))), lambda found: F.transform(words, lambda k: bits(found, k)))
+
+
+def wildcard_distance(gt: Column, pred: Column) -> Column:
     """Edit distance in which # in gt stands for any one character.
 
-    A row of the table is three vector steps; the running minimum of t - j, plus j, spreads
-    insertions along it.
+    A column of the distance table is held as bits, which tell where it rises and falls downwards, in words of WORD
+    rows. A character of pred moves all words on, each handing to the next whether its last row rose or fell.
     """
-    p = np.array([ord(c) for c in pred], np.int64)
-    j = np.arange(len(p) + 1)
-    row = j.copy()
-    for i, c in enumerate(gt, 1):
-        fresh = np.empty_like(row)
-        fresh[0] = i
-        same = np.ones(len(p), bool) if c == "#" else p == ord(c)
-        # a match is taken even where another way is as short, which changes no distance
-        fresh[1:] = np.minimum(row[:-1] + ~same, row[1:] + 1)
-        row = np.minimum.accumulate(fresh - j) + j
-    return int(row[-1])
+    zero = F.lit(0).cast("long")
+
+    def moved(acc: Column, word: Column, equal: Column, top: Column) -> Column:
+        """A word (rises, falls) after the change that comes from above."""
+        rises, falls = word["rises"], word["falls"]
+        up, down = (F.when(acc["change"] == sign, F.lit(1).cast("long")).otherwise(zero) for sign in (1, -1))
+
+        def crossed(same: Column) -> Column:
+            return _let(same.bitwiseAND(rises) + rises, lambda total: _let(total.bitwiseXOR(rises).bitwiseOR(same), level))
+
+        def level(ways: Column) -> Column:
+            right = falls.bitwiseOR(F.bitwise_not(ways.bitwiseOR(rises)).bitwiseAND(FULL))
+            return _let(F.struct(right.alias("right"), rises.bitwiseAND(ways).alias("left")), lower)
+
+        def lower(x: Column) -> Column:
+            change = F.call_function("getbit", x["right"], top) - F.call_function("getbit", x["left"], top)
+            right, left = _shifted(x["right"], F.lit(1)).bitwiseOR(up).bitwiseAND(FULL), _shifted(x["left"], F.lit(1)).bitwiseOR(down).bitwiseAND(FULL)
+            still = equal.bitwiseOR(falls)
+            after = _let(right, lambda r: F.struct(left.bitwiseOR(F.bitwise_not(still.bitwiseOR(r)).bitwiseAND(FULL)).alias("rises"), r.bitwiseAND(still).alias("falls")))
+            return F.struct(change.cast("int").alias("change"), F.concat(acc["words"], F.array(after)).alias("words"))
+
+        return _let(equal.bitwiseOR(down), crossed)
 
+    def distance(x: Column) -> Column:
+        fresh = F.transform(x["tops"], lambda t: F.struct(F.lit(FULL).alias("rises"), zero.alias("falls")))
 
-@F.pandas_udf(IntegerType())
-def _wildcard(gt: pd.Series, pred: pd.Series) -> pd.Series:
-    return pd.Series([wildcard_distance(g, p) for g, p in zip(gt, pred, strict=True)], dtype="int32")
+        def step(acc: Column, c: Column) -> Column:
+            start = F.struct(F.lit(1).alias("change"), F.slice(acc["words"], 1, 0).alias("words"))
+            swept = lambda equal: F.aggregate(x["words"], start, lambda a, k: moved(a, acc["words"][k], equal[k], x["tops"][k]))
+            return _let(_let(F.element_at(x["places"], c), swept), lambda m: F.struct((acc["distance"] + m["change"]).alias("distance"), m["words"].alias("words")))
+
+        return F.aggregate(x["p"], F.struct(F.size(x["g"]).alias("distance"), fresh.alias("words")), step, lambda acc: acc["distance"])
+
+    def tabled(x: Column) -> Column:
+        last = F.size(x["g"]) - 1
+        words = F.sequence(F.lit(0), F.floor(last / WORD).cast("int"))
+        tops = F.transform(words, lambda k: F.least(last - k * WORD, F.lit(WORD - 1)).cast("int"))
+        index = _index(F.transform(x["g"], lambda c, i: F.struct(c.alias("key"), i.alias("at"))))
+        kinds = F.array_distinct(x["p"])
+        places = lambda found: F.map_from_arrays(kinds, F.transform(kinds, lambda c: _places(found, words, c)))
+        return F.struct(x["g"].alias("g"), x["p"].alias("p"), words.alias("words"), tops.alias("tops"), _let(index, places).alias("places"))
+
+    texts = F.struct(T.chars(gt).alias("g"), T.chars(pred).alias("p"))
+    return F.when(F.length(gt) == 0, F.length(pred)).when(F.length(pred) == 0, F.length(gt)).otherwise(_let(texts, lambda x: _let(tabled(x), distance)))
 
 
 def with_ned(df: DataFrame, gt: str, pred: str, out: str = "ned") -> DataFrame:
-    """df with edit distance, longest length and similarity; rows whose gt holds a wildcard take the
-    Arrow branch, all others stay in the JVM."""
+    """df with edit distance, longest length and similarity; wildcards in gt are honoured."""
     g, p = edit_texts(gt, pred)
     sided = df.withColumn("_g", g).withColumn("_p", p)
-    wild = F.col("_g").contains("#")
-    native = sided.filter(~wild).withColumn("edit_distance", F.levenshtein("_g", "_p"))
-    arrow = sided.filter(wild).withColumn("edit_distance", _wildcard("_g", "_p"))
-    both = native.unionByName(arrow).withColumn("longest", F.greatest(F.length("_g"), F.length("_p")))
+    distance = F.when(F.col("_g").contains("#"), wildcard_distance(F.col("_g"), F.col("_p"))).otherwise(F.levenshtein("_g", "_p"))
+    both = sided.withColumn("edit_distance", distance).withColumn("longest", F.greatest(F.length("_g"), F.length("_p")))
     return both.withColumn(out, similarity(F.col("edit_distance"), F.col("longest"), 0.0)).drop("_g", "_p")
 
 
@@ -85,19 +140,62 @@ def entity_score(gt: Column, pred: Column, threshold: float = 0.5) -> Column:
     return F.when((F.length(gt) == 0) & (F.length(pred) == 0), 1.0).when(score >= threshold, score).otherwise(0.0)
 
 
+def _signed(entities: Column) -> Column:
+    """Entities as (at, set, n, bits): their distinct characters, how many, and a bit for each of 64 kinds of them."""
+
+    def one(e: Column, at: Column) -> Column:
+        return _let(F.array_distinct(T.chars(e)), lambda x: F.struct(at.alias("at"), x.alias("set"), F.size(x).alias("n"), bits(x).alias("bits")))
+
+    bits = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, c: a.bitwiseOR(_shifted(1, F.pmod(F.hash(c), F.lit(64)))))
+    return F.transform(entities, one)
+
+
+def _may_match(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two entities can reach the threshold: a kind that only one of them has stands for a character that they don't share."""
+    shared = F.least(a["n"] - F.bit_count(a["bits"].bitwiseAND(F.bitwise_not(b["bits"]))), b["n"] - F.bit_count(b["bits"].bitwiseAND(F.bitwise_not(a["bits"]))))
+    return ((a["n"] == 0) & (b["n"] == 0)) | ((shared > 0) & (2 * shared >= F.lit(threshold - 1e-9) * (a["n"] + b["n"])))
+
+
 def best_matches(gt: Column, pred: Column, threshold: float = 0.5) -> Column:
-    """Greedy one-to-one matches array<struct(i, j, score)>: best score first, ties by (i, j)."""
-    scored = F.flatten(
-        F.transform(gt, lambda g, i: F.transform(pred, lambda p, j: F.struct((-entity_score(g, p, threshold)).alias("less"), i.alias("i"), j.alias("j"))))
-    )
-    ordered = F.array_sort(F.filter(scored, lambda s: s["less"] < 0))
-    start = F.array().cast("array<struct<i:int,j:int,score:double>>")
+    """Greedy one-to-one matches array<struct(i, j, score)>: best score first, ties by (i, j).
+
+    Only pairs are made that share one of the rarer characters, by an index from characters to entities, and whose
+    kinds of characters let them reach the threshold. Taken entities are bits of words.
+    """
+
+    def scored(g: Column, p: Column) -> Column:
+        score = F.when((g["n"] == 0) & (p["n"] == 0), 1.0).otherwise(set_f1(g["set"], p["set"]))
+        return F.struct((-F.when(score >= threshold, score).otherwise(0.0)).alias("less"), g["at"].alias("i"), p["at"].alias("j"))
+
+    keys = lambda e: F.when(e["n"] == 0, F.array(F.lit(""))).otherwise(e["set"])
+
+    def pairs(sides: Column) -> Column:
+        g, p = sides["g"], sides["p"]
+        entries = F.flatten(F.transform(p, lambda e: F.transform(keys(e), lambda c: F.struct(c.alias("key"), e["at"].alias("at")))))
+        own = lambda index, c: F.coalesce(F.try_element_at(index, c), F.array().cast("array<int>"))
+
+        def met(index: Column, e: Column) -> Column:
+            # so many characters, the rarest, that any entity that can match shares one of them
+            least = F.ceil(F.lit(threshold / (2 - threshold) - 1e-9) * e["n"])
+            rare = F.slice(F.array_sort(F.transform(keys(e), lambda c: F.struct(F.size(own(index, c)).alias("found"), c.alias("key")))), 1, F.greatest(F.lit(1), e["n"] - least + 1).cast("int"))
+            near = F.transform(F.array_distinct(F.flatten(F.transform(rare, lambda c: own(index, c["key"])))), lambda at: p[at])
+            return F.transform(F.filter(near, lambda x: _may_match(e, x, threshold)), lambda x: scored(e, x))
+
+        return _let(_index(entries), lambda index: F.flatten(F.transform(g, lambda e: met(index, e))))
+
+    ordered = F.array_sort(F.filter(_let(F.struct(_signed(gt).alias("g"), _signed(pred).alias("p")), pairs), lambda s: s["less"] < 0))
+    free = lambda side: F.array_repeat(F.lit(0).cast("long"), (F.size(side) / 64).cast("int") + 1)
+    start = F.struct(free(gt).alias("i"), free(pred).alias("j"), F.array().cast("array<struct<i:int,j:int,score:double>>").alias("matches"))
+    word = lambda n: F.floor(n / 64).cast("int")
+    taken = lambda bits, n: F.call_function("getbit", bits[word(n)], F.pmod(n, F.lit(64))) == 1
+    take = lambda bits, n: F.transform(bits, lambda w, k: F.when(k == word(n), w.bitwiseOR(_shifted(1, F.pmod(n, F.lit(64))))).otherwise(w))
 
     def step(acc: Column, s: Column) -> Column:
-        taken = F.exists(acc, lambda m: (m["i"] == s["i"]) | (m["j"] == s["j"]))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(F.struct(s["i"].alias("i"), s["j"].alias("j"), (-s["less"]).alias("score")))))
+        match = F.struct(s["i"].alias("i"), s["j"].alias("j"), (-s["less"]).alias("score"))
+        more = F.struct(take(acc["i"], s["i"]).alias("i"), take(acc["j"], s["j"]).alias("j"), F.concat(acc["matches"], F.array(match)).alias("matches"))
+        return F.when(taken(acc["i"], s["i"]) | taken(acc["j"], s["j"]), acc).otherwise(more)
 
-    return F.aggregate(ordered, start, step)
+    return F.aggregate(ordered, start, step, lambda acc: acc["matches"])
 
 
 def soft_f1(gt: Column, pred: Column, threshold: float = 0.5) -> Column:

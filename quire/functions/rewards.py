@@ -66,11 +66,18 @@ def most_frequent_line(lines: Column) -> Column:
 FLOOD = "○●□■△▲◎〇。、，；：！？…—～"
 
 
-def repetition_parts(completion: Column | str) -> dict[str, Column]:
-    """Each kind of degenerate repetition as a boolean."""
-    text = T.strip_space(completion)
+#: Severity of each kind.
+SEVERITY = {"tag": 0.60, "char": 0.25, "flood": 0.20, "phrase": 0.60, "line_run": 0.80, "line_share": 0.80}
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _kinds(text: Column, lines: Column) -> dict[str, Column]:
+    """Each kind of degenerate repetition, of a stripped text and its lines."""
     bare = F.translate(text, "【】<>", "")
-    lines = lines_of(completion)
     n, most = F.size(lines), most_frequent_line(lines)
     return {
         "tag": text.rlike(r"(【[^】]{1,8}】|<[^>]{1,8}>)(?:\1){2,}"),
@@ -78,20 +85,35 @@ def repetition_parts(completion: Column | str) -> dict[str, Column]:
         "flood": text.rlike(f"[{FLOOD}]{{5,}}"),
         "phrase": bare.rlike(r"(?U)([^\s【】<>]{2,12})(?:\1){3,}"),
         "line_run": longest_line_run(lines) >= 3,
-        "line_share": (n >= 6) & (most >= 5) & (most / n >= 0.35),
+        "line_share": (n >= 6) & _let(most, lambda m: (m >= 5) & (m / n >= 0.35)),
     }
 
 
-#: Severity of each kind.
-SEVERITY = {"tag": 0.60, "char": 0.25, "flood": 0.20, "phrase": 0.60, "line_run": 0.80, "line_share": 0.80}
+def repetition_parts(completion: Column | str) -> dict[str, Column]:
+    """Each kind of degenerate repetition as a boolean, for those who want some of them."""
+    return _kinds(T.strip_space(completion), lines_of(completion))
+
+
+def repetitions(completion: Column | str) -> Column:
+    """struct of each kind of degenerate repetition and severity, their summed one, 1 at most: text and lines are read once."""
+    text = F.col(completion) if isinstance(completion, str) else completion
+
+    def found(x: Column) -> Column:
+        return F.struct(*(kind.alias(name) for name, kind in _kinds(x["text"], x["lines"]).items()))
+
+    def weighed(kinds: Column) -> Column:
+        total = F.lit(0.0)
+        for name, weight in SEVERITY.items():
+            total = total + F.when(kinds[name], weight).otherwise(0.0)
+        return F.struct(*(kinds[name].alias(name) for name in SEVERITY), F.least(total, F.lit(1.0)).alias("severity"))
+
+    read = _let(text, lambda t: _let(T.strip_space(t), lambda s: F.struct(s.alias("text"), lines_of(s).alias("lines"))))
+    return _let(_let(read, found), weighed)
 
 
 def repetition(completion: Column | str) -> Column:
     """Summed severity, 1 at most."""
-    total = F.lit(0.0)
-    for kind, found in repetition_parts(completion).items():
-        total = total + F.when(found, SEVERITY[kind]).otherwise(0.0)
-    return F.least(total, F.lit(1.0))
+    return repetitions(completion)["severity"]
 
 
 def length_gate(han: Column, least: int = 60) -> Column:

@@ -1,7 +1,7 @@
 """Evaluation: predictions against ground truth, metrics by phase, summary, ranking and pivot.
 
-Sums go through decimals of six places, so a mean doesn't depend on the order of tasks; nothing
-is rounded before ``report``.
+Means come from exact sums, so they don't depend on the order of tasks; nothing is rounded before
+``report``.
 """
 
 from __future__ import annotations
@@ -47,33 +47,63 @@ def joined(predictions: DataFrame, gt: DataFrame) -> DataFrame:
     return known.join(right, "seq").withColumn("pred", F.coalesce("ocr", F.lit(""))).withColumn("success", succeeded())
 
 
+#: Bits of a part of a value, and how many parts hold it below its whole number.
+PART, PARTS = 32, 3
+
+
+def exact_sum(c: Column | str) -> Column:
+    """Sum of doubles, rounded once from the exact sum, whatever the order of rows and tasks; null without values.
+
+    A value is cut into whole numbers of PART bits, which are summed as such. That holds all of a value of up to 2^30 whose last
+    bit isn't below 2^-96, as no ratio of counts below 2^43 has; finer bits are left out. The sum may come to 2^30.
+    """
+    value = F.col(c) if isinstance(c, str) else c
+    total = None
+    for k in range(PARTS + 1):
+        # a double's part above a bit, and what is left below it, are exact
+        above = value if k == 0 else (value * 2.0 ** (PART * k)) % F.lit(2.0**PART)
+        part = F.sum(F.when(above < 0, F.ceil(above)).otherwise(F.floor(above)).cast("long")).cast("decimal(38,0)")
+        total = part if total is None else (total * F.lit(2**PART).cast("decimal(11,0)")).cast("decimal(38,0)") + part
+        total = total.cast("decimal(38,0)")
+    return total.cast("double") / F.lit(2.0 ** (PART * PARTS))
+
+
 def mean(c: Column | str) -> Column:
-    """Mean over rows that have the value, exact in six decimals."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.sum(c.cast("decimal(18,6)")).cast("double") / F.count(c)
+    """Mean over rows that have the value: their exact sum, rounded, by their number."""
+    return exact_sum(c) / F.count(c)
 
 
-def first_phases(samples: DataFrame) -> DataFrame:
-    """Samples of the first two phases with NED and NER_F1; failed ones have neither."""
-    mine = samples.filter(F.col("period").isin(*FIRST))
-    # failed ones are compared as empty texts, which costs nothing, and no scan of their own
-    shown = mine.withColumns({f"_{c}": F.when(F.col("success"), F.col(c)) for c in ("answer", "pred")})
-    scored = M.with_ned(shown, "_answer", "_pred", "NED").withColumn("NER_F1", M.ner_f1("_answer", "_pred"))
-    return scored.withColumns({c: F.when(F.col("success"), F.col(c)) for c in ("NED", "NER_F1")}).drop("_answer", "_pred", "edit_distance", "longest")
+def _with_first(samples: DataFrame) -> DataFrame:
+    """samples with NED and NER_F1 of successes of the first two phases, null elsewhere."""
+    counts = F.col("success") & F.col("period").isin(*FIRST)
+    # others are compared as empty texts, which costs nothing, and no scan of their own
+    shown = samples.withColumns({f"_{c}": F.when(counts, F.col(c)) for c in ("answer", "pred")})
+    scored = M.with_ned(shown, "_answer", "_pred", "NED").withColumn("NER_F1", F.when(counts, M.ner_f1("_answer", "_pred")))
+    return scored.withColumn("NED", F.when(counts, F.col("NED"))).drop("_answer", "_pred", "edit_distance", "longest")
 
 
-def third_phase(samples: DataFrame) -> DataFrame:
-    """Samples of the third phase with their five metrics; failed ones have none."""
-    mine = samples.filter(F.col("period") == THIRD)
-    pairs = mine.withColumn("_g", T.circle_pairs("answer")).withColumn("_p", T.circle_pairs("pred"))
+def _with_third(samples: DataFrame, ned: str = "NED") -> DataFrame:
+    """samples with the five metrics of successes of the third phase, null elsewhere."""
+    counts = F.col("success") & (F.col("period") == THIRD)
+    pairs = samples.withColumns({"_g": F.when(counts, T.circle_pairs("answer")), "_p": F.when(counts, T.circle_pairs("pred"))})
     metrics = {
-        "NED": M.main_text_ned("answer", "pred"),
+        ned: M.main_text_ned("answer", "pred"),
         "圈点严格": M.circle_strict(F.col("_g"), F.col("_p")),
         "圈点宽松": M.circle_lenient(F.col("_g"), F.col("_p")),
         "眉批NER": M.soft_f1(T.top_comments("answer"), T.top_comments("pred"), 0.3),
         "夹注NER": M.soft_f1(T.inline_notes("answer"), T.inline_notes("pred"), 0.5),
     }
-    return pairs.withColumns({k: F.when(F.col("success"), v) for k, v in metrics.items()}).drop("_g", "_p")
+    return pairs.withColumns({k: F.when(counts, v) for k, v in metrics.items()}).drop("_g", "_p")
+
+
+def first_phases(samples: DataFrame) -> DataFrame:
+    """Samples of the first two phases with NED and NER_F1; failed ones have neither."""
+    return _with_first(samples.filter(F.col("period").isin(*FIRST)))
+
+
+def third_phase(samples: DataFrame) -> DataFrame:
+    """Samples of the third phase with their five metrics; failed ones have none."""
+    return _with_third(samples.filter(F.col("period") == THIRD))
 
 
 def _counts() -> list[Column]:
@@ -100,8 +130,18 @@ def summarize_third(scored: DataFrame) -> DataFrame:
 
 
 def summary(samples: DataFrame) -> DataFrame:
-    """Sparse summary over all phases: columns that a phase lacks are null."""
-    return union_sparse([summarize_first(first_phases(samples)), summarize_third(third_phase(samples))])
+    """Sparse summary over all phases: columns that a phase lacks are null. Samples are read and scored once."""
+    names = ("NER_F1", "圈点严格", "圈点宽松", "眉批NER", "夹注NER")
+    scored = _with_third(_with_first(samples), "_third").withColumn("NED", F.coalesce("NED", "_third"))
+    means = scored.groupBy("model", "period").agg(*_counts(), *(mean(n).alias(n) for n in ("NED", *names))).filter("`成功` > 0")
+
+    def row(period: Column, score: Column, circles: Column) -> Column:
+        return F.struct(period.alias("期别"), (score * 100).alias("分数"), circles.alias("圈点"))
+
+    first = row(F.col("period"), 0.8 * F.col("NED") + 0.2 * F.col("NER_F1"), F.lit(None).cast("double"))
+    third = [row(F.lit(f"{THIRD}-{k}"), 0.5 * F.col("NED") + 0.3 * F.col(f"圈点{k}") + 0.1 * F.col("眉批NER") + 0.1 * F.col("夹注NER"), F.col(f"圈点{k}")) for k in ("严格", "宽松")]
+    rows = F.explode(F.when(F.col("period") == THIRD, F.array(*third)).otherwise(F.array(first)))
+    return means.withColumn("_row", rows).select(F.col("model").alias("模型"), "_row.期别", "成功", "失败", "NED", "NER_F1", "_row.分数", "_row.圈点", "眉批NER", "夹注NER")
 
 
 def union_sparse(frames: list[DataFrame]) -> DataFrame:

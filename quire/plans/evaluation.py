@@ -34,7 +34,8 @@ def samples_sql(text: str) -> str:
 STRIP = """regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace({0}, '</?(footnote|head)>', '', 'g'), '【', ''), '】', ''), '＜', ''), '＞', ''), '<[^>]+>', '', 'g'),
  '[●◎○☆◇◆△▲▽▼※。，、；：！？「」『』《》（）—…·～]|[,.!?;:''"\\[\\]{{}}()<>/\\\\|@$%^&*+=`~]', '', 'g')"""
 LINE = "replace(replace({0}, chr(10), ''), chr(13), '')"
-MEAN = "sum({0}::decimal(18,6))::double / count({0})"
+#: The exact sum, of whole numbers of 2^-96, is rounded by way of its digits.
+MEAN = "(sum(({0} * 79228162514264337593543950336.0::double)::hugeint)::varchar::double / 79228162514264337593543950336.0::double) / count({0})"
 CHARS = "list_distinct(string_split({0}, ''))"
 
 
@@ -124,7 +125,10 @@ def phase3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.union_sparse([E.summarize_first(E.first_phases(samples(spark, sf_dir, D.FIRST_TEXT))), E.summarize_third(E.third_phase(samples(spark, sf_dir, D.THIRD_TEXT)))])
+    """Predictions of all phases, whose texts are marked as their phase has it, are scored in one pass."""
+    raw = samples(spark, sf_dir, "text")
+    marked = {c: F.when(F.col("period") == E.THIRD, F.expr(D.THIRD_TEXT.replace("text", c))).otherwise(F.expr(D.FIRST_TEXT.replace("text", c))) for c in ("answer", "pred")}
+    return E.summary(raw.withColumns(marked))
 
 
 FIRST_PART, THIRD_PART = f"first_part as ({FIRST_SQL} select * from first_scored)", f"third_part as ({THIRD_SQL} select * from third_scored)"

@@ -93,8 +93,8 @@ scored as (select * exclude (rid, t), least(tag::int * 0.6::double + char::int *
 @query("repetition_parts", repetition_sql("doc_id", ECHOED, "documents") + " select * replace (round(severity, 6) as severity) from scored")
 def repetition_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kinds at once, and their severity."""
-    text = F.expr(ECHOED)
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in R.repetition_parts(text).items()), F.round(R.repetition(text), 6).alias("severity"))
+    found = table(spark, sf_dir, "documents").select("doc_id", R.repetitions(F.expr(ECHOED)).alias("found")).select("doc_id", "found.*")
+    return found.withColumn("severity", F.round("severity", 6))
 
 
 PROBS = "transform(embedding, x -> least(abs(cast(x as double)) / 4, 1d))"

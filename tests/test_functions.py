@@ -1,6 +1,7 @@
 """Text, metric and reward functions against hand-computed values and plain restatements."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -68,11 +69,19 @@ def plain_wildcard(g, p):
     return row[-1]
 
 
-def test_wildcard_distance_against_table():
+def test_wildcard_distance_against_table(spark):
     r = random.Random(5)
-    for _ in range(500):
-        g, p = ("".join(r.choice("ab#c") for _ in range(r.randrange(9))) for _ in range(2))
-        assert M.wildcard_distance(g, p.replace("#", "d")) == plain_wildcard(g, p.replace("#", "d"))
+    text = lambda letters, most: "".join(r.choice(letters) for _ in range(r.randrange(most)))
+    cases = [(text("ab#c", 9), text("abcd", 9)) for _ in range(300)] + [(text("甲乙#丙𠀀", 200), text("甲乙丙𠀀", 200)) for _ in range(40)]
+    cases += [("a" * n + "#" * k, "b" * n) for n in (59, 60, 61, 120, 121) for k in (0, 1, 60)]
+    rows = spark.createDataFrame([(i, g, p) for i, (g, p) in enumerate(cases)], "i int, g string, p string")
+    got = {x.i: x.d for x in rows.select("i", M.wildcard_distance(F.col("g"), F.col("p")).alias("d")).collect()}
+    assert got == {i: plain_wildcard(g, p) for i, (g, p) in enumerate(cases)}
+
+
+def test_distances_need_no_python(spark):
+    plan = M.with_ned(spark.createDataFrame([("a#", "b")], "g string, p string"), "g", "p")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("Scan ") == 1
 
 
 def test_main_text_ned_of_nothing_is_one(spark):
@@ -115,6 +124,19 @@ def test_soft_f1_against_plain(spark):
         assert got[i] == pytest.approx(plain_soft_f1(g, p, 0.3)), (g, p)
 
 
+def test_soft_f1_of_many_entities(spark):
+    r = random.Random(9)
+    word = lambda: "".join(chr(r.randrange(0x4E00, 0x4E00 + 3000)) for _ in range(r.randrange(1, 9)))
+    gs = [word() for _ in range(2000)]
+    ps = [g if r.random() < 0.3 else g[:-1] + word()[:1] if r.random() < 0.6 else word() for g in gs]
+    r.shuffle(ps)
+    rows = spark.createDataFrame([(gs, ps)], "g array<string>, p array<string>")
+    began = time.perf_counter()
+    got = rows.select(M.soft_f1(F.col("g"), F.col("p"), 0.5).alias("f")).first().f
+    assert time.perf_counter() - began < 30
+    assert got == pytest.approx(plain_soft_f1(gs, ps, 0.5))
+
+
 def test_matches_are_one_to_one(spark):
     rows = spark.createDataFrame([(["甲乙", "甲"], ["甲", "甲乙", "甲"])], "g array<string>, p array<string>")
     matches = rows.select(M.best_matches(F.col("g"), F.col("p")).alias("m")).first().m

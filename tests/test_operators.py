@@ -1,5 +1,6 @@
 """Evaluation, typesetting, records and sources."""
 
+import math
 import random
 
 import pytest
@@ -208,3 +209,15 @@ def test_sources(spark, tmp_path):
     assert [r.path.endswith("n.txt") for r in files.list_files(spark, str(tmp_path), "n*").collect()] == [True]
     typed = spark.createDataFrame([("12",), ("1.5",), ("x",)], "v string").select(files.typed(F.col("v")).alias("t")).collect()
     assert [(r.t.i, r.t.d, r.t.s) for r in typed] == [(12, None, None), (None, 1.5, None), (None, None, "x")]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_means_are_exact(spark, parts):
+    r = random.Random(4)
+    values = [r.choice([r.randrange(1, 900) / r.randrange(1, 900), 1 - r.randrange(300) / 300, r.uniform(-1, 1), 1 / 3, 0.1, 2.0**-40, -1e5]) for _ in range(4000)]
+    got = spark.createDataFrame([(x,) for x in [*values, None]], "x double").repartition(parts).agg(E.exact_sum("x").alias("s"), E.mean("x").alias("m")).first()
+    assert (got.s, got.m) == (math.fsum(values), math.fsum(values) / len(values))
+
+
+def test_means_of_nothing_are_null(spark):
+    assert spark.createDataFrame([(None,)], "x double").agg(E.mean("x").alias("m")).first().m is None
