@@ -1,6 +1,7 @@
 """Main text of pages by gradient-boosted trees over DOM nodes, decoded along the tree.
 
-A page becomes a tree of block elements with a leaf for each run of text. Trees boosted on
+A page becomes a tree of block elements, and of inline ones that name themselves by a class, an id
+or a role, with a leaf for each run of text. Trees boosted on
 generated pages, whose main text is known, give each node the log odds of holding main text,
 from its subtree's density and links, the tokens of its tag and attributes and of its ancestors',
 its depth, place and siblings. Decoding picks the set of nodes with the highest total that is
@@ -11,6 +12,7 @@ descendants along.
 from __future__ import annotations
 
 import html as references
+import itertools
 import math
 import random
 import re
@@ -43,12 +45,13 @@ RAW_END = {t: re.compile(rf"</{t}(?![A-Za-z0-9])[^>]*>?", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("children", "controls", "depth", "links", "parent", "tag", "tags", "text", "tokens")
+    __slots__ = ("block", "children", "controls", "depth", "links", "parent", "pieces", "tag", "tags", "text", "tokens")
 
     def __init__(self, tag: str, parent: int, depth: int, tokens: tuple[str, ...], text: str = ""):
         self.tag, self.parent, self.depth, self.tokens, self.text = tag, parent, depth, tokens, text
         self.children: list[int] = []
-        self.tags = self.links = self.controls = 0
+        self.tags = self.links = self.controls = self.block = 0
+        self.pieces: list[tuple[int, str]] = []
 
 
 def attribute_tokens(tag: str, attributes: str) -> tuple[str, ...]:
@@ -57,20 +60,42 @@ def attribute_tokens(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def parse(page: str) -> list[Node]:
-    """Block elements and text leaves in page order; the first node is the root."""
+    """Elements and text leaves in page order; the first node is the root. Leaves of one block share its number."""
     nodes = [Node("#root", -1, 0, ())]
     stack, run, skip, links = [0], [], 0, 0
-    link_chars = 0
-
-    def flush() -> None:
-        nonlocal run, link_chars
-        text = " ".join("".join(run).split())
-        if text:
-            leaf = Node("#text", stack[-1], nodes[stack[-1]].depth + 1, ("#text",), text)
-            leaf.links = min(link_chars, len(text))
-            nodes[stack[-1]].children.append(len(nodes))
-            nodes.append(leaf)
-        run, link_chars = [], 0
+    link_chars = block = serial = 0
+    own: dict[int, Node] = {}
+
+    def flush(ends: bool = True) -> None:
+        """The text so far as a leaf, or as more of the leaf that its element has in this block; the block ends, or goes on in or after an inline element."""
+        nonlocal run, link_chars, block, serial
+        raw = "".join(run)
+        if raw.strip():
+            serial += 1
+            leaf = own.get(stack[-1])
+            if leaf is None:
+                leaf = own[stack[-1]] = Node("#text", stack[-1], nodes[stack[-1]].depth + 1, ("#text",))
+                leaf.block = block
+                nodes[stack[-1]].children.append(len(nodes))
+                nodes.append(leaf)
+            leaf.pieces.append((serial, raw))
+            leaf.text = " ".join(" ".join(x for _, x in leaf.pieces).split()) if len(leaf.pieces) > 1 else " ".join(raw.split())
+            leaf.links = min(leaf.links + link_chars, len(leaf.text))
+        # white space between inline elements belongs to what comes next
+        run, link_chars = [] if raw.strip() or ends else [raw], 0
+        if ends:
+            block += 1
+            own.clear()
+
+    def opened(tag: str, attributes: str) -> None:
+        parent = stack[-1]
+        nodes[parent].children.append(len(nodes))
+        stack.append(len(nodes))
+        nodes.append(Node(tag, parent, nodes[parent].depth + 1, attribute_tokens(tag, attributes)))
+
+    def outer() -> int:
+        """Place in the stack of the innermost block."""
+        return next(i for i in range(len(stack) - 1, -1, -1) if nodes[stack[i]].tag in BLOCKS or i == 0)
 
     def said(piece: str) -> None:
         nonlocal link_chars
@@ -130,8 +155,8 @@ def parse(page: str) -> list[Node]:
                 flush()
             elif tag in BLOCKS:
                 flush()
-                if "p" == nodes[stack[-1]].tag:
-                    stack.pop()
+                if "p" == nodes[stack[outer()]].tag:
+                    del stack[outer() :]
                 if tag in IMPLIED:
                     closes, within = IMPLIED[tag]
                     for i in range(len(stack) - 1, 0, -1):
@@ -139,14 +164,14 @@ def parse(page: str) -> list[Node]:
                             del stack[i:]
                         elif nodes[stack[i]].tag in within.split():
                             break
-                parent = stack[-1]
-                nodes[parent].children.append(len(nodes))
-                stack.append(len(nodes))
-                nodes.append(Node(tag, parent, nodes[parent].depth + 1, attribute_tokens(tag, m[3])))
+                opened(tag, m[3])
                 links = 0
             else:
                 nodes[stack[-1]].tags += 1
                 nodes[stack[-1]].controls += tag == "input"
+                if tag not in VOID and not m[3].endswith("/") and ATTRIBUTE.search(m[3]):
+                    flush(False)
+                    opened(tag, m[3])
                 links += tag == "a"
         elif tag in BLOCKS:
             flush()
@@ -154,8 +179,14 @@ def parse(page: str) -> list[Node]:
                 if nodes[stack[i]].tag == tag:
                     del stack[i:]
                     break
-        elif tag == "a":
-            links = max(0, links - 1)
+        else:
+            for i in range(len(stack) - 1, outer(), -1):
+                if nodes[stack[i]].tag == tag:
+                    flush(False)
+                    del stack[i:]
+                    break
+            if tag == "a":
+                links = max(0, links - 1)
     if skip and skipped == "head" and page[at:].strip():
         skip = 0
     said(page[at:])
@@ -229,6 +260,13 @@ def decode(nodes: list[Node], logits: np.ndarray) -> list[int]:
     return [i for i in range(n) if kept[i] and nodes[i].tag == "#text"]
 
 
+def joined(leaves: list[Node]) -> str:
+    """Text of kept leaves in page order: those of one block on one line."""
+    pieces = sorted((leaf.block, at, raw) for leaf in leaves for at, raw in leaf.pieces)
+    blocks = ("".join(raw for _, _, raw in group) for _, group in itertools.groupby(pieces, lambda x: x[0]))
+    return "\n".join(" ".join(x.split()) for x in blocks)
+
+
 @dataclass
 class Extractor:
     odds: dict[str, float]
@@ -241,7 +279,7 @@ class Extractor:
         for nodes in trees:
             own = logits[at : at + len(nodes)]
             at += len(nodes)
-            out.append("\n".join(nodes[i].text for i in decode(nodes, own)))
+            out.append(joined([nodes[i] for i in decode(nodes, own)]))
         return out
 
 
@@ -261,6 +299,8 @@ OTHER = {
     "comments": ("section div ol ul", "comments comment comment-list commentlist discussion replies respond disqus reviews"),
     "share": ("div ul", "share social sharing follow buttons"),
 }
+#: Inline elements that page authors name: what belongs to the text, and what doesn't, fixed values.
+INLINE_MAIN, INLINE_OTHER = "highlight term ref citation emphasis quote name date first-letter link external", "advert sponsored ad share promo comment-count social badge-ad follow"
 SYLLABLES = "an be con der el fi gra ho in jo ka li men nor ou per qui ra sto ter un vi wo xen yo zu tion ing ment er es en é ä ó".split()
 
 
@@ -289,6 +329,11 @@ def generated_page(seed: int) -> tuple[str, set[str]]:
         name = r.choice(names if isinstance(names, list) else names.split())
         return r.choice((f' class="{name}"', f' id="{name}"', f' class="{name} {r.choice(("wide", "left", "col", "x1"))}"')) if r.random() < chance else ""
 
+    def inline(main: bool) -> str:
+        """An inline element: part of the text, or an advert, a share link, a count of comments."""
+        tag = r.choice(("span", "span", "em", "a", "b"))
+        return f"<{tag}{named(INLINE_MAIN if main else INLINE_OTHER, 1.0)}>{text(main, r.randint(1, 5))}</{tag}>"
+
     def main(inner_comment: bool) -> str:
         parts = [f"<h1>{text(True, r.randint(1, 9))}</h1>"] if r.random() < 0.9 else []
         for _ in range(r.choice((1, 2, 3, 5, 8, 12, 20))):
@@ -296,6 +341,9 @@ def generated_page(seed: int) -> tuple[str, set[str]]:
             if kind < 0.75:
                 body = text(True)
                 body = f"<b>{body}<br>" if r.random() < 0.1 else f'{body} <a href="/x">{_words(r, 2)}</a> {_words(r, 3)}' if r.random() < 0.1 else body
+                if seed % 2:  # every other page has inline elements with names
+                    body = f"{inline(True)} {body}" if r.random() < 0.15 else f"{body} {inline(True)} {_words(r, 3)}" if r.random() < 0.2 else body
+                    body = f"{body} {inline(False)}" if r.random() < 0.12 else body
                 parts.append(f"<p>{body}" + r.choice(("</p>", "</p>", "</p>", "")))
             elif kind < 0.83:
                 parts.append(f"<h{r.randint(2, 4)}>{text(True, r.randint(1, 6))}</h2>" if r.random() < 0.1 else f"<h2>{text(True, r.randint(1, 6))}</h2>")
@@ -309,6 +357,8 @@ def generated_page(seed: int) -> tuple[str, set[str]]:
                 parts.append(f"<div>{text(True)}</div>")
         if r.random() < 0.25:
             parts.insert(r.randrange(len(parts) + 1), other(r.choice(("advert", "share", "notice"))))
+        if seed % 2 and r.random() < 0.3:
+            parts.insert(r.randrange(len(parts) + 1), inline(False))
         if inner_comment:
             parts.append(other("comments"))
         tag = r.choice(("article", "article", "main", "div", "section"))

@@ -57,18 +57,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     size of the mixture, by default that of docs. A null source counts as the empty one, a null
     doc_id hashes as the empty text, repeated rows are replicated alike, empty and very long texts
     are like any others, and an empty table gives an empty result. Columns pass through whatever
-    their names, but for those that are added: copy and shuffle_key are not allowed.
+    their names, but for those that are added: copy and shuffle_key, in any case, are refused.
     """
-    clash = {"copy", "shuffle_key"} & set(docs.columns)
+    clash = {c for c in docs.columns if c.lower() in ("copy", "shuffle_key")}
     if clash:
         raise ValueError(f"columns that this operator adds are there already: {sorted(clash)}")
     rates = cut(source_rates(docs, weights, temperature, total))
-    names = docs.columns
+    quoted = {n: "`" + n.replace("`", "``") + "`" for n in docs.columns}
     source = F.coalesce("source", F.lit(""))
     # the input goes along as one column, so that no name of it can clash. Rows of one id, and those of none,
     # share a key, which may be hot; so copies are dealt out by the row's place as well
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(SALT))
-    packed = docs.select(F.struct(*names).alias("row"), source.alias("mix_source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("identity"), spread.alias("spread"))
+    packed = docs.select(F.struct(*quoted.values()).alias("row"), source.alias("mix_source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("identity"), spread.alias("spread"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         joined = packed.join(F.broadcast(rates), "mix_source")
     else:
@@ -83,7 +83,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     replicated = joined.select("row", "identity", "spread", copies.alias("copies")).filter("copies > 0").select("row", "identity", "spread", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     keyed = replicated.select("row", "copy", "spread", _uniform(F.lit(str(seed)), F.lit("order"), identity, F.col("copy").cast("string")).alias("shuffle_key"))
     dealt = keyed.repartition("shuffle_key", "spread")
-    return dealt.sortWithinPartitions("shuffle_key", "copy").select(*(F.col(f"row.`{n}`").alias(n) for n in names), "copy", "shuffle_key")
+    return dealt.sortWithinPartitions("shuffle_key", "copy").select(*(F.col(f"row.{q}").alias(n) for n, q in quoted.items()), "copy", "shuffle_key")
 
 
 MIX_SQL = """

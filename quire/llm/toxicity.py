@@ -208,7 +208,9 @@ def _chosen(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     chosen = [r for label in (0, 1) for r in known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic").collect()]
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
     kept = (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).alias("kept")
-    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").select("text", "toxic", kept)
+    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")
+    one = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("text", "toxic", kept)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) -> ToxicityModel:
@@ -217,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) ->
     At most max_per_class ids of each class are chosen, by their hash, before any text is read, so
     the texts are found by a broadcast of that many ids. Two thirds of them (by another hash) are
     counted and the rest fit the curve; texts and counts stay on the executors, and the driver gets
-    the models and a few features of each. A document with labels that differ counts as toxic; ids
+    the models and a few features of each. Of rows of one id one text is taken. A document with labels that differ counts as toxic; ids
     without a document or a text count for nothing. Where a class has no text, every score is that
     of an even curve at its prior.
     """
@@ -291,6 +293,11 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of all documents."""
+    """(doc_id, held_out, score, predicted) of every row of docs.
+
+    A null doc_id is in no label and isn't held out; other nulls, empty and very long texts, repeated
+    rows and empty tables are as in toxicity_scores, and other columns are ignored.
+    """
     model = train(docs, labels, max_per_class)
-    return toxicity_scores(docs, model, threshold).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return toxicity_scores(docs, model, threshold).select("doc_id", held_out.alias("held_out"), "score", "predicted")

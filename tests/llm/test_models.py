@@ -181,6 +181,35 @@ def test_pages_of_nothing_but_text(page):
     assert htmltext.train().texts([page]) == [expected]
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ('<article><p>One, two.</p><span class="advert sponsored">Buy now cheap</span><p>Three.</p></article>', "One, two.\nThree."),
+        ("<article><p>Some longer words here, and more of them. <a class=share href=x>Share</a></p><p>The second <em class='term'>one</em> stands.</p></article>", "Some longer words here, and more of them.\nThe second one stands."),
+        ("<p>a<span class=term>b</span> <i id=name>c</i>d <b>e</b></p>", "ab cd e"),
+        ("<main><p>First <span class=date>part<p>second</span> part, it goes on.</main>", "First part\nsecond part, it goes on."),
+    ],
+)
+def test_inline_elements(page, expected):
+    assert htmltext.train().texts([page]) == [expected]
+
+
+def test_pages_of_another_template():
+    """Pages whose main text stands in named div elements, with rows and columns around and inline adverts within."""
+    r, right = random.Random(17), 0
+    words = lambda n: " ".join(r.choice(["alda", "berin", "costa", "dural", "enstu", "fir", "goma"]) for _ in range(n)).capitalize()
+    for _ in range(60):
+        kept = [words(r.randrange(2, 6)), *(f"{words(r.randrange(8, 40))}, {words(9).lower()}." for _ in range(r.randrange(2, 7)))]
+        inner = "".join(f"<p>{x}{r.choice(['', '', f' <span class=%s>{words(2)}</span>' % r.choice(['ad', 'sponsored', 'promo']), ' <a href=/s class=share>Share</a>'])}</p>" for x in kept[1:])
+        page = (
+            f"<!doctype html><body><div class=top-bar><a href=/>{words(1)}</a></div><div id=menu><ul><li><a href=/a>{words(1)}</a><li><a href=/b>{words(1)}</a></ul></div>"
+            f"<div class='layout row'><div class='post-content'><h1>{kept[0]}</h1>{inner}</div><div class='sidebar widget'><h4>{words(2)}</h4><ul><li><a href=/c>{words(3)}</a></ul></div></div>"
+            f"<div class=comments><div class=comment><p>{words(9)}.</p></div></div><div class='footer legal'>&copy; {words(4)}</div></body>"
+        )
+        right += htmltext.train().texts([page]) == ["\n".join(kept)]
+    assert right >= 54, right
+
+
 def test_decoding_against_all_closed_sets():
     r = np.random.default_rng(5)
     for _ in range(60):
@@ -340,6 +369,10 @@ def test_mixing_against_plain_inversion(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
     with pytest.raises(ValueError, match="copy"):
         mixing.mix_sources(docs.withColumn("copy", F.lit(1)))
+    with pytest.raises(ValueError, match="Copy"):
+        mixing.mix_sources(docs.withColumn("Copy", F.lit(1)))
+    odd = mixing.mix_sources(docs.withColumns({"a`b": F.lit("x"), "a b.c": F.lit("y")}), temperature=0.5)
+    assert odd.columns == [*docs.columns, "a`b", "a b.c", "copy", "shuffle_key"] and {(r[-4], r[-3]) for r in odd.collect()} == {("x", "y")}
     extra = docs.withColumns({n: F.lit("keep") for n in ("rate", "parts", "cdf", "mix_source", "mix_copies", "mix_salt", "row", "identity", "spread", "copies")})
     kept = mixing.mix_sources(extra, temperature=0.5)
     assert kept.columns == [*extra.columns, "copy", "shuffle_key"]
