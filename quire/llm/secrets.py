@@ -28,6 +28,8 @@ SIDE = len(ALPHABET) + 1
 THRESHOLD = 0.35
 #: Words that make up the identifiers of the labelled sample, fixed values.
 PARTS = "get set is has max min count index value name list item user file path data time date node tree page text line word key map table column row query plan scan join sort group window batch task stage job cluster host port server client request response header body status error result total first last next prev start end size length width height left right top bottom parent child root leaf source target input output".split()
+#: Matches that are folded in one go.
+GROUP = 256
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 RUNS = "array<struct<start:int,rank:int,end:int,run:string>>"
 
@@ -83,20 +85,63 @@ def train(samples: DataFrame) -> list[float]:
     return ratios
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0, runs: bool = False) -> Column:
-    """Spans of all matches whose group has at least so many characters; with what they match, if runs are asked for."""
+    """Spans of all matches whose group has at least so many characters, in order; with what they match, if runs are asked for.
+
+    Matches are folded GROUP at a time to places within their group, and groups to their places, so that
+    no list grows by one at a time over all matches.
+    """
     pieces, matches, own = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), group)
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("piece"), matches.alias("match"), own.alias("own"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(RUNS if runs else SPAN).alias("spans"))
+    none = F.array().cast(RUNS if runs else SPAN)
+
+    def spans(x: Column) -> Column:
+        zipped = F.arrays_zip(F.slice(x["pieces"], 1, F.size(x["matches"])).alias("piece"), x["matches"].alias("match"), x["own"].alias("own"))
+        count = F.ceil(F.size(x["matches"]) / GROUP).cast("int")
+        return _let(zipped, lambda z: F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: placed(F.slice(z, k * GROUP + 1, F.lit(GROUP)))))
+
+    def placed(matches: Column) -> Column:
+        """(at, spans) of a group: the length of all of it, and its spans from its beginning."""
+
+        def step(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + F.length(x["piece"])
+            end = begin + F.length(x["match"])
+            span = [begin.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end")]
+            span = F.struct(*span, x["match"].alias("run")) if runs else F.struct(*span)
+            return F.struct(end.cast("int").alias("at"), F.when(F.length(x["own"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+        return F.aggregate(matches, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
+
+    def moved(groups: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        starts = F.aggregate(groups, begin, lambda acc, g: F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+
+        def shifted(g: Column, at: Column) -> Column:
+            fields = lambda s: [(s["start"] + at).alias("start"), s["rank"].alias("rank"), (s["end"] + at).alias("end"), *([s["run"].alias("run")] if runs else [])]
+            return F.transform(g["spans"], lambda s: F.struct(*fields(s)))
+
+        return F.flatten(F.zip_with(groups, starts, shifted))
+
+    return _let(_let(F.struct(pieces.alias("pieces"), matches.alias("matches"), own.alias("own")), spans), moved)
+
+
+def _meets(spans: Column, s: Column) -> Column:
+    """Whether a span meets one of a kind's, which are apart from each other and in order: the last that starts before its end tells, and halving finds it."""
+    halved = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["match"])
-        span = [begin.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end")]
-        span = F.struct(*span, x["match"].alias("run")) if runs else F.struct(*span)
-        return F.struct(end.cast("int").alias("at"), F.when(F.length(x["own"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        before = spans[F.least(middle, F.size(spans) - 1)]["start"] < s["end"]
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & before, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~before, middle).otherwise(acc["high"]).alias("high"))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["spans"])
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    # as many start before the end as the last one's number
+    return F.when(F.size(spans) == 0, F.lit(False)).otherwise(_let(F.aggregate(steps, halved, step, lambda acc: acc["low"]), lambda n: (n > 0) & (F.get(spans, n - 1)["end"] > s["start"])))
 
 
 def _ratio(run: Column, table: Column) -> Column:
@@ -118,8 +163,8 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, ratios: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document.
 
-    A null text counts as empty, and a text is read whole: work grows with its length, and with the
-    square of its number of matches, at some 10,000 a text a second. Spans of different strict kinds may overlap; a Markov span
+    A null text counts as empty, and a text is read whole: work grows with its length and its number of
+    matches. Spans of different strict kinds may overlap; a Markov span
     overlaps none. A repeated row gives a row each time; other columns are ignored; an empty
     table gives an empty result.
     """
@@ -137,7 +182,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, threshold: float =
     table = F.array(*map(F.lit, ratios))
 
     def random(s: Column) -> Column:
-        apart = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        apart = ~(_meets(F.col("assign"), s) | _meets(F.col("access"), s) | _meets(F.col("hex"), s))
         return mixed(s["run"]) & (_ratio(s["run"], table) / (s["end"] - s["start"]) >= threshold) & apart
 
     def bare(s: Column) -> Column:
