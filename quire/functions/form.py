@@ -4,27 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
-#: Fields of the layout form in their groups, name:kind, fixed values.
-GROUPS = {
-    "canvas": "canvas_width:int canvas_height:int margins_top:int margins_bottom:int margins_left:int margins_right:int",
-    "columns": "col_num:int row_num:int leaf_center_width:int outline_width:int outline_vmargin:int",
-    "titles": "spine_title:str title_postfix:str if_tpcenter:bool title_font_size:int title_font_color:color title_y:int pager_font_size:int pager_y:int",
-    "fonts": "font1:font font2:font font3:font text_fonts_array:str comment_fonts_array:str text_font1_size:int text_font2_size:int text_font_color:color comment_font1_size:int comment_font_color:color topcmt_font_size:int topcmt_color:color",
-    "marks": "if_onlyperiod:bool onlyperiod_color:color if_book_vline:bool book_line_width:int book_line_color:color",
-    "images": "no_topcmt:bool",
-}
-KINDS = {"int": IntegerType(), "bool": BooleanType(), "str": StringType(), "color": StringType(), "font": StringType()}
+
+def _setting(name: str, kind: str, of: DataType) -> StructField:
+    return StructField(name, of, metadata={"kind": kind})
 
 
 def form_schema() -> StructType:
-    """A field for each setting; its metadata has the form's group and kind."""
-    fields = []
-    for group, names in GROUPS.items():
-        for name, kind in (x.split(":") for x in names.split()):
-            fields.append(StructField(name, KINDS[kind], metadata={"group": group, "kind": kind}))
-    return StructType(fields)
+    """A field for each setting of a layout; its metadata has the kind of input that edits it."""
+    whole, switch, words, colour, font = (lambda name, kind=kind, of=of: _setting(name, kind, of) for kind, of in (("int", IntegerType()), ("bool", BooleanType()), ("str", StringType()), ("color", StringType()), ("font", StringType())))
+    return StructType(
+        [
+            # the grid that pages are laid out in
+            whole("row_num"),
+            whole("col_num"),
+            whole("canvas_width"),
+            whole("canvas_height"),
+            whole("margins_left"),
+            whole("margins_right"),
+            whole("margins_top"),
+            whole("margins_bottom"),
+            whole("leaf_center_width"),
+            whole("outline_width"),
+            whole("outline_vmargin"),
+            # how text, notes and comments are set
+            font("font1"),
+            font("font2"),
+            font("font3"),
+            words("text_fonts_array"),
+            words("comment_fonts_array"),
+            whole("text_font1_size"),
+            whole("text_font2_size"),
+            whole("comment_font1_size"),
+            whole("topcmt_font_size"),
+            colour("text_font_color"),
+            colour("comment_font_color"),
+            colour("topcmt_color"),
+            switch("no_topcmt"),
+            # marks beside the text
+            switch("if_onlyperiod"),
+            colour("onlyperiod_color"),
+            switch("if_book_vline"),
+            whole("book_line_width"),
+            colour("book_line_color"),
+            # titles and page numbers
+            words("spine_title"),
+            words("title_postfix"),
+            switch("if_tpcenter"),
+            whole("title_font_size"),
+            colour("title_font_color"),
+            whole("title_y"),
+            whole("pager_font_size"),
+            whole("pager_y"),
+        ]
+    )
 
 
 def typed_settings(settings: Column) -> Column:

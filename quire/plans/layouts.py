@@ -9,6 +9,7 @@ from quire.functions import layout as L
 from quire.functions import text as T
 from quire.operators import records as Q
 from quire.operators import typeset as S
+from quire.plans import derived as D
 from quire.plans.registry import query, table
 from quire.plans.typesetting import BOOK, CELLS, COLUMNS, FLATTEN, PAGES, RAW_PAGES, ROWS, plain_books
 
@@ -206,8 +207,8 @@ STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 @query(
     "debug_samples",
-    f"""with n as (select conv_id as call, turn, {STRIPPED} as t, row_number() over (partition by conv_id order by turn) as n from conversations where conv_id % 10 = 0)
-    select call, turn, length(t)::int as length, 0::int as han, replace(replace(left(t, 80), chr(10), '\\n'), chr(12), '\\f') as snippet from n where n <= 3""",
+    f"""with n as (select conv_id as call, turn, {STRIPPED.replace('text', D.han('text'))} as t, row_number() over (partition by conv_id order by turn) as n from conversations where conv_id % 10 = 0)
+    select call, turn, length(t)::int as length, length(regexp_replace(t, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g'))::int as han, replace(replace(left(t, 80), chr(10), '\\n'), chr(12), '\\f') as snippet from n where n <= 3""",
 )
 def debug_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.debug_samples(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call"), "turn", F.col("text").alias("completion")), "turn")
+    return Q.debug_samples(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call"), "turn", F.expr(D.han("text")).alias("completion")), "turn")
