@@ -145,8 +145,10 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.
     """Logistic regression by damped Newton steps on standardised features; the first weight is the intercept.
 
     A step is halved until the penalised likelihood rises, so classes that can be told apart by a
-    line, as those of few texts can, leave the weights finite.
+    line, as those of few texts can, leave the weights finite. A class weighs as the square root of its number, so
+    that the rarer one isn't given up for the other, and few of the other are for it.
     """
+    weight = np.sqrt(0.5 * len(y) / np.maximum(1, np.where(y > 0, (y > 0).sum(), (y <= 0).sum())))
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     penalty = np.full(a.shape[1], ridge)
@@ -154,13 +156,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.
 
     def loss(w: np.ndarray) -> float:
         z = a @ w
-        return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + 0.5 * (penalty * w * w).sum())
+        return float((weight * np.logaddexp(0, np.where(y > 0, -z, z))).sum() + 0.5 * (penalty * w * w).sum())
 
     w = np.zeros(a.shape[1])
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), a.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), a.T @ (weight * (y - p)) - penalty * w)
         rate = 1.0
         while (then := loss(w + rate * step)) > now and rate > 1e-6:
             rate /= 2
