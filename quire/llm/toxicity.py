@@ -208,11 +208,12 @@ def _chosen(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, toxic, kept) of the labelled documents that train: kept ones fit the curve."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").filter(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = [r for label in (0, 1) for r in known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic").collect()]
-    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
+    spark, schema = docs.sparkSession, "doc_id long, toxic int"
+    ids = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], schema)
+    counted = docs.select("doc_id").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").count()
+    single = spark.createDataFrame([(r.doc_id, r.toxic) for r in counted.filter("count = 1").collect()], schema)  # no more than were chosen
     kept = (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).alias("kept")
-    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")
-    one = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return one.select("text", "toxic", kept)
+    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(single), "doc_id").select("text", "toxic", kept)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) -> ToxicityModel:
@@ -221,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) ->
     At most max_per_class ids of each class are chosen, by their hash, before any text is read, so
     the texts are found by a broadcast of that many ids. Two thirds of them (by another hash) are
     counted and the rest fit the curve; texts and counts stay on the executors, and the driver gets
-    the models and a few features of each. Of rows of one id one text is taken. A document with labels that differ counts as toxic; ids
+    the models and a few features of each. An id that stands on several rows isn't taken. A document with labels that differ counts as toxic; ids
     without a document or a text count for nothing. Where a class has no text, every score is that
     of an even curve at its prior.
     """

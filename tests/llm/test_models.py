@@ -118,6 +118,18 @@ def test_kneser_ney_pair_against_plain_recursions():
         assert pair.word(w) == pytest.approx(plain(w), abs=1e-9), w
 
 
+def test_toxicity_with_repeated_and_missing_ids(spark):
+    rows = corpus(random.Random(1), 300)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    plain = [(i, t) for i, t, _ in rows]
+    clean = toxicity.train(spark.createDataFrame(plain[10:], "doc_id long, text string"), labels)
+    # ids that stand on several rows train nothing
+    docs = spark.createDataFrame([*plain[10:], *plain[:10] * 3, (None, "x"), (None, None)], "doc_id long, text string")
+    assert toxicity.train(docs, labels).curve == pytest.approx(clean.curve)
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == len(rows) + 22 and [x.held_out for x in got if x.doc_id is None] == [False, False]
+
+
 def test_toxic_rows_go_whatever_the_columns(spark):
     rows = corpus(random.Random(1), 400)
     docs = spark.createDataFrame([(t, i, "s", 1, None) for i, t, _ in rows], "text string, doc_id long, score string, predicted int, toxic string")
