@@ -16,6 +16,7 @@ one task for a conversation, from a sorted stream of turns that it doesn't hold.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -248,51 +249,82 @@ def _met(level: DataFrame) -> DataFrame:
     )
 
 
+def _stream(repairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Turns of long conversations in order, behind a row with their repair, whose place is -1."""
+    fields, none = [c for c in repairs.columns if c != "conv_id"], F.lit(None)
+    heads = repairs.select("conv_id", F.lit(-1).cast("long").alias("place"), none.cast("string").alias("role"), none.cast("string").alias("text"), *fields)
+    turns = placed.select("conv_id", "place", "role", "text", *(none.cast("string" if c == "audit" else "long").alias(c) for c in fields))
+    return heads.unionByName(turns).repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), "place")
+
+
+def _read(batches):
+    """(head, turns) of each conversation of a stream; turns yields what the repair says, and holds one turn."""
+    rows = (row for batch in batches for start in range(0, batch.num_rows, 256) for row in batch.slice(start, 256).to_pylist())
+
+    def said(head: dict, turns):
+        at, audit = 0, head["audit"]
+        inserted = {"I": ("user", ""), "J": ("assistant", "")}
+        for row in turns:
+            while audit[at] in inserted:
+                yield inserted[audit[at]]
+                at += 1
+            mark, at = audit[at], at + 1
+            if mark != "D":
+                yield {"K": row["role"], "R": "user", "S": "assistant"}[mark], row["text"]
+        for mark in audit[at:]:
+            yield inserted[mark]
+
+    head, ahead = next(rows, None), None
+    while head is not None:
+        ended = False
+
+        def own():
+            nonlocal ahead, ended
+            for row in rows:
+                if row["place"] < 0:
+                    ahead = row
+                    break
+                yield row
+            else:
+                ahead = None
+            ended = True
+
+        turns = own()
+        yield head, said(head, turns)
+        for _ in turns:  # what nobody read
+            pass
+        head = ahead if ended else None
+
+
 def _hashed(repairs: DataFrame, placed: DataFrame) -> DataFrame:
-    """repairs of long conversations with repaired_sha256, of their turns as a sorted stream."""
-    schema = f"conv_id long, {', '.join(f'{c} long' for c in COUNTS)}, cost long, audit string, repaired_sha256 string"
+    """repairs of long conversations with repaired_sha256."""
     fields = ("conv_id", *COUNTS, "cost", "audit")
-    none = F.lit(None)
-    heads = repairs.select("conv_id", F.lit(-1).cast("long").alias("place"), none.cast("string").alias("role"), none.cast("string").alias("text"), *(c for c in fields if c != "conv_id"))
-    turns = placed.select("conv_id", "place", "role", "text", *(none.cast("long").alias(c) for c in (*COUNTS, "cost")), none.cast("string").alias("audit"))
-    stream = heads.unionByName(turns).repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), "place")
+    target = pa.schema([(c, pa.string() if c in ("audit", "repaired_sha256") else pa.int64()) for c in (*fields, "repaired_sha256")])
 
     def run(batches):
-        head, at, digest, first = None, 0, None, True
+        for head, turns in _read(batches):
+            digest, between = hashlib.sha256(), b""
+            for role, text in turns:
+                digest.update(between + f"{role}:{text}".encode())
+                between = b"\n"
+            plain = head["audit"].translate(str.maketrans("JS", "IR"))
+            yield pa.RecordBatch.from_pylist([{c: head[c] for c in fields} | {"audit": plain, "repaired_sha256": digest.hexdigest()}], schema=target)
 
-        def said(role: str, text: str) -> None:
-            nonlocal first
-            digest.update(("" if first else "\n").encode() + f"{role}:{text}".encode())
-            first = False
+    return _stream(repairs, placed).mapInArrow(run, f"conv_id long, {', '.join(f'{c} long' for c in COUNTS)}, cost long, audit string, repaired_sha256 string")
 
-        def inserts() -> None:
-            nonlocal at
-            while at < len(head["audit"]) and head["audit"][at] in "IJ":
-                said("user" if head["audit"][at] == "I" else "assistant", "")
-                at += 1
 
-        def ended():
-            inserts()
-            plain = head["audit"].translate(str.maketrans("JS", "IR"))
-            return pa.RecordBatch.from_pylist([{c: head[c] for c in fields} | {"audit": plain, "repaired_sha256": digest.hexdigest()}], schema=target)
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                for row in batch.slice(start, 256).to_pylist():
-                    if row["place"] < 0:
-                        if head is not None:
-                            yield ended()
-                        head, at, digest, first = row, 0, hashlib.sha256(), True
-                        continue
-                    inserts()
-                    mark, at = head["audit"][at], at + 1
-                    if mark != "D":
-                        said({"K": row["role"], "R": "user", "S": "assistant"}[mark], row["text"])
-        if head is not None:
-            yield ended()
+def _spoken(repairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(conv_id, place, role, text): the repaired turns of long conversations."""
 
-    target = pa.schema([(c, pa.string() if c in ("audit", "repaired_sha256") else pa.int64()) for c in (*fields, "repaired_sha256")])
-    return stream.mapInArrow(run, schema)
+    def run(batches):
+        for head, turns in _read(batches):
+            place = 0
+            while some := list(itertools.islice(turns, 256)):
+                columns = [[head["conv_id"]] * len(some), list(range(place + 1, place + len(some) + 1)), *(list(c) for c in zip(*some, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["conv_id", "place", "role", "text"])
+                place += len(some)
+
+    return _stream(repairs, placed).mapInArrow(run, "conv_id long, place long, role string, text string")
 
 
 def _large(conversations: DataFrame, most_turns: int, most_bytes: int) -> DataFrame:
@@ -300,6 +332,16 @@ def _large(conversations: DataFrame, most_turns: int, most_bytes: int) -> DataFr
     return cut(sizes.filter((F.col("n") > most_turns) | (F.col("bytes") > most_bytes)).select("conv_id"))
 
 
+def _parted(turns: DataFrame, most_turns: int, most_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Turns of conversations that are collected, and of the long ones, if there are any."""
+    large = _large(turns, most_turns, most_bytes)
+    n = large.limit(BROADCAST_IDS + 1).count()
+    if not n:
+        return turns, None
+    ids = F.broadcast(large) if n <= BROADCAST_IDS else large
+    return _same(turns, ids, ["conv_id"], "left_anti"), _same(turns, ids, ["conv_id"], "left_semi")
+
+
 def repair(turns: DataFrame, path: str, most_turns: int = TURNS, most_bytes: int = BYTES) -> DataFrame:
     """(conv_id, COUNTS, cost, audit, repaired_sha256) of each conversation of turns(conv_id, turn, role, text, alive).
 
@@ -308,16 +350,9 @@ def repair(turns: DataFrame, path: str, most_turns: int = TURNS, most_bytes: int
     text. role and text are not null; a null conv_id is a conversation of its own. Turns of long
     conversations are written to path, which must stay while the result is read.
     """
-    large = _large(turns, most_turns, most_bytes)
-    n = large.limit(BROADCAST_IDS + 1).count()
-    if n:
-        ids = F.broadcast(large) if n <= BROADCAST_IDS else large
-        whole, split = _same(turns, ids, ["conv_id"], "left_anti"), _same(turns, ids, ["conv_id"], "left_semi")
-    else:
-        whole, split = turns, None
-    collected = _collected(whole)
+    whole, split = _parted(turns, most_turns, most_bytes)
     lines = F.transform(_repaired(F.col("turns"), F.col("audit")), lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
-    last = collected.select("conv_id", *COUNTS, "cost", _plain(F.col("audit")).alias("audit"), F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+    last = _collected(whole).select("conv_id", *COUNTS, "cost", _plain(F.col("audit")).alias("audit"), F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
     if split is None:
         return last
     named = split.groupBy("conv_id").agg(F.max("alive").alias("any")).filter("not any").select("conv_id")
@@ -326,16 +361,24 @@ def repair(turns: DataFrame, path: str, most_turns: int = TURNS, most_bytes: int
     return last.unionByName(_hashed(_stretched(placed, most_turns), placed)).unionByName(zeros)
 
 
-def repaired_turns(conversations: DataFrame) -> DataFrame:
-    """conversations(conv_id, turn, role, text) after repair: (conv_id, place, role, text), of those that can be collected (TURNS, BYTES).
+def repaired_turns(conversations: DataFrame, most_turns: int = TURNS, most_bytes: int = BYTES) -> DataFrame:
+    """conversations(conv_id, turn, role, text) after repair: (conv_id, place, role, text), place from 1.
 
-    place counts from 1; a null role or text counts as one space; other columns are left out. Conversations
-    whose turns all go have no rows.
+    A null role or text counts as one space; other columns are left out. Conversations whose turns
+    all go have no rows; of long ones a task streams the turns.
     """
-    space = F.lit(" ")
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), F.lit(True).alias("alive"))
-    each = _collected(turns).select("conv_id", F.posexplode(_repaired(F.col("turns"), F.col("audit"))).alias("at", "turn"))
-    return each.select("conv_id", (F.col("at") + 1).alias("place"), "turn.role", "turn.text")
+    spark, path, space = conversations.sparkSession, scratch_path(conversations.sparkSession, "turns"), F.lit(" ")
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), F.lit(True).alias("alive"))
+    whole, split = _parted(turns, most_turns, most_bytes)
+    each = _collected(whole).select("conv_id", F.posexplode(_repaired(F.col("turns"), F.col("audit"))).alias("at", "turn"))
+    last = each.select("conv_id", (F.col("at") + 1).cast("long").alias("place"), "turn.role", "turn.text")
+    if split is None:
+        return last
+    try:
+        placed = _placed(split, path)
+        return cut(last.unionByName(_spoken(_stretched(placed, most_turns), placed)))
+    finally:
+        discard(spark, path)
 
 
 def describe(conversations: DataFrame, most_turns: int = TURNS, most_bytes: int = BYTES) -> DataFrame:

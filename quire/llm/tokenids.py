@@ -292,16 +292,42 @@ def read_token_ids(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, schema)
 
 
+def index_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, part, before, n_ids) of each file below path, written beside them once and read after that."""
+    place = f"{path}/_index"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    schema = "file string, part long, before long, n_ids long"
+
+    def run(batches):
+        for batch in batches:
+            heads = [HEAD.unpack_from(x.as_py(), len(MAGIC)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([h[i] for h in heads], pa.int64()) for i in (5, 6, 4))], ["file", "part", "before", "n_ids"])
+
+    if not done.getFileSystem(conf).exists(done):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0")
+        heads = files.select("path", F.substring("content", 1, len(MAGIC) + HEAD.size).alias("head"))
+        heads.mapInArrow(run, schema).write.mode("overwrite").parquet(place)
+    return spark.read.schema(schema).parquet(place)
+
+
+def _starts(counts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ids before each part, of (part, ids)."""
+    parts = sorted(counts)
+    return [(part, before) for (part, _), before in zip(parts, itertools.accumulate((n for _, n in parts), initial=0), strict=False)]
+
+
 def read_stretch(spark: SparkSession, path: str, start: int, stop: int) -> np.ndarray:
-    """Ids number start to before stop of all files: those files alone are opened whose ids are wanted."""
-    heads = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("path", F.substring("content", 1, len(MAGIC) + HEAD.size).alias("head"))
-    found = sorted((part, before, n, r.path) for r in heads.collect() for _, _, _, _, n, part, before in [HEAD.unpack_from(bytes(r["head"]), len(MAGIC))])
-    out, at = [np.zeros(0, np.uint32)], 0
-    for _, _, n, file in found:
-        if at < stop and at + n > start:
-            data = spark.read.format("binaryFile").load(file).select("content").first()[0]
-            out.append(TokenFile(bytes(data)).ids(max(start - at, 0), min(stop - at, n)))
-        at += n
+    """Ids number start to before stop of all files. By the index, only the files that hold them are opened."""
+    index = index_files(spark, path)
+    # as many numbers as Spark had partitions
+    parts = _starts([(r.part, r.n) for r in index.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()])
+    place = F.col("begins") + F.col("before")
+    found = index.join(F.broadcast(spark.createDataFrame(parts, "part long, begins long")), "part").filter((place < stop) & (place + F.col("n_ids") > start))
+    out = [np.zeros(0, np.uint32)]
+    for r in found.select("file", place.alias("at"), "n_ids").orderBy("at").collect():  # as many as hold the stretch
+        data = spark.read.format("binaryFile").load(r.file).select("content").first()[0]
+        out.append(TokenFile(bytes(data)).ids(max(start - r.at, 0), min(stop - r.at, r.n_ids)))
     return np.concatenate(out)
 
 
@@ -318,9 +344,6 @@ def round_trip(docs: DataFrame, path: str | None = None, vocabulary: str | None
     if own:
         discard(spark, path)
     # as many numbers as Spark had partitions
-    before, offsets = 0, []
-    for part, n in sorted((r.part, r.n) for r in described.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
-        offsets.append((part, before))
-        before += n
+    offsets = _starts([(r.part, r.n) for r in described.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()])
     starts = F.broadcast(spark.createDataFrame(offsets, "part long, before long"))
     return described.join(starts, "part").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

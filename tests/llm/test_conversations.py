@@ -110,3 +110,9 @@ def test_repaired_turns_are_rows(spark):
     got = [tuple(r)[1:] for r in c.repaired_turns(turns).orderBy("place").collect()]
     _, _, said = edits([("system", "S.", 0), ("assistant", "a:b.", 0), ("tool", "t.", 0), ("user", "", 1)])
     assert got == [(k + 1, *x) for k, x in enumerate(said)]
+
+
+def test_repaired_turns_of_long_conversations(spark, small):
+    turns = spark.createDataFrame([(i, *r, "x") for i, rows in small.items() for r in rows], SCHEMA)
+    rows = lambda frame: sorted(((r.conv_id is not None, r.conv_id or 0, r.place, r.role, r.text) for r in frame.collect()))
+    assert rows(c.repaired_turns(turns, most_turns=1)) == rows(c.repaired_turns(turns))
