@@ -164,6 +164,13 @@ def unpack(data: bytes | memoryview, bits: int, count: int) -> np.ndarray:
     return (spread.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
+def head_of(data: bytes) -> tuple[int, ...]:
+    """(bits, ids of a block, blocks, documents, ids, part, ids before it in the part) of a file."""
+    if data[: len(MAGIC)] != MAGIC or len(data) < len(MAGIC) + HEAD.size:
+        raise ValueError("not a file of token ids")
+    return HEAD.unpack_from(data, len(MAGIC))
+
+
 def build(names: list[int | None], ids: list[np.ndarray], bits: int, part: int, before: int, block: int = BLOCK) -> bytes:
     """A file's bytes, its line end aside, of documents with their ids."""
     flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
@@ -179,10 +186,8 @@ class TokenFile:
     """A file's documents, and any stretch of its ids, of which only the blocks that hold it are unpacked."""
 
     def __init__(self, data: bytes):
-        if data[: len(MAGIC)] != MAGIC or len(data) < len(MAGIC) + HEAD.size:
-            raise ValueError("not a file of token ids")
+        self.bits, self.block, blocks, docs, self.n_ids, self.part, self.before = head_of(data)
         self.data = memoryview(data)
-        self.bits, self.block, blocks, docs, self.n_ids, self.part, self.before = HEAD.unpack_from(data, len(MAGIC))
         at = len(MAGIC) + HEAD.size
         sizes = [blocks * 8, docs * 8, docs * 8, docs]
         places = list(itertools.accumulate(sizes, initial=at))
@@ -301,7 +306,7 @@ def index_files(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            heads = [HEAD.unpack_from(x.as_py(), len(MAGIC)) for x in batch.column(1)]
+            heads = [head_of(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([h[i] for h in heads], pa.int64()) for i in (5, 6, 4))], ["file", "part", "before", "n_ids"])
 
     if not done.getFileSystem(conf).exists(done):
