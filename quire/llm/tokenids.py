@@ -235,7 +235,8 @@ def _batches(rows: Iterator[tuple[int | None, str]]) -> Iterator[list[tuple[int
 def write_token_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end: int | None = END, segment: int = SEGMENT, block: int = BLOCK) -> None:
     """Write the token ids of docs(doc_id, text) to path, in ascending doc_id order.
 
-    vocabulary is a file of the tokenizers library that the driver reads. end follows each document,
+    vocabulary is a file of the tokenizers library that the driver reads; special tokens that a text spells out
+    get their ids, as by the library's default, and none are added. end follows each document,
     None for nothing. A null text is empty; a null doc_id comes first; rows of one doc_id follow each
     other, dealt out by a hash of their texts, so that they may fill many files. A document's ids are held whole by its task.
     """
