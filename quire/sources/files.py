@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import unquote, urlparse
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +30,45 @@ def folder_name(path: Column | str) -> Column:
     return F.regexp_extract(path, "([^/=]+)/[^/]+$", 1)
 
 
-def write_named(files: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A text file for each row of files(name, content), below a folder name=<name>, written by the executors."""
-    files.select("name", F.col("content").cast("string").alias("value")).write.partitionBy("name").mode(mode).text(path)
+#: What Spark escapes in the folder name of a partition.
+ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
+def _value_folder(name: str | None) -> str:
+    """The folder name of a partition's value, as Spark's writers have it."""
+    return "name=" + (ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", name) if name else "__HIVE_DEFAULT_PARTITION__")
+
+
+def write_named(files: DataFrame, path: str, mode: str = "errorifexists", extension: str = "txt") -> None:
+    """A text file for each row of files(name, content), below a folder name=<name>, written by the executors.
+
+    Rows are dealt out, since few bytes make many files. On local disks Hadoop starts several processes for each file's permissions, and
+    the driver moves each folder at the end; there the tasks make the files themselves, each whole or not at all. Other stores get
+    them from Spark's writer.
+    """
+    spark = files.sparkSession
+    rows = files.select(F.col("name").cast("string").alias("name"), F.col("content").cast("string").alias("value"))
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    system, place = folder_of(spark, path)
+    if system.getScheme() != "file" or mode not in ("error", "errorifexists"):
+        return dealt.write.partitionBy("name").mode(mode).option("extension", extension).text(path)
+    if system.exists(place):
+        raise FileExistsError(path)
+    root = unquote(urlparse(system.makeQualified(place).toUri().toString()).path)
+    os.makedirs(root)
+
+    def run(part):
+        task = TaskContext.get()
+        for k, row in enumerate(part):
+            folder = f"{root}/{_value_folder(row.name)}"
+            os.makedirs(folder, exist_ok=True)
+            # hidden until it is whole; a task that runs again puts the same names in place
+            whole, hidden = f"{folder}/part-{task.partitionId():05d}-{k}.{extension}", f"{folder}/.{task.taskAttemptId()}-{k}"
+            with open(hidden, "w", encoding="utf-8", newline="") as out:
+                out.write(f"{row.value or ''}\n")
+            os.replace(hidden, whole)
+
+    dealt.sortWithinPartitions("name", "value").foreachPartition(run)
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -117,7 +158,9 @@ def read_settings(spark: SparkSession, path: str, separator: str = ":") -> DataF
 
 def read_layouts(spark: SparkSession, path: str) -> DataFrame:
     """(file, settings map<string,string>) of YAML layouts; typed by the functions that use them."""
-    return read_settings(spark, path).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("settings"))
+    # so few tasks that their pieces for each other don't grow with the square of the files
+    few = read_settings(spark, path).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return few.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("settings"))
 
 
 def typed(value):

@@ -3,6 +3,8 @@
 import struct
 import zlib
 
+import pytest
+
 from quire.operators import evaluate as E
 from quire.sources import files
 
@@ -48,3 +50,20 @@ def test_scripts_in_many_files(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"s{k}.js").write_text("window.DATA_JSON = {\"pages\": [%s]};\n" % ", ".join(f'{{"fileName": "f{k}{i}", "text": "a = {{b}};"}}' for i in range(k)))
     assert sorted((r.fileName, r.text) for r in files.read_annotation(spark, str(tmp_path)).collect()) == [("f10", "a = {b};"), ("f20", "a = {b};"), ("f21", "a = {b};")]
+
+
+def test_named_files_are_dealt_over_tasks_and_named_as_spark_does(spark, tmp_path):
+    names = [f"n{k}" for k in range(40)] + ["a:b%c", "{x}=[y]", None]
+    rows = spark.createDataFrame([(n, f"k: {n}") for n in names], "name string, content string").coalesce(1)
+    files.write_named(rows, str(tmp_path / "own"), extension="yaml")
+    rows.selectExpr("name", "content as value").write.partitionBy("name").text(str(tmp_path / "spark"))
+    folders = {kind: sorted(x.name for x in (tmp_path / kind).iterdir() if x.is_dir()) for kind in ("own", "spark")}
+    assert folders["own"] == folders["spark"]
+    made = [x for x in (tmp_path / "own").rglob("*") if x.is_file()]
+    assert len(made) == len(names) and all(x.suffix == ".yaml" for x in made)
+    assert len({x.name.split("-")[1] for x in made}) > 1
+    with pytest.raises(FileExistsError):
+        files.write_named(rows, str(tmp_path / "own"))
+    read = files.read_layouts(spark, str(tmp_path / "own"))
+    assert read.count() == len(names)
+    assert "Coalesce 4" in read._jdf.queryExecution().executedPlan().toString()
