@@ -12,6 +12,7 @@ from quire.operators import typeset as S
 from quire.operators import windows as W
 from quire.plans import derived as D
 from quire.plans.registry import query, table
+from quire.session import spread
 
 BOOK = f"translate({D.bracketed('lower(text)')}, 'aeiouq', '一二三四五@')"
 #: Control-free text: letters, spaces and line breaks only.
@@ -64,7 +65,8 @@ t as (select doc_id, array_to_string(list_transform(ls, lambda z: z || repeat('
 @query("load_text", LOADED + " select doc_id, md5(x) as text, length(x)::bigint as cells from t")
 def load_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded = S.load_text(F.expr(PLAIN_SPARK), F.lit(ROWS))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(loaded).alias("text"), F.length(loaded).cast("long").alias("cells"))
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", loaded.alias("x"))
+    return lines.select("doc_id", F.md5("x").alias("text"), F.length("x").cast("long").alias("cells"))
 
 
 CELLS = ROWS * COLUMNS
