@@ -17,8 +17,13 @@ def characters(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 
 def circle_pair_rows(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, pos, ch, mark: each mark with the last Han character before it, two for a character value at most."""
+    is_mark = lambda x: F.lit(T.CIRCLE_MARKS).contains(x["ch"])
+    # of a text's characters only marks, and the Han ones that a mark comes next to but for others, go through the windows
+    every = F.transform(T.chars(F.coalesce(text, F.lit(""))), lambda ch, i: F.struct(i.alias("pos"), ch.alias("ch")))
+    told = df.select(*key, F.filter(every, lambda x: T.is_han(x["ch"]) | is_mark(x)).alias("_told"))
+    kept = told.select(*key, F.explode(F.filter("_told", lambda x, i: is_mark(x) | is_mark(F.get("_told", i + 1)))).alias("_c")).select(*key, "_c.pos", "_c.ch")
     order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = characters(df, key, text).withColumn("last", F.last(F.when(T.is_han(F.col("ch")), F.col("ch")), ignorenulls=True).over(order))
+    seen = kept.withColumn("last", F.last(F.when(T.is_han(F.col("ch")), F.col("ch")), ignorenulls=True).over(order))
     marks = seen.filter(F.lit(T.CIRCLE_MARKS).contains(F.col("ch")) & F.col("last").isNotNull())
     place = F.row_number().over(Window.partitionBy(*key, "last").orderBy("pos"))
     return marks.withColumn("place", place).filter("place <= 2").select(*key, "pos", F.col("last").alias("ch"), T.same_mark(F.col("ch")).alias("mark"))

@@ -10,6 +10,7 @@ from quire.functions import layout as L
 from quire.operators import evaluate as E
 from quire.operators import records as Q
 from quire.operators import typeset as S
+from quire.operators import windows as W
 from quire.sources import files
 
 
@@ -221,3 +222,28 @@ def test_means_are_exact(spark, parts):
 
 def test_means_of_nothing_are_null(spark):
     assert spark.createDataFrame([(None,)], "x double").agg(E.mean("x").alias("m")).first().m is None
+
+
+def test_only_marks_and_the_han_before_them_go_through_windows(spark):
+    texts = ["。甲。乙x丙 、。丙○", "天天天", "", None, "甲y。甲◎甲、甲。", "。。", "abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    rows = W.circle_pair_rows(df, ["k"])
+    got = {}
+    for r in sorted(rows.collect()):
+        got.setdefault(r.k, []).append((r.pos, r.ch, r.mark))
+    assert got == {0: [(2, "甲", "。"), (7, "丙", "、"), (8, "丙", "。")], 4: [(2, "甲", "。"), (4, "甲", "◎")]}
+    long = spark.createDataFrame([(1, "天" * 5000 + "。")], "k int, text string")
+    counted = W.circle_pair_rows(long, ["k"])
+    assert [(r.pos, r.ch) for r in counted.collect()] == [(5000, "天")]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+
+
+def test_books_and_predictions_are_dealt_over_tasks(spark):
+    books = spark.createDataFrame([(k, f"text {k}") for k in range(100)], "book long, text string").coalesce(1)
+    for pages in (S.paginate_plain(books, 5, 6), S.paginate_books(books, 5, 6)):
+        plan = pages._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobinPartitioning(4)" in plan and pages.count() == 100
+    said = spark.createDataFrame([("m", "/【一期】/1.png", "x", "stop", True)], "model string, image string, ocr string, finish_reason string, ok boolean").coalesce(1)
+    both = E.joined(said, spark.createDataFrame([(1, "x", "")], "index long, answer string, `from` string"))
+    assert "RoundRobinPartitioning(4)" in both._jdf.queryExecution().executedPlan().toString() and both.count() == 1
