@@ -25,6 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from quire.functions import layout as L
 from quire.functions import text as T
+from quire.session import spread
 
 #: Characters of a book that is laid out in one go; pieces of a stretch; characters of a plain piece.
 LONG, STRETCH, PLAIN = 32768, 64, 512
@@ -276,7 +277,7 @@ def paginate_books(books: DataFrame, rows: int, columns: int, zero_width: str =
     A null text has one empty page. Books of more than ``long`` characters are laid out in stretches, by several tasks.
     """
     grid = Grid(rows, rows * columns, zero_width, zero_width)
-    ready = books.select("book", load_text("text", F.lit(rows), zero_width, **normalize).alias("_text"))
+    ready = spread(books.select("book", "text")).select("book", load_text("text", F.lit(rows), zero_width, **normalize).alias("_text"))
     # so many partitions that few bytes, which take long to lay out, don't end up in one
     tasks = int(books.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = ready.select("book", F.explode(stretches(F.col("_text"), grid, size, long, stop)).alias("_part")).select("book", "_part.*").repartition(tasks, "book", "first")
@@ -294,7 +295,7 @@ def paginate_plain(books: DataFrame, rows: int, columns: int) -> DataFrame:
     """(book, page_idx, pagetxt) of books whose text has no brackets, controls, dashes and marks."""
     cells = rows * columns
     pieces = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s).{{1,{n}}}"), 0)
-    ready = books.select("book", load_text("text", F.lit(rows)).alias("_text"))
+    ready = spread(books.select("book", "text")).select("book", load_text("text", F.lit(rows)).alias("_text"))
     # a text is cut once, so each page carries its own cells alone
     pages = ready.select("book", F.posexplode(F.when(F.length("_text") > 0, pieces(F.col("_text"), cells)).otherwise(F.array(F.lit("")))).alias("page_idx", "_own"))
     # a break stands after each full column; half a page's is another one
