@@ -31,8 +31,8 @@ from quire.llm.shared import cut, discard, scratch_path
 
 MAGIC = b"QTIDS\x00\x00\x01"
 HEAD = struct.Struct("<7Q")
-#: Ids of a file, about, and of a block; pieces that a task remembers; bytes of text that are tokenised at once.
-SEGMENT, BLOCK, REMEMBERED, AT_ONCE = 8 << 20, 4096, 3 << 19, 2 << 20
+#: Ids of a file, about, and of a block; pieces that a task remembers; bytes of text that are taken at once, and characters that the tokenizer is given at once.
+SEGMENT, BLOCK, REMEMBERED, AT_ONCE, GIVEN = 8 << 20, 4096, 1 << 19, 2 << 20, 1 << 18
 END = 0
 #: What some rule counts as white space, or joins to what stands beside it. A single space between other characters starts a byte-level word, whatever surrounds it.
 SPACE = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2060\ufeff"
@@ -80,7 +80,10 @@ class Encoder:
         self._forget()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # what the tokenizer returns takes over a hundred bytes an id, so it is given few texts at once
+        ends = itertools.accumulate(map(len, texts))
+        groups = itertools.groupby(zip(texts, ends, strict=True), key=lambda x: x[1] // GIVEN)
+        return [np.array(e.ids, "<u4") for _, some in groups for e in self.tokenizer.encode_batch([t for t, _ in some], add_special_tokens=False)]
 
     def _forget(self) -> None:
         #: Packed ids of a field that follows a space, of any other piece, and of a word.

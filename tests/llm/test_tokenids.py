@@ -107,3 +107,21 @@ def test_query_equals_the_tokenizer(spark, tokenizer):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = sorted(tuple(r) for r in QUERIES["op11_token_ids"](spark, "/root/testdata/sf0.001").collect())
     assert got == plain(tokenizer, [tuple(r) for r in rows])
+
+
+def test_the_tokenizer_gets_few_texts_at_once(monkeypatch):
+    encoder = t.Encoder(Path(t.vocabulary_path()).read_text(encoding="utf-8"))
+    monkeypatch.setattr(t, "GIVEN", 1000)
+    whole, given = encoder.tokenizer, []
+
+    class Recorder:
+        def encode_batch(self, texts, **more):
+            given.append(sum(map(len, texts)))
+            return whole.encode_batch(texts, **more)
+
+    encoder.tokenizer = Recorder()
+    texts = [f"tab\t{k}  two" * 20 for k in range(60)]
+    got = encoder._ids(texts)
+    assert max(given) <= 1000 + max(map(len, texts)) and len(given) > 5
+    assert [x.tolist() for x in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert encoder._ids([]) == []
