@@ -32,7 +32,7 @@ from quire.llm.shared import cut, discard, scratch_path
 MAGIC = b"QTIDS\x00\x00\x01"
 HEAD = struct.Struct("<7Q")
 #: Ids of a file, about, and of a block; pieces that a task remembers; bytes of text that are taken at once, and characters that the tokenizer is given at once.
-SEGMENT, BLOCK, REMEMBERED, AT_ONCE, GIVEN = 8 << 20, 4096, 1 << 19, 2 << 20, 1 << 18
+SEGMENT, BLOCK, REMEMBERED, AT_ONCE, GIVEN = 8 << 20, 4096, 1 << 20, 2 << 20, 1 << 18
 END = 0
 #: What some rule counts as white space, or joins to what stands beside it. A single space between other characters starts a byte-level word, whatever surrounds it.
 SPACE = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2060\ufeff"
