@@ -44,14 +44,17 @@ def write_named(files: DataFrame, path: str, mode: str = "errorifexists", extens
 
     Rows are dealt out, since few bytes make many files. On local disks Hadoop starts several processes for each file's permissions, and
     the driver moves each folder at the end; there the tasks make the files themselves, each whole or not at all. Other stores get
-    them from Spark's writer.
+    them from Spark's writers, by which content in a csv is quoted where it must be.
     """
     spark = files.sparkSession
     rows = files.select(F.col("name").cast("string").alias("name"), F.col("content").cast("string").alias("value"))
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
     system, place = folder_of(spark, path)
     if system.getScheme() != "file" or mode not in ("error", "errorifexists"):
-        return dealt.write.partitionBy("name").mode(mode).option("extension", extension).text(path)
+        if extension not in ("txt", "csv"):
+            raise ValueError(f"Spark's writers make no .{extension} files there")
+        writer = dealt.write.partitionBy("name").mode(mode)
+        return writer.csv(path) if extension == "csv" else writer.text(path)
     if system.exists(place):
         raise FileExistsError(path)
     root = unquote(urlparse(system.makeQualified(place).toUri().toString()).path)

@@ -67,3 +67,6 @@ def test_named_files_are_dealt_over_tasks_and_named_as_spark_does(spark, tmp_pat
     read = files.read_layouts(spark, str(tmp_path / "own"))
     assert read.count() == len(names)
     assert "Coalesce 4" in read._jdf.queryExecution().executedPlan().toString()
+    for extension in ("txt", "csv"):  # by Spark's writers, as in other stores
+        files.write_named(rows, str(tmp_path / extension), "overwrite", extension)
+        assert len([x for x in (tmp_path / extension).rglob(f"part-*.{extension}")]) == len(names)
