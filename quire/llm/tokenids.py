@@ -50,6 +50,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 LETTERS = _byte_letters()
+SPACED = LETTERS[32]
 
 
 def vocabulary_path() -> str:
@@ -87,62 +88,90 @@ class Encoder:
 
     def _forget(self) -> None:
         #: Packed ids of a field that follows a space, of any other piece, and of a word.
-        self.fields: dict[str, bytes] = {}
+        self.fields = Fields(self)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _encoded(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(LETTERS))], "<u4").tobytes()
+        """By the tokenizer's model: printable ASCII stands for itself in a byte-level vocabulary."""
+        letters = word if word.isascii() and word.isprintable() and " " not in word else word.encode().decode("latin-1").translate(LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _after_space(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(LETTERS)
+        ids = [t.id for t in self.model.tokenize(SPACED + letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         if (known := self.words.get(word)) is None:
             known = self.words[word] = self._encoded(word)
         return known
 
-    def _first(self, word: str) -> bytes:
-        """A word after a space, which is a field by itself as well."""
-        if (known := self.fields.get(word)) is None:
-            known = self.fields[word] = self._encoded(f" {word}")
-        return known
-
-    def _learn(self, fields: set[str]) -> None:
-        """Remember fields that can be cut off at their spaces; the others stay unknown."""
-        whole = []
-        for field in fields:
-            if not field or not INSIDE.match(field[0]) or not INSIDE.match(field[-1]):
-                continue
-            runs = RUN.findall(field)
-            if sum(map(len, runs)) == len(field) and "\n\n" not in field and not self.added.search(field):
-                self.fields[field] = b"".join([self._first(runs[0]), *map(self._word, runs[1:])])
-            else:
-                whole.append(field)
-        for field, ids in zip(whole, self._ids([f" {f}" for f in whole]), strict=True):
-            self.fields[field] = ids.tobytes()
+    def field(self, field: str) -> bytes | None:
+        """Ids of a field that can be cut off at its spaces, to be remembered; None for any other, and for one that the tokenizer is to be given."""
+        if field.isascii() and field.isalpha() and not self.added.search(field):
+            return self._after_space(field)
+        if not field or not INSIDE.match(field[0]) or not INSIDE.match(field[-1]):
+            return None
+        runs = RUN.findall(field)
+        if sum(map(len, runs)) != len(field) or "\n\n" in field or self.added.search(field):
+            self.whole.add(field)
+            return None
+        first = runs[0]
+        if len(runs) == 1:
+            return self._after_space(field)
+        if (known := self.fields.get(first)) is None:  # a field by itself as well
+            known = self.fields[first] = self._after_space(first)
+        return b"".join([known, *map(self._word, runs[1:])])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
             return self._ids(texts)
         if len(self.fields) + len(self.pieces) + len(self.words) > REMEMBERED:
             self._forget()
-        split = [t.split(" ") for t in texts]
-        out: list = [list(map(self.fields.get, fields)) for fields in split]
-        gaps = [[i for i, known in enumerate(found) if i and known is None] if None in found else [] for found in out]
-        self._learn({fields[i] for fields, at in zip(split, gaps, strict=True) for i in at})
+        self.whole: set[str] = set()
+        known = self.fields
+        firsts, out = [], []
+        for text in texts:
+            first, *fields = text.split(" ")
+            firsts.append(first)
+            out.append(list(map(known.__getitem__, fields)))
+        whole = list(self.whole)
+        for field, ids in zip(whole, self._ids([f" {f}" for f in whole]), strict=True):
+            known[field] = ids.tobytes()
         loose: dict[str, None] = {}
-        for k, (text, fields, at) in enumerate(zip(texts, split, gaps, strict=True)):
-            found, first = out[k], fields[0]
-            for i in at:
-                found[i] = self.fields.get(fields[i])
-            if len(fields) > 1 and (not (first and INSIDE.match(first[-1])) or any(found[i] is None for i in at)):
-                first, *others = CUT.split(text)
-                found = out[k] = [None, *(x if (x := self.fields.get(p)) is not None else f" {p}" for p in others)]
-                loose.update((x, None) for x in found if isinstance(x, str))
-            found[0] = first
+        for k, (text, first, found) in enumerate(zip(texts, firsts, out, strict=True)):
+            if found and (None in found or not first or not INSIDE.match(first[-1])):
+                fields = text.split(" ")
+                found[:] = [x if x is not None else known.get(f) for f, x in zip(fields[1:], found, strict=True)]
+                if None in found or not first or not INSIDE.match(first[-1]):
+                    first, *others = CUT.split(text)
+                    found[:] = [x if (x := known.get(p)) is not None else f" {p}" for p in others]
+                    loose.update((x, None) for x in found if isinstance(x, str))
+                    firsts[k] = first
             loose[first] = None
         unseen = [p for p in loose if p not in self.pieces]
         for piece, ids in zip(unseen, self._ids(unseen), strict=True):
             self.pieces[piece] = ids.tobytes()
-        return [np.frombuffer(b"".join([x if type(x) is bytes else self.pieces[x] for x in found]), "<u4") for found in out]
+        pieces = self.pieces
+        for first, found in zip(firsts, out, strict=True):
+            if str in set(map(type, found)):
+                found[:] = [x if type(x) is bytes else pieces[x] for x in found]
+        return [np.frombuffer(b"".join([pieces[first], *found]), "<u4") for first, found in zip(firsts, out, strict=True)]
+
+
+class Fields(dict):
+    """Packed ids of the fields that an encoder remembers; it is asked for those that are missing."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.ask = encoder.field
+
+    def __missing__(self, field: str) -> bytes | None:
+        if (known := self.ask(field)) is not None:
+            self[field] = known
+        return known
 
 
 @functools.cache

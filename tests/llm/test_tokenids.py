@@ -125,3 +125,19 @@ def test_the_tokenizer_gets_few_texts_at_once(monkeypatch):
     assert max(given) <= 1000 + max(map(len, texts)) and len(given) > 5
     assert [x.tolist() for x in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert encoder._ids([]) == []
+
+
+def test_plain_words_are_looked_up_once_and_not_cut(tokenizer, monkeypatch):
+    """New words of ASCII letters go to the tokenizer's model as they are, and a field that is known isn't asked for again."""
+    encoder = t.Encoder(Path(t.vocabulary_path()).read_text(encoding="utf-8"))
+
+    class Never:
+        def findall(self, field):
+            raise AssertionError(field)
+
+    monkeypatch.setattr(t, "RUN", Never())
+    asked, field = [], encoder.fields.ask
+    encoder.fields.ask = lambda word: asked.append(word) or field(word)
+    texts = ["First qwopx zzyzx qwopx", "Again zzyzx qwopx of", ""]
+    assert [x.tolist() for x in encoder.encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert asked == ["qwopx", "zzyzx", "of"]
