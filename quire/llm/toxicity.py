@@ -11,9 +11,11 @@ a score from 0 to 1.
 
 from __future__ import annotations
 
+import itertools
 import math
 import pickle
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +32,8 @@ ORDER, LOWEST = 6, 2
 DISCOUNTS = (0.9, 1.2, 1.4)
 #: Bound of the labelled texts of each class, the parameter max_per_class.
 PER_CLASS = 2500
-#: Words whose ratios a worker keeps.
-CACHE = 400_000
+#: Words whose ratios a worker keeps, and characters of text whose new words are looked up together.
+CACHE, AT_ONCE = 400_000, 1 << 16
 START, END = "\x02", "\x03"
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’…|*_~<>/\\-—–#%&$"
 
@@ -127,9 +129,75 @@ def fit_pair(toxic: dict[str, int], ordinary: dict[str, int]) -> KneserNeyPair:
             ratios[g] = math.log(p[0] / p[1])
             if ctx not in backoffs:
                 backoffs[ctx] = math.log(weight(0, ctx) / weight(1, ctx))
+        own[0][order], own[1][order] = Counter(), Counter()  # done with
     return KneserNeyPair(ratios, backoffs)
 
 
+#: Multiplier of the hash of an n-gram: any odd number whose bits are mixed.
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
+    """Hash of the n-gram of so many characters that ends at each place, by its code points; the first places have none."""
+    out = np.zeros(len(codes), np.uint64)
+    for back in range(min(order, len(codes))):
+        out[order - 1 :] += codes[order - 1 - back : len(codes) - back]
+        out[order - 1 :] *= MULTIPLIER
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    """Code points, from one on."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+
+
+def _table(values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of n-grams, and their values."""
+    keys, own = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for order in sorted(set(map(len, values))):
+        grams = [g for g in values if len(g) == order]
+        keys.append(_hashes(_codes("".join(grams)), order)[order - 1 :: order])
+        own.append(np.array([values[g] for g in grams]))
+    keys, own = np.concatenate(keys), np.concatenate(own)
+    rank = np.argsort(keys)
+    return keys[rank], own[rank]
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes a table has, and their values."""
+    keys, values = table
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, values[at]
+
+
+class PackedPair:
+    """A KneserNeyPair as arrays, an eighth of its dictionaries' memory, which give the same ratios to many words at once."""
+
+    def __init__(self, pair: KneserNeyPair):
+        self.ratios, self.backoffs = _table(pair.ratios), _table(pair.backoffs)
+
+    def words(self, words: list[str]) -> list[float]:
+        """Log-likelihood ratio of each whole word."""
+        marked = [f"{START}{b}{END}" if (b := bare(w)) else "" for w in words]
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        codes = _codes("".join(marked))
+        owner = np.repeat(np.arange(len(marked)), sizes)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        hashes = {order: _hashes(codes, order) for order in range(LOWEST - 1, ORDER + 1)}
+        total, left = np.zeros(len(codes)), np.flatnonzero(place >= LOWEST - 1)
+        for order in range(ORDER, LOWEST - 1, -1):
+            long = place[left] >= order - 1
+            own, rest = left[long], left[~long]
+            for table, wanted, before in ((self.ratios, hashes[order], 0), (self.backoffs, hashes[order - 1], 1)):
+                found, values = _look_up(table, wanted[own - before])
+                total[own[found]] = values[found]
+                own = own[~found]
+            left = np.concatenate([rest, own])
+        return np.bincount(owner, total, len(marked)).tolist()
+
+
 #: Ratios from which a word counts as telling, and what is added before the logarithm.
 TELLING = ((1.5, 0.02), (2.5, 0.01), (3.5, 0.01), (6.0, 0.01))
 
@@ -175,13 +243,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.
 
 @dataclass
 class ToxicityModel:
-    """packed is a pickled KneserNeyPair, which only those that score with it unpack."""
+    """packed is a pickled PackedPair, which only those that score with it unpack."""
 
     packed: bytes
     curve: list[float]
 
     @property
-    def pair(self) -> KneserNeyPair:
+    def pair(self) -> PackedPair:
         if "_pair" not in self.__dict__:
             self._pair = pickle.loads(self.packed)
         return self._pair
@@ -189,19 +257,30 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return {"packed": self.packed, "curve": self.curve}
 
-    def score(self, text: str | None, cache: dict[str, float]) -> float:
-        words = words_of(text)
-        values = list(map(cache.get, words))
-        if None in values:
+    def ratios(self, texts: Iterable[str | None], cache: dict[str, float]) -> Iterator[list[float]]:
+        """Ratios of the words of each text; the new words of about AT_ONCE characters are looked up together."""
+        seen = 0
+
+        def lot(text: str | None) -> int:
+            nonlocal seen
+            seen += len(text or "")
+            return seen // AT_ONCE
+
+        for _, some in itertools.groupby(texts, key=lot):
+            split = [words_of(t) for t in some]
             if len(cache) >= CACHE:
                 cache.clear()
-                values = [None] * len(words)
-            for w, r in zip(words, values, strict=True):
-                if r is None and w not in cache:
-                    cache[w] = self.pair.word(w)
-            values = [cache[w] for w in words]
-        z = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], features(values), strict=True))
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+            unseen = list(set().union(*split).difference(cache))
+            cache.update(zip(unseen, self.pair.words(unseen), strict=True))
+            for words in split:
+                yield list(map(cache.__getitem__, words))
+
+    def scores(self, texts: Iterable[str | None], cache: dict[str, float]) -> list[float]:
+        out = []
+        for ratios in self.ratios(texts, cache):
+            z = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], features(ratios), strict=True))
+            out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
+        return out
 
 
 def _chosen(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -241,18 +320,15 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = PER_CLASS) ->
         for batch in batches:
             for toxic, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts[toxic][word] = n
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_pair(counts[1], counts[0]))], pa.binary())], ["pair"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(PackedPair(fit_pair(counts[1], counts[0])))], pa.binary())], ["pair"])
 
     # the words of a bounded sample, counted in one task and not in the driver's memory
     built = found.coalesce(1).mapInArrow(build, "pair binary").first()
-    model = ToxicityModel(bytes(built.pair) if built else pickle.dumps(fit_pair({}, {})), [])
+    model = ToxicityModel(bytes(built.pair) if built else pickle.dumps(PackedPair(fit_pair({}, {}))), [])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def described(columns: list[list]) -> list[list]:
-        cache: dict[str, float] = {}
-        word = shared.value.pair.word
-        x = [list(features([cache[w] if w in cache else cache.setdefault(w, word(w)) for w in words_of(text)])) for text in columns[0]]
-        return [x, columns[1]]
+        return [[list(features(ratios)) for ratios in shared.value.ratios(columns[0], {})], columns[1]]
 
     rows = map_batches(chosen.filter("kept").select("text", "toxic"), described, "x array<double>, toxic int", most=64).collect()
     rows.sort(key=lambda r: (r.toxic, r.x))
@@ -271,7 +347,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) ->
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t.as_py(), cache) < threshold for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s in shared.value.scores((t.as_py() for t in batch.column(at)), cache)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -289,7 +365,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
     def run(batches):
         for batch in batches:
-            scores = [shared.value.score(t.as_py(), cache) for t in batch.column(1)]
+            scores = shared.value.scores((t.as_py() for t in batch.column(1)), cache)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
 
     return source.mapInArrow(run, target)

@@ -5,8 +5,10 @@ import hashlib
 import html
 import math
 import os
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -504,3 +506,23 @@ def test_curve_of_separable_classes_stays_finite():
     p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
     assert np.isfinite(w).all() and (p[:3] < 0.3).all() and (p[3:] > 0.7).all()
     assert np.isfinite(toxicity.fit_curve(np.ones((4, 2)), np.array([0, 1, 0, 0]))).all()
+
+
+def test_packed_toxicity_model_is_small_and_gives_the_same_ratios():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé中\x00") for _ in range(rng.randrange(1, 9)))
+    toxic, ordinary = ({word(): rng.randrange(1, 9) for _ in range(3000)} for _ in range(2))
+    pair = toxicity.fit_pair(toxic, ordinary)
+    words = [*list(toxic)[:500], *(word() for _ in range(500)), "", "...", "(x)", "\x02b", "ab\x03"]
+    assert toxicity.PackedPair(pair).words(words) == [pair.word(w) for w in words]
+    assert toxicity.PackedPair(toxicity.fit_pair({}, {})).words(["a", ""]) == [0, 0] and toxicity.PackedPair(pair).words([]) == []
+
+    def held(packed):
+        tracemalloc.start()
+        kept = pickle.loads(packed)
+        size = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        return size if kept else 0
+
+    # each worker of an executor unpacks the model, which an executor near its memory's limit can't hold as dictionaries
+    assert held(toxicity.ToxicityModel(pickle.dumps(toxicity.PackedPair(pair)), []).packed) < held(pickle.dumps(pair)) / 4
