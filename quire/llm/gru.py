@@ -1,40 +1,59 @@
 """A gated recurrent language model in numpy, with class-factored output softmax.
 
 Word numbers below ``words`` are output words, class number // members; numbers from there on
-are open classes, which end with the class. States, gates and logits are kept with one column a
-word or document, so that every elementwise step runs over long rows.
+are open classes, which end with the class. Callers give states with one column a document; inside,
+states, gates and logits have one row a word or document, and gates stand in blocks of their own, so
+that every elementwise step runs over whole blocks.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
 #: Logits whose largest is within this are exponentiated as they are; others are shifted first.
 SAFE = 60.0
+#: Documents and words that a step handles at once, and weights: so many stay in a core's cache.
+BLOCK, PIECE = 1024, 32768
+
+
+def _softmax(logits: np.ndarray, own: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Turns rows of logits into probabilities times their sums, in place: (sums, log probabilities of own, their flat places).
+
+    safe tells that the largest logit of each row is known to be within SAFE.
+    """
+    at = own + np.arange(0, logits.size, logits.shape[1])
+    picked = logits.reshape(-1).take(at)
+    if not safe:
+        top = logits.max(1, initial=-np.inf)
+        if top.max(initial=0) > SAFE or top.min(initial=0) < -SAFE:
+            logits -= top[:, None]
+            picked -= top
+    np.exp(logits, out=logits)
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    return sums, picked - np.log(sums), at
 
 
-def _gates(x: np.ndarray) -> np.ndarray:
-    """Logistic function, in place."""
-    half = x.dtype.type(0.5)
-    x *= half
-    np.tanh(x, out=x)
-    x *= half
-    x += half
-    return x
+def _safe(weights: np.ndarray, reach: float) -> bool:
+    """Whether for all states within +-reach the largest logit of each row is within SAFE; the biases are the last row."""
+    swing, bias = np.abs(weights[..., :-1, :]).sum(-2) * reach, weights[..., -1, :]
+    return bool((bias + swing).max() <= SAFE and (bias - swing).max(-1).min() >= -SAFE)
 
 
-def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Turns columns of logits into probabilities times their sums, in place: (sums, log probabilities of own)."""
-    picked = logits[own, np.arange(len(own))]
-    top = logits.max(0)
-    if top.max(initial=0) > SAFE or top.min(initial=0) < -SAFE:
-        logits -= top
-        picked -= top
-    np.exp(logits, out=logits)
-    sums = np.ones(len(logits), logits.dtype) @ logits
-    return sums, picked - np.log(sums)
+class Room(dict):
+    """Arrays that one window after another is computed in: fresh ones cost more than the arithmetic on them."""
+
+    def __init__(self, kind: np.dtype):
+        super().__init__()
+        self.kind = kind
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self or self[name].size < size:
+            self[name] = np.empty(size, self.kind)
+        return self[name][:size].reshape(shape)
 
 
 @dataclass
@@ -81,46 +100,65 @@ class Gru:
         order = np.argsort(narrow, kind="stable")
         return own, order, np.searchsorted(narrow[order], np.arange(self.classes + 1)).tolist()
 
-    def _advance(self, h: np.ndarray, g: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _recurrent(self, room: Room | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Gate inputs of every word (gate, word, hidden) and state weights (gate, hidden, hidden). Gates come as
+        tanh of a half, so those of the update and reset gates are halved."""
+        w, n = self.weights, self.hidden
+        inputs, bias, state = (w[k].reshape(-1, 3, n).swapaxes(0, 1).copy() for k in ("input", "gate_bias", "state"))
+        for x in (inputs, bias, state):
+            x[:2] *= 0.5
+        table = np.matmul(w["embed"], inputs, out=None if room is None else room("table", 3, len(w["embed"]), n))
+        table += bias
+        return table, state
+
+    def _outputs(self, reach: float) -> tuple[np.ndarray, bool, np.ndarray, bool]:
+        """Class and word weights with their biases as the last row, and whether their logits are safe for states within +-reach."""
+        w = self.weights
+        kinds, words = np.concatenate([w["class"], w["class_bias"][None]]), np.concatenate([w["word"], w["word_bias"][:, None]], 1)
+        return kinds, _safe(kinds, reach), words, _safe(words, reach)
+
+    def _advance(self, h: np.ndarray, g: np.ndarray, state: np.ndarray, u: np.ndarray | None = None, new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One step from states h with gate inputs g: the next states, and what backpropagation needs."""
-        n = self.hidden
-        u = turned @ h
-        gates = _gates(g[: 2 * n] + u[: 2 * n])
-        new = gates[n:] * u[2 * n :]
-        new += g[2 * n :]
+        u = np.matmul(h, state, out=u)
+        gates = u[:2]
+        gates += g[:2]
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        new = np.multiply(u[1], u[2], out=new)
+        new += g[2]
         np.tanh(new, out=new)
         out = h - new
-        out *= gates[:n]
+        out *= u[0]
         out += new
-        return out, u[2 * n :], gates, new
-
-    def _inputs(self, ids: np.ndarray) -> np.ndarray:
-        """Gate inputs of words; ids may have leading dimensions."""
-        w = self.weights
-        g = w["input"].T @ w["embed"].take(ids, 0).swapaxes(-1, -2)
-        g += w["gate_bias"][:, None]
-        return g
+        return out, u, new
 
     def step(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """States (hidden, document) after each document's next word."""
-        return self._advance(h, self._inputs(ids), self.weights["state"].T)[0]
+        inputs, state = self._recurrent()
+        return self._advance(np.ascontiguousarray(h.T), inputs.take(ids, 1), state)[0].T
 
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural logarithms for the words that follow states (hidden, word): of word, or of open class."""
-        w = self.weights
+        return self._log_probabilities(self._with_one(h.T), ids, self._outputs(max(1.0, np.abs(h).max(initial=0))))
+
+    def _with_one(self, h: np.ndarray) -> np.ndarray:
+        """States with a one behind them, which stands for the bias."""
+        return np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
+
+    def _log_probabilities(self, h: np.ndarray, ids: np.ndarray, outputs: tuple[np.ndarray, bool, np.ndarray, bool]) -> np.ndarray:
+        kinds, safe_kinds, words, safe_words = outputs
         own, order, cuts = self._by_class(ids)
-        logits = w["class"].T @ h
-        logits += w["class_bias"][:, None]
-        out = _softmax(logits, own)[1]
-        sorted_h, k = h.take(order, 1), (ids - own * self.members)[order]
-        inside = np.zeros(len(ids), h.dtype)
+        h, kind, k = h.take(order, 0), own[order], (ids - own * self.members)[order]
+        got = np.empty(len(ids), h.dtype)
+        for a in range(0, len(ids), BLOCK):
+            got[a : a + BLOCK] = _softmax(h[a : a + BLOCK] @ kinds, kind[a : a + BLOCK], safe_kinds)[1]
         for c in range(self.classes):
-            a, b = cuts[c], cuts[c + 1]
-            if b > a:
-                logits = w["word"][c].T @ sorted_h[:, a:b]
-                logits += w["word_bias"][c][:, None]
-                inside[a:b] = _softmax(logits, k[a:b])[1]
-        out[order] += inside
+            for a in range(cuts[c], cuts[c + 1], BLOCK):
+                b = min(a + BLOCK, cuts[c + 1])
+                got[a:b] += _softmax(h[a:b] @ words[c], k[a:b], safe_words)[1]
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def score(self, documents: list[np.ndarray], window: int = 64, width: int = 32768) -> np.ndarray:
@@ -134,7 +172,8 @@ class Gru:
         flat = np.concatenate([documents[i] for i in order]) if order else np.zeros(0, np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if order else np.zeros(0, np.int64)
         total = np.zeros(len(order))
-        h = np.zeros((self.hidden, len(order)), self.weights["state"].dtype)
+        h = np.zeros((len(order), self.hidden), self.weights["state"].dtype)
+        (inputs, state), outputs = self._recurrent(), self._outputs(1.0)
         last = np.full(len(order), self.start)
         at, states, targets, owners, held = 0, [], [], [], 0
         longest = int(sizes[0]) if len(sizes) else 0
@@ -142,7 +181,8 @@ class Gru:
         while at < longest:
             while alive and sizes[alive - 1] <= at:
                 alive -= 1
-            h = self.step(np.ascontiguousarray(h[:, :alive]), last[:alive])
+            parts = [self._advance(h[a : min(a + BLOCK, alive)], inputs.take(last[a : min(a + BLOCK, alive)], 1), state)[0] for a in range(0, alive, BLOCK)]
+            h = parts[0] if len(parts) == 1 else np.concatenate(parts)
             ids = flat[starts[:alive] + at]
             states.append(h)
             targets.append(ids)
@@ -151,7 +191,7 @@ class Gru:
             last = ids
             at += 1
             if held >= width or len(states) >= 16 * window or at == longest:
-                got = self.log_probabilities(np.concatenate(states, 1), np.concatenate(targets))
+                got = self._log_probabilities(self._with_one(np.concatenate(states)), np.concatenate(targets), outputs)
                 who = np.concatenate([np.arange(n) for n in owners])
                 total[: len(order)] += np.bincount(who, got, len(order))
                 states, targets, owners, held = [], [], [], 0
@@ -159,85 +199,107 @@ class Gru:
         out[order] = total
         return out
 
-    def loss(self, ids: np.ndarray, before: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
+    def loss(self, ids: np.ndarray, before: np.ndarray, h: np.ndarray, fresh: np.ndarray, room: Room | None = None) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
         """Mean loss of one window, its last state, and gradients by truncated backpropagation.
 
         All of (time, lane): the words, those before them, and where a document begins, at which
-        the state (hidden, lane) is reset.
+        the state (hidden, lane) is reset. The gradients may lie in room, until its next use.
         """
         w, n = self.weights, self.hidden
         kind = w["state"].dtype
+        room = Room(kind) if room is None else room
         steps, lanes = ids.shape
-        flat, count = ids.reshape(-1), ids.size
-        g = self._inputs(before)
-        keep, resets = (~fresh).astype(kind), fresh.any(1).tolist()
-        olds, every = np.empty((steps, n, lanes), kind), np.empty((n, steps, lanes), kind)
-        saved, turned = [], np.ascontiguousarray(w["state"].T)
+        flat, previous, count = ids.reshape(-1), before.reshape(-1).astype(np.intp), ids.size
+        kinds, safe_kinds, words, safe_words = self._outputs(max(1.0, np.abs(h).max(initial=0)))
+        inputs, state = self._recurrent(room)
+        g = inputs.take(previous, 1, out=room("g", 3, count, n), mode="clip").reshape(3, steps, lanes, n)
+        h = np.ascontiguousarray(h.T)
+        keep, resets = (~fresh).astype(kind)[:, :, None], fresh.any(1).tolist()
+        olds, news, saved, every = room("olds", steps, lanes, n), room("news", steps, lanes, n), room("saved", steps, 3, lanes, n), room("every", steps, lanes, n + 1)
+        every[:, :, n] = 1  # for the biases
         for t in range(steps):
-            olds[t] = h * keep[t] if resets[t] else h
-            h, *rest = self._advance(olds[t], g[t], turned)
-            every[:, t] = h
-            saved.append(rest)
-        every = every.reshape(n, -1)
-        grads = {k: np.zeros_like(v) for k, v in w.items() if k in ("word", "word_bias", "embed")}
+            if resets[t]:
+                np.multiply(h, keep[t], out=olds[t])
+            else:
+                olds[t] = h
+            h = self._advance(olds[t], g[:, t], state, saved[t], news[t])[0]
+            every[t, :, :n] = h
+        # words in the order of their classes; probabilities aren't divided by their sums, the states and gradients beside them are
         own, order, cuts = self._by_class(flat)
-        p = w["class"].T @ every
-        p += w["class_bias"][:, None]
-        sums, got = _softmax(p, own)
-        loss = -float(got.sum())
-        sums *= count
-        p *= np.reciprocal(sums)
-        p[own, np.arange(count)] -= 1 / count
-        grads["class"], grads["class_bias"] = every @ p.T, p @ np.ones(count, kind)
-        dh = w["class"] @ p
-        sorted_h, k = every.take(order, 1), (flat - own * self.members)[order]
-        dsorted = np.zeros_like(sorted_h)
+        sorted_h = every.reshape(count, n + 1).take(order, 0, out=room("sorted", count, n + 1), mode="clip")
+        k, own, inside = (flat - own * self.members)[order], own[order], cuts[-1]
+        dsorted, found, loss, across = room("dsorted", count, n), np.zeros_like(kinds), 0.0, w["class"].T
+        for a in range(0, count, BLOCK):
+            part = slice(a, min(a + BLOCK, count))
+            p = np.matmul(sorted_h[part], kinds, out=room("p", part.stop - a, kinds.shape[1]))
+            sums, got, at = _softmax(p, own[part], safe_kinds)
+            loss -= float(got.sum())
+            p.reshape(-1)[at] -= sums
+            share = np.reciprocal(sums * count)[:, None]
+            np.matmul(p, across, out=dsorted[part])
+            dsorted[part] *= share
+            found += (p.T @ (sorted_h[part] * share)).T
+        grads = {"class": found[:n], "class_bias": found[n]}
+        p, dword, found = room("p", inside, self.members), room("dword", inside, n), room("words", *words.shape)
+        for c in range(self.classes):
+            if cuts[c + 1] > cuts[c]:
+                np.matmul(sorted_h[cuts[c] : cuts[c + 1]], words[c], out=p[cuts[c] : cuts[c + 1]])
+        sums, got, at = _softmax(p, k[:inside], safe_words)
+        loss -= float(got.sum())
+        p.reshape(-1)[at] -= sums
+        share = np.reciprocal(sums * count)[:, None]
+        sorted_h[:inside] *= share
         for c in range(self.classes):
             a, b = cuts[c], cuts[c + 1]
             if b > a:
-                p = w["word"][c].T @ sorted_h[:, a:b]
-                p += w["word_bias"][c][:, None]
-                sums, got = _softmax(p, k[a:b])
-                loss -= float(got.sum())
-                sums *= count
-                p *= np.reciprocal(sums)
-                p[k[a:b], np.arange(b - a)] -= 1 / count
-                grads["word"][c], grads["word_bias"][c] = sorted_h[:, a:b] @ p.T, p @ np.ones(b - a, kind)
-                dsorted[:, a:b] = w["word"][c] @ p
+                np.matmul(sorted_h[a:b].T, p[a:b], out=found[c])
+                np.matmul(p[a:b], w["word"][c].T, out=dword[a:b])
+            else:
+                found[c] = 0
+        dword *= share
+        dsorted[:inside] += dword
+        grads["word"], grads["word_bias"] = found[:, :n], found[:, n]
         places = np.empty(count, order.dtype)
         places[order] = np.arange(count)
-        dh += dsorted.take(places, 1)
-        dh = dh.reshape(n, steps, lanes)
-        back = np.zeros((n, lanes), kind)
-        dg, du = np.empty((steps, 3 * n, lanes), kind), np.empty((steps, 3 * n, lanes), kind)
+        dh = dsorted.take(places, 0, out=room("dh", count, n), mode="clip").reshape(steps, lanes, n)
+        # gradients before the gates: the candidate's by the state, those of update, reset and the candidate by the input
+        d, part = room("d", 4, steps, lanes, n), room("part", 3, lanes, n)
+        by_state, by_input = (np.ascontiguousarray(w[k].reshape(n, 3, n).transpose(1, 2, 0)) for k in ("state", "input"))
+        by_state = by_state[[2, 0, 1]]
+        back = np.zeros((lanes, n), kind)
         for t in range(steps - 1, -1, -1):
-            u, gates, new = saved[t]
-            z, r = gates[:n], gates[n:]
-            d = dh[:, t] + back
-            dnew = dg[t, 2 * n :]
-            np.multiply(d, 1 - z, out=dnew)
-            dnew *= 1 - new * new
-            slope = 1 - gates
-            slope *= gates
-            np.multiply(d * (olds[t] - new), slope[:n], out=dg[t, :n])
-            np.multiply(dnew * u, slope[n:], out=dg[t, n : 2 * n])
-            du[t] = dg[t]
-            du[t, 2 * n :] *= r
-            back = w["state"] @ du[t]
-            back += d * z
+            (z, r, u), own, slope = saved[t], d[:, t], 1 - saved[t, :2]
+            back += dh[t]
+            dnew = np.multiply(news[t], news[t], out=own[3])
+            np.subtract(1, dnew, out=dnew)
+            dnew *= slope[0]
+            dnew *= back
+            np.multiply(dnew, r, out=own[0])
+            slope *= saved[t, :2]
+            np.subtract(olds[t], news[t], out=own[1])
+            own[1] *= back
+            np.multiply(dnew, u, out=own[2])
+            own[1:3] *= slope
+            back *= z
+            for x in np.matmul(own[:3], by_state, out=part):
+                back += x
             if resets[t]:
                 back *= keep[t]
-        columns = lambda x: np.ascontiguousarray(x.transpose(1, 0, 2)).reshape(x.shape[1], -1)
-        dx = columns(dg)
-        grads["state"] = columns(olds) @ columns(du).T
-        previous = before.reshape(-1)
-        grads["input"], grads["gate_bias"] = w["embed"].take(previous, 0).T @ dx.T, dx @ np.ones(count, kind)
-        de = dx.T @ w["input"].T
-        narrow = previous.astype(np.int16 if len(w["embed"]) < 1 << 15 else np.int64)
-        order = np.argsort(narrow, kind="stable")
-        lead = np.flatnonzero(np.diff(narrow[order], prepend=-1))
-        grads["embed"][narrow[order[lead]]] = np.add.reduceat(de.take(order, 0), lead, axis=0)
-        return loss / count, h, grads
+        d = d.reshape(4, count, n)
+        found = np.matmul(d[:3].swapaxes(1, 2), olds.reshape(count, n))
+        grads["state"] = np.concatenate([found[1], found[2], found[0]]).T
+        x = room("sorted", count, n + 1)
+        x[:, :n], x[:, n] = w["embed"].take(previous, 0, out=room("dsorted", count, n), mode="clip"), 1
+        found = np.matmul(d[1:].swapaxes(1, 2), x).reshape(3 * n, n + 1).T
+        grads["input"], grads["gate_bias"] = found[:n], found[n]
+        de = np.add.reduce(np.matmul(d[1:], by_input, out=room("g", 3, count, n)), 0, out=room("dsorted", count, n))
+        x = room("columns", n, count)
+        x[:] = de.T
+        found = room("embed", n, len(w["embed"]))
+        for i in range(n):
+            found[i] = np.bincount(previous, x[i], len(w["embed"]))
+        grads["embed"] = found.T
+        return loss / count, h.T, grads
 
 
 class Trainer:
@@ -245,28 +307,35 @@ class Trainer:
 
     def __init__(self, model: Gru, lanes: int = 256, window: int = 32):
         self.model, self.lanes, self.window, self.updates = model, lanes, window, 0
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
+        # one row of all weights, of which the model's are parts
+        self.flat = np.concatenate([w.ravel() for w in model.weights.values()])
+        ends = np.cumsum([w.size for w in model.weights.values()])
+        model.weights = {k: self.flat[end - w.size : end].reshape(w.shape) for end, (k, w) in zip(ends.tolist(), model.weights.items(), strict=True)}
+        self.moments = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.room = Room(self.flat.dtype)
 
     def update(self, grads: dict[str, np.ndarray], rate: float) -> None:
         self.updates += 1
-        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())))
-        scale = min(1.0, 1.0 / (norm + 1e-9))
+        every, at = self.room("grads", self.flat.size), 0
+        for k, w in self.model.weights.items():
+            every[at : at + w.size].reshape(w.shape)[...] = grads[k]
+            at += w.size
+        scale = min(1.0, 1.0 / (float(np.sqrt(np.dot(every, every))) + 1e-9))
         first, second = 1 - 0.9**self.updates, 1 - 0.99**self.updates
-        for k, g in grads.items():
-            m, v = self.moments[k]
+        for a in range(0, len(every), PIECE):
+            g, m, v, w = (x[a : a + PIECE] for x in (every, *self.moments, self.flat))
             m *= 0.9
             v *= 0.99
-            g *= scale
-            m += 0.1 * g
+            m += g * (0.1 * scale)
             g *= g
-            g *= 0.01
+            g *= 0.01 * scale * scale
             v += g
             np.multiply(v, 1 / second, out=g)
             np.sqrt(g, out=g)
             g += 1e-6
             np.divide(m, g, out=g)
             g *= rate / first
-            self.model.weights[k] -= g
+            w -= g
 
     def learn(self, documents: list[np.ndarray], least_updates: int = 1, rate: float = 0.01, last: float = 1.0) -> list[float]:
         """Windows of all documents, each lane running through documents one after another: all of
@@ -294,7 +363,7 @@ class Trainer:
             if a == 0:
                 h = np.zeros_like(h)
             ids, prev, first = (x[a : a + window] for x in grid)
-            loss, h, grads = model.loss(ids, prev, h, first)
+            loss, h, grads = model.loss(ids, prev, h, first, self.room)
             losses.append(loss)
             self.update(grads, rate * (1 - (1 - last) * i / len(plan)))
         return losses

@@ -337,6 +337,28 @@ def test_open_classes_share_one_probability(spark):
         assert shares[k] + 1 / 10 ** model.open_log[k] == pytest.approx(1)
 
 
+def test_words_of_many_texts_are_those_of_each():
+    texts = [None, b"", b" \t", b"A b\x0bA\x0c\r\n b ", "É\u00a0x\u2028 é\x1cB\x85".encode(), b"b", None, b"\xff\x00 Z"]
+    sizes, at, words = lmscore.all_words(texts)
+    words, ends = words.to_pylist(), np.cumsum([0, *sizes])
+    assert [[words[i] for i in at[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [lmscore.tokens(t)[:-1] for t in texts]
+    assert [len(x) for x in lmscore.all_words([None])] == [1, 0, 0]
+
+
+def test_windows_share_room_and_large_logits_are_shifted():
+    r = np.random.default_rng(5)
+    net, room = gru.Gru.fresh(7, 3, 2, 4), None
+    for size in (1.0, 400.0):
+        net.weights = {k: v.astype(float) * size if k.startswith(("class", "word")) and size > 1 else v.astype(float) for k, v in net.weights.items()}
+        room = gru.Room(np.dtype(float))
+        for steps in (5, 3, 5):
+            window = r.integers(0, 9, (steps, 3)), r.integers(0, 10, (steps, 3)), np.zeros((4, 3)), r.random((steps, 3)) < 0.2
+            before = {k: v.copy() for k, v in net.weights.items()}
+            (loss, h, grads), (loss2, h2, grads2) = net.loss(*window, room), net.loss(*window)
+            assert np.isfinite(loss) and loss == loss2 and (h == h2).all()
+            assert all((grads[k] == grads2[k]).all() and np.isfinite(grads[k]).all() and (before[k] == net.weights[k]).all() for k in before)
+
+
 def test_network_learns_from_documents_outside_the_sample(spark):
     """With a sample of one document, what follows a word is learned from all the others."""
     docs = spark.createDataFrame([(i, "a b " * 40 if i else "b a a b") for i in range(1200)], "doc_id long, text string").repartition(2).cache()
