@@ -230,3 +230,13 @@ def test_completion_shapes(spark):
     raw = ['"a"', '["b", "x"]', '{"content": "c"}', '[{"content": [{"type": "image"}, {"type": "text", "text": "d"}]}]', "[]", "{}"]
     rows = spark.createDataFrame(list(enumerate(raw)), "i int, t string").withColumn("v", F.parse_json("t"))
     assert [r.x for r in rows.select("i", T.completion_text(F.col("v")).alias("x")).orderBy("i").collect()] == ["a", "b", "c", "d", "", ""]
+
+
+def test_sides_of_a_metric_are_computed_once(spark):
+    df = spark.createDataFrame([("a b", "b c")], "g string, p string")
+    g, p = (F.regexp_extract_all(c, F.lit("[a-z]"), 0) for c in ("g", "p"))
+    for metric in (M.set_f1(g, p), M.soft_f1(g, p)):
+        shown = df.select(metric.alias("x"))
+        assert shown._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 2
+        assert shown.first().x == 0.5
+    assert df.select(M.main_text_ned("g", "p").alias("x"))._jdf.queryExecution().analyzed().toString().count("translate(") == 2
