@@ -41,7 +41,8 @@ PAGE = StructType(
 def load_text(c: Column | str, rows: Column, zero_width: str = "●◎", vertical_lines: bool = False, **normalize: str) -> Column:
     """A book as one line: brackets flattened, white space removed, lines normalized and filled
     with spaces to whole columns of so many rows; blank lines go."""
-    lines = F.transform(F.split(T.flatten_brackets(c), "\n"), lambda x: F.regexp_replace(x, r"(?U)\s", ""))
+    # spaces, of which there are many, need no regular expression
+    lines = F.transform(F.split(T.flatten_brackets(c), "\n"), lambda x: F.regexp_replace(T.without(x, " "), r"(?U)\s", ""))
     kept = F.transform(F.filter(lines, lambda x: x != ""), lambda x: T.normalize_book_line(x, **normalize))
     fill = lambda x: F.pmod(rows - F.pmod(T.measure_line(x, zero_width, vertical_lines), rows), rows)
     return F.array_join(F.transform(kept, lambda x: F.concat(x, F.repeat(F.lit(" "), fill(x)))), "")
@@ -83,6 +84,16 @@ class _Page:
         elif cell > 0 and cell % grid.rows == 0:
             self.out.append("\\h")
 
+    def fill(self, breaks: list[tuple[int, str]], text: str) -> None:
+        """Characters that take a cell each, not beyond the page's end, with the breaks after them."""
+        start = done = self.at
+        for cell, mark in breaks:
+            if start < cell <= start + len(text):
+                self.out += (text[done - start : cell - start], mark)
+                done = cell
+        self.out.append(text[done - start :])
+        self.at = start + len(text)
+
     def row(self) -> tuple[int, str, list[tuple[int, str]]]:
         return self.index, "".join(self.out), self.comments
 
@@ -105,6 +116,8 @@ def paginate(text: str, grid: Grid, start: int = 0, stop: int | None = None) ->
     if stop is not None and page.index >= stop:
         return
     skip = set(grid.missing)
+    plain = re.compile(f"[^{re.escape('＜【】%$&-' + grid.missing + grid.zero_text + ('《》' if grid.vertical_lines else ''))}]+")
+    breaks = [(cell, "$" if cell == grid.cells // 2 else "\\h") for cell in range(grid.cells + 1) if cell == grid.cells // 2 or cell > 0 and cell % grid.rows == 0]
 
     def note(content: str) -> Iterator[tuple[int, str, list[tuple[int, str]]]]:
         nonlocal page
@@ -145,12 +158,21 @@ def paginate(text: str, grid: Grid, start: int = 0, stop: int | None = None) ->
             page.out.append("】")
         page.at = int(page.at + 0.5)
 
+    end = 0  # of the plain characters that stand at i
     while i < n:
         if page.at == grid.cells:
             yield page.row()
             page = _Page(page.index + 1)
             if page.index == stop:
                 return
+        if i >= end:
+            end = found.end() if (found := plain.match(text, i)) else i
+        # the last of them may have marks after it
+        taken = min((end if end == n else end - 1) - i, grid.cells - page.at)
+        if taken > 0:
+            page.fill(breaks, text[i : i + taken])
+            i += taken
+            continue
         c = text[i]
         i += 1
         if c == "＜":
@@ -231,10 +253,11 @@ def stretches(text: Column, grid: Grid, size: int = STRETCH, long: int = LONG, s
     """
     lines = "《》" if grid.vertical_lines else ""
     # characters that take no cell, and open a page that stands full before them, but for two marks after one that does
-    free, turned = (re.escape(c) for c in (f"-{grid.missing}{lines}{grid.zero_text}", grid.rotated))
+    zero = f"-{grid.missing}{lines}{grid.zero_text}"
+    free, turned = re.escape(zero), re.escape(grid.rotated)
     marks = f"[{re.escape(grid.zero_text)}]" if grid.zero_text else "(?!)."
-    plain = f"[^＜【】%$&{free}{turned}]{{1,{PLAIN}}}(?:{marks}){{0,2}}" + (f"|[{turned}](?:{marks})?" if turned else "")
-    pattern = f"(?s)＜[^＞]*＞?|【[^】]*】?|[%$&].{{0,{grid.rows - 1}}}|】|{plain}|[{free}]+"
+    plain = f"{T.outside('＜【】%$&' + zero + grid.rotated)}{{1,{PLAIN}}}(?:{marks}){{0,2}}" + (f"|[{turned}](?:{marks})?" if turned else "")
+    pattern = f"(?s)＜{T.outside('＞')}*＞?|【{T.outside('】')}*】?|[%$&].{{0,{grid.rows - 1}}}|】|{plain}|[{free}]+"
 
     def piece(x: Column) -> Column:
         first = F.substring(x, 1, 1)
@@ -271,13 +294,13 @@ def stretches(text: Column, grid: Grid, size: int = STRETCH, long: int = LONG, s
     return kept if stop is None else F.transform(kept, lambda x: F.struct(x["text"], x["start"], x["first"], F.least(x["stop"], F.lit(stop)).alias("stop")))
 
 
-def paginate_books(books: DataFrame, rows: int, columns: int, zero_width: str = "●◎", stop: int | None = None, size: int = STRETCH, long: int = LONG, **normalize: str) -> DataFrame:
+def paginate_books(books: DataFrame, rows: int, columns: int, zero_width: str = "●◎", stop: int | None = None, size: int = STRETCH, long: int = LONG, source: str = "text", **normalize: str) -> DataFrame:
     """(book, page_idx, pagetxt, comments, content) of books(book, text), the pages before number ``stop``.
 
-    A null text has one empty page. Books of more than ``long`` characters are laid out in stretches, by several tasks.
+    ``source`` is the SQL of a book's text where it is made from its column, a step that is done after books are dealt over tasks. A null text has one empty page. Books of more than ``long`` characters are laid out in stretches, by several tasks.
     """
     grid = Grid(rows, rows * columns, zero_width, zero_width)
-    ready = spread(books.select("book", "text")).select("book", load_text("text", F.lit(rows), zero_width, **normalize).alias("_text"))
+    ready = spread(books.select("book", "text")).select("book", load_text(F.expr(source), F.lit(rows), zero_width, **normalize).alias("_text"))
     # so many partitions that few bytes, which take long to lay out, don't end up in one
     tasks = int(books.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = ready.select("book", F.explode(stretches(F.col("_text"), grid, size, long, stop)).alias("_part")).select("book", "_part.*").repartition(tasks, "book", "first")
@@ -291,11 +314,11 @@ def first_pages(books: DataFrame, n: int, rows: int, columns: int, **more) -> Da
     return paginate_books(books, rows, columns, stop=n, **more)
 
 
-def paginate_plain(books: DataFrame, rows: int, columns: int) -> DataFrame:
-    """(book, page_idx, pagetxt) of books whose text has no brackets, controls, dashes and marks."""
+def paginate_plain(books: DataFrame, rows: int, columns: int, source: str = "text") -> DataFrame:
+    """(book, page_idx, pagetxt) of books whose text, or what the SQL ``source`` makes of it, has no brackets, controls, dashes and marks."""
     cells = rows * columns
     pieces = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s).{{1,{n}}}"), 0)
-    ready = spread(books.select("book", "text")).select("book", load_text("text", F.lit(rows)).alias("_text"))
+    ready = spread(books.select("book", "text")).select("book", load_text(F.expr(source), F.lit(rows)).alias("_text"))
     # a text is cut once, so each page carries its own cells alone
     pages = ready.select("book", F.posexplode(F.when(F.length("_text") > 0, pieces(F.col("_text"), cells)).otherwise(F.array(F.lit("")))).alias("page_idx", "_own"))
     # a break stands after each full column; half a page's is another one

@@ -11,7 +11,7 @@ from quire.operators import records as Q
 from quire.operators import typeset as S
 from quire.plans import derived as D
 from quire.plans.registry import query, table
-from quire.plans.typesetting import BOOK, CELLS, COLUMNS, FLATTEN, PAGES, RAW_PAGES, ROWS, plain_books
+from quire.plans.typesetting import BOOK, CELLS, COLUMNS, FLATTEN, PAGES, PLAIN_SPARK, RAW_PAGES, ROWS, raw_books
 
 CLOSE = "concat(p_size * 13 % 60 + 100, ',', p_size * 7 % 60 + 100, ',', p_size * 11 % 60 + 110, ',400')"
 
@@ -116,7 +116,7 @@ def mark_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_preview", f"select book, page_idx, pagetxt from ({PAGES}) where page_idx < 2")
 def page_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No other page is made."""
-    return S.first_pages(plain_books(spark, sf_dir), 2, ROWS, COLUMNS).select("book", "page_idx", F.md5("pagetxt").alias("pagetxt"))
+    return S.first_pages(raw_books(spark, sf_dir), 2, ROWS, COLUMNS, source=PLAIN_SPARK).select("book", "page_idx", F.md5("pagetxt").alias("pagetxt"))
 
 
 @query(
@@ -126,7 +126,7 @@ def page_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bound_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat records of plain pages with the image of their page, by number; pages without one have none."""
-    pages = S.paginate_plain(plain_books(spark, sf_dir), ROWS, COLUMNS).select("book", "page_idx", T.page_content("pagetxt").alias("content"))
+    pages = S.paginate_plain(raw_books(spark, sf_dir), ROWS, COLUMNS, PLAIN_SPARK).select("book", "page_idx", T.page_content("pagetxt").alias("content"))
     images = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.explode(F.array(F.lit(0), F.lit(2))).alias("page_idx"))
     bound = Q.bind_images(Q.page_records(pages), images.withColumn("path", F.concat_ws("_", F.col("book").cast("string"), F.col("page_idx").cast("string"))))
     return bound.select("book", "page_idx", F.col("messages")[0]["role"].alias("role"), F.md5(F.col("messages")[1]["content"]).alias("content"), F.try_element_at("images", F.lit(1)).alias("image"))
@@ -180,8 +180,7 @@ c as (select doc_id as book, (place // {CELLS})::int as page_idx, row_number() o
 @query("top_comments_placed", f"{NOTED_PAGES}, {placed_sql('c', ROWS, 2 * COLUMNS)} select * from placed")
 def top_comments_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments of all pages of books with notes, placed or rejected."""
-    books = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.expr(NOTED).alias("text"))
-    pages = S.paginate_books(books, ROWS, COLUMNS)
+    pages = S.paginate_books(raw_books(spark, sf_dir), ROWS, COLUMNS, source=NOTED)
     comments = pages.select("book", "page_idx", F.posexplode("comments").alias("seq", "c")).select("book", "page_idx", "seq", "c.cell", "c.text")
     return S.place_comments(comments, ROWS, 2 * COLUMNS, 150, 20)
 

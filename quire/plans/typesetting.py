@@ -17,7 +17,7 @@ from quire.session import spread
 BOOK = f"translate({D.bracketed('lower(text)')}, 'aeiouq', '一二三四五@')"
 #: Control-free text: letters, spaces and line breaks only.
 PLAIN = f"regexp_replace({D.ascii_image('text')}, '[^a-zA-Z \\n]', '', 'g')"
-PLAIN_SPARK = f"regexp_replace({D.ascii_image('text')}, '[^a-zA-Z \\n]', '')"
+PLAIN_SPARK = f"array_join(regexp_extract_all({D.ascii_image('text')}, '[a-zA-Z \\n]+', 0), '')"
 ROWS, COLUMNS = 10, 8
 
 
@@ -77,23 +77,19 @@ select doc_id as book, page::int as page_idx, string_agg(col || case when length
 RAW_PAGES, PAGES = PAGES, f"select book, page_idx, md5(raw) as pagetxt from ({PAGES})"
 
 
-def plain_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.expr(PLAIN_SPARK).alias("text"))
+def raw_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), "text")
 
 
 @query("paginate_native", PAGES)
 def paginate_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.paginate_plain(plain_books(spark, sf_dir), ROWS, COLUMNS).withColumn("pagetxt", F.md5("pagetxt"))
+    return S.paginate_plain(raw_books(spark, sf_dir), ROWS, COLUMNS, PLAIN_SPARK).withColumn("pagetxt", F.md5("pagetxt"))
 
 
 @query("paginate_udtf", PAGES)
 def paginate_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table function over the same books gives the same pages."""
-    return S.paginate_books(plain_books(spark, sf_dir), ROWS, COLUMNS).select("book", "page_idx", F.md5("pagetxt").alias("pagetxt"))
-
-
-def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.expr(BOOK).alias("text"))
+    return S.paginate_books(raw_books(spark, sf_dir), ROWS, COLUMNS, source=PLAIN_SPARK).select("book", "page_idx", F.md5("pagetxt").alias("pagetxt"))
 
 
 def breaks(cell: str) -> str:
@@ -141,7 +137,7 @@ raw_pages as (select doc_id as book, page::int as page_idx, string_agg(unit, ''
 )
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books with notes, comments and controls to chat records; even ones of a book's first eight pages have an image."""
-    records = Q.page_records(S.paginate_books(books(spark, sf_dir), ROWS, COLUMNS))
+    records = Q.page_records(S.paginate_books(raw_books(spark, sf_dir), ROWS, COLUMNS, source=BOOK))
     numbered = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.explode(F.sequence(F.lit(0), F.lit(6), F.lit(2))).alias("page_idx"))
     bound = Q.bind_images(records, numbered.withColumn("path", F.format_string("%s_%03d.jpg", F.col("book").cast("string"), "page_idx")))
     said = F.col("messages")

@@ -59,3 +59,31 @@ def test_no_page_beyond_the_last_one_asked_for_is_made(monkeypatch):
         assert [p[0] for p in S.paginate(text, S.Grid(5, 30), stop=2)] == [0, 1]
         assert max(made) <= 2
     assert list(S.paginate("甲", S.Grid(5, 30), 60, 2)) == []
+
+
+def test_plain_characters_are_laid_out_by_columns(monkeypatch):
+    fed = []
+    real = S._Page.feed
+    monkeypatch.setattr(S._Page, "feed", lambda self, grid: (fed.append(1), real(self, grid))[1])
+    pages = [p[1] for p in S.paginate("甲" * 95 + "乙●丙【注】" + "丁" * 61, S.Grid(5, 30))]
+    column = lambda c, n=1: (c * 5 + "\\h") * n
+    first = column("甲", 2) + "甲" * 5 + "$" + column("甲", 3)
+    assert pages[:3] == [first] * 3
+    # 5 + 1 + 1 + 0.5, rounded up, then a run over two pages
+    fourth = column("甲") + "乙●丙【注】丁丁\\h" + "丁" * 5 + "$" + column("丁", 3)
+    assert pages[3:5] == [fourth, column("丁", 2) + "丁" * 5 + "$" + column("丁", 3)] and pages[5] == column("丁", 1) + "丁" * 4
+    assert len(fed) < 10
+
+
+def test_no_negated_class_runs_over_a_book(spark):
+    from quire.functions import text as T
+    from quire.plans.typesetting import PLAIN_SPARK
+
+    rows = spark.createDataFrame([(1, "x")], "book int, text string")
+    plan = S.paginate_books(rows, 5, 6, source=PLAIN_SPARK).select("book", "pagetxt")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" in plan and "[^" not in plan
+    # outside gives what a negated class does, at both ends of the ranges too
+    for dropped in ("【】＜＞", "b", "\x00\U0010ffff", "^]-\\"):
+        kept = "".join(c for c in "\x00\x01abc\n ^]-\\【】＜＞甲\U0001f600\U0010ffff" if c not in dropped)
+        text = F.lit("\x00\x01abc\n ^]-\\【】＜＞甲\U0001f600\U0010ffff")
+        assert spark.range(1).select(F.array_join(F.regexp_extract_all(text, F.lit(T.outside(dropped) + "+"), F.lit(0)), "")).first()[0] == kept
